@@ -80,7 +80,7 @@ def canonical_query(query: Column) -> Column:
     Pieces without '=' and blank values vanish (``keep_blank_values=False``),
     names are compared case-insensitively, order is kept.
     """
-    tracking = [F.lit(p) for p in K.TRACKING_PARAMS]
+    tracking = list(K.TRACKING_PARAMS)
     pieces = F.split(query, "&")
     kept = F.filter(pieces, lambda p: (F.instr(p, "=") > 0)
                     & (F.length(p) > F.instr(p, "=")))
@@ -147,3 +147,42 @@ def same_site(host: Column, base_host: Column) -> Column:
     """Same host, tolerating a ``www.`` prefix on either side."""
     return ((host == base_host) | (host == F.concat(F.lit("www."), base_host))
             | (base_host == F.concat(F.lit("www."), host)))
+
+
+# ---------------------------------------------------------------- link extraction
+
+HREF_PATTERN = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+
+# A relative reference whose path has '.' or '..' segments needs RFC 3986
+# dot-segment removal; only those rows take the Python ``urljoin`` path.
+DOT_SEGMENT = r"(^|/)\.\.?(/|$|[?#])"
+
+
+def hrefs(html: Column) -> Column:
+    """All ``a[href]`` values of a page, in document order."""
+    return F.regexp_extract_all(html, F.lit(HREF_PATTERN), F.lit(1))
+
+
+def needs_python_join(href: Column) -> Column:
+    return F.regexp_extract(href, r"^[^?#]*", 0).rlike(DOT_SEGMENT) & ~href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+
+
+def resolve_href(base: Column, href: Column) -> Column:
+    """``urljoin(base, href)`` for references without dot segments:
+    absolute, scheme-relative, root-relative, query-only, fragment-only,
+    empty and plain relative paths.  Rows with dot segments go through
+    :func:`urljoin_udf` instead (see ``operators.links.resolve_links``)."""
+    b_scheme = F.regexp_extract(base, _RE, 2)
+    b_netloc = url_netloc(base)
+    b_path = url_path(base)
+    origin = F.concat(b_scheme, F.lit("://"), b_netloc)
+    base_no_frag = strip_fragment(base)
+    base_dir = F.regexp_replace(b_path, r"[^/]*$", "")
+    base_dir = F.when(base_dir == "", F.lit("/")).otherwise(base_dir)
+    return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+            .when(href.startswith("//"), F.concat(b_scheme, F.lit(":"), href))
+            .when(href.startswith("/"), F.concat(origin, href))
+            .when(href == "", base_no_frag)
+            .when(href.startswith("#"), F.concat(base_no_frag, href))
+            .when(href.startswith("?"), F.concat(origin, b_path, href))
+            .otherwise(F.concat(origin, base_dir, href)))

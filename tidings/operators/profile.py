@@ -69,10 +69,9 @@ def interaction_rows(requests: DataFrame, distinct_tags: bool = True) -> DataFra
     one per (distinct) tag with the type's weight.  Requests without tags are
     rejected by the caller (see ``split_interaction_requests``)."""
     tags = F.array_distinct("tags") if distinct_tags else F.col("tags")
-    return requests.select(
-        "content_id", F.explode(tags).alias("tag"), "type",
-        interaction_weight(F.col("type")).alias("weight"),
-        *[c for c in ("created_at",) if c in requests.columns])
+    passthrough = [c for c in requests.columns if c != "tags"]
+    return requests.select(*passthrough, F.explode(tags).alias("tag"),
+                           interaction_weight(F.col("type")).alias("weight"))
 
 
 def split_interaction_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

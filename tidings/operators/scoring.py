@@ -13,7 +13,10 @@ from ..functions.feed import age_factor, interest, shown_factor, suppression_pen
 # Columns a scored row carries forward (narrow: no text or chunks).
 CARRY = ["url", "hostname", "title", "summary", "tags", "scraped_at", "last_shown_at"]
 
-RANK_ORDER = [F.col("score").desc(), F.col("scraped_at").desc(), F.col("id").asc()]
+
+def rank_order():
+    """Feed order: score descending; ties newest first, then id."""
+    return [F.col("score").desc(), F.col("scraped_at").desc(), F.col("id").asc()]
 
 
 def content_window(content: DataFrame, as_of=None, window_days: int | None = None,
@@ -88,12 +91,12 @@ def ranked_feed(scored: DataFrame) -> DataFrame:
     """L1: all scored posts, best first; ties keep newest first, then id.
 
     A range-partitioned global sort: no single-partition window."""
-    return scored.orderBy(*RANK_ORDER)
+    return scored.orderBy(*rank_order())
 
 
 def top_n_by_score(scored: DataFrame, n: int = K.FEED_LIMIT) -> DataFrame:
     """L2: naive top N (TakeOrderedAndProject), with its 1-based rank."""
-    top = scored.orderBy(*RANK_ORDER).limit(n)
+    top = scored.orderBy(*rank_order()).limit(n)
     from pyspark.sql import Window
     # The window sees at most n rows (after the limit).
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*RANK_ORDER)).cast("bigint"))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())).cast("bigint"))

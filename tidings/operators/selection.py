@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.common import ts_lit
 from ..functions.feed import jaccard, quota
-from .scoring import RANK_ORDER
+from .scoring import rank_order
 
 SIGNALS = ["continuity", "relevance", "novelty", "interest"]
 
@@ -50,7 +50,7 @@ def mmr_candidates(scored: DataFrame, limit: int = K.FEED_LIMIT) -> DataFrame:
     base = scored.withColumn("tag_set", tag_set(F.col("tags")))
     keep = None
     for s in SIGNALS:
-        w = Window.partitionBy("tag_set").orderBy((F.col(s) * F.col("freshness")).desc(), *RANK_ORDER)
+        w = Window.partitionBy("tag_set").orderBy((F.col(s) * F.col("freshness")).desc(), *rank_order())
         top = (base.select("id", "tag_set", s, "freshness", "score", "scraped_at")
                .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).select("id"))
         keep = top if keep is None else keep.unionByName(top)
@@ -73,7 +73,7 @@ def _pick(cands: DataFrame, signal: str, chosen: list[dict]) -> dict | None:
     if chosen:
         pool = pool.where(~F.col("id").isin([c["id"] for c in chosen]))
     row = (pool.select("id", "tags", "score", mmr.alias("mmr"), "scraped_at")
-           .orderBy(F.col("mmr").desc(), *RANK_ORDER).limit(1).collect())
+           .orderBy(F.col("mmr").desc(), *rank_order()).limit(1).collect())
     if not row:
         return None
     r = row[0]

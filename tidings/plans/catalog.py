@@ -153,3 +153,486 @@ def q_mark_shown(spark, sf):
     content = td.content(spark, sf)
     top = scoring.top_n_by_score(_scored(spark, sf), K.FEED_LIMIT)
     return report(selection.mark_shown(content, top).select("id", "last_shown_at"))
+
+
+# ---------------------------------------------------------------- SimHash / dedup
+
+from ..functions import simhash as SH  # noqa: E402
+from ..functions.text import html_title, page_chunks  # noqa: E402
+from ..operators import dedup  # noqa: E402
+from . import crawl  # noqa: E402
+
+
+def _doc_fp(spark, sf):
+    docs = td.read_table(spark, sf, "documents")
+    return dedup.doc_simhash(docs, "doc_id", "text")
+
+
+def _content_fp(spark, sf):
+    """Content rows with their fingerprint; FIXTURES B4 splits them into
+    existing (even ids) and incoming (odd ids) -- every row is used."""
+    c = td.content(spark, sf).select("id", "url", "text")
+    return c.join(dedup.doc_simhash(c, "id", "text"), "id")
+
+
+@query("doc_simhash")
+def q_doc_simhash(spark, sf):
+    return _doc_fp(spark, sf)
+
+
+@query("simhash_bands")
+def q_simhash_bands(spark, sf):
+    fp = dedup.with_bands(_doc_fp(spark, sf))
+    return fp.select("doc_id", SH.unsigned_text(F.col("simhash")).alias("simhash_text"),
+                     "simhash_1", "simhash_2", "simhash_3", "simhash_4")
+
+
+def _split_existing(spark, sf):
+    fp = _content_fp(spark, sf)
+    return fp.where(F.col("id") % 2 == 0), fp.where(F.col("id") % 2 == 1)
+
+
+@query("near_dup_urls")
+def q_near_dup_urls(spark, sf):
+    existing, incoming = _split_existing(spark, sf)
+    return dedup.near_dup_urls(incoming, existing)
+
+
+@query("dedup_content")
+def q_dedup_content(spark, sf):
+    existing, incoming = _split_existing(spark, sf)
+    return dedup.dedup_content(incoming, dedup.near_dup_urls(incoming, existing)).select("id", "url")
+
+
+@query("near_dup_candidates")
+def q_near_dup_candidates(spark, sf):
+    existing, incoming = _split_existing(spark, sf)
+    return dedup.near_dup_candidates(incoming, existing)
+
+
+@query("simhash_groups")
+def q_simhash_groups(spark, sf):
+    existing, _ = _split_existing(spark, sf)
+    return dedup.simhash_groups(existing)
+
+
+@query("crawl_pages")
+def q_crawl_pages(spark, sf):
+    return report(crawl.crawl_pages(td.read_table(spark, sf, "pages")).select("page_id", "url", "title", "chunks"))
+
+
+@query("page_chunks")
+def q_page_chunks(spark, sf):
+    p = td.read_table(spark, sf, "pages")
+    ch = page_chunks(F.col("html"))
+    return report(p.select("page_id", html_title(F.col("html")).alias("title"),
+                           F.size(ch).cast("bigint").alias("n_chunks"), ch.alias("chunks")))
+
+
+@query("content_ingest")
+def q_content_ingest(spark, sf):
+    existing = _content_fp(spark, sf)
+    rows = crawl.content_ingest(td.read_table(spark, sf, "pages"), existing)
+    return report(rows.drop("tags", "scraped_at"))
+
+
+# ---------------------------------------------------------------- URLs and links
+
+from ..functions import urls as U  # noqa: E402
+from ..operators import frontier as FR  # noqa: E402
+from ..operators import links as LK  # noqa: E402
+
+
+def _pages_with_host(spark, sf):
+    p = td.read_table(spark, sf, "pages")
+    return p.select("page_id", "url", "html", U.url_hostname(F.col("url")).alias("hostname"))
+
+
+@query("url_parts")
+def q_url_parts(spark, sf):
+    p = td.read_table(spark, sf, "pages")
+    u = F.col("url")
+    return p.select("page_id", U.url_scheme(u).alias("scheme"), U.url_netloc(u).alias("netloc"),
+                    U.url_path(u).alias("path"), U.url_query(u).alias("query"),
+                    U.url_fragment(u).alias("fragment"), U.url_hostname(u).alias("hostname"))
+
+
+@query("canonicalize_url")
+def q_canonicalize_url(spark, sf):
+    p = td.read_table(spark, sf, "pages")
+    return p.select("page_id", "url", U.canonicalize_url(F.col("url")).alias("canonical"))
+
+
+@query("is_ignored_url")
+def q_is_ignored_url(spark, sf):
+    p = td.read_table(spark, sf, "pages")
+    return p.select("page_id", "url", U.is_ignored_url(F.col("url")).alias("ignored"))
+
+
+@query("extract_links")
+def q_extract_links(spark, sf):
+    return LK.extract_links(_pages_with_host(spark, sf))
+
+
+@query("filter_links")
+def q_filter_links(spark, sf):
+    pages = _pages_with_host(spark, sf)
+    links = LK.extract_links(pages).join(
+        pages.select("page_id", U.url_netloc(F.col("url")).alias("base_host")), "page_id")
+    return LK.filter_links(links, "base_host").select("page_id", "canonical", "first_pos")
+
+
+@query("crawl_scope")
+def q_crawl_scope(spark, sf):
+    resolved = LK.resolve_links(LK.page_hrefs(td.read_table(spark, sf, "pages")))
+    return LK.crawl_scope(resolved).select("page_id", "pos", "absolute", "in_scope")
+
+
+def _discovery(spark, sf):
+    return crawl.discover_sources(td.urls(spark, sf), td.read_table(spark, sf, "pages"))
+
+
+@query("create_source_urls")
+def q_create_source_urls(spark, sf):
+    new_rows, _ = _discovery(spark, sf)
+    return report(new_rows)
+
+
+@query("discover_sources")
+def q_discover_sources(spark, sf):
+    _, table = _discovery(spark, sf)
+    return report(table.select("id", "crawl_state", "next_crawl_at", "applied"))
+
+
+@query("bump_sources")
+def q_bump_sources(spark, sf):
+    urls = td.urls(spark, sf)
+    out = FR.bump_sources(urls, FR.due_sources(urls).select("id"))
+    return report(out.select("id", "next_crawl_at", "applied"))
+
+
+# ---------------------------------------------------------------- frontier
+
+def _front(spark, sf):
+    return FR.front_queue(td.urls(spark, sf))
+
+
+@query("front_queue")
+def q_front_queue(spark, sf):
+    return _front(spark, sf).select("id", "url", "hostname", "kind", "crawl_state", "branch", "sequence")
+
+
+@query("back_queue")
+def q_back_queue(spark, sf):
+    return FR.back_queue(_front(spark, sf)).select("hostname", "pos", "id", "url")
+
+
+@query("scheduler_queue")
+def q_scheduler_queue(spark, sf):
+    return report(FR.scheduler_queue(_front(spark, sf), td.hostnames(spark, sf)))
+
+
+@query("due_host_heads")
+def q_due_host_heads(spark, sf):
+    heads = FR.due_host_heads(_front(spark, sf), td.hostnames(spark, sf))
+    return report(heads.select("hostname", "id", "url", "kind", "next_allowed_at"))
+
+
+@query("queue_sizes")
+def q_queue_sizes(spark, sf):
+    return FR.queue_sizes(_front(spark, sf))
+
+
+@query("lease_hostnames")
+def q_lease_hostnames(spark, sf):
+    hosts = td.hostnames(spark, sf)
+    sched = FR.scheduler_queue(_front(spark, sf), hosts)
+    return report(FR.lease_hostnames(hosts, sched.select("id")).select("id", "next_allowed_at", "applied"))
+
+
+def _claimed(spark, sf):
+    urls = td.urls(spark, sf)
+    heads = FR.due_host_heads(FR.front_queue(urls), td.hostnames(spark, sf))
+    return FR.claim_urls(urls, heads.select("id"))
+
+
+@query("claim_urls")
+def q_claim_urls(spark, sf):
+    return report(_claimed(spark, sf).select("id", "crawl_state", "next_crawl_at", "applied"))
+
+
+def _outcomes(claimed):
+    won = claimed.where(F.col("applied"))
+    return won.select("id", "hostname", (~U.is_ignored_url(F.col("url"))).alias("success"))
+
+
+@query("apply_crawl_outcomes")
+def q_apply_crawl_outcomes(spark, sf):
+    claimed = _claimed(spark, sf)
+    out = FR.apply_url_outcomes(claimed.drop("applied"), _outcomes(claimed))
+    return report(out.select("id", "crawl_state", "next_crawl_at", "applied"))
+
+
+@query("hostname_stats")
+def q_hostname_stats(spark, sf):
+    claimed = _claimed(spark, sf)
+    out = FR.hostname_stats(td.hostnames(spark, sf), _outcomes(claimed))
+    return report(out.select("name", "crawl_count", "success_count", "failure_count", "last_crawled_at",
+                             "next_allowed_at", "applied"))
+
+
+@query("retry_source")
+def q_retry_source(spark, sf):
+    urls, hosts = td.urls(spark, sf), td.hostnames(spark, sf)
+    req = urls.where(F.col("crawl_state").isin(K.CRAWL_RETRY, K.CRAWL_FAILED)).select("id")
+    new_urls, new_hosts = FR.retry_source(urls, hosts, req)
+    out = new_urls.join(new_hosts.select(F.col("name").alias("hostname"),
+                                         F.col("next_allowed_at").alias("host_next_allowed_at")), "hostname", "left")
+    return report(out.select("id", "crawl_state", "next_crawl_at", "applied", "host_next_allowed_at"))
+
+
+@query("patch_source")
+def q_patch_source(spark, sf):
+    urls = td.urls(spark, sf)
+    src = F.col("kind") == "source"
+    blocked = F.col("crawl_state") == K.CRAWL_BLOCKED
+    patches = urls.where(src | blocked | (F.col("crawl_state") == K.CRAWL_FAILED)).select(
+        "id",
+        F.lit(1.0).alias("priority_score"), src.alias("set_priority_score"),
+        F.lit(K.CRAWL_QUEUED).alias("crawl_state"), (~src & blocked).alias("set_crawl_state"),
+        ts_lit(None).alias("next_crawl_at"), (~src & blocked).alias("set_next_crawl_at"))
+    out, _rejected = FR.patch_source(urls, patches)
+    return report(out.select("id", "priority_score", "crawl_state", "next_crawl_at", "applied"))
+
+
+# ---------------------------------------------------------------- content pipeline
+
+@query("content_queue")
+def q_content_queue(spark, sf):
+    return report(FR.content_queue(td.content(spark, sf)).select("id", "url", "scraped_at"))
+
+
+@query("claim_content")
+def q_claim_content(spark, sf):
+    content = td.content(spark, sf)
+    out = FR.claim_content(content, FR.content_queue(content).select("id"))
+    return out.select("id", "pipeline_state", "applied")
+
+
+from ..functions import tags as TG  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from ..operators import enrich as EN  # noqa: E402
+
+
+@query("thin_content")
+def q_thin_content(spark, sf):
+    c = td.content(spark, sf)
+    text = TX.join_chunks(F.col("chunks"))
+    return c.select("id", TX.thin_content_reason(text).alias("reason"))
+
+
+@query("build_enrich_input")
+def q_build_enrich_input(spark, sf):
+    c = td.content(spark, sf)
+    return c.select("id", TX.build_enrich_input(TX.join_chunks(F.col("chunks")), F.col("title"),
+                                                F.col("url")).alias("prompt"))
+
+
+def _raw_tags(spark, sf):
+    c = td.content(spark, sf)
+    first_line = F.substring_index(F.col("text"), "\n", 1)
+    raw = F.concat(F.split(first_line, " "), F.transform("tags", F.upper))
+    return c.select("id", raw.alias("raw"))
+
+
+@query("normalize_tags")
+def q_normalize_tags(spark, sf):
+    return report(_raw_tags(spark, sf).select("id", TG.normalize_tags(F.col("raw")).alias("tags")))
+
+
+@query("filter_tags")
+def q_filter_tags(spark, sf):
+    return report(_raw_tags(spark, sf).select("id", TG.filter_tags(F.col("raw")).alias("tags")))
+
+
+@query("finalize_tags")
+def q_finalize_tags(spark, sf):
+    return report(_raw_tags(spark, sf).select("id", TG.finalize_tags(F.col("raw")).alias("tags")))
+
+
+@query("is_ignored_tag")
+def q_is_ignored_tag(spark, sf):
+    words = _raw_tags(spark, sf).select(F.explode("raw").alias("tag")).distinct()
+    return words.select("tag", TG.is_ignored_tag(F.col("tag")).alias("ignored"))
+
+
+@query("parse_vocabulary")
+def q_parse_vocabulary(spark, sf):
+    b = td.read_table(spark, sf, "benchmark")
+    return report(b.select("item_id", TG.parse_vocabulary(F.col("text")).alias("vocabulary")))
+
+
+@query("tag_field_names")
+def q_tag_field_names(spark, sf):
+    b = td.read_table(spark, sf, "benchmark")
+    v = b.select("item_id", F.posexplode(TG.parse_vocabulary(F.col("text"))).alias("idx", "tag"))
+    return v.select("item_id", F.col("idx").cast("bigint").alias("idx"), "tag",
+                    TX.tag_field_name(F.col("tag"), F.col("idx")).alias("field"))
+
+
+def _grading_cases(spark, sf):
+    """Cases from labelled content: the deterministic gate decides the error,
+    stored title and tags stand for the model output, labels set the
+    expectations."""
+    c = td.content(spark, sf)
+    labels = td.read_table(spark, sf, "labels")
+    text = TX.join_chunks(F.col("chunks"))
+    err = F.when(TX.thin_content_reason(text).isNotNull(), F.lit("ThinContentError"))
+    empty = F.array().cast("array<string>")
+    cases = c.join(labels.withColumnRenamed("doc_id", "id"), "id").select(
+        "id",
+        empty.alias("allowed_tags"),
+        F.when(err.isNull(), F.col("title")).otherwise(F.lit("")).alias("summary"),
+        F.when(err.isNull(), F.col("tags")).otherwise(empty).alias("tags"),
+        err.alias("error"),
+        F.when(F.col("quality") == 0, F.lit("ThinContentError")).alias("expect_error"),
+        F.array(F.col("hostname")).alias("expected_tags"),
+        F.when(F.col("toxic") == 1, F.array(F.lit("t0"))).otherwise(empty).alias("forbidden_tags"),
+        F.array(F.lower(F.substring_index(F.col("title"), " ", 1))).alias("keywords"),
+        F.lit(8).alias("min_summary_words"),
+        (F.col("toxic") == 1).alias("expect_empty_tags"))
+    return cases
+
+
+@query("grade_enrichment")
+def q_grade_enrichment(spark, sf):
+    return EN.grade_enrichment(_grading_cases(spark, sf)).select("id", *EN.GRADERS)
+
+
+@query("enrichment_pass_rate")
+def q_enrichment_pass_rate(spark, sf):
+    return report(EN.enrichment_pass_rate(EN.grade_enrichment(_grading_cases(spark, sf))))
+
+
+def _enriched(spark, sf):
+    content = td.content(spark, sf)
+    queue = FR.content_queue(content)
+    claimed = FR.claim_content(content, queue.select("id")).where(F.col("applied"))
+    return content, EN.enrich_content(claimed)
+
+
+@query("enrich_content", rows_only=True)
+def q_enrich_content(spark, sf):
+    _, res = _enriched(spark, sf)
+    return report(res)
+
+
+@query("apply_enrichment", rows_only=True)
+def q_apply_enrichment(spark, sf):
+    content, res = _enriched(spark, sf)
+    out = EN.apply_enrichment(content, res)
+    return report(out.select("id", "pipeline_state", "summary", "tags", "pipeline_error"))
+
+
+# ---------------------------------------------------------------- table API
+
+from ..operators import quality as QA  # noqa: E402
+from ..operators import tables as TB  # noqa: E402
+from .. import schemas as SC  # noqa: E402
+
+
+@query("list_sources")
+def q_list_sources(spark, sf):
+    return report(TB.list_sources(td.urls(spark, sf)))
+
+
+@query("list_hostnames")
+def q_list_hostnames(spark, sf):
+    return report(TB.list_hostnames(td.hostnames(spark, sf)))
+
+
+@query("list_content")
+def q_list_content(spark, sf):
+    return report(TB.list_content(td.content(spark, sf), tag="src3"))
+
+
+def _page_cursor(spark, sf, n: int):
+    """The id of the ``n``-th row of the unfiltered content listing -- what a
+    client passes back as its cursor (at most ``n`` rows reach the driver)."""
+    rows = TB.list_content(td.content(spark, sf), limit=n).select("id").collect()
+    return rows[-1]["id"] if rows else None
+
+
+@query("list_content_after")
+def q_list_content_after(spark, sf):
+    cur = _page_cursor(spark, sf, K.LIST_LIMIT)
+    return report(TB.list_content(td.content(spark, sf), after_id=cur))
+
+
+@query("list_content_before")
+def q_list_content_before(spark, sf):
+    cur = _page_cursor(spark, sf, 2 * K.LIST_LIMIT)
+    return report(TB.list_content(td.content(spark, sf), before_id=cur))
+
+
+@query("lookup_by_id")
+def q_lookup_by_id(spark, sf):
+    ids = _interactions(spark, sf).select(F.col("content_id").alias("id"))
+    rows = TB.lookup_by_id(td.content(spark, sf), ids)
+    return report(rows.select(*TB.CONTENT_COLUMNS))
+
+
+@query("source_state_view")
+def q_source_state_view(spark, sf):
+    return TB.source_state_view(td.urls(spark, sf))
+
+
+@query("create_source")
+def q_create_source(spark, sf):
+    urls, hosts = td.urls(spark, sf), td.hostnames(spark, sf)
+    roots = hosts.select(F.concat(F.lit("https://"), F.col("name"), F.lit("/")).alias("url"))
+    again = urls.where(F.col("kind") == "source").select("url")
+    reqs = roots.unionByName(again).select("url", F.lit("source").alias("kind"), F.col("url").alias("source"))
+    new_urls, new_hosts, rejected = TB.create_source(reqs, urls, hosts)
+    ok = new_urls.select("url", "hostname", F.lit("accepted").alias("status"))
+    bad = rejected.select("url", U.url_hostname(F.col("url")).alias("hostname"), F.col("reason").alias("status"))
+    return ok.unionByName(bad)
+
+
+@query("validate_table")
+def q_validate_table(spark, sf):
+    return QA.validate_table(td.urls(spark, sf), SC.URL)
+
+
+@query("unique_violations")
+def q_unique_violations(spark, sf):
+    return QA.unique_violations(td.urls(spark, sf), "hostname")
+
+
+@query("apply_defaults")
+def q_apply_defaults(spark, sf):
+    new_rows, _ = _discovery(spark, sf)
+    return report(QA.apply_defaults(new_rows, SC.URL))
+
+
+# ---------------------------------------------------------------- log appends and upserts
+
+@query("interaction_append")
+def q_interaction_append(spark, sf):
+    ev = td.read_table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    c = td.content(spark, sf).select(F.col("id").alias("content_id"), "tags")
+    req = ev.select("event_id", k.alias("content_id"),
+                    td.interaction_type(F.col("event_type"), F.col("value"), k).alias("type"))
+    req = req.join(c, "content_id").withColumn("tags", F.concat("tags", F.slice("tags", 1, 1)))
+    accepted, _rejected = prof.split_interaction_requests(req)
+    return prof.interaction_rows(accepted).select("event_id", "content_id", "tag", "type", "weight")
+
+
+@query("tag_score_upsert")
+def q_tag_score_upsert(spark, sf):
+    inter = _interactions(spark, sf)
+    cut = ts_lit("2024-01-15 00:00:00")
+    old = prof.tag_profile(inter.where(F.col("created_at") < cut))
+    new = prof.tag_profile(inter.where(F.col("created_at") >= cut))
+    return report(prof.tag_score_upsert(old, new))

@@ -52,7 +52,9 @@ SELECT doc_id AS id,
        CAST(NULL AS TIMESTAMP) AS last_seen_at,
        CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 5 END AS pipeline_state,
        CAST(NULL AS VARCHAR) AS summary,
-       CAST(NULL AS VARCHAR) AS pipeline_error
+       CAST(NULL AS VARCHAR) AS pipeline_error,
+       0.0::DOUBLE AS score,
+       {AS_OF} - to_days(CAST(doc_id % 45 AS INTEGER)) - to_hours(CAST(doc_id % 24 AS BIGINT)) AS created_at
 FROM documents""")
 
 WEIGHT_CASE = """CASE type WHEN 'impression' THEN 0.1::DOUBLE WHEN 'open' THEN 1.0::DOUBLE
@@ -250,3 +252,630 @@ SELECT id, {R('score')} AS score FROM scored WHERE id IN ({_MMR_WINDOWS})""")
 sql("mark_shown", ["content", "ranked"], f"""
 SELECT c.id, {S(f"CASE WHEN r.id IS NOT NULL THEN {AS_OF} ELSE c.last_shown_at END")} AS last_shown_at
 FROM content c LEFT JOIN (SELECT id FROM ranked WHERE rank <= 10) r ON r.id = c.id""")
+
+
+# --------------------------------------------------------------------------
+# SQL builders mirroring the column expressions in tidings.functions
+# --------------------------------------------------------------------------
+from .. import constants as _K  # noqa: E402
+from ..functions import text as _T  # noqa: E402
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_scheme(u: str) -> str:
+    return f"lower(regexp_extract({u}, {q(URL_RE)}, 2))"
+
+
+def sql_netloc(u: str) -> str:
+    return f"regexp_extract({u}, {q(URL_RE)}, 4)"
+
+
+def sql_path(u: str) -> str:
+    return f"regexp_extract({u}, {q(URL_RE)}, 5)"
+
+
+def sql_query(u: str) -> str:
+    return f"regexp_extract({u}, {q(URL_RE)}, 7)"
+
+
+def sql_is_ignored(u: str) -> str:
+    import re as _re
+    path = f"lower({sql_path(u)})"
+    segs = f"list_filter(string_split({path}, '/'), lambda s: s <> '')"
+    ext = "(?:" + "|".join(_re.escape(e) for e in _K.IGNORE_EXTENSIONS) + ")$"
+    subs = " OR ".join(f"contains({path}, {q(s)})" for s in _K.IGNORE_SUBSTRINGS)
+    blocked = "[" + ", ".join(q(s) for s in _K.IGNORE_SEGMENTS) + "]"
+    return (f"(({sql_scheme(u)} NOT IN ('http', 'https')) OR len({segs}) = 0"
+            f" OR regexp_matches(regexp_replace({sql_path(u)}, '/+$', ''), '^/@[^/]+$')"
+            f" OR {subs} OR regexp_matches({path}, {q(ext)})"
+            f" OR len(list_intersect({segs}, {blocked})) > 0)")
+
+
+def sql_unescape(x: str) -> str:
+    for a, b in _T.ENTITIES:
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    return x
+
+
+def sql_body_text(h: str) -> str:
+    t = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in _T.DROP_BLOCKS:
+        t = f"regexp_replace({t}, {q(rf'(?is)<{tag}\b[^>]*>.*?</{tag}\s*>')}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(r'(?is)<head\b[^>]*>.*?</head\s*>')}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(_T.BREAK_PATTERN)}, chr(10), 'g')"
+    t = f"regexp_replace({t}, '<[^>]*>', ' ', 'g')"
+    t = sql_unescape(t)
+    return f"regexp_replace({t}, {q(_T.SPACE_RUN)}, ' ', 'g')"
+
+
+def sql_chunks(h: str) -> str:
+    return (f"list_filter(list_transform(string_split({sql_body_text(h)}, chr(10)), lambda s: trim(s)),"
+            f" lambda s: s <> '')")
+
+
+def sql_title(h: str) -> str:
+    raw = f"regexp_extract({h}, '(?is)<title[^>]*>(.*?)</title>', 1)"
+    t = f"trim(regexp_replace({sql_unescape(raw)}, {q(_T.SPACE_RUN)}, ' ', 'g'))"
+    return f"nullif({t}, '')"
+
+
+def sql_simhash_cte(name: str, src: str, id_col: str, text_col: str, deps: list[str]) -> None:
+    """CTE ``name(id, simhash)`` with the fingerprint rule of functions.simhash."""
+    sums = ", ".join(f"sum((u >> {i}) & 1) AS b{i}" for i in range(64))
+    terms = " + ".join(f"CASE WHEN 2 * b{i} > n THEN CAST({1 << i} AS HUGEINT) ELSE 0 END" for i in range(64))
+    cte(name, deps, f"""
+SELECT d.{id_col} AS id,
+       CAST(CASE WHEN s >= CAST('9223372036854775808' AS HUGEINT)
+                 THEN s - CAST('18446744073709551616' AS HUGEINT) ELSE s END AS BIGINT) AS simhash
+FROM {src} d LEFT JOIN (
+  SELECT id, {terms} AS s FROM (
+    SELECT id, count(*) AS n, {sums}
+    FROM (SELECT id, CAST('0x' || substr(md5(tok), 1, 16) AS UBIGINT) AS u
+          FROM (SELECT {id_col} AS id, unnest(regexp_extract_all(lower({text_col}), '[\\p{{L}}\\p{{N}}]+')) AS tok
+                FROM {src}) t0) t1
+    GROUP BY id) t2) f ON f.id = d.{id_col}""")
+
+
+def BAND(h: str, k: int) -> str:
+    return f"CAST(({h} >> {16 * k}) & 65535 AS INTEGER)"
+
+
+def UNSIGNED(h: str) -> str:
+    return (f"CAST(CASE WHEN {h} < 0 THEN CAST({h} AS HUGEINT) + CAST('18446744073709551616' AS HUGEINT)"
+            f" ELSE CAST({h} AS HUGEINT) END AS VARCHAR)")
+
+
+# ---- SimHash / dedup ---------------------------------------------------------
+sql_simhash_cte("doc_fp", "documents", "doc_id", "text", [])
+
+cte("doc_fp_full", ["content", "doc_fp"], """
+SELECT c.id, c.url, f.simhash FROM content c JOIN doc_fp f ON f.id = c.id""")
+
+cte("existing_c", ["doc_fp_full"], "SELECT * FROM doc_fp_full WHERE id % 2 = 0")
+cte("incoming_c", ["doc_fp_full"], "SELECT * FROM doc_fp_full WHERE id % 2 = 1")
+
+_BANDS_UNION = " UNION ALL ".join(
+    f"SELECT {{cols}}, {k} AS band_no, {BAND('simhash', k)} AS band FROM {{src}}" for k in range(4))
+
+
+def _banded(src: str, cols: str) -> str:
+    return _BANDS_UNION.format(cols=cols, src=src)
+
+
+cte("ex_bands", ["existing_c"], _banded("(SELECT DISTINCT simhash FROM existing_c)", "simhash"))
+cte("inc_bands", ["incoming_c"], _banded("incoming_c", "id, url, simhash"))
+
+cte("dup_urls", ["ex_bands", "inc_bands"], """
+SELECT DISTINCT i.id, i.url FROM inc_bands i JOIN ex_bands e
+  ON i.band_no = e.band_no AND i.band = e.band
+WHERE 1.0 - bit_count(xor(i.simhash, e.simhash)) / 64.0 > 0.6""")
+
+sql("doc_simhash", ["doc_fp"], "SELECT id AS doc_id, simhash FROM doc_fp")
+
+sql("simhash_bands", ["doc_fp"], f"""
+SELECT id AS doc_id, {UNSIGNED('simhash')} AS simhash_text,
+       {BAND('simhash', 0)} AS simhash_1, {BAND('simhash', 1)} AS simhash_2,
+       {BAND('simhash', 2)} AS simhash_3, {BAND('simhash', 3)} AS simhash_4
+FROM doc_fp""")
+
+sql("near_dup_urls", ["dup_urls"], "SELECT id, url FROM dup_urls")
+
+sql("dedup_content", ["incoming_c", "dup_urls"], """
+SELECT id, url FROM incoming_c WHERE url NOT IN (SELECT url FROM dup_urls)""")
+
+sql("near_dup_candidates", ["incoming_c", "existing_c"], f"""SELECT * FROM (
+WITH eb AS ({_banded('existing_c', 'simhash')}),
+     ib AS ({_banded('incoming_c', 'id, url, simhash')}),
+     cnt AS (SELECT band_no, band, count(*) AS n_band FROM eb GROUP BY band_no, band),
+     ex AS (SELECT simhash, count(*) AS n_exact FROM existing_c GROUP BY simhash)
+SELECT h.id, h.url, h.band_hits, CAST(coalesce(ex.n_exact, 0) AS BIGINT) AS exact_hits
+FROM (SELECT ib.id, ib.url, ib.simhash, CAST(sum(coalesce(cnt.n_band, 0)) AS BIGINT) AS band_hits
+      FROM ib LEFT JOIN cnt ON cnt.band_no = ib.band_no AND cnt.band = ib.band
+      GROUP BY ib.id, ib.url, ib.simhash) h
+LEFT JOIN ex ON ex.simhash = h.simhash) z""")
+
+sql("simhash_groups", ["existing_c"], """
+SELECT simhash, CAST(count(url) AS BIGINT) AS n_urls, min(url) AS first_url FROM existing_c GROUP BY simhash""")
+
+# ---- pages -------------------------------------------------------------------
+cte("pages_ok", [], f"""
+SELECT page_id, url, {sql_title('html')} AS title, {sql_chunks('html')} AS chunks
+FROM pages WHERE NOT {sql_is_ignored('url')}""")
+
+cte("pages_txt", ["pages_ok"], "SELECT page_id, url, title, chunks, array_to_string(chunks, chr(10)) AS text FROM pages_ok")
+sql_simhash_cte("page_fp", "pages_txt", "page_id", "text", ["pages_txt"])
+
+sql("crawl_pages", ["pages_ok"], f"SELECT page_id, url, title, {J('chunks')} AS chunks FROM pages_ok")
+
+sql("page_chunks", [], f"""
+SELECT page_id, {sql_title('html')} AS title, CAST(len({sql_chunks('html')}) AS BIGINT) AS n_chunks,
+       {J(sql_chunks('html'))} AS chunks FROM pages""")
+
+sql("content_ingest", ["pages_txt", "page_fp", "doc_fp_full"], f"""SELECT * FROM (
+WITH inc AS (SELECT p.page_id AS id, p.url, p.title, p.chunks, f.simhash FROM pages_txt p JOIN page_fp f ON f.id = p.page_id),
+     eb AS ({_banded('(SELECT DISTINCT simhash FROM doc_fp_full)', 'simhash')}),
+     ib AS ({_banded('inc', 'id, url, simhash')}),
+     dup AS (SELECT DISTINCT ib.url FROM ib JOIN eb ON ib.band_no = eb.band_no AND ib.band = eb.band
+             WHERE 1.0 - bit_count(xor(ib.simhash, eb.simhash)) / 64.0 > 0.6)
+SELECT url, string_split(url, '/')[3] AS hostname, title, simhash, {UNSIGNED('simhash')} AS simhash_text,
+       {J('chunks')} AS chunks, 1 AS pipeline_state,
+       {BAND('simhash', 0)} AS simhash_1, {BAND('simhash', 1)} AS simhash_2,
+       {BAND('simhash', 2)} AS simhash_3, {BAND('simhash', 3)} AS simhash_4
+FROM inc WHERE url NOT IN (SELECT url FROM dup)) z""")
+
+
+# ---- more SQL builders --------------------------------------------------------
+from .. import schemas as _SC  # noqa: E402
+from ..functions import urls as _U  # noqa: E402
+
+PY = _T.PY_SPACE
+
+
+def sql_hostname(u: str) -> str:
+    hi = f"regexp_replace({sql_netloc(u)}, '^.*@', '')"
+    h = (f"lower(CASE WHEN starts_with({hi}, '[') THEN regexp_extract({hi}, {q(r'^\[([^\]]*)\]')}, 1)"
+         f" ELSE regexp_replace({hi}, ':.*$', '') END)")
+    return f"nullif({h}, '')"
+
+
+def sql_dec(x: str) -> str:
+    return f"url_decode(replace({x}, '+', ' '))"
+
+
+def sql_enc(x: str) -> str:
+    return f"replace(url_encode({x}), '%20', '+')"
+
+
+def sql_canonical_query(qry: str) -> str:
+    tracking = ", ".join(q(t) for t in _K.TRACKING_PARAMS)
+    kept = f"list_filter(string_split({qry}, '&'), lambda p: instr(p, '=') > 0 AND length(p) > instr(p, '='))"
+    dec = (f"list_transform({kept}, lambda p: struct_pack(k := {sql_dec('split_part(p, ' + q('=') + ', 1)')},"
+           f" v := {sql_dec('substr(p, instr(p, ' + q('=') + ') + 1)')}))")
+    useful = f"list_filter({dec}, lambda kv: lower(kv.k) NOT IN ({tracking}))"
+    enc = f"list_transform({useful}, lambda kv: {sql_enc('kv.k')} || '=' || {sql_enc('kv.v')})"
+    return f"array_to_string({enc}, '&')"
+
+
+def sql_canonical_from(src: str, url_col: str) -> str:
+    """Subquery over ``src`` adding ``canonical`` for ``url_col``."""
+    schemes = ", ".join(q(x) for x in _U._NETLOC_SCHEMES)
+    return f"""(SELECT *, _prefix || _auth || _path2 || CASE WHEN _q <> '' THEN '?' || _q ELSE '' END AS canonical
+FROM (SELECT *, CASE WHEN _netloc <> '' OR (_scheme IN ({schemes}) AND starts_with(_path2, '/'))
+                     THEN '//' || _netloc ELSE '' END AS _auth,
+             CASE WHEN _scheme <> '' THEN _scheme || ':' ELSE '' END AS _prefix
+      FROM (SELECT *, CASE WHEN _netloc <> '' AND NOT starts_with(_path1, '/') THEN '/' || _path1 ELSE _path1 END AS _path2
+            FROM (SELECT *, CASE WHEN _p0 = '' THEN '/' ELSE _p0 END AS _path1
+                  FROM (SELECT *, {sql_scheme(url_col)} AS _scheme, {sql_netloc(url_col)} AS _netloc,
+                               regexp_replace({sql_path(url_col)}, '/+$', '') AS _p0,
+                               {sql_canonical_query(sql_query(url_col))} AS _q
+                        FROM {src}) c0) c1) c2) c3) c4"""
+
+
+def sql_resolve(base: str, href: str) -> str:
+    origin = f"regexp_extract({base}, {q(URL_RE)}, 2) || '://' || {sql_netloc(base)}"
+    bpath = sql_path(base)
+    bdir = f"regexp_replace({bpath}, '[^/]*$', '')"
+    bdir = f"CASE WHEN {bdir} = '' THEN '/' ELSE {bdir} END"
+    nofrag = f"regexp_replace({base}, '#.*$', '')"
+    return (f"CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {href}"
+            f" WHEN starts_with({href}, '//') THEN regexp_extract({base}, {q(URL_RE)}, 2) || ':' || {href}"
+            f" WHEN starts_with({href}, '/') THEN {origin} || {href}"
+            f" WHEN {href} = '' THEN {nofrag}"
+            f" WHEN starts_with({href}, '#') THEN {nofrag} || {href}"
+            f" WHEN starts_with({href}, '?') THEN {origin} || {bpath} || {href}"
+            f" ELSE {origin} || {bdir} || {href} END")
+
+
+def sql_same_site(h: str, b: str) -> str:
+    return f"({h} = {b} OR {h} = 'www.' || {b} OR {b} = 'www.' || {h})"
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, {q('^' + PY + '+|' + PY + '+$')}, '', 'g')"
+
+
+def sql_key(x: str) -> str:
+    return f"lower({sql_strip(x)})"
+
+
+def sql_normalize(lst: str) -> str:
+    ks = f"list_filter(list_transform({lst}, lambda t: {sql_key('t')}), lambda t: t <> '')"
+    return f"list_filter({ks}, lambda x, i: list_position({ks}, x) = i)"
+
+
+def sql_ignored_tag(t: str) -> str:
+    tags = ", ".join(q(x) for x in _K.IGNORE_TAGS)
+    k = sql_key(t)
+    return f"({k} = '' OR length({k}) > {_K.MAX_TAG_LEN} OR {k} IN ({tags}))"
+
+
+def sql_filter_tags(lst: str) -> str:
+    keys = f"list_transform({lst}, lambda t: {sql_key('t')})"
+    return (f"list_filter({lst}, lambda t, i: NOT {sql_ignored_tag('t')}"
+            f" AND NOT list_contains(list_slice({keys}, 1, i - 1), {sql_key('t')}))")
+
+
+def sql_thin_reason(text: str) -> str:
+    st = sql_strip(text)
+    lines = f"list_filter(regexp_split_to_array({st}, {q(_T.LINE_BREAKS)}), lambda s: {sql_strip('s')} <> '')"
+    n_lines = f"CASE WHEN {st} = '' THEN 0 ELSE len({lines}) END"
+    n_chars = f"length({st})"
+    msg = ("printf('content too thin to analyse: %d non-empty line(s), %d char(s) "
+           f"(need >= {_K.MIN_CONTENT_LINES} lines and >= {_K.MIN_CONTENT_CHARS} chars)', {n_lines}, {n_chars})")
+    return f"CASE WHEN {n_chars} < {_K.MIN_CONTENT_CHARS} OR {n_lines} < {_K.MIN_CONTENT_LINES} THEN {msg} END"
+
+
+def sql_prompt(text: str, title: str, url: str) -> str:
+    body0 = sql_strip(text)
+    cut = f"regexp_replace(substr({body0}, 1, {_K.MAX_INPUT_CHARS}), {q(PY + '+$')}, '')"
+    body = f"CASE WHEN length({body0}) > {_K.MAX_INPUT_CHARS} THEN {cut} || {q(_K.TRUNCATION_MARK)} ELSE {body0} END"
+    ht = f"CASE WHEN {title} IS NOT NULL AND {title} <> '' THEN 'Title: ' || {sql_strip(title)} END"
+    hu = f"CASE WHEN {url} IS NOT NULL AND {url} <> '' THEN 'URL: ' || {sql_strip(url)} END"
+    return f"concat_ws(chr(10), {ht}, {hu}, 'Content:' || chr(10) || {body})"
+
+
+JOIN2 = "chr(10) || chr(10)"
+
+# ---- URLs and links ---------------------------------------------------------
+sql("url_parts", ["url_t"], f"""
+SELECT p.page_id, {sql_scheme('p.url')} AS scheme, {sql_netloc('p.url')} AS netloc, {sql_path('p.url')} AS path,
+       {sql_query('p.url')} AS query, regexp_extract(p.url, {q(URL_RE)}, 9) AS fragment, u.hostname
+FROM pages p JOIN url_t u ON u.id = p.page_id""")
+
+sql("canonicalize_url", [], f"SELECT page_id, url, canonical FROM {sql_canonical_from('pages', 'url')}")
+
+sql("is_ignored_url", [], f"SELECT page_id, url, {sql_is_ignored('url')} AS ignored FROM pages")
+
+HREF = _U.HREF_PATTERN
+
+cte("hrefs_t", ["url_t"], f"""
+SELECT page_id, base, host, href, pos FROM (
+  SELECT page_id, base, host, unnest(l) AS href, unnest(range(len(l))) AS pos
+  FROM (SELECT p.page_id, p.url AS base, u.hostname AS host, regexp_extract_all(p.html, {q(HREF)}, 1) AS l
+        FROM pages p JOIN url_t u ON u.id = p.page_id) h0) h1
+WHERE href <> ''""")
+
+cte("links_t", ["hrefs_t"], f"""
+SELECT page_id, base, host, pos, href, regexp_replace({sql_resolve('base', 'href')}, '#.*$', '') AS link FROM hrefs_t""")
+
+cte("extracted", ["links_t"], f"""
+SELECT page_id, link, min(pos) AS first_pos FROM links_t
+WHERE {sql_scheme('link')} IN ('http', 'https') AND {sql_hostname('link')} IS NOT NULL
+  AND {sql_same_site(sql_hostname('link'), 'host')}
+  AND regexp_replace(link, '/+$', '') <> regexp_replace(base, '/+$', '')
+GROUP BY page_id, link""")
+
+sql("extract_links", ["extracted"], "SELECT page_id, link, first_pos FROM extracted")
+
+sql("filter_links", ["extracted"], f"""
+SELECT page_id, canonical, min(first_pos) AS first_pos
+FROM {sql_canonical_from("(SELECT e.*, " + sql_netloc('p.url') + " AS base_host FROM extracted e JOIN pages p ON p.page_id = e.page_id)", 'link')}
+WHERE {sql_netloc('canonical')} = base_host AND NOT {sql_is_ignored('canonical')}
+GROUP BY page_id, canonical""")
+
+sql("crawl_scope", ["hrefs_t"], f"""
+SELECT page_id, pos, absolute,
+       (starts_with(absolute, base) AND NOT (lower(absolute) = lower(base) OR starts_with(lower(absolute), lower(base) || '#'))
+        AND NOT regexp_matches(absolute, {q(_K.CRAWL_EXCLUDE_PATTERN)})) AS in_scope
+FROM (SELECT page_id, pos, base, {sql_resolve('base', 'href')} AS absolute FROM hrefs_t) s""")
+
+cte("due_src", ["url_t"], f"SELECT * FROM url_t WHERE kind = 'source' AND next_crawl_at <= {AS_OF}")
+
+cte("src_links", ["due_src"], f"""
+SELECT page_id, link, source, source_seq FROM (
+  SELECT page_id, base, host, source, source_seq,
+         regexp_replace({sql_resolve('base', 'href')}, '#.*$', '') AS link
+  FROM (SELECT page_id, base, host, source, source_seq, unnest(l) AS href
+        FROM (SELECT d.id AS page_id, d.url AS base, d.hostname AS host, d.url AS source, d.sequence AS source_seq,
+                     regexp_extract_all(p.html, {q(HREF)}, 1) AS l
+              FROM due_src d JOIN pages p ON p.page_id = d.id) s0) s1
+  WHERE href <> '') s2
+WHERE {sql_scheme('link')} IN ('http', 'https') AND {sql_hostname('link')} IS NOT NULL
+  AND {sql_same_site(sql_hostname('link'), 'host')}
+  AND regexp_replace(link, '/+$', '') <> regexp_replace(base, '/+$', '')""")
+
+cte("new_url_rows", ["src_links", "url_t"], f"""
+SELECT url, {sql_hostname('url')} AS hostname, 1 AS crawl_state, 'url' AS kind, source, {AS_OF} AS next_crawl_at
+FROM (SELECT link AS url, arg_min(source, source_seq) AS source FROM src_links GROUP BY link) g
+WHERE url NOT IN (SELECT url FROM url_t) AND {sql_hostname('url')} IS NOT NULL""")
+
+sql("create_source_urls", ["new_url_rows"], f"""
+SELECT url, hostname, crawl_state, kind, source, {S('next_crawl_at')} AS next_crawl_at FROM new_url_rows""")
+
+sql("apply_defaults", ["new_url_rows"], f"""
+SELECT url, hostname, crawl_state, CAST(0 AS BIGINT) AS retry_count, 0.0::DOUBLE AS priority_score,
+       CAST(0 AS BIGINT) AS depth, kind, source, {S('next_crawl_at')} AS next_crawl_at,
+       CAST(NULL AS VARCHAR) AS last_crawl_at, CAST(NULL AS VARCHAR) AS crawl_run_id
+FROM new_url_rows""")
+
+sql("discover_sources", ["url_t", "due_src"], f"""
+SELECT u.id,
+       CASE WHEN d.id IS NOT NULL THEN 3 ELSE u.crawl_state END AS crawl_state,
+       {S(f"CASE WHEN d.id IS NOT NULL THEN {AS_OF} + to_seconds({_K.SOURCE_REFRESH_SECONDS}) ELSE u.next_crawl_at END")} AS next_crawl_at,
+       d.id IS NOT NULL AS applied
+FROM url_t u LEFT JOIN due_src d ON d.id = u.id""")
+
+sql("bump_sources", ["url_t", "due_src"], f"""
+SELECT u.id,
+       {S(f"CASE WHEN d.id IS NOT NULL THEN {AS_OF} + to_seconds({_K.SOURCE_REFRESH_SECONDS}) ELSE u.next_crawl_at END")} AS next_crawl_at,
+       d.id IS NOT NULL AS applied
+FROM url_t u LEFT JOIN due_src d ON d.id = u.id""")
+
+# ---- frontier ----------------------------------------------------------------
+cte("front", ["url_t"], f"""
+SELECT * FROM (SELECT *, 0 AS branch FROM url_t WHERE kind = 'source' AND next_crawl_at <= {AS_OF}
+               ORDER BY sequence LIMIT {_K.QUEUE_INIT_LIMIT}) fs
+UNION ALL
+SELECT * FROM (SELECT *, 1 AS branch FROM url_t WHERE kind <> 'source' AND next_crawl_at <= {AS_OF}
+               AND crawl_state IN (1, 4, 2) ORDER BY sequence LIMIT {_K.QUEUE_INIT_LIMIT}) fo""")
+
+cte("sched", ["front", "host_t"], f"""
+SELECT id, name, coalesce(next_allowed_at, {AS_OF}) AS next_allowed_at FROM host_t
+WHERE name IN (SELECT hostname FROM front) AND coalesce(next_allowed_at, {AS_OF}) <= {AS_OF}""")
+
+cte("heads", ["front", "sched"], """
+SELECT f.hostname, f.id, f.url, f.kind, s.next_allowed_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY hostname ORDER BY branch, sequence) AS rn FROM front) f
+JOIN sched s ON s.name = f.hostname WHERE f.rn = 1""")
+
+cte("claimed", ["url_t", "heads"], f"""
+SELECT u.*, (h.id IS NOT NULL AND u.next_crawl_at <= {AS_OF} AND (u.kind = 'source' OR u.crawl_state IN (1, 4, 2))) AS applied
+FROM url_t u LEFT JOIN heads h ON h.id = u.id""")
+
+cte("claimed2", ["claimed"], f"""
+SELECT * REPLACE (CASE WHEN applied THEN 2 ELSE crawl_state END AS crawl_state,
+                  CASE WHEN applied THEN {AS_OF} + to_seconds({_K.CLAIM_LEASE_SECONDS}) ELSE next_crawl_at END AS next_crawl_at)
+FROM claimed""")
+
+cte("outcomes", ["claimed2"], f"""
+SELECT id, hostname, NOT {sql_is_ignored('url')} AS success FROM claimed2 WHERE applied""")
+
+sql("front_queue", ["front"], "SELECT id, url, hostname, kind, crawl_state, branch, sequence FROM front")
+
+sql("back_queue", ["front"], """
+SELECT hostname, row_number() OVER (PARTITION BY hostname ORDER BY branch, sequence) AS pos, id, url FROM front""")
+
+sql("scheduler_queue", ["sched"], f"SELECT id, name, {S('next_allowed_at')} AS next_allowed_at FROM sched")
+
+sql("due_host_heads", ["heads"], f"SELECT hostname, id, url, kind, {S('next_allowed_at')} AS next_allowed_at FROM heads")
+
+sql("queue_sizes", ["front"], """
+SELECT count(*) AS n_items, count(DISTINCT hostname) AS n_hosts,
+       CAST(sum(CASE WHEN kind = 'source' THEN 1 ELSE 0 END) AS BIGINT) AS n_sources,
+       CAST(sum(CASE WHEN kind <> 'source' THEN 1 ELSE 0 END) AS BIGINT) AS n_pages FROM front""")
+
+sql("lease_hostnames", ["host_t", "sched"], f"""
+SELECT h.id, {S(f"CASE WHEN s.id IS NOT NULL AND coalesce(h.next_allowed_at, {AS_OF}) <= {AS_OF} THEN {AS_OF} + to_seconds({_K.HOSTNAME_LEASE_SECONDS}) ELSE h.next_allowed_at END")} AS next_allowed_at,
+       (s.id IS NOT NULL AND coalesce(h.next_allowed_at, {AS_OF}) <= {AS_OF}) AS applied
+FROM host_t h LEFT JOIN sched s ON s.id = h.id""")
+
+sql("claim_urls", ["claimed2"], f"SELECT id, crawl_state, {S('next_crawl_at')} AS next_crawl_at, applied FROM claimed2")
+
+sql("apply_crawl_outcomes", ["claimed2", "outcomes"], f"""
+SELECT c.id,
+       CASE WHEN o.id IS NULL THEN c.crawl_state WHEN o.success THEN 3 ELSE 4 END AS crawl_state,
+       {S(f"CASE WHEN o.id IS NOT NULL AND NOT o.success THEN {AS_OF} ELSE c.next_crawl_at END")} AS next_crawl_at,
+       o.id IS NOT NULL AS applied
+FROM claimed2 c LEFT JOIN outcomes o ON o.id = c.id""")
+
+sql("hostname_stats", ["host_t", "outcomes"], f"""
+SELECT h.name, h.crawl_count + coalesce(o.ok, 0) AS crawl_count, h.success_count + coalesce(o.ok, 0) AS success_count,
+       h.failure_count + coalesce(o.err, 0) AS failure_count,
+       {S(f"CASE WHEN o.hostname IS NOT NULL THEN {AS_OF} ELSE h.last_crawled_at END")} AS last_crawled_at,
+       {S(f"CASE WHEN o.hostname IS NOT NULL THEN coalesce(h.next_allowed_at, {AS_OF}) + to_seconds({_K.HOST_COOLDOWN_SECONDS} * (o.ok + o.err)) ELSE h.next_allowed_at END")} AS next_allowed_at,
+       o.hostname IS NOT NULL AS applied
+FROM host_t h LEFT JOIN (SELECT hostname, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS ok,
+                                CAST(sum(CASE WHEN success THEN 0 ELSE 1 END) AS BIGINT) AS err
+                         FROM outcomes GROUP BY hostname) o ON o.hostname = h.name""")
+
+sql("retry_source", ["url_t", "host_t"], f"""
+WITH_REQ
+SELECT u.id, CASE WHEN r THEN 1 ELSE u.crawl_state END AS crawl_state,
+       {S(f"CASE WHEN r THEN {AS_OF} ELSE u.next_crawl_at END")} AS next_crawl_at, r AS applied,
+       {S(f"CASE WHEN h.hit THEN {AS_OF} ELSE h.next_allowed_at END")} AS host_next_allowed_at
+FROM (SELECT *, crawl_state IN (4, 5) AS r FROM url_t) u
+LEFT JOIN (SELECT name, next_allowed_at, name IN (SELECT hostname FROM url_t WHERE crawl_state IN (4, 5)) AS hit
+           FROM host_t) h ON h.name = u.hostname""".replace("WITH_REQ\n", ""))
+
+sql("patch_source", ["url_t"], f"""
+SELECT id,
+       CASE WHEN sp THEN 1.0::DOUBLE ELSE priority_score END AS priority_score,
+       CASE WHEN ss THEN 1 ELSE crawl_state END AS crawl_state,
+       {S(f"CASE WHEN ss THEN {AS_OF} ELSE next_crawl_at END")} AS next_crawl_at,
+       (sp OR ss) AS applied
+FROM (SELECT *, kind = 'source' AS sp, (kind <> 'source' AND crawl_state = 6) AS ss FROM url_t) u""")
+
+# ---- content pipeline -----------------------------------------------------------
+cte("cqueue", ["content"], f"""
+SELECT * FROM content WHERE pipeline_state = 1 ORDER BY scraped_at, id LIMIT {_K.QUEUE_INIT_LIMIT}""")
+
+sql("content_queue", ["cqueue"], f"SELECT id, url, {S('scraped_at')} AS scraped_at FROM cqueue")
+
+sql("claim_content", ["content", "cqueue"], """
+SELECT c.id, CASE WHEN q.id IS NOT NULL AND c.pipeline_state = 1 THEN 3 ELSE c.pipeline_state END AS pipeline_state,
+       (q.id IS NOT NULL AND c.pipeline_state = 1) AS applied
+FROM content c LEFT JOIN cqueue q ON q.id = c.id""")
+
+sql("thin_content", ["content"], f"SELECT id, {sql_thin_reason(f'array_to_string(chunks, {JOIN2})')} AS reason FROM content")
+
+sql("build_enrich_input", ["content"], f"""
+SELECT id, {sql_prompt(f'array_to_string(chunks, {JOIN2})', 'title', 'url')} AS prompt FROM content""")
+
+cte("raw_tags", ["content"], """
+SELECT id, list_concat(string_split(split_part(text, chr(10), 1), ' '), list_transform(tags, lambda t: upper(t))) AS raw
+FROM content""")
+
+sql("normalize_tags", ["raw_tags"], f"SELECT id, {J(sql_normalize('raw'))} AS tags FROM raw_tags")
+sql("filter_tags", ["raw_tags"], f"SELECT id, {J(sql_filter_tags('raw'))} AS tags FROM raw_tags")
+sql("finalize_tags", ["raw_tags"], f"""
+SELECT id, {J(f"list_slice({sql_filter_tags('n')}, 1, {_K.MAX_TAGS})")} AS tags
+FROM (SELECT id, {sql_normalize('raw')} AS n FROM raw_tags) z""")
+sql("is_ignored_tag", ["raw_tags"], f"""
+SELECT tag, {sql_ignored_tag('tag')} AS ignored FROM (SELECT DISTINCT unnest(raw) AS tag FROM raw_tags) z""")
+
+VOCAB = sql_normalize("string_split(replace(text, chr(10), ','), ',')")
+sql("parse_vocabulary", [], f"SELECT item_id, {J(VOCAB)} AS vocabulary FROM benchmark")
+sql("tag_field_names", [], f"""
+SELECT item_id, idx, tag,
+       CASE WHEN slug = '' THEN 'tag_' || CAST(idx AS VARCHAR) ELSE 'tag_' || CAST(idx AS VARCHAR) || '_' || slug END AS field
+FROM (SELECT *, regexp_replace(regexp_replace(lower(tag), '[^0-9a-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
+      FROM (SELECT item_id, unnest(v) AS tag, unnest(range(len(v))) AS idx
+            FROM (SELECT item_id, {VOCAB} AS v FROM benchmark) a) b) c""")
+
+cte("gcases", ["content"], f"""
+SELECT id, CAST([] AS VARCHAR[]) AS allowed_tags,
+       CASE WHEN err IS NULL THEN title ELSE '' END AS summary,
+       CASE WHEN err IS NULL THEN tags ELSE CAST([] AS VARCHAR[]) END AS tags,
+       err AS error,
+       CASE WHEN quality = 0 THEN 'ThinContentError' END AS expect_error,
+       [hostname] AS expected_tags,
+       CASE WHEN toxic = 1 THEN ['t0'] ELSE CAST([] AS VARCHAR[]) END AS forbidden_tags,
+       [lower(split_part(title, ' ', 1))] AS keywords,
+       8 AS min_summary_words,
+       toxic = 1 AS expect_empty_tags
+FROM (SELECT c.*, l.quality, l.toxic,
+             CASE WHEN {sql_thin_reason(f'array_to_string(c.chunks, {JOIN2})')} IS NOT NULL THEN 'ThinContentError' END AS err
+      FROM content c JOIN labels l ON l.doc_id = c.id) z""")
+
+_WORDS = f"len(list_filter(regexp_split_to_array(coalesce(summary, ''), {q(PY + '+')}), lambda w: w <> ''))"
+cte("graded", ["gcases"], f"""
+SELECT id,
+  error IS NOT DISTINCT FROM expect_error AS error_expectation,
+  (coalesce(expect_error, '') <> '' OR {_WORDS} >= min_summary_words) AS summary_has_substance,
+  (len({sql_normalize('allowed_tags')}) = 0 OR len(list_filter(tags, lambda t: NOT list_contains({sql_normalize('allowed_tags')}, t))) = 0) AS tags_subset_of_allowed,
+  (tags = {sql_normalize('tags')}) AS tags_well_formed,
+  (len({sql_normalize('expected_tags')}) = 0 OR len(list_filter(tags, lambda t: list_contains({sql_normalize('expected_tags')}, t))) > 0) AS expected_tag_present,
+  (len({sql_normalize('forbidden_tags')}) = 0 OR len(list_filter(tags, lambda t: list_contains({sql_normalize('forbidden_tags')}, t))) = 0) AS forbidden_tag_absent,
+  (len(keywords) = 0 OR len(list_filter(keywords, lambda k: contains(lower(coalesce(summary, '')), lower(k)))) > 0) AS summary_mentions_keyword,
+  (NOT coalesce(expect_empty_tags, false) OR len(tags) = 0) AS tags_empty_when_nothing_applies
+FROM gcases""")
+
+sql("grade_enrichment", ["graded"], "SELECT * FROM graded")
+
+_PASSED = " + ".join(f"CAST({g} AS INTEGER)" for g in [
+    "error_expectation", "summary_has_substance", "tags_subset_of_allowed", "tags_well_formed",
+    "expected_tag_present", "forbidden_tag_absent", "summary_mentions_keyword", "tags_empty_when_nothing_applies"])
+sql("enrichment_pass_rate", ["graded"], f"""
+SELECT count(*) AS n_cases, count(*) * 8 AS n_assertions, CAST(sum({_PASSED}) AS BIGINT) AS n_passed,
+       {R(f"sum({_PASSED}) / (count(*) * 8.0)")} AS pass_rate FROM graded""")
+
+# ---- table API -------------------------------------------------------------------
+_SRC_COLS = f"id, url, hostname, crawl_state, retry_count, priority_score, {S('next_crawl_at')} AS next_crawl_at, {S('last_crawl_at')} AS last_crawl_at"
+_HOST_COLS = f"id, name, crawl_count, crawl_delay_seconds, {S('last_crawled_at')} AS last_crawled_at, {S('next_allowed_at')} AS next_allowed_at, failure_count, success_count"
+_CONTENT_COLS = (f"id, url, hostname, title, summary, {J('tags')} AS tags, {R('score')} AS score, pipeline_state, pipeline_error,"
+                 f" {S('scraped_at')} AS scraped_at, {S('last_shown_at')} AS last_shown_at, {S('last_seen_at')} AS last_seen_at")
+
+sql("list_sources", ["url_t"], f"""
+SELECT {_SRC_COLS}, {S('created_at')} AS created_at FROM url_t WHERE kind = 'source'
+ORDER BY created_at DESC, id DESC LIMIT {_K.LIST_LIMIT}""")
+
+sql("list_hostnames", ["host_t"], f"""
+SELECT {_HOST_COLS}, {S('created_at')} AS created_at FROM host_t ORDER BY created_at DESC, id DESC LIMIT {_K.LIST_LIMIT}""")
+
+sql("list_content", ["content"], f"""
+SELECT {_CONTENT_COLS}, {S('created_at')} AS created_at FROM content WHERE list_contains(tags, 'src3')
+ORDER BY created_at DESC, id DESC LIMIT {_K.LIST_LIMIT}""")
+
+cte("ordered_content", ["content"], "SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS _rn FROM content")
+
+sql("list_content_after", ["ordered_content"], f"""
+SELECT {_CONTENT_COLS}, {S('created_at')} AS created_at FROM ordered_content
+WHERE _rn > {_K.LIST_LIMIT} ORDER BY created_at DESC, id DESC LIMIT {_K.LIST_LIMIT}""")
+
+sql("list_content_before", ["ordered_content"], f"""
+SELECT {_CONTENT_COLS}, {S('created_at')} AS created_at FROM ordered_content
+WHERE _rn < {2 * _K.LIST_LIMIT} ORDER BY created_at ASC, id ASC LIMIT {_K.LIST_LIMIT}""")
+
+sql("lookup_by_id", ["content", "interaction"], f"""
+SELECT {_CONTENT_COLS} FROM content WHERE id IN (SELECT content_id FROM interaction)""")
+
+_STATE_LABEL = "CASE " + " ".join(f"WHEN crawl_state = {c} THEN {q(n)}" for c, n in _K.CRAWL_STATES.items()) + \
+    " ELSE CAST(crawl_state AS VARCHAR) END"
+sql("source_state_view", ["url_t"], f"""
+SELECT id, url, coalesce(hostname, '') AS hostname, {_STATE_LABEL} AS state, coalesce(retry_count, 0) AS retries
+FROM url_t WHERE kind = 'source' ORDER BY created_at DESC, id DESC LIMIT 100""")
+
+sql("create_source", ["url_t", "host_t"], f"""
+SELECT url, hostname, CASE WHEN reason IS NULL THEN 'accepted' ELSE reason END AS status FROM (
+  SELECT url, {sql_hostname('url')} AS hostname,
+         CASE WHEN {sql_hostname('url')} IS NULL THEN 'Invalid URL: could not extract hostname'
+              WHEN url IN (SELECT url FROM url_t) THEN 'URL already exists' END AS reason
+  FROM (SELECT 'https://' || name || '/' AS url FROM host_t
+        UNION ALL SELECT url FROM url_t WHERE kind = 'source') r) z""")
+
+_URL_COLS = [f for f in _SC.URL.fields if f.name in (
+    "url", "hostname", "crawl_state", "retry_count", "priority_score", "depth", "kind", "source",
+    "next_crawl_at", "last_crawl_at", "crawl_run_id")]
+
+
+def _validate_part(f) -> str:
+    req = bool(f.metadata.get("required"))
+    enum = f.metadata.get("enum")
+    nulls = f"CAST(sum(CASE WHEN {f.name} IS NULL THEN 1 ELSE 0 END) AS BIGINT)" if req else "CAST(count(*) * 0 AS BIGINT)"
+    if enum:
+        vals = ", ".join(q(str(e)) for e in enum)
+        bad = f"CAST(sum(CASE WHEN {f.name} IS NOT NULL AND CAST({f.name} AS VARCHAR) NOT IN ({vals}) THEN 1 ELSE 0 END) AS BIGINT)"
+    else:
+        bad = "CAST(count(*) * 0 AS BIGINT)"
+    return (f"SELECT {q(f.name)} AS \"column\", {str(req).lower()} AS required, {str(bool(enum)).lower()} AS has_enum,"
+            f" {nulls} AS null_violations, {bad} AS enum_violations FROM url_t")
+
+
+sql("validate_table", ["url_t"], " UNION ALL ".join(_validate_part(f) for f in _URL_COLS))
+
+sql("unique_violations", ["url_t"], "SELECT hostname, count(*) AS n FROM url_t GROUP BY hostname HAVING count(*) > 1")
+
+# ---- appends and upserts -------------------------------------------------------------
+sql("interaction_append", ["content"], f"""
+SELECT event_id, content_id, tag, type, {WEIGHT_CASE} AS weight FROM (
+  SELECT event_id, content_id, type, unnest(list_distinct(tags)) AS tag FROM (
+    SELECT e.event_id, c.id AS content_id, list_concat(c.tags, list_slice(c.tags, 1, 1)) AS tags,
+           CASE WHEN e.event_type = 'view' THEN 'impression'
+                WHEN e.event_type = 'click' THEN CASE WHEN e.value < 50 THEN 'open' ELSE 'read' END
+                WHEN e.event_type = 'purchase' THEN 'like'
+                WHEN e.event_type = 'signup' THEN CASE WHEN e.value < 50 THEN 'bookmark' ELSE 'share' END
+                WHEN e.event_type = 'error' THEN CASE WHEN e.k < 5 THEN 'hide' ELSE 'impression' END END AS type
+    FROM (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e
+    JOIN content c ON c.id = e.k) r
+  WHERE len(tags) > 0) x""")
+
+
+def _profile_sql(where: str) -> str:
+    return f"""SELECT tag,
+       recent_weight / (SELECT CASE WHEN max(recent_weight) > 0 THEN max(recent_weight) ELSE 1.0 END FROM pr) AS recent_weight,
+       long_weight / (SELECT CASE WHEN max(long_weight) > 0 THEN max(long_weight) ELSE 1.0 END FROM pr) AS long_weight
+FROM pr""".replace("pr", f"(SELECT tag, sum(weight * pow(0.5, age / 2.0)) AS recent_weight, sum(weight * pow(0.5, age / 14.0)) AS long_weight FROM aged WHERE {where} GROUP BY tag)")
+
+
+cte("prof_old", ["aged"], _profile_sql("created_at < TIMESTAMP '2024-01-15 00:00:00'"))
+cte("prof_new", ["aged"], _profile_sql("created_at >= TIMESTAMP '2024-01-15 00:00:00'"))
+
+sql("tag_score_upsert", ["prof_old", "prof_new"], f"""
+SELECT tag, {R('recent_weight')} AS recent_weight, {R('long_weight')} AS long_weight FROM prof_new
+UNION ALL
+SELECT tag, {R('recent_weight')} AS recent_weight, {R('long_weight')} AS long_weight FROM prof_old
+WHERE tag NOT IN (SELECT tag FROM prof_new)""")
