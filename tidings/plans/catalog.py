@@ -636,3 +636,55 @@ def q_tag_score_upsert(spark, sf):
     old = prof.tag_profile(inter.where(F.col("created_at") < cut))
     new = prof.tag_profile(inter.where(F.col("created_at") >= cut))
     return report(prof.tag_score_upsert(old, new))
+
+
+# ---------------------------------------------------------------- streaming and sinks
+
+from ..session import scratch_path  # noqa: E402
+from ..streaming import jobs as ST  # noqa: E402
+from ..sources.sinks import publish_feed  # noqa: E402
+from .feed import build_feed  # noqa: E402
+
+
+@query("stream_interactions", rows_only=True)
+def q_stream_interactions(spark, sf):
+    out, ck = scratch_path(spark, "interactions"), scratch_path(spark, "ck-interactions")
+    q = ST.stream_interactions(spark, f"{sf}/events.parquet", td.content(spark, sf), out, ck)
+    q.awaitTermination()
+    return report(spark.read.parquet(out).select("event_id", "content_id", "tag", "type", "weight", "created_at"))
+
+
+@query("stream_tag_profile", rows_only=True)
+def q_stream_tag_profile(spark, sf):
+    out, ck = scratch_path(spark, "profile"), scratch_path(spark, "ck-profile")
+    q = ST.stream_tag_profile(spark, f"{sf}/events.parquet", td.content(spark, sf), out, ck)
+    q.awaitTermination()
+    return report(ST.latest_version(spark, out))
+
+
+@query("stream_content_ingest", rows_only=True)
+def q_stream_content_ingest(spark, sf):
+    fp = ST.write_existing_fingerprints(td.content(spark, sf), scratch_path(spark, "existing-fp"))
+    out, ck = scratch_path(spark, "ingest"), scratch_path(spark, "ck-ingest")
+    q = ST.stream_content_ingest(spark, f"{sf}/pages.parquet", fp, out, ck)
+    q.awaitTermination()
+    return report(spark.read.parquet(out).drop("tags", "scraped_at", "chunks"))
+
+
+@query("publish_feed", rows_only=True)
+def q_publish_feed(spark, sf):
+    feed = selection.select_feed(_scored(spark, sf), K.FEED_LIMIT)
+    out = scratch_path(spark, "feeds")
+    ok, err = publish_feed(selection.serialize_feed(feed), out)
+    if not ok:
+        raise err
+    return spark.read.json(out).select("date", "generated_at", "count")
+
+
+@query("build_feed", rows_only=True)
+def q_build_feed(spark, sf):
+    content = td.content(spark, sf)
+    feed, snapshot = build_feed(content, _interactions(spark, sf), scratch_path(spark, "feeds"))
+    if snapshot is None:
+        return content.limit(0).select("id", "last_shown_at")
+    return report(snapshot.join(feed.select("id", "rank"), "id").select("id", "rank", "last_shown_at"))
