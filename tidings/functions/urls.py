@@ -182,7 +182,7 @@ def resolve_href(base: Column, href: Column) -> Column:
     return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
             .when(href.startswith("//"), F.concat(b_scheme, F.lit(":"), href))
             .when(href.startswith("/"), F.concat(origin, href))
-            .when(href == "", base_no_frag)
+            .when(href == "", base)
             .when(href.startswith("#"), F.concat(base_no_frag, href))
             .when(href.startswith("?"), F.concat(origin, b_path, href))
             .otherwise(F.concat(origin, base_dir, href)))

@@ -484,7 +484,7 @@ def sql_resolve(base: str, href: str) -> str:
     return (f"CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {href}"
             f" WHEN starts_with({href}, '//') THEN regexp_extract({base}, {q(URL_RE)}, 2) || ':' || {href}"
             f" WHEN starts_with({href}, '/') THEN {origin} || {href}"
-            f" WHEN {href} = '' THEN {nofrag}"
+            f" WHEN {href} = '' THEN {base}"
             f" WHEN starts_with({href}, '#') THEN {nofrag} || {href}"
             f" WHEN starts_with({href}, '?') THEN {origin} || {bpath} || {href}"
             f" ELSE {origin} || {bdir} || {href} END")
