@@ -31,12 +31,32 @@ def is_ignored_tag(tag: Column) -> Column:
     return (k == "") | (F.length(k) > K.MAX_TAG_LEN) | k.isin(*K.IGNORE_TAGS)
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` (a one-element
+    array keeps Spark from re-evaluating it inside every lambda call)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _junk_key(k: Column) -> Column:
+    return k.isNull() | (k == "") | (F.length(k) > K.MAX_TAG_LEN) | k.isin(*K.IGNORE_TAGS)
+
+
 def filter_tags(tags: Column) -> Column:
     """T4: drop junk tags and case-insensitive repeats, keeping the first
-    spelling and the original order."""
-    keys = F.transform(tags, tag_key)
-    return F.filter(tags, lambda t, i: ~is_ignored_tag(t)
-                    & ~F.array_contains(F.slice(keys, F.lit(1), i), tag_key(t)))
+    spelling and the original order.
+
+    O(n log n) per row: each key is computed once, ``(key, index)`` pairs are
+    sorted, a pair is a first occurrence when its sorted predecessor has
+    another key, and survivors go back to input order."""
+    pairs = F.transform(tags, lambda t, i: F.struct(tag_key(t).alias("k"), i.alias("i"), t.alias("t")))
+
+    def body(s: Column) -> Column:
+        first = F.filter(s, lambda p, j: (j == 0) | (F.element_at(s, F.greatest(j, F.lit(1)))["k"] != p["k"]))
+        kept = F.filter(first, lambda p: ~_junk_key(p["k"]))
+        ordered = F.array_sort(F.transform(kept, lambda p: F.struct(p["i"].alias("i"), p["t"].alias("t"))))
+        return F.transform(ordered, lambda p: p["t"])
+
+    return _let(F.array_sort(pairs), body)
 
 
 def finalize_tags(raw: Column, allowed: Column | None = None) -> Column:

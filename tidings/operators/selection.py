@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,17 +43,23 @@ def tag_set(tags: Column) -> Column:
     return F.array_sort(F.array_distinct(tags))
 
 
+CAND_COLUMNS = ["id", "tags", "score", "scraped_at", *SIGNALS, "freshness"]
+
+
 def mmr_candidates(scored: DataFrame, limit: int = K.FEED_LIMIT) -> DataFrame:
     """Rows that can ever be picked -- the top ``limit`` of each tag set
-    for each of the four signals (gated by freshness), in rank order."""
-    base = scored.withColumn("tag_set", tag_set(F.col("tags")))
-    keep = None
-    for s in SIGNALS:
-        w = Window.partitionBy("tag_set").orderBy((F.col(s) * F.col("freshness")).desc(), *rank_order())
-        top = (base.select("id", "tag_set", s, "freshness", "score", "scraped_at")
-               .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).select("id"))
-        keep = top if keep is None else keep.unionByName(top)
-    return scored.join(keep.distinct(), "id", "left_semi")
+    for each of the four signals (gated by freshness), in rank order.
+
+    One pass: every row becomes four ``(signal, value)`` rows, ranked by one
+    window keyed by ``(tag_set, signal)``.  The ``rn <= limit`` filter is
+    planned as a partial WindowGroupLimit before the shuffle."""
+    extra = [c for c in scored.columns if c not in CAND_COLUMNS]
+    sig = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), (F.col(s) * F.col("freshness")).alias("value"))
+                              for s in SIGNALS])).alias("sv")
+    rows = scored.select(*CAND_COLUMNS, *extra, tag_set(F.col("tags")).alias("_tag_set"), sig)
+    w = Window.partitionBy("_tag_set", "sv.signal").orderBy(F.col("sv.value").desc(), *rank_order())
+    top = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
+    return top.dropDuplicates(["id"]).drop("_tag_set", "sv", "_rn")
 
 
 def _sim_to_chosen(chosen_tags: list[list[str]]) -> Column:
@@ -84,33 +89,44 @@ def pick_order(scored: DataFrame, limit: int = K.FEED_LIMIT, prune: bool = True)
     """F2 + F3: the greedy picks, in pick order (at most ``limit`` dicts)."""
     if limit <= 0:
         return []
+    cands = _pool(scored, limit, prune)
+    return _greedy_picks(cands, limit)
+
+
+def _pool(scored: DataFrame, limit: int, prune: bool) -> DataFrame:
+    """The candidate pool, checkpointed to the shared checkpoint folder: the
+    pick loop and the final projection read it without recomputing the
+    scoring plan, and it survives the loss of an executor."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(scored.sparkSession)
     cands = mmr_candidates(scored, limit) if prune else scored
-    cands = cands.select("id", "tags", "score", "scraped_at", *SIGNALS, "freshness")
-    cands = cands.persist(StorageLevel.MEMORY_AND_DISK)
+    return cands.checkpoint(eager=True)
+
+
+def _greedy_picks(cands: DataFrame, limit: int) -> list[dict]:
     chosen: list[dict] = []
-    try:
-        for signal, q in quotas(limit):
-            for _ in range(q):
-                if len(chosen) >= limit:
-                    break
-                p = _pick(cands, signal, chosen)
-                if p is None:
-                    break
-                chosen.append(p)
-        while len(chosen) < limit:
-            p = _pick(cands, "interest", chosen)
+    for signal, q in quotas(limit):
+        for _ in range(q):
+            if len(chosen) >= limit:
+                break
+            p = _pick(cands, signal, chosen)
             if p is None:
                 break
             chosen.append(p)
-    finally:
-        cands.unpersist()
+    # top-up by overall interest (freshness-gated, still diversified)
+    while len(chosen) < limit:
+        p = _pick(cands, "interest", chosen)
+        if p is None:
+            break
+        chosen.append(p)
     return chosen
 
 
 def select_feed(scored: DataFrame, limit: int = K.FEED_LIMIT, prune: bool = True) -> DataFrame:
     """the selected posts with their final ``rank`` (score descending,
     ties in pick order) and the ``bucket`` that picked them."""
-    chosen = pick_order(scored, limit, prune)
+    cands = _pool(scored, limit, prune) if limit > 0 else scored
+    chosen = _greedy_picks(cands, limit) if limit > 0 else []
     # Python's sort is stable: equal scores keep pick order.
     final = sorted(range(len(chosen)), key=lambda i: -chosen[i]["score"])
     ids = [chosen[i]["id"] for i in final]
@@ -119,7 +135,7 @@ def select_feed(scored: DataFrame, limit: int = K.FEED_LIMIT, prune: bool = True
         return scored.limit(0).withColumn("rank", F.lit(0).cast("bigint")).withColumn("bucket", F.lit(""))
     id_arr = F.array(*[F.lit(i) for i in ids])
     rank = F.array_position(id_arr, F.col("id"))
-    out = scored.where(F.col("id").isin(ids)).withColumn("rank", rank.cast("bigint"))
+    out = cands.where(F.col("id").isin(ids)).withColumn("rank", rank.cast("bigint"))
     bucket = F.element_at(F.array(*[F.lit(b) for b in buckets]), F.col("rank").cast("int"))
     return out.withColumn("bucket", bucket).orderBy("rank")
 

@@ -22,8 +22,26 @@ TABLES = [
 ]
 
 
+# Key column per table, used to spread an under-partitioned scan.
+TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id", "labels": "doc_id",
+              "conversations": "conv_id", "benchmark": "item_id"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, TABLE_KEYS.get(name))
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Hash-partition a scan that yields fewer partitions than the cluster
+    can run at once (one large row group is one task).  With many input
+    files -- the normal case at scale -- this is a no-op and adds no
+    shuffle.  Filters and column pruning still reach the scan."""
+    spark = df.sparkSession
+    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if want <= 1 or df.rdd.getNumPartitions() >= min(want, spark.sparkContext.defaultParallelism):
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
 
 
 def content(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
