@@ -167,22 +167,34 @@ def needs_python_join(href: Column) -> Column:
     return F.regexp_extract(href, r"^[^?#]*", 0).rlike(DOT_SEGMENT) & ~href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
 
 
-def resolve_href(base: Column, href: Column) -> Column:
-    """``urljoin(base, href)`` for references without dot segments:
-    absolute, scheme-relative, root-relative, query-only, fragment-only,
-    empty and plain relative paths.  Rows with dot segments go through
-    :func:`urljoin_udf` instead (see ``operators.links.resolve_links``)."""
-    b_scheme = F.regexp_extract(base, _RE, 2)
-    b_netloc = url_netloc(base)
+def base_parts(base: Column) -> Column:
+    """The pieces of a page URL that reference resolution needs; computed
+    once per page, before its hrefs are exploded."""
     b_path = url_path(base)
-    origin = F.concat(b_scheme, F.lit("://"), b_netloc)
-    base_no_frag = strip_fragment(base)
-    base_dir = F.regexp_replace(b_path, r"[^/]*$", "")
-    base_dir = F.when(base_dir == "", F.lit("/")).otherwise(base_dir)
+    b_dir = F.regexp_replace(b_path, r"[^/]*$", "")
+    return F.struct(
+        F.regexp_extract(base, _RE, 2).alias("scheme"),
+        F.concat(F.regexp_extract(base, _RE, 2), F.lit("://"), url_netloc(base)).alias("origin"),
+        b_path.alias("path"),
+        F.when(b_dir == "", F.lit("/")).otherwise(b_dir).alias("dir"),
+        strip_fragment(base).alias("nofrag"),
+        base.alias("base"))
+
+
+def resolve_with_parts(b: Column, href: Column) -> Column:
+    """``urljoin(base, href)`` for references without dot segments, given
+    :func:`base_parts` of the base: absolute, scheme-relative, root-relative,
+    query-only, fragment-only, empty and plain relative paths.  Rows with dot
+    segments go through the Python ``urljoin`` path instead (see
+    ``operators.links.resolve_links``)."""
     return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-            .when(href.startswith("//"), F.concat(b_scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(origin, href))
-            .when(href == "", base)
-            .when(href.startswith("#"), F.concat(base_no_frag, href))
-            .when(href.startswith("?"), F.concat(origin, b_path, href))
-            .otherwise(F.concat(origin, base_dir, href)))
+            .when(href.startswith("//"), F.concat(b["scheme"], F.lit(":"), href))
+            .when(href.startswith("/"), F.concat(b["origin"], href))
+            .when(href == "", b["base"])
+            .when(href.startswith("#"), F.concat(b["nofrag"], href))
+            .when(href.startswith("?"), F.concat(b["origin"], b["path"], href))
+            .otherwise(F.concat(b["origin"], b["dir"], href)))
+
+
+def resolve_href(base: Column, href: Column) -> Column:
+    return resolve_with_parts(base_parts(base), href)

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.urls import (canonicalize_url, hrefs, in_crawl_scope, is_ignored_url,
-                              needs_python_join, resolve_href, same_site, strip_fragment,
+from ..functions.urls import (base_parts, canonicalize_url, hrefs, in_crawl_scope, is_ignored_url,
+                              needs_python_join, resolve_with_parts, same_site, strip_fragment,
                               url_hostname, url_netloc, url_scheme)
 
 
@@ -21,19 +21,23 @@ def urljoin_udf(base: pd.Series, href: pd.Series) -> pd.Series:
 
 
 def page_hrefs(pages: DataFrame, base_col: str = "url", extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per non-empty href: ``page_id, base, pos, href`` (+ extra)."""
-    ex = pages.select("page_id", F.col(base_col).alias("base"), *extra,
-                      F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
+    """One row per non-empty href: ``page_id, base, pos, href`` (+ extra).
+    The base URL is parsed once per page (``_b``), not once per href."""
+    per_page = pages.select("page_id", F.col(base_col).alias("base"), *extra,
+                            base_parts(F.col(base_col)).alias("_b"), hrefs(F.col("html")).alias("_hrefs"))
+    ex = per_page.select("page_id", "base", *extra, "_b", F.posexplode("_hrefs").alias("pos", "href"))
     return ex.where(F.col("href") != "").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def resolve_links(df: DataFrame) -> DataFrame:
     """Adds ``absolute`` = ``urljoin(base, href)``.  Plain references resolve
     with JVM expressions; only dot-segment references reach Python."""
+    if "_b" not in df.columns:
+        df = df.withColumn("_b", base_parts(F.col("base")))
     slow_cond = needs_python_join(F.col("href"))
-    fast = df.where(~slow_cond).withColumn("absolute", resolve_href(F.col("base"), F.col("href")))
+    fast = df.where(~slow_cond).withColumn("absolute", resolve_with_parts(F.col("_b"), F.col("href")))
     slow = df.where(slow_cond).withColumn("absolute", urljoin_udf(F.col("base"), F.col("href")))
-    return fast.unionByName(slow)
+    return fast.unionByName(slow).drop("_b")
 
 
 def extract_links(pages: DataFrame, base_col: str = "url", host_col: str = "hostname") -> DataFrame:
@@ -41,8 +45,9 @@ def extract_links(pages: DataFrame, base_col: str = "url", host_col: str = "host
     dropped, the page itself excluded.  No canonicalisation or junk filter
     here (the reference applies neither at this step)."""
     ex = page_hrefs(pages.withColumn("_host", F.col(host_col)), base_col, ("_host",))
-    res = resolve_links(ex).withColumn("link", strip_fragment(F.col("absolute")))
-    host = url_hostname(F.col("link"))
+    res = (resolve_links(ex).withColumn("link", strip_fragment(F.col("absolute")))
+           .withColumn("_lhost", url_hostname(F.col("link"))))
+    host = F.col("_lhost")
     ok = (url_scheme(F.col("link")).isin("http", "https") & host.isNotNull()
           & same_site(host, F.col("_host"))
           & (F.regexp_replace("link", "/+$", "") != F.regexp_replace("base", "/+$", "")))
