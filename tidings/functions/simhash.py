@@ -29,14 +29,26 @@ def token_hash(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 16), 16, -10).cast("bigint")
 
 
+# Two 32-bit counters share one 64-bit sum: bit i counts in the low half,
+# bit i+32 in the high half.  Exact while a document has < 2**31 tokens.
+_LANES = 0x0000000100000001
+_LOW = 0xFFFFFFFF
+
+
 def bit_count_aggs(h: Column) -> list[Column]:
-    """64 partial-aggregatable sums: how many token hashes have bit i set."""
-    return [F.sum(F.shiftright(h, i).bitwiseAND(F.lit(1))).alias(f"_b{i}") for i in range(BITS)]
+    """32 partial-aggregatable sums holding, per document, how many token
+    hashes have each of the 64 bits set."""
+    return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES))).alias(f"_b{i}") for i in range(BITS // 2)]
+
+
+def _count(i: int) -> Column:
+    s = F.coalesce(F.col(f"_b{i % 32}"), F.lit(0).cast("bigint"))
+    return s.bitwiseAND(F.lit(_LOW)) if i < 32 else F.shiftrightunsigned(s, 32)
 
 
 def fingerprint_from_counts(n: Column) -> Column:
     """OR of the bits whose set-count is a strict majority of ``n`` tokens."""
-    terms = [F.when(F.lit(2) * F.coalesce(F.col(f"_b{i}"), F.lit(0)) > n,
+    terms = [F.when(F.lit(2) * _count(i) > n,
                     F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
              for i in range(BITS)]
     return reduce(lambda a, b: a.bitwiseOR(b), terms)

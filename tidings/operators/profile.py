@@ -36,10 +36,12 @@ def tag_profile_raw(interactions: DataFrame, as_of=None) -> DataFrame:
 def normalize_profile(raw: DataFrame) -> DataFrame:
     """A2: divide by the maximum over all tags; a non-positive maximum counts
     as 1, so weights may stay negative."""
-    max_r = raw.select(F.max("recent_weight")).scalar()
-    max_l = raw.select(F.max("long_weight")).scalar()
-    safe_r = F.when(max_r > 0, max_r).otherwise(F.lit(1.0))
-    safe_l = F.when(max_l > 0, max_l).otherwise(F.lit(1.0))
+    def safe(c):
+        m = F.max(c)
+        return F.when(m > 0, m).otherwise(F.lit(1.0))
+
+    maxima = raw.select(F.struct(safe("recent_weight").alias("r"), safe("long_weight").alias("l"))).scalar()
+    safe_r, safe_l = maxima.getField("r"), maxima.getField("l")
     return raw.select(
         "tag",
         (F.col("recent_weight") / safe_r).alias("recent_weight"),
