@@ -34,12 +34,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Hash-partition a scan that yields fewer partitions than the cluster
-    can run at once (one large row group is one task).  With many input
+    has cores (one large row group is one task), so CPU-heavy per-row work
+    (tokenising, regexes, hashing) runs on every core.  With many input
     files -- the normal case at scale -- this is a no-op and adds no
-    shuffle.  Filters and column pruning still reach the scan."""
-    spark = df.sparkSession
-    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if want <= 1 or df.rdd.getNumPartitions() >= min(want, spark.sparkContext.defaultParallelism):
+    shuffle.  Filters and column pruning still reach the scan, and a later
+    aggregation on the same key reuses this partitioning."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if want <= 1 or df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
 
