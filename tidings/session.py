@@ -64,29 +64,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``tidings`` importable in Python workers (``mapInPandas`` and
-    pandas UDFs pickle module functions by reference).  Equivalent to
-    ``--py-files``: the package is zipped once per application and
-    distributed by Spark's file server."""
-    import os
-    import zipfile
-
-    sc = spark.sparkContext
-    app = sc.applicationId
-    if app in _SHIPPED:
-        return
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg)
-    path = os.path.join(tempfile.mkdtemp(prefix="tidings-pyfiles-"), "tidings.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for dirpath, _dirs, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(dirpath, f)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    _SHIPPED.add(app)
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make ``tidings`` code usable in Python workers (``mapInPandas`` and
+    pandas UDFs).  Functions of this package are pickled by value, so a
+    worker needs no installed copy and nothing is staged on disk.  On a
+    cluster where the package is installed (or passed with ``--py-files``)
+    this is harmless."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    pkg = sys.modules[__name__.rsplit(".", 1)[0]]
+    try:
+        cloudpickle.register_pickle_by_value(pkg)
+    except ValueError:  # already registered
+        pass
