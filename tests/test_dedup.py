@@ -73,6 +73,9 @@ def test_near_dup_semi_join_matches_brute_force(spark):
     ex = spark.createDataFrame([(e,) for e in existing], "simhash long")
     got = {r["id"] for r in dedup.near_dup_urls(inc, ex).collect()}
     assert got == _brute(incoming, existing)
+    # every bucket "hot": salted sub-buckets give the same answer
+    salted = {r["id"] for r in dedup.near_dup_urls(inc, ex, hot_bucket_rows=1).collect()}
+    assert salted == got
     kept = {r["id"] for r in dedup.dedup_content(inc, dedup.near_dup_urls(inc, ex)).collect()}
     assert kept == {i for i, _, _ in incoming} - got
 

@@ -6,8 +6,8 @@ includes exact fingerprint equality) becomes a plain hash key.  Verification
 (``1 - hamming/64 > threshold``) is the residual condition of a ``left_semi``
 join, so no candidate pair is ever materialised; Spark stops probing a row at
 its first match.  Exact copies are collapsed before the join (distinct
-fingerprints per band key), which removes the typical hot bucket; AQE splits
-what skew remains.
+fingerprints per band key), which removes the typical hot bucket; a bucket
+that is still large (many near copies) is split into salted sub-buckets.
 """
 
 from __future__ import annotations
@@ -51,13 +51,32 @@ def _band_keys(df: DataFrame, keep: list[str]) -> DataFrame:
     return exploded
 
 
+HOT_BUCKET_ROWS = 100_000
+
+
 def near_dup_urls(incoming: DataFrame, existing: DataFrame,
-                  threshold: float = K.SIMILARITY_THRESHOLD) -> DataFrame:
+                  threshold: float = K.SIMILARITY_THRESHOLD,
+                  hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """J3 + J4: incoming rows (``id``, ``url``, ``simhash``) that equal or are
-    similar (> threshold) to an existing fingerprint sharing a band."""
+    similar (> threshold) to an existing fingerprint sharing a band.
+
+    A band bucket with more than ``hot_bucket_rows`` distinct stored
+    fingerprints is split into salted sub-buckets (``pmod(xxhash64(h), s)``)
+    and the incoming rows of that bucket are replicated across the salts,
+    so no single task probes a hot bucket in full.  The answer is the same:
+    a row matches if any sub-bucket holds a match."""
     ex = _band_keys(existing.select("simhash").distinct(), ["simhash"]).withColumnRenamed("simhash", "ex_hash")
+    sizes = ex.groupBy("band_no", "band").agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > hot_bucket_rows).select(
+        "band_no", "band", F.ceil(F.col("_n") / F.lit(hot_bucket_rows)).cast("int").alias("_salts"))
+    ex = ex.join(hot, ["band_no", "band"], "left").select(
+        "band_no", "band", "ex_hash",
+        F.when(F.col("_salts").isNull(), F.lit(0))
+         .otherwise(F.pmod(F.xxhash64("ex_hash"), F.col("_salts"))).cast("int").alias("salt"))
     inc = _band_keys(incoming.select("id", "url", "simhash"), ["id", "url", "simhash"])
-    cond = ((inc["band_no"] == ex["band_no"]) & (inc["band"] == ex["band"])
+    inc = inc.join(hot, ["band_no", "band"], "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    cond = ((inc["band_no"] == ex["band_no"]) & (inc["band"] == ex["band"]) & (inc["salt"] == ex["salt"])
             & (SH.similarity(inc["simhash"], ex["ex_hash"]) > F.lit(float(threshold))))
     hit = inc.join(ex, cond, "left_semi")
     return hit.select("id", "url").distinct()
