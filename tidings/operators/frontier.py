@@ -189,6 +189,14 @@ def create_source_urls(links: DataFrame, urls: DataFrame, as_of=None) -> DataFra
         now.alias("next_crawl_at"))
 
 
+def enqueue(table: DataFrame, new_rows: DataFrame, schema=None) -> DataFrame:
+    """Append new rows to a table snapshot (missing columns take their
+    declared defaults, or NULL); the caller writes the result to a new path."""
+    from ..operators.quality import apply_defaults
+    rows = apply_defaults(new_rows, schema) if schema is not None else new_rows
+    return table.unionByName(rows, allowMissingColumns=True)
+
+
 def retry_source(urls: DataFrame, hostnames: DataFrame, requests: DataFrame, as_of=None):
     """C12 + J8: requested URLs back to QUEUED and due now; their hosts due
     now.  Returns ``(new_urls, new_hostnames)``."""

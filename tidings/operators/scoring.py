@@ -40,15 +40,17 @@ def score_content(candidates: DataFrame, profile: DataFrame, as_of=None) -> Data
     Tags are exploded (duplicates kept, empty tag lists kept as one NULL row),
     looked up with a left equi-join (AQE broadcasts the profile when its
     measured size is small, else sort-merge with skew splitting) and folded
-    back per post with a partial+final hash aggregation on ``id``.
+    back per post with a partial+final hash aggregation on ``id``.  The
+    carried columns are functionally dependent on ``id`` and ride along as
+    grouping keys, which keeps the aggregation hash-based (``first()`` over
+    strings and arrays would force a sort-based aggregation).
     """
     now = ts_lit(as_of)
     keep = [c for c in CARRY if c in candidates.columns]
     exploded = candidates.select("id", *keep, F.explode_outer("tags").alias("tag"))
     prof = profile.select("tag", "recent_weight", "long_weight", "hidden")
     joined = exploded.join(prof, "tag", "left")
-    per_post = joined.groupBy("id").agg(
-        *[F.first(c).alias(c) for c in keep],
+    per_post = joined.groupBy("id", *keep).agg(
         F.max(F.coalesce("recent_weight", F.lit(0.0))).alias("max_recent"),
         F.sum(F.coalesce("long_weight", F.lit(0.0))).alias("sum_long"),
         F.max(F.coalesce("hidden", F.lit(False))).alias("has_hidden"),
