@@ -169,12 +169,14 @@ def _doc_fp(spark, sf):
 
 
 def _content_fp(spark, sf):
-    """Content rows with their fingerprint; FIXTURES B4 splits them into
-    existing (even ids) and incoming (odd ids) -- every row is used."""
-    c = td.content(spark, sf).select("id", "url", "text")
+    """Content rows with their fingerprint and scrape time."""
+    c = td.content(spark, sf).select("id", "url", "text", "scraped_at")
     return c.join(dedup.doc_simhash(c, "id", "text"), "id")
 
 
+INCOMING_SINCE = "2024-01-16 00:00:00"  # FIXTURES B4: the last 15 days are new
+
+
 @query("doc_simhash")
 def q_doc_simhash(spark, sf):
     return _doc_fp(spark, sf)
@@ -188,8 +190,11 @@ def q_simhash_bands(spark, sf):
 
 
 def _split_existing(spark, sf):
+    """Stored content (scraped before the cut) and newly scraped content
+    (since the cut); every row is in exactly one of the two."""
     fp = _content_fp(spark, sf)
-    return fp.where(F.col("id") % 2 == 0), fp.where(F.col("id") % 2 == 1)
+    cut = ts_lit(INCOMING_SINCE)
+    return fp.where(F.col("scraped_at") < cut), fp.where(F.col("scraped_at") >= cut)
 
 
 @query("near_dup_urls")

@@ -353,10 +353,10 @@ def UNSIGNED(h: str) -> str:
 sql_simhash_cte("doc_fp", "documents", "doc_id", "text", [])
 
 cte("doc_fp_full", ["content", "doc_fp"], """
-SELECT c.id, c.url, f.simhash FROM content c JOIN doc_fp f ON f.id = c.id""")
+SELECT c.id, c.url, c.scraped_at, f.simhash FROM content c JOIN doc_fp f ON f.id = c.id""")
 
-cte("existing_c", ["doc_fp_full"], "SELECT * FROM doc_fp_full WHERE id % 2 = 0")
-cte("incoming_c", ["doc_fp_full"], "SELECT * FROM doc_fp_full WHERE id % 2 = 1")
+cte("existing_c", ["doc_fp_full"], "SELECT * FROM doc_fp_full WHERE scraped_at < TIMESTAMP '2024-01-16 00:00:00'")
+cte("incoming_c", ["doc_fp_full"], "SELECT * FROM doc_fp_full WHERE scraped_at >= TIMESTAMP '2024-01-16 00:00:00'")
 
 _BANDS_UNION = " UNION ALL ".join(
     f"SELECT {{cols}}, {k} AS band_no, {BAND('simhash', k)} AS band FROM {{src}}" for k in range(4))
