@@ -167,3 +167,29 @@ def test_pruned_selection_matches_greedy(spark):
         scored = _scored_frame(spark, rows)
         got = [p["id"] for p in selection.pick_order(scored, limit, prune=True)]
         assert got == _greedy(rows, limit), (trial, limit)
+
+
+def test_pick_schedule():
+    assert selection.pick_schedule(4) == ["continuity", "continuity", "relevance", "novelty"]
+    assert selection.pick_schedule(3) == ["continuity", "continuity", "relevance"]
+    assert selection.pick_schedule(1) == ["interest"]
+
+
+def test_many_feeds_match_single_feed(spark):
+    rng = random.Random(11)
+    vocab = ["a", "b", "c", "d"]
+    rows, feeds = [], {}
+    for f in ["f1", "f2", "f3"]:
+        n = rng.randint(3, 25)
+        feeds[f] = []
+        for i in range(n):
+            r = (f"{f}-{i:03d}", sorted(rng.sample(vocab, rng.randint(0, 2))), round(rng.random(), 3),
+                 round(rng.random(), 3), round(rng.random(), 3), round(rng.random(), 3))
+            feeds[f].append(r)
+            rows.append(r)
+    scored = _scored_frame(spark, rows).withColumn("feed_id", F.substring("id", 1, 2))
+    for limit in (4, 7):
+        many = selection.select_feeds(scored, "feed_id", limit).collect()
+        for f, frows in feeds.items():
+            got = [r["id"] for r in sorted((r for r in many if r["feed_id"] == f), key=lambda r: r["pick"])]
+            assert got == _greedy(frows, limit), (f, limit)

@@ -168,3 +168,63 @@ def mark_shown(content: DataFrame, feed: DataFrame, as_of=None) -> DataFrame:
     out = out.withColumn("last_shown_at", F.when(F.col("_shown"), ts_lit(as_of))
                          .otherwise(F.col("last_shown_at")))
     return out.drop("_shown")
+
+
+# ---------------------------------------------------------------- many feeds at once
+
+def pick_schedule(limit: int) -> list[str]:
+    """The signal of every pick: bucket quotas in order, cut at ``limit``,
+    then top-up by interest.  A feed whose pool runs dry gets no further
+    picks, so one schedule serves every feed."""
+    sched: list[str] = []
+    for signal, q in quotas(limit):
+        sched += [signal] * q
+    sched = sched[:limit]
+    return sched + ["interest"] * (limit - len(sched))
+
+
+def select_feeds(scored: DataFrame, feed_col: str = "feed_id", limit: int = K.FEED_LIMIT) -> DataFrame:
+    """F3 for many feeds: the greedy budgeted MMR pick for every feed in
+    ``limit`` synchronous rounds, all distributed.
+
+    Each round joins the still-available candidates with the picks of their
+    own feed (at most ``limit`` rows per feed), scores MMR, and takes the
+    per-feed arg-max with ``min_by`` (a partial aggregation, so a feed that
+    owns a third of all candidates is pre-reduced per partition).  No feed's
+    rows are gathered into one task or the driver; the pick table is
+    checkpointed to the shared folder every round to cut the lineage."""
+    from ..session import checkpoint_dir
+    spark = scored.sparkSession
+    checkpoint_dir(spark)
+    base = scored.withColumnRenamed(feed_col, "_feed")
+    cols = ["_feed", *CAND_COLUMNS]
+    rows = base.select(*cols, tag_set(F.col("tags")).alias("_tag_set"),
+                       F.explode(F.array(*[F.struct(F.lit(s).alias("signal"),
+                                                    (F.col(s) * F.col("freshness")).alias("value"))
+                                           for s in SIGNALS])).alias("sv"))
+    w = Window.partitionBy("_feed", "_tag_set", "sv.signal").orderBy(F.col("sv.value").desc(), *rank_order())
+    pool = (rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
+            .dropDuplicates(["_feed", "id"]).select(*cols)).checkpoint(eager=True)
+    ts_micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("scraped_at"))
+    chosen = None
+    lam = K.MMR_LAMBDA
+    for rnd, signal in enumerate(pick_schedule(limit)):
+        avail = pool if chosen is None else pool.join(chosen.select("_feed", "id"), ["_feed", "id"], "left_anti")
+        if chosen is None:
+            scoredr = avail.withColumn("_sim", F.lit(0.0))
+        else:
+            prev = chosen.select("_feed", F.col("tags").alias("_ctags"))
+            scoredr = (avail.join(prev, "_feed", "left")
+                       .withColumn("_j", F.when(F.col("_ctags").isNull(), F.lit(0.0))
+                                   .otherwise(jaccard(F.col("tags"), F.col("_ctags"))))
+                       .groupBy("_feed", *CAND_COLUMNS).agg(F.max("_j").alias("_sim")))
+        mmr = F.lit(lam) * F.col(signal) * F.col("freshness") - F.lit(1.0 - lam) * F.col("_sim")
+        key = F.struct((-mmr).alias("a"), (-F.col("score")).alias("b"), (-ts_micros).alias("c"), F.col("id").alias("d"))
+        best = scoredr.groupBy("_feed").agg(F.min_by(F.struct(*CAND_COLUMNS), key).alias("p"))
+        picked = best.select("_feed", "p.*", F.lit(rnd).alias("pick"), F.lit(signal).alias("bucket"))
+        chosen = picked if chosen is None else chosen.unionByName(picked)
+        chosen = chosen.checkpoint(eager=True)
+    if chosen is None:
+        return base.limit(0)
+    rank = F.row_number().over(Window.partitionBy("_feed").orderBy(F.col("score").desc(), F.col("pick")))
+    return chosen.withColumn("rank", rank.cast("bigint")).withColumnRenamed("_feed", feed_col)

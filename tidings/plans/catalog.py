@@ -693,3 +693,11 @@ def q_build_feed(spark, sf):
     if snapshot is None:
         return content.limit(0).select("id", "last_shown_at")
     return report(snapshot.join(feed.select("id", "rank"), "id").select("id", "rank", "last_shown_at"))
+
+
+@query("select_feeds", rows_only=True)
+def q_select_feeds(spark, sf):
+    """F3 for many feeds: one feed per source host."""
+    scored = _scored(spark, sf).withColumn("feed_id", F.col("hostname"))
+    out = selection.select_feeds(scored, "feed_id", K.FEED_LIMIT)
+    return report(out.select("feed_id", "id", "rank", "bucket", "score"))
