@@ -97,10 +97,9 @@ def _pool(scored: DataFrame, limit: int, prune: bool) -> DataFrame:
     """The candidate pool, checkpointed to the shared checkpoint folder: the
     pick loop and the final projection read it without recomputing the
     scoring plan, and it survives the loss of an executor."""
-    from ..session import checkpoint_dir
-    checkpoint_dir(scored.sparkSession)
+    from ..session import cut_lineage
     cands = mmr_candidates(scored, limit) if prune else scored
-    return cands.checkpoint(eager=True)
+    return cut_lineage(cands)
 
 
 def _greedy_picks(cands: DataFrame, limit: int) -> list[dict]:
@@ -193,9 +192,7 @@ def select_feeds(scored: DataFrame, feed_col: str = "feed_id", limit: int = K.FE
     owns a third of all candidates is pre-reduced per partition).  No feed's
     rows are gathered into one task or the driver; the pick table is
     checkpointed to the shared folder every round to cut the lineage."""
-    from ..session import checkpoint_dir
-    spark = scored.sparkSession
-    checkpoint_dir(spark)
+    from ..session import cut_lineage
     base = scored.withColumnRenamed(feed_col, "_feed")
     cols = ["_feed", *CAND_COLUMNS]
     rows = base.select(*cols, tag_set(F.col("tags")).alias("_tag_set"),
@@ -204,7 +201,8 @@ def select_feeds(scored: DataFrame, feed_col: str = "feed_id", limit: int = K.FE
                                            for s in SIGNALS])).alias("sv"))
     w = Window.partitionBy("_feed", "_tag_set", "sv.signal").orderBy(F.col("sv.value").desc(), *rank_order())
     pool = (rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
-            .dropDuplicates(["_feed", "id"]).select(*cols)).checkpoint(eager=True)
+            .dropDuplicates(["_feed", "id"]).select(*cols))
+    pool = cut_lineage(pool)
     ts_micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("scraped_at"))
     chosen = None
     lam = K.MMR_LAMBDA
@@ -223,7 +221,7 @@ def select_feeds(scored: DataFrame, feed_col: str = "feed_id", limit: int = K.FE
         best = scoredr.groupBy("_feed").agg(F.min_by(F.struct(*CAND_COLUMNS), key).alias("p"))
         picked = best.select("_feed", "p.*", F.lit(rnd).alias("pick"), F.lit(signal).alias("bucket"))
         chosen = picked if chosen is None else chosen.unionByName(picked)
-        chosen = chosen.checkpoint(eager=True)
+        chosen = cut_lineage(chosen)
     if chosen is None:
         return base.limit(0)
     rank = F.row_number().over(Window.partitionBy("_feed").orderBy(F.col("score").desc(), F.col("pick")))

@@ -32,7 +32,7 @@ def content_ingest(pages: DataFrame, existing: DataFrame, as_of=None,
     """
     pages_ok = crawl_pages(pages).withColumn("text", F.array_join("chunks", "\n"))
     fp = doc_simhash(pages_ok.select(F.col("page_id").alias("id"), "text"))
-    inc = pages_ok.join(fp.withColumnRenamed("id", "page_id"), "page_id").withColumnRenamed("page_id", "id")
+    inc = pages_ok.drop("text").join(fp.withColumnRenamed("id", "page_id"), "page_id").withColumnRenamed("page_id", "id")
     dups = near_dup_urls(inc, existing, threshold)
     fresh = dedup_content(inc, dups)
     if dedup_in_batch:

@@ -79,3 +79,18 @@ def ship_package(spark: SparkSession | None = None) -> None:
         cloudpickle.register_pickle_by_value(pkg)
     except ValueError:  # already registered
         pass
+
+
+def cut_lineage(df):
+    """Reliable checkpoint to the shared folder (``spark.checkpoint.dir``).
+
+    The frame is persisted first, so writing the checkpoint does not
+    recompute its plan; the cache is dropped once the files exist.  Never a
+    local checkpoint: the files survive the loss of an executor."""
+    from pyspark import StorageLevel
+
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
