@@ -55,3 +55,23 @@ def test_random_tag_lists_match_python(spark):
         assert r["n"] == py_normalize(raw), raw
         assert r["f"] == py_filter(raw), raw
         assert r["z"] == py_filter(py_normalize(raw))[: K.MAX_TAGS], raw
+
+
+def test_random_references_match_urljoin(spark):
+    from urllib.parse import urljoin
+    rng = random.Random(77)
+    bases = ["https://s.example.com/a/b/c", "https://s.example.com/a/b/", "http://h.org", "https://h.org/x?q=1#f",
+             "https://h.org/p/q.html?z=9"]
+    pieces = ["", ".", "..", "x", "y.html", "", "a b", "%41"]
+    refs = set()
+    for _ in range(300):
+        segs = [rng.choice(pieces) for _ in range(rng.randint(1, 4))]
+        ref = rng.choice(["", "/", "./", "../"]) + "/".join(segs)
+        ref += rng.choice(["", "?", "?k=v", "#", "#frag", "?a=1#b"])
+        refs.add(ref)
+    refs |= {"?", "#", "?#f", ".", "..", "./", "../../..", "a//b", "/a//b", "//cdn.example.com/x", "mailto:x@y"}
+    rows = [(i, b, r, 0) for i, (b, r) in enumerate((b, r) for b in bases for r in sorted(refs))]
+    df = spark.createDataFrame(rows, "page_id long, base string, href string, pos long")
+    from tidings.operators import links as LK
+    for r in LK.resolve_links(df).collect():
+        assert r["absolute"] == urljoin(r["base"], r["href"]), (r["base"], r["href"])

@@ -42,6 +42,13 @@ def plus_seconds(ts: Column, seconds: int | Column) -> Column:
     return ts + F.make_dt_interval(secs=secs.cast("decimal(18,6)"))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.  A one-element
+    array keeps the optimiser from copying a large expression into every
+    place that uses it (``body`` sees a lambda variable, not the tree)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def report(df: DataFrame, digits: int = 6) -> DataFrame:
     """Render a result for engine-neutral comparison: doubles rounded, arrays
     joined with ``|`` in their own order, timestamps as text with micros."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .common import let as _let
 from .text import PY_SPACE
 
 
@@ -31,12 +32,6 @@ def is_ignored_tag(tag: Column) -> Column:
     return (k == "") | (F.length(k) > K.MAX_TAG_LEN) | k.isin(*K.IGNORE_TAGS)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and pass it to ``body`` (a one-element
-    array keeps Spark from re-evaluating it inside every lambda call)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _junk_key(k: Column) -> Column:
     return k.isNull() | (k == "") | (F.length(k) > K.MAX_TAG_LEN) | k.isin(*K.IGNORE_TAGS)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .common import let
 
 _RE = K.URL_REGEX
 # Schemes for which urlunsplit writes '//' even with an empty netloc.
@@ -153,9 +154,6 @@ def same_site(host: Column, base_host: Column) -> Column:
 
 HREF_PATTERN = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 
-# A relative reference whose path has '.' or '..' segments needs RFC 3986
-# dot-segment removal; only those rows take the Python ``urljoin`` path.
-DOT_SEGMENT = r"(^|/)\.\.?(/|$|[?#])"
 
 
 def hrefs(html: Column) -> Column:
@@ -163,37 +161,99 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(HREF_PATTERN), F.lit(1))
 
 
-def needs_python_join(href: Column) -> Column:
-    return F.regexp_extract(href, r"^[^?#]*", 0).rlike(DOT_SEGMENT) & ~href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
-
-
 def base_parts(base: Column) -> Column:
     """The pieces of a page URL that reference resolution needs; computed
     once per page, before its hrefs are exploded."""
     b_path = url_path(base)
-    b_dir = F.regexp_replace(b_path, r"[^/]*$", "")
     return F.struct(
         F.regexp_extract(base, _RE, 2).alias("scheme"),
         F.concat(F.regexp_extract(base, _RE, 2), F.lit("://"), url_netloc(base)).alias("origin"),
         b_path.alias("path"),
-        F.when(b_dir == "", F.lit("/")).otherwise(b_dir).alias("dir"),
-        strip_fragment(base).alias("nofrag"),
+        url_query(base).alias("query"),
         base.alias("base"))
 
 
+def _merge_path(base_path: Column, ref_path: Column) -> Column:
+    """``urljoin``'s path step: merge with the base directory (relative
+    references), then remove '.' and '..' segments with a stack."""
+    def body(p: Column) -> Column:
+        base_segs, ref = p["base_segs"], p["ref"]
+        base_dir = F.when(F.element_at(base_segs, -1) != "",
+                          F.slice(base_segs, 1, F.size(base_segs) - 1)).otherwise(base_segs)
+        return let(F.struct(F.concat(base_dir, F.split(ref, "/")).alias("merged"), ref.alias("ref")), tail)
+
+    def tail(q: Column) -> Column:
+        merged, ref = q["merged"], q["ref"]
+        # inside a relative merge, empty middle segments vanish (no '//')
+        rel = F.filter(merged, lambda seg, i: (i == 0) | (i == F.size(merged) - 1) | (seg != ""))
+        segs = F.when(ref.startswith("/"), F.split(ref, "/")).otherwise(rel)
+        return let(segs, finish)
+
+    def finish(segs: Column) -> Column:
+        stack = F.aggregate(
+            segs, F.array().cast("array<string>"),
+            lambda acc, seg: F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(seg == ".", acc)
+            .otherwise(F.concat(acc, F.array(seg))))
+        stack = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(stack, F.array(F.lit("")))).otherwise(stack)
+        joined = F.array_join(stack, "/")
+        joined = F.when(joined == "", F.lit("/")).otherwise(joined)
+        return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+    return let(F.struct(F.split(base_path, "/").alias("base_segs"), ref_path.alias("ref")), body)
+
+
+# Schemes for which urljoin resolves relative references (FIXED VALUES,
+# Python's ``urllib.parse.uses_relative``).
+USES_RELATIVE = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
+                 "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
+
+
 def resolve_with_parts(b: Column, href: Column) -> Column:
-    """``urljoin(base, href)`` for references without dot segments, given
-    :func:`base_parts` of the base: absolute, scheme-relative, root-relative,
-    query-only, fragment-only, empty and plain relative paths.  Rows with dot
-    segments go through the Python ``urljoin`` path instead (see
-    ``operators.links.resolve_links``)."""
-    return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-            .when(href.startswith("//"), F.concat(b["scheme"], F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(b["origin"], href))
-            .when(href == "", b["base"])
-            .when(href.startswith("#"), F.concat(b["nofrag"], href))
-            .when(href.startswith("?"), F.concat(b["origin"], b["path"], href))
-            .otherwise(F.concat(b["origin"], b["dir"], href)))
+    """``urljoin(base, href)`` with JVM expressions, given :func:`base_parts`
+    of the base: other-scheme references stay as they are; scheme-relative
+    references take the base scheme; empty-path references keep the base
+    path (and the base query unless one is given); path references are
+    merged with the base directory and cleaned of dot segments.  Schemes are
+    lower-cased and empty query / fragment markers dropped, as
+    ``urlunparse`` does.  Intermediate values are bound once with
+    :func:`let` so the expression stays small wherever it is used."""
+    def step1(p: Column) -> Column:
+        href_, b_, h_scheme = p["href"], p["b"], p["h_scheme"]
+        b_scheme = F.lower(b_["scheme"])
+        same = (h_scheme != "") & (h_scheme == b_scheme) & h_scheme.isin(*USES_RELATIVE)
+        ref = F.when(same, href_.substr(F.length(h_scheme) + 2, F.length(href_))).otherwise(href_)
+        return let(F.struct(href_.alias("href"), b_.alias("b"), b_scheme.alias("b_scheme"),
+                            ((h_scheme != "") & ~same).alias("other"), ref.alias("ref")), step2)
+
+    def step2(p: Column) -> Column:
+        ref = p["ref"]
+        lead = F.regexp_extract(ref, r"^[^?#]*", 0)
+        return let(F.struct(p["href"].alias("href"), p["b"].alias("b"), p["b_scheme"].alias("b_scheme"),
+                            p["other"].alias("other"), ref.alias("ref"), lead.alias("lead"),
+                            F.regexp_extract(ref, r"^[^?#]*\?([^#]*)", 1).alias("query"),
+                            F.regexp_extract(ref, r"^[^#]*#(.*)$", 1).alias("frag"),
+                            (F.regexp_extract(ref, r"^//([^/?#]*)", 1) != "").alias("has_netloc"),
+                            # '//' with an empty authority: the rest is a path on the base host
+                            F.when(ref.startswith("//"), lead.substr(F.lit(3), F.length(lead)))
+                             .otherwise(lead).alias("path")), step3)
+
+    def step3(p: Column) -> Column:
+        b_, query, frag, path = p["b"], p["query"], p["frag"], p["path"]
+        q_part = F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
+        f_part = F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(F.lit(""))
+        origin = F.concat(p["b_scheme"], F.lit("://"), url_netloc(b_["base"]))
+        q_keep = F.when(query != "", query).otherwise(b_["query"])
+        empty_path_ref = F.concat(origin, b_["path"],
+                                  F.when(q_keep != "", F.concat(F.lit("?"), q_keep)).otherwise(F.lit("")), f_part)
+        return (F.when(p["other"], p["href"])
+                .when(p["href"] == "", b_["base"])
+                .when(p["has_netloc"], F.concat(p["b_scheme"], F.lit(":"), p["lead"], q_part, f_part))
+                .when(path == "", empty_path_ref)
+                .otherwise(F.concat(origin, _merge_path(b_["path"], path), q_part, f_part)))
+
+    h_scheme = F.lower(F.regexp_extract(href, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return let(F.struct(href.alias("href"), b.alias("b"), h_scheme.alias("h_scheme")), step1)
 
 
 def resolve_href(base: Column, href: Column) -> Column:

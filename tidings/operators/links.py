@@ -2,42 +2,34 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.urls import (base_parts, canonicalize_url, hrefs, in_crawl_scope, is_ignored_url,
-                              needs_python_join, resolve_with_parts, same_site, strip_fragment,
-                              url_hostname, url_netloc, url_scheme)
-
-
-@F.pandas_udf(T.StringType())
-def urljoin_udf(base: pd.Series, href: pd.Series) -> pd.Series:
-    """Python ``urljoin`` for the rare references with dot segments."""
-    from urllib.parse import urljoin
-    return pd.Series([urljoin(b, h) if b is not None and h is not None else None
-                      for b, h in zip(base, href)], dtype=object)
+                              resolve_with_parts, same_site, strip_fragment, url_hostname, url_netloc,
+                              url_scheme)
 
 
 def page_hrefs(pages: DataFrame, base_col: str = "url", extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per non-empty href: ``page_id, base, pos, href`` (+ extra).
-    The base URL is parsed once per page (``_b``), not once per href."""
+    """One row per non-empty href: ``page_id, base, pos, href, absolute``
+    (+ extra).  The base URL is parsed once per page, and every href is
+    resolved once, inside a ``transform`` before the explode -- the generator
+    hands later filters a plain column instead of the resolution
+    expression."""
     per_page = pages.select("page_id", F.col(base_col).alias("base"), *extra,
                             base_parts(F.col(base_col)).alias("_b"), hrefs(F.col("html")).alias("_hrefs"))
-    ex = per_page.select("page_id", "base", *extra, "_b", F.posexplode("_hrefs").alias("pos", "href"))
-    return ex.where(F.col("href") != "").withColumn("pos", F.col("pos").cast("bigint"))
+    resolved = F.transform("_hrefs", lambda h: F.struct(h.alias("href"),
+                                                         resolve_with_parts(F.col("_b"), h).alias("absolute")))
+    ex = per_page.select("page_id", "base", *extra, F.posexplode(resolved).alias("pos", "_r"))
+    ex = ex.select("page_id", "base", *extra, F.col("pos").cast("bigint").alias("pos"), "_r.href", "_r.absolute")
+    return ex.where(F.col("href") != "")
 
 
 def resolve_links(df: DataFrame) -> DataFrame:
-    """Adds ``absolute`` = ``urljoin(base, href)``.  Plain references resolve
-    with JVM expressions; only dot-segment references reach Python."""
+    """Adds ``absolute`` = ``urljoin(base, href)``, all JVM-side."""
     if "_b" not in df.columns:
         df = df.withColumn("_b", base_parts(F.col("base")))
-    slow_cond = needs_python_join(F.col("href"))
-    fast = df.where(~slow_cond).withColumn("absolute", resolve_with_parts(F.col("_b"), F.col("href")))
-    slow = df.where(slow_cond).withColumn("absolute", urljoin_udf(F.col("base"), F.col("href")))
-    return fast.unionByName(slow).drop("_b")
+    return df.withColumn("absolute", resolve_with_parts(F.col("_b"), F.col("href"))).drop("_b")
 
 
 def extract_links(pages: DataFrame, base_col: str = "url", host_col: str = "hostname") -> DataFrame:
@@ -45,8 +37,7 @@ def extract_links(pages: DataFrame, base_col: str = "url", host_col: str = "host
     dropped, the page itself excluded.  No canonicalisation or junk filter
     here (the reference applies neither at this step)."""
     ex = page_hrefs(pages.withColumn("_host", F.col(host_col)), base_col, ("_host",))
-    res = (resolve_links(ex).withColumn("link", strip_fragment(F.col("absolute")))
-           .withColumn("_lhost", url_hostname(F.col("link"))))
+    res = ex.withColumn("link", strip_fragment(F.col("absolute"))).withColumn("_lhost", url_hostname(F.col("link")))
     host = F.col("_lhost")
     ok = (url_scheme(F.col("link")).isin("http", "https") & host.isNotNull()
           & same_site(host, F.col("_host"))

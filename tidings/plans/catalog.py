@@ -289,7 +289,7 @@ def q_filter_links(spark, sf):
 
 @query("crawl_scope")
 def q_crawl_scope(spark, sf):
-    resolved = LK.resolve_links(LK.page_hrefs(td.read_table(spark, sf, "pages")))
+    resolved = LK.page_hrefs(td.read_table(spark, sf, "pages"))
     return LK.crawl_scope(resolved).select("page_id", "pos", "absolute", "in_scope")
 
 

@@ -32,16 +32,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df, TABLE_KEYS.get(name))
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+SPREAD_MIN_BYTES = 4 << 20
+
+
+def spread(df: DataFrame, key: str | None = None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     """Hash-partition a scan that yields fewer partitions than the cluster
-    has cores (one large row group is one task), so CPU-heavy per-row work
-    (tokenising, regexes, hashing) runs on every core.  With many input
-    files -- the normal case at scale -- this is a no-op and adds no
-    shuffle.  Filters and column pruning still reach the scan, and a later
-    aggregation on the same key reuses this partitioning."""
+    has cores (one large row group is one task) and is big enough for that
+    to matter, so CPU-heavy per-row work (tokenising, regexes, hashing) runs
+    on every core.  With many input files -- the normal case at scale --
+    this is a no-op and adds no shuffle.  Filters and column pruning still
+    reach the scan, and a later aggregation on the same key reuses this
+    partitioning."""
     want = df.sparkSession.sparkContext.defaultParallelism
     if want <= 1 or df.rdd.getNumPartitions() >= want:
         return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < min_bytes:
+        return df
     return df.repartition(want, key) if key else df.repartition(want)
 
 
