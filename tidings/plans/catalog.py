@@ -15,11 +15,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.common import report, ts_lit, whole_days
+from .. import schemas as SC
+from ..functions import simhash as SH
+from ..functions import tags as TG
+from ..functions import text as TX
+from ..functions import urls as U
+from ..functions.common import report, ts_lit
 from ..functions.feed import decay, jaccard
+from ..functions.text import html_title, page_chunks
+from ..operators import dedup
+from ..operators import enrich as EN
+from ..operators import frontier as FR
+from ..operators import links as LK
 from ..operators import profile as prof
+from ..operators import quality as QA
 from ..operators import scoring, selection
+from ..operators import tables as TB
+from ..session import scratch_path
 from ..sources import testdata as td
+from ..sources.sinks import publish_feed
+from ..streaming import jobs as ST
+from .feed import build_feed
+from . import crawl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ROWS_ONLY: set[str] = set()
@@ -157,11 +174,6 @@ def q_mark_shown(spark, sf):
 
 # ---------------------------------------------------------------- SimHash / dedup
 
-from ..functions import simhash as SH  # noqa: E402
-from ..functions.text import html_title, page_chunks  # noqa: E402
-from ..operators import dedup  # noqa: E402
-from . import crawl  # noqa: E402
-
 
 def _doc_fp(spark, sf):
     docs = td.read_table(spark, sf, "documents")
@@ -243,10 +255,6 @@ def q_content_ingest(spark, sf):
 
 # ---------------------------------------------------------------- URLs and links
 
-from ..functions import urls as U  # noqa: E402
-from ..operators import frontier as FR  # noqa: E402
-from ..operators import links as LK  # noqa: E402
-
 
 def _pages_with_host(spark, sf):
     p = td.read_table(spark, sf, "pages")
@@ -424,11 +432,6 @@ def q_claim_content(spark, sf):
     return out.select("id", "pipeline_state", "applied")
 
 
-from ..functions import tags as TG  # noqa: E402
-from ..functions import text as TX  # noqa: E402
-from ..operators import enrich as EN  # noqa: E402
-
-
 @query("thin_content")
 def q_thin_content(spark, sf):
     c = td.content(spark, sf)
@@ -541,10 +544,6 @@ def q_apply_enrichment(spark, sf):
 
 # ---------------------------------------------------------------- table API
 
-from ..operators import quality as QA  # noqa: E402
-from ..operators import tables as TB  # noqa: E402
-from .. import schemas as SC  # noqa: E402
-
 
 @query("list_sources")
 def q_list_sources(spark, sf):
@@ -645,11 +644,6 @@ def q_tag_score_upsert(spark, sf):
 
 # ---------------------------------------------------------------- streaming and sinks
 
-from ..session import scratch_path  # noqa: E402
-from ..streaming import jobs as ST  # noqa: E402
-from ..sources.sinks import publish_feed  # noqa: E402
-from .feed import build_feed  # noqa: E402
-
 
 @query("stream_interactions", rows_only=True)
 def q_stream_interactions(spark, sf):

@@ -9,7 +9,7 @@ from .. import constants as K
 from ..functions import simhash as SH
 from ..functions.common import ts_lit
 from ..functions.text import html_title, page_chunks
-from ..functions.urls import is_ignored_url, url_netloc
+from ..functions.urls import is_ignored_url
 from ..operators.dedup import dedup_content, near_dup_urls, with_bands, doc_simhash
 
 
