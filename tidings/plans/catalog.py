@@ -181,9 +181,12 @@ def _doc_fp(spark, sf):
 
 
 def _content_fp(spark, sf):
-    """Content rows with their fingerprint and scrape time."""
+    """Content rows with their fingerprint and scrape time, written once to
+    the shared checkpoint folder: the stored and the incoming side both read
+    it, and a stored content table carries this column anyway."""
+    from ..session import cut_lineage
     c = td.content(spark, sf).select("id", "url", "text", "scraped_at")
-    return c.join(dedup.doc_simhash(c, "id", "text"), "id")
+    return cut_lineage(c.drop("text").join(dedup.doc_simhash(c, "id", "text"), "id"))
 
 
 INCOMING_SINCE = "2024-01-16 00:00:00"  # FIXTURES B4: the last 15 days are new

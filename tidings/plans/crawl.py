@@ -30,9 +30,13 @@ def content_ingest(pages: DataFrame, existing: DataFrame, as_of=None,
     ``simhash``.  With ``dedup_in_batch`` only the first page (lowest id) of
     each exact fingerprint in the batch is kept.
     """
+    from ..session import cut_lineage
     pages_ok = crawl_pages(pages).withColumn("text", F.array_join("chunks", "\n"))
     fp = doc_simhash(pages_ok.select(F.col("page_id").alias("id"), "text"))
-    inc = pages_ok.drop("text").join(fp.withColumnRenamed("id", "page_id"), "page_id").withColumnRenamed("page_id", "id")
+    # The fingerprinted batch feeds the band join and the anti-join: write it
+    # once to the shared checkpoint folder rather than parse the HTML twice.
+    inc = cut_lineage(pages_ok.drop("text").join(fp.withColumnRenamed("id", "page_id"), "page_id")
+                      .withColumnRenamed("page_id", "id"))
     dups = near_dup_urls(inc, existing, threshold)
     fresh = dedup_content(inc, dups)
     if dedup_in_batch:
