@@ -69,3 +69,25 @@ def test_graders(spark):
     rate = EN.enrichment_pass_rate(EN.grade_enrichment(cases)).first()
     assert rate["n_assertions"] == 32 and rate["n_passed"] == 8 + 8 + 2 + 7
     assert rate["pass_rate"] == pytest.approx(25 / 32)
+
+
+def test_allow_list_with_flags(spark):
+    vocab = ["Spark", "joins", "cooking"]
+
+    def flag_model(prompt):
+        return {"summary": "s", "flags": [True, True, False], "tags": ["ignored"]}
+
+    res = EN.enrich_content(_claimed(spark), model=flag_model, allowed_tags=vocab).where(F.col("id") == 1).first()
+    assert res["tags"] == ["spark", "joins"]
+
+    def list_model(prompt):
+        return {"summary": "s", "tags": ["Cooking", "rust", "spark"]}
+
+    res = EN.enrich_content(_claimed(spark), model=list_model, allowed_tags=vocab).where(F.col("id") == 1).first()
+    assert res["tags"] == ["cooking", "spark"]
+
+
+def test_concurrent_calls_keep_order(spark):
+    seq = EN.enrich_content(_claimed(spark)).orderBy("id").collect()
+    par = EN.enrich_content(_claimed(spark), max_workers=4).orderBy("id").collect()
+    assert [tuple(r) for r in seq] == [tuple(r) for r in par]

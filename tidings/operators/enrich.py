@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.tags import finalize_tags, normalize_tags
+from ..functions.tags import finalize_tags, normalize_tags, tags_from_flags
 from ..functions.text import PY_SPACE, build_enrich_input, join_chunks, thin_content_reason
 
 Model = Callable[[str], dict]
@@ -42,37 +42,54 @@ def keyword_model(prompt: str) -> dict:
     return {"summary": summary, "tags": tags}
 
 
-ENRICH_SCHEMA = "id long, summary string, raw_tags array<string>, error string, tries int"
+ENRICH_SCHEMA = "id long, summary string, raw_tags array<string>, flags array<boolean>, error string, tries int"
 
 
-def _runner(model: Model, max_tries: int):
+def _runner(model: Model, max_tries: int, max_workers: int = 1):
+    def one(prompt: str):
+        summary, tags, flags, err, tries = None, None, None, None, 0
+        while tries < max_tries:
+            tries += 1
+            try:
+                res = model(prompt)
+                summary, err = res.get("summary"), None
+                tags = list(res.get("tags") or [])
+                flags = [bool(f) for f in res["flags"]] if res.get("flags") is not None else None
+                break
+            except Exception as e:  # the error is recorded as data
+                err = str(e)
+        return summary, tags, flags, err, tries
+
     def run(batches):
-        for pdf in batches:
-            out = {"id": [], "summary": [], "raw_tags": [], "error": [], "tries": []}
-            for rid, prompt in zip(pdf["id"], pdf["prompt"]):
-                summary, tags, err, tries = None, None, None, 0
-                while tries < max_tries:
-                    tries += 1
-                    try:
-                        res = model(prompt)
-                        summary, tags, err = res.get("summary"), list(res.get("tags") or []), None
-                        break
-                    except Exception as e:  # the error is recorded as data
-                        err = str(e)
-                out["id"].append(int(rid))
-                out["summary"].append(summary)
-                out["raw_tags"].append(tags)
-                out["error"].append(err)
-                out["tries"].append(tries)
-            yield pd.DataFrame(out)
+        from concurrent.futures import ThreadPoolExecutor
+        pool = ThreadPoolExecutor(max_workers) if max_workers > 1 else None
+        try:
+            for pdf in batches:
+                prompts = list(pdf["prompt"])
+                results = list(pool.map(one, prompts)) if pool else [one(p) for p in prompts]
+                cols = list(zip(*results)) if results else [[]] * 5
+                yield pd.DataFrame({"id": [int(i) for i in pdf["id"]], "summary": list(cols[0]),
+                                    "raw_tags": list(cols[1]), "flags": list(cols[2]),
+                                    "error": list(cols[3]), "tries": list(cols[4])})
+        finally:
+            if pool:
+                pool.shutdown()
     return run
 
 
 def enrich_content(claimed: DataFrame, model: Model = keyword_model,
-                   max_tries: int = K.ENRICH_MAX_TRIES) -> DataFrame:
+                   max_tries: int = K.ENRICH_MAX_TRIES, allowed_tags: list[str] | None = None,
+                   max_workers: int = 1) -> DataFrame:
     """Enrichment result per claimed row:
     ``id, summary, tags, error`` where exactly one of (tags/summary, error)
-    is set.  ``claimed`` needs ``id, chunks, title, url``."""
+    is set.  ``claimed`` needs ``id, chunks, title, url``.
+
+    Without ``allowed_tags`` (what the reference worker does) the model's
+    free-form tags are cleaned of boilerplate.  With a vocabulary the model
+    may answer one boolean per vocabulary entry (``flags``, E2); the chosen
+    tags are decoded in vocabulary order and kept only if allowed.
+    ``max_workers`` > 1 overlaps I/O-bound model calls inside each task
+    (order is kept; every row still gets its own ``max_tries``)."""
     rows = claimed.select("id", "chunks", "title", "url")
     text = join_chunks(F.col("chunks"))
     gated = rows.select(
@@ -83,11 +100,14 @@ def enrich_content(claimed: DataFrame, model: Model = keyword_model,
     to_model = gated.where(F.col("gate_error").isNull()).select(
         F.col("id").cast("long").alias("id"),
         build_enrich_input(F.col("text"), F.col("title"), F.col("url")).alias("prompt"))
-    answered = to_model.mapInPandas(_runner(model, max_tries), ENRICH_SCHEMA)
-    ok = answered.select(
-        "id", "summary",
-        F.when(F.col("error").isNull(), finalize_tags(F.col("raw_tags"))).alias("tags"),
-        "error")
+    answered = to_model.mapInPandas(_runner(model, max_tries, max_workers), ENRICH_SCHEMA)
+    if allowed_tags:
+        vocab = F.array(*[F.lit(t) for t in allowed_tags])
+        raw = F.when(F.col("flags").isNotNull(), tags_from_flags(vocab, F.col("flags"))).otherwise(F.col("raw_tags"))
+        final = finalize_tags(raw, vocab)
+    else:
+        final = finalize_tags(F.col("raw_tags"))
+    ok = answered.select("id", "summary", F.when(F.col("error").isNull(), final).alias("tags"), "error")
     rejected = gated.where(F.col("gate_error").isNotNull()).select(
         F.col("id").cast("long").alias("id"), F.lit(None).cast("string").alias("summary"),
         F.lit(None).cast("array<string>").alias("tags"), F.col("gate_error").alias("error"))
