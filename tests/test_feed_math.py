@@ -193,3 +193,24 @@ def test_many_feeds_match_single_feed(spark):
         for f, frows in feeds.items():
             got = [r["id"] for r in sorted((r for r in many if r["feed_id"] == f), key=lambda r: r["pick"])]
             assert got == _greedy(frows, limit), (f, limit)
+
+
+def test_serialize_and_publish(spark, tmp_path):
+    import json
+    from tidings.sources.sinks import publish_feed
+    scored = _scored_frame(spark, SELECTION_ROWS).withColumn("url", F.concat(F.lit("https://x/"), F.col("id"))) \
+        .withColumn("title", F.when(F.col("id") == "A", F.lit(None).cast("string")).otherwise(F.col("id"))) \
+        .withColumn("summary", F.lit(None).cast("string"))
+    feed = selection.select_feed(scored, 4)
+    payload = selection.serialize_feed(feed, "2024-01-31 08:30:00")
+    doc = json.loads(payload.first()["payload"])
+    assert doc["date"] == "2024-01-31" and doc["generated_at"] == "2024-01-31T08:30:00+00:00"
+    assert doc["count"] == 4 and [i["id"] for i in doc["items"]] == ["A", "C", "E", "F"]
+    assert doc["items"][0]["title"] is None and "summary" in doc["items"][0]
+    assert doc["items"][0]["scraped_at"] == "2024-01-31T00:00:00+00:00"
+    out = str(tmp_path / "feeds")
+    assert publish_feed(payload, out) == (True, None)
+    again = selection.serialize_feed(feed.limit(2), "2024-01-31 09:00:00")
+    assert publish_feed(again, out) == (True, None)  # same day: overwritten
+    files = spark.read.text(out).collect()
+    assert len(files) == 1 and json.loads(files[0]["value"])["count"] == 2

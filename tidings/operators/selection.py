@@ -139,23 +139,35 @@ def select_feed(scored: DataFrame, limit: int = K.FEED_LIMIT, prune: bool = True
     return out.withColumn("bucket", bucket).orderBy("rank")
 
 
+def utc_isoformat(ts: Column) -> Column:
+    """Python ``datetime.isoformat()`` of a UTC time: fractional seconds only
+    when non-zero, ``+00:00`` suffix."""
+    frac = F.date_format(ts, "SSSSSS")
+    return F.when(ts.isNull(), F.lit(None).cast("string")).otherwise(
+        F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
+                 F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")),
+                 F.lit("+00:00")))
+
+
 def serialize_feed(feed: DataFrame, generated_at: str | _dt.datetime | None = None) -> DataFrame:
     """One row ``(date, generated_at, count, payload)`` where payload is
-    the JSON document with ordered ``items``.  The feed holds at most
-    ``limit`` rows, so one group is bounded."""
+    the JSON document ``{date, generated_at, count, items}`` with the items in
+    rank order and null fields kept.  The feed holds at most ``limit`` rows,
+    so the one group is bounded."""
     gen = ts_lit(generated_at)
     item = F.struct(
         F.col("rank"),
         F.struct(F.col("id").cast("string").alias("id"), "url", "title", "summary", "tags", "score",
-                 F.date_format("scraped_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("scraped_at")).alias("item"))
+                 utc_isoformat(F.col("scraped_at")).alias("scraped_at")).alias("item"))
     agg = feed.agg(F.sort_array(F.collect_list(item)).alias("ranked"), F.count(F.lit(1)).alias("count"))
     items = F.transform("ranked", lambda x: x["item"])
     out = agg.select(
         F.date_format(gen, "yyyy-MM-dd").alias("date"),
-        F.date_format(gen, "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"),
+        utc_isoformat(gen).alias("generated_at"),
         F.col("count"),
         items.alias("items"))
-    return out.withColumn("payload", F.to_json(F.struct("date", "generated_at", "count", "items")))
+    doc = F.to_json(F.struct("date", "generated_at", "count", "items"), {"ignoreNullFields": "false"})
+    return out.withColumn("payload", doc)
 
 
 def mark_shown(content: DataFrame, feed: DataFrame, as_of=None) -> DataFrame:

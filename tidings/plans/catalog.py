@@ -680,7 +680,9 @@ def q_publish_feed(spark, sf):
     ok, err = publish_feed(selection.serialize_feed(feed), out)
     if not ok:
         raise err
-    return spark.read.json(out).select("date", "generated_at", "count")
+    doc = F.from_json("value", "generated_at string, count long")
+    return spark.read.text(out).select("date", doc["generated_at"].alias("generated_at"),
+                                       doc["count"].alias("count"))
 
 
 @query("build_feed", rows_only=True)

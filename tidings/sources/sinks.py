@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 
 
 def publish_feed(payload: DataFrame, out_dir: str) -> tuple[bool, Exception | None]:
-    """One JSON document per day under ``<out_dir>/date=<date>/``.
+    """The day's JSON document under ``<out_dir>/date=<date>/``.
 
-    Dynamic partition overwrite replaces only the days present in ``payload``,
-    so a same-day rerun overwrites that day and leaves other days alone.
+    The serialised ``payload`` is written as text, one document per day.
+    Dynamic partition overwrite replaces only the days present in
+    ``payload``, so a same-day rerun overwrites that day and leaves other
+    days alone.
     """
     try:
-        (payload.select("date", "generated_at", "count", "items")
+        (payload.select("date", "payload")
          .coalesce(1)
          .write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy("date")
-         .json(out_dir))
+         .text(out_dir))
         return True, None
     except Exception as e:  # surfaced to the caller like the reference does
         return False, e
