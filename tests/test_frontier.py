@@ -131,3 +131,26 @@ def test_content_claim(spark):
     out = {r["id"]: r for r in FR.claim_content(content, spark.createDataFrame([(1,), (2,)], "id long")).collect()}
     assert out[1]["pipeline_state"] == K.PIPE_SUMMARIZING and out[1]["applied"]
     assert out[2]["pipeline_state"] == K.PIPE_COMPLETED and not out[2]["applied"]
+
+
+def test_crawl_round(spark):
+    from tidings.plans.crawl import crawl_round
+    urls = _urls(spark, [("1", "https://a/src", "a", "source", K.CRAWL_SUCCESS, -1, 1),
+                         ("2", "https://a/p1", "a", "url", K.CRAWL_QUEUED, -1, 2),
+                         ("3", "https://c/p2", "c", "url", K.CRAWL_QUEUED, -1, 3)]).withColumn("id", F.col("id").cast("long"))
+    urls = urls.withColumn("retry_count", F.lit(0).cast("bigint")).withColumn("priority_score", F.lit(0.0))
+    html_src = '<a href="/new-post">n</a><a href="/p1">old</a>'
+    html_page = "<html><head><title>T</title></head><body><p>" + ("word " * 80) + "</p></body></html>"
+    pages = spark.createDataFrame([(1, "https://a/src", html_src), (3, "https://c/p2", html_page)],
+                                  "page_id long, url string, html string")
+    existing = spark.createDataFrame([], "url string, simhash long")
+    url_table, hosts, content = crawl_round(urls, _hosts(spark), pages, existing, AS_OF)
+    u = {r["url"]: r for r in url_table.collect()}
+    assert u["https://a/src"]["crawl_state"] == K.CRAWL_SUCCESS
+    assert str(u["https://a/src"]["next_crawl_at"]) == "2024-01-31 18:00:00"   # source recurs in 6 h
+    assert u["https://a/new-post"]["crawl_state"] == K.CRAWL_QUEUED           # discovered
+    assert u["https://a/p1"]["crawl_state"] == K.CRAWL_QUEUED                 # not the host head this round
+    assert u["https://c/p2"]["crawl_state"] == K.CRAWL_SUCCESS
+    assert [r["url"] for r in content.collect()] == ["https://c/p2"]
+    h = {r["name"]: r for r in hosts.collect()}
+    assert h["a"]["crawl_count"] == 1 and h["c"]["crawl_count"] == 1 and h["b"]["crawl_count"] == 0

@@ -700,3 +700,15 @@ def q_select_feeds(spark, sf):
     scored = _scored(spark, sf).withColumn("feed_id", F.col("hostname"))
     out = selection.select_feeds(scored, "feed_id", K.FEED_LIMIT)
     return report(out.select("feed_id", "id", "rank", "bucket", "score"))
+
+
+@query("crawl_round", rows_only=True)
+def q_crawl_round(spark, sf):
+    """One batch pass of the crawl loop; reports the URL table by state."""
+    existing = _content_fp(spark, sf).select("url", "simhash")
+    url_table, hosts, new_content = crawl.crawl_round(td.urls(spark, sf), td.hostnames(spark, sf),
+                                                      td.read_table(spark, sf, "pages"), existing)
+    states = url_table.groupBy("kind", "crawl_state").agg(F.count(F.lit(1)).alias("n"))
+    ingested = new_content.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("content").alias("kind"), F.lit(K.PIPE_PENDING).alias("crawl_state"), "n")
+    return states.unionByName(ingested)

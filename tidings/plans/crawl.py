@@ -76,3 +76,54 @@ def discover_sources(urls: DataFrame, pages: DataFrame, as_of=None) -> tuple[Dat
     table = FR.bump_sources(claimed.drop("applied"), won.select("id"), as_of).drop("applied")
     done = FR.apply_url_outcomes(table, won.select("id", F.lit(True).alias("success")), as_of)
     return new_rows, done
+
+
+def crawl_round(urls: DataFrame, hostnames: DataFrame, pages: DataFrame, existing: DataFrame,
+                as_of=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass of the crawl loop as a batch job.
+
+    Front queue -> the head URL of every due host -> host lease -> URL claim
+    -> sources: link discovery (new URL rows, next crawl in 6 h); pages:
+    content ingest with the near-duplicate check against ``existing``
+    (``url``, ``simhash``) -> SUCCESS for every claimed URL (a page that
+    yields no new content still completes, as in the reference) -> host
+    counters, rescheduled from their scheduled time.
+
+    Returns ``(url_table, hostname_table, new_content_rows)``.
+    """
+    from .. import schemas as SC
+    from ..operators import frontier as FR
+    from ..operators.links import extract_links
+
+    front = FR.front_queue(urls, as_of)
+    heads = FR.due_host_heads(front, hostnames, as_of)
+    leased = FR.lease_hostnames(hostnames, heads.select(F.col("hostname").alias("id")), as_of)
+    won_hosts = leased.where(F.col("applied")).select(F.col("name").alias("hostname"))
+    claimed = FR.claim_urls(urls, heads.join(won_hosts, "hostname", "left_semi").select("id"), as_of)
+    won = claimed.where(F.col("applied")).select("id", "url", "hostname", "kind", "sequence")
+    claimed = claimed.drop("applied")
+
+    # sources: discover links
+    src = won.where(F.col("kind") == "source").select(
+        F.col("id").alias("page_id"), F.col("url").alias("source"), F.col("sequence").alias("source_seq"), "hostname")
+    src_pages = pages.select("page_id", "html").join(src, "page_id").withColumn("url", F.col("source"))
+    links = extract_links(src_pages).join(src.select("page_id", "source", "source_seq"), "page_id")
+    new_urls = FR.create_source_urls(links, urls, as_of)
+    bumped = FR.bump_sources(claimed, src.select(F.col("page_id").alias("id")), as_of).drop("applied")
+
+    # pages: ingest content
+    crawl_batch = pages.join(won.where(F.col("kind") != "source").select(F.col("id").alias("page_id")), "page_id")
+    new_content = content_ingest(crawl_batch, existing, as_of)
+
+    outcomes = won.select("id", "hostname", F.lit(True).alias("success"))
+    url_table = FR.apply_url_outcomes(bumped, outcomes, as_of).drop("applied")
+    url_table = FR.enqueue(url_table, new_urls.withColumn("sequence", F.lit(None).cast("bigint")), SC.URL)
+    # crawled hosts: counters, rescheduled from their scheduled time; hosts
+    # leased without a completed crawl keep the lease
+    hosts = FR.hostname_stats(hostnames, outcomes, as_of)
+    lease = leased.where(F.col("applied")).select("id", F.col("next_allowed_at").alias("_lease"))
+    hosts = (hosts.join(lease, "id", "left")
+             .withColumn("next_allowed_at", F.when(~F.col("applied") & F.col("_lease").isNotNull(), F.col("_lease"))
+                         .otherwise(F.col("next_allowed_at")))
+             .drop("applied", "_lease"))
+    return url_table, hosts, new_content
