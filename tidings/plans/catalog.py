@@ -35,6 +35,7 @@ from ..session import scratch_path
 from ..sources import testdata as td
 from ..sources.sinks import publish_feed
 from ..streaming import jobs as ST
+from .enrichment import enrichment_run
 from .feed import build_feed
 from . import crawl
 
@@ -525,24 +526,16 @@ def q_enrichment_pass_rate(spark, sf):
     return report(EN.enrichment_pass_rate(EN.grade_enrichment(_grading_cases(spark, sf))))
 
 
-def _enriched(spark, sf):
-    content = td.content(spark, sf)
-    queue = FR.content_queue(content)
-    claimed = FR.claim_content(content, queue.select("id")).where(F.col("applied"))
-    return content, EN.enrich_content(claimed)
-
-
 @query("enrich_content", rows_only=True)
 def q_enrich_content(spark, sf):
-    _, res = _enriched(spark, sf)
+    _, res = enrichment_run(td.content(spark, sf))
     return report(res)
 
 
 @query("apply_enrichment", rows_only=True)
 def q_apply_enrichment(spark, sf):
-    content, res = _enriched(spark, sf)
-    out = EN.apply_enrichment(content, res)
-    return report(out.select("id", "pipeline_state", "summary", "tags", "pipeline_error"))
+    snapshot, _ = enrichment_run(td.content(spark, sf))
+    return report(snapshot.select("id", "pipeline_state", "summary", "tags", "pipeline_error"))
 
 
 # ---------------------------------------------------------------- table API
