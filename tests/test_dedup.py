@@ -86,3 +86,15 @@ def test_candidates_count_without_pairs(spark):
     r = dedup.near_dup_candidates(inc, ex.withColumn("url", F.lit("e"))).first()
     # bands 0,1,3 shared by all three rows, band 2 by the two exact copies
     assert (r["band_hits"], r["exact_hits"]) == (11, 2)
+
+
+def test_simhash_text_round_trip(spark):
+    from tidings.functions import simhash as SH
+    vals = [0, 1, -1, 2 ** 63 - 1, -(2 ** 63), 123456789]
+    df = spark.createDataFrame([(v,) for v in vals], "h long")
+    rows = df.select("h", SH.unsigned_text(F.col("h")).alias("t")).select(
+        "h", "t", SH.from_text(F.col("t")).alias("back")).collect()
+    for r in rows:
+        assert r["t"] == str(r["h"] % (1 << 64)) and r["back"] == r["h"]
+    odd = spark.createDataFrame([("abc",), ("",), ("-5",)], "t string").select(SH.from_text(F.col("t")).alias("v"))
+    assert [r["v"] for r in odd.collect()] == [None, None, -5]
