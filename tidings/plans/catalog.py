@@ -181,13 +181,24 @@ def _doc_fp(spark, sf):
     return dedup.doc_simhash(docs, "doc_id", "text")
 
 
+_DERIVED: dict[tuple[str, str], str] = {}
+
+
 def _content_fp(spark, sf):
-    """Content rows with their fingerprint and scrape time, written once to
-    the shared checkpoint folder: the stored and the incoming side both read
-    it, and a stored content table carries this column anyway."""
-    from ..session import cut_lineage
-    c = td.content(spark, sf).select("id", "url", "text", "scraped_at")
-    return cut_lineage(c.drop("text").join(dedup.doc_simhash(c, "id", "text"), "id"))
+    """Content rows with their fingerprint and scrape time.
+
+    A stored content table carries ``simhash``; the driver tables do not, so
+    the first query of an application derives it and writes it as a table in
+    the shared checkpoint folder, and later queries read that table (lineage
+    cut, survives executor loss)."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _DERIVED:
+        c = td.content(spark, sf).select("id", "url", "text", "scraped_at")
+        fp = c.drop("text").join(dedup.doc_simhash(c, "id", "text"), "id")
+        path = scratch_path(spark, "content-fingerprints")
+        fp.write.parquet(path)
+        _DERIVED[key] = path
+    return spark.read.parquet(_DERIVED[key])
 
 
 INCOMING_SINCE = "2024-01-16 00:00:00"  # FIXTURES B4: the last 15 days are new
