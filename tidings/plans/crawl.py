@@ -95,13 +95,19 @@ def crawl_round(urls: DataFrame, hostnames: DataFrame, pages: DataFrame, existin
     from ..operators import frontier as FR
     from ..operators.links import extract_links
 
+    from ..session import cut_lineage
+
     front = FR.front_queue(urls, as_of)
-    heads = FR.due_host_heads(front, hostnames, as_of)
+    heads = cut_lineage(FR.due_host_heads(front, hostnames, as_of).select("hostname", "id"))
     leased = FR.lease_hostnames(hostnames, heads.select(F.col("hostname").alias("id")), as_of)
-    won_hosts = leased.where(F.col("applied")).select(F.col("name").alias("hostname"))
-    claimed = FR.claim_urls(urls, heads.join(won_hosts, "hostname", "left_semi").select("id"), as_of)
-    won = claimed.where(F.col("applied")).select("id", "url", "hostname", "kind", "sequence")
-    claimed = claimed.drop("applied")
+    # the leases and claims won this round: at most one row per due host,
+    # written once so every later step reads them instead of re-planning
+    # the queue views
+    lease_won = cut_lineage(leased.where(F.col("applied")).select("id", "name", "next_allowed_at"))
+    claimed0 = FR.claim_urls(urls, heads.join(lease_won.select(F.col("name").alias("hostname")), "hostname",
+                                              "left_semi").select("id"), as_of)
+    won = cut_lineage(claimed0.where(F.col("applied")).select("id", "url", "hostname", "kind", "sequence"))
+    claimed = FR.claim_urls(urls, won.select("id"), as_of).drop("applied")
 
     # sources: discover links
     src = won.where(F.col("kind") == "source").select(
@@ -121,7 +127,7 @@ def crawl_round(urls: DataFrame, hostnames: DataFrame, pages: DataFrame, existin
     # crawled hosts: counters, rescheduled from their scheduled time; hosts
     # leased without a completed crawl keep the lease
     hosts = FR.hostname_stats(hostnames, outcomes, as_of)
-    lease = leased.where(F.col("applied")).select("id", F.col("next_allowed_at").alias("_lease"))
+    lease = lease_won.select("id", F.col("next_allowed_at").alias("_lease"))
     hosts = (hosts.join(lease, "id", "left")
              .withColumn("next_allowed_at", F.when(~F.col("applied") & F.col("_lease").isNotNull(), F.col("_lease"))
                          .otherwise(F.col("next_allowed_at")))

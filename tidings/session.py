@@ -84,15 +84,13 @@ def ship_package(spark: SparkSession | None = None) -> None:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint to the shared folder (``spark.checkpoint.dir``).
-
-    The frame is persisted first, so writing the checkpoint does not
-    recompute its plan; the cache is dropped once the files exist.  Never a
-    local checkpoint: the files survive the loss of an executor."""
-    from pyspark import StorageLevel
-
-    checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    """Cut the lineage of ``df`` by writing it as a Parquet table in the
+    shared folder named by ``spark.checkpoint.dir`` and reading it back.
+
+    One job (a reliable RDD checkpoint needs a persist and two), the plan is
+    never recomputed downstream, and the files survive the loss of an
+    executor.  Never a local checkpoint."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
