@@ -46,12 +46,25 @@ def spread(df: DataFrame, key: str | None = None, min_bytes: int = SPREAD_MIN_BY
     want = df.sparkSession.sparkContext.defaultParallelism
     if want <= 1 or df.rdd.getNumPartitions() >= want:
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < min_bytes:
+    if _input_bytes(df) < min_bytes:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Size of the files behind a scan; remote inputs count as large."""
+    import os
+    from urllib.parse import urlparse
+
+    total = 0
+    for f in df.inputFiles():
+        u = urlparse(f)
+        if u.scheme not in ("", "file"):
+            return 1 << 62
+        total += os.path.getsize(u.path)
+    return total
+
+
 def content(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
     """FIXTURES B1: one content row per document."""
     now = ts_lit(as_of)
