@@ -12,7 +12,12 @@ from tidings.sources import testdata as td
 
 
 def _plan(spark, df):
-    return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
 
 
 def test_content_window_pushes_filters_to_scan(spark, sf_small):
