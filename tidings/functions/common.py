@@ -56,7 +56,7 @@ def report(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits)
+            c = F.round(c, digits) + F.lit(0.0)  # -0.0 -> 0.0
         elif isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c, "|")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):

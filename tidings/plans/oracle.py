@@ -14,7 +14,7 @@ TS = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
 def R(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6)"
+    return f"(round(CAST({x} AS DOUBLE), 6) + 0.0)"
 
 
 def S(x: str) -> str:
@@ -184,8 +184,8 @@ def sql(name: str, ctes: list[str], body: str) -> None:
 sql("interaction_age", ["aged"], f"""
 SELECT event_id, content_id, tag, type, {R('weight')} AS weight, {S('created_at')} AS created_at, age FROM aged""")
 
-sql("interaction_weight", ["interaction"], """
-SELECT type, round(weight, 6) AS weight, count(*) AS n FROM interaction GROUP BY type, weight""")
+sql("interaction_weight", ["interaction"], f"""
+SELECT type, {R("weight")} AS weight, count(*) AS n FROM interaction GROUP BY type, weight""")
 
 sql("decay", ["aged"], f"""
 SELECT event_id, tag, age,
