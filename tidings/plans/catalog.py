@@ -663,7 +663,8 @@ def q_stream_interactions(spark, sf):
 @query("stream_tag_profile", rows_only=True)
 def q_stream_tag_profile(spark, sf):
     out, ck = scratch_path(spark, "profile"), scratch_path(spark, "ck-profile")
-    q = ST.stream_tag_profile(spark, f"{sf}/events.parquet", td.content(spark, sf), out, ck)
+    q = ST.stream_tag_profile(spark, f"{sf}/events.parquet", td.content(spark, sf), out, ck,
+                              state_partitions=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
     return report(ST.latest_version(spark, out))
 

@@ -67,9 +67,13 @@ def stream_interactions(spark: SparkSession, events_path: str, content: DataFram
 
 
 def stream_tag_profile(spark: SparkSession, events_path: str, content: DataFrame,
-                       out_path: str, checkpoint: str, as_of=None):
+                       out_path: str, checkpoint: str, as_of=None, state_partitions: int | None = None):
     """Running per-tag decayed sums; each trigger writes
-    ``<out_path>/v=<batch_id>`` with the normalised profile."""
+    ``<out_path>/v=<batch_id>`` with the normalised profile.
+
+    ``state_partitions`` sizes the state store (one row per tag) when the
+    checkpoint is new; Spark keeps that number for the life of the
+    checkpoint.  The session setting is restored once the query started."""
     rows = interaction_stream(spark, events_path, content)
     age = whole_days(ts_lit(as_of), F.col("created_at"))
     raw = rows.groupBy("tag").agg(
@@ -80,8 +84,17 @@ def stream_tag_profile(spark: SparkSession, events_path: str, content: DataFrame
     def write_version(batch: DataFrame, batch_id: int) -> None:
         normalize_profile(batch).write.mode("overwrite").parquet(f"{out_path}/v={batch_id}")
 
-    return (raw.writeStream.outputMode("complete").foreachBatch(write_version)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    writer = (raw.writeStream.outputMode("complete").foreachBatch(write_version)
+              .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    if not state_partitions:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, previous)
 
 
 def latest_version(spark: SparkSession, out_path: str) -> DataFrame:
