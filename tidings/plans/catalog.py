@@ -707,7 +707,7 @@ def q_select_feeds(spark, sf):
     return report(out.select("feed_id", "id", "rank", "bucket", "score"))
 
 
-@query("crawl_round", rows_only=True)
+@query("crawl_round")
 def q_crawl_round(spark, sf):
     """One batch pass of the crawl loop; reports the URL table by state."""
     existing = _content_fp(spark, sf).select("url", "simhash")

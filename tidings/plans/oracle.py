@@ -972,3 +972,41 @@ SELECT url, string_split(url, '/')[3] AS hostname, title, simhash, {UNSIGNED('si
        {BAND('simhash', 0)} AS simhash_1, {BAND('simhash', 1)} AS simhash_2,
        {BAND('simhash', 2)} AS simhash_3, {BAND('simhash', 3)} AS simhash_4, 0 AS batch_id
 FROM inc WHERE url NOT IN (SELECT url FROM dup)) z""")
+
+# ---- one crawl round ---------------------------------------------------------------
+cte("cr_won", ["claimed2"], "SELECT id, url, hostname, kind, sequence FROM claimed2 WHERE applied")
+
+cte("cr_links", ["cr_won"], f"""
+SELECT page_id, link, source, source_seq FROM (
+  SELECT page_id, base, host, source, source_seq,
+         regexp_replace({sql_resolve('base', 'href')}, '#.*$', '') AS link
+  FROM (SELECT page_id, base, host, source, source_seq, unnest(l) AS href
+        FROM (SELECT w.id AS page_id, w.url AS base, w.hostname AS host, w.url AS source, w.sequence AS source_seq,
+                     regexp_extract_all(p.html, {q(HREF)}, 1) AS l
+              FROM cr_won w JOIN pages p ON p.page_id = w.id WHERE w.kind = 'source') s0) s1
+  WHERE href <> '') s2
+WHERE {sql_scheme('link')} IN ('http', 'https') AND {sql_hostname('link')} IS NOT NULL
+  AND {sql_same_site(sql_hostname('link'), 'host')}
+  AND regexp_replace(link, '/+$', '') <> regexp_replace(base, '/+$', '')""")
+
+cte("cr_new", ["cr_links", "url_t"], f"""
+SELECT url FROM (SELECT link AS url FROM cr_links GROUP BY link) g
+WHERE url NOT IN (SELECT url FROM url_t) AND {sql_hostname('url')} IS NOT NULL""")
+
+cte("cr_ingested", ["pages_txt", "page_fp", "doc_fp_full", "cr_won"], f"""SELECT * FROM (
+WITH inc AS (SELECT p.page_id AS id, p.url, f.simhash FROM pages_txt p JOIN page_fp f ON f.id = p.page_id
+             WHERE p.page_id IN (SELECT id FROM cr_won WHERE kind <> 'source')),
+     eb AS ({_banded('(SELECT DISTINCT simhash FROM doc_fp_full)', 'simhash')}),
+     ib AS ({_banded('inc', 'id, url, simhash')}),
+     dup AS (SELECT DISTINCT ib.url FROM ib JOIN eb ON ib.band_no = eb.band_no AND ib.band = eb.band
+             WHERE 1.0 - bit_count(xor(ib.simhash, eb.simhash)) / 64.0 > 0.6)
+SELECT url FROM inc WHERE url NOT IN (SELECT url FROM dup)) z""")
+
+sql("crawl_round", ["url_t", "cr_won", "cr_new", "cr_ingested"], """
+SELECT kind, crawl_state, count(*) AS n FROM (
+  SELECT u.kind, CASE WHEN w.id IS NOT NULL THEN 3 ELSE u.crawl_state END AS crawl_state
+  FROM url_t u LEFT JOIN cr_won w ON w.id = u.id
+  UNION ALL SELECT 'url' AS kind, 1 AS crawl_state FROM cr_new) t
+GROUP BY kind, crawl_state
+UNION ALL
+SELECT 'content' AS kind, 1 AS crawl_state, count(*) AS n FROM cr_ingested""")
