@@ -160,10 +160,17 @@ def q_select_feed(spark, sf):
                   .select("id", "url", "title", "tags", "score", "rank", "bucket"))
 
 
-@query("serialize_feed", rows_only=True)
+@query("serialize_feed")
 def q_serialize_feed(spark, sf):
+    """The feed document, parsed back: header fields and the ordered items."""
     feed = selection.select_feed(_scored(spark, sf), K.FEED_LIMIT)
-    return selection.serialize_feed(feed).select("date", "generated_at", "count", "payload")
+    payload = selection.serialize_feed(feed)
+    doc = F.from_json("payload", "date string, generated_at string, count long, "
+                                 "items array<struct<id string, url string, score double>>")
+    parsed = payload.select(doc.alias("d")).select("d.*")
+    return parsed.select("date", "generated_at", "count",
+                         F.array_join(F.transform("items", lambda i: i["id"]), "|").alias("item_ids"),
+                         F.array_join(F.transform("items", lambda i: i["url"]), "|").alias("item_urls"))
 
 
 @query("mark_shown")

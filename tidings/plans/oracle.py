@@ -1010,3 +1010,9 @@ SELECT kind, crawl_state, count(*) AS n FROM (
 GROUP BY kind, crawl_state
 UNION ALL
 SELECT 'content' AS kind, 1 AS crawl_state, count(*) AS n FROM cr_ingested""")
+
+sql("serialize_feed", ["scored", "picks"], """
+SELECT '2024-01-31' AS date, '2024-01-31T00:00:00+00:00' AS generated_at, count(*) AS count,
+       string_agg(CAST(s.id AS VARCHAR), '|' ORDER BY s.score DESC, x.pick ASC) AS item_ids,
+       string_agg(s.url, '|' ORDER BY s.score DESC, x.pick ASC) AS item_urls
+FROM (SELECT unnest(ids) AS id, unnest(range(len(ids))) AS pick FROM picks) x JOIN scored s ON s.id = x.id""")
