@@ -46,8 +46,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment (a shared file system or object
-    store).  Only when nothing is configured -- local tests -- do we create a
-    private scratch folder.
+    store); without it the job stops, because executors cannot read each
+    other's local folders.  Only a ``local`` master, where driver and executor
+    are one process, gets a private scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tidings-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
