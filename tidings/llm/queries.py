@@ -1,8 +1,12 @@
 """Registered queries of the corpus operators: one per operator, over its whole
 table, and the DuckDB SQL of those that SQL can express."""
 
+from . import chat, decontam
+from .chat import op8_prefix_targets
+from .decontam import op7_decontamination
 from .fingerprint import op6_fingerprint
+from .hilbert import op5_hilbert_sharding
 from .packing import op2_packing
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_fingerprint)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_hilbert_sharding, op6_fingerprint, op7_decontamination, op8_prefix_targets)}
+ORACLE_SQL = {"op7_decontamination": decontam.SQL, "op8_prefix_targets": chat.SQL}
