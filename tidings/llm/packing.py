@@ -45,52 +45,75 @@ class WordEncoder:
     """Ids of texts under a tokenizer that drops white space, word by word with
     a cache.  Words end at a blank or line feed, so a word's ids don't depend
     on its neighbours; a run of letters followed by plain punctuation has the
-    ids of either part."""
+    ids of either part.  Plain lower-case words need no normalising and end in
+    one word-final token each, so many are encoded as one text and cut apart at
+    those."""
+
+    RUN = 1000
 
     def __init__(self, tokenizer: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        path = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.final[i] = token.endswith("</w>")
         self.words = {"": b""}
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words) -> None:
+        from unicodedata import is_normalized
+
         import numpy as np
 
         if len(self.words) > CACHE_WORDS:
             self.words = {"": b""}
-        known, parts, todo = self.words, [], {}
+        known, parts, plain, other = self.words, [], {}, {}
         for w in words:
             core = w.rstrip(".,;:!?")
-            tail = w[len(core):]
-            if not core.isascii() or not core.isalpha():
-                core, tail = w, ""
+            low = core.lower()
+            if low.isalpha() and (low.isascii() or max(low) < "\u0250" and is_normalized("NFC", core)):
+                tail = w[len(core):]
+                if low not in known:
+                    plain[low] = None
+                if tail and tail not in known:
+                    other[tail] = None
+                parts.append((w, low, tail))
             else:
-                core = core.lower()
-            parts.append((w, core, tail))
-            for x in (core, tail):
-                if x not in known:
-                    todo[x] = None
-        for x, e in zip(todo, self.tokenizer.encode_batch_fast(list(todo), add_special_tokens=False), strict=True):
+                other[w] = None
+        plain = list(plain)
+        for i in range(0, len(plain), self.RUN):
+            run = plain[i:i + self.RUN]
+            ids = np.array(self.plain.encode(" ".join(run), add_special_tokens=False).ids, "<u4")
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.final[ids]) + 4).tolist()
+            known.update((w, raw[a:b]) for w, a, b in zip(run, [0, *cuts], cuts, strict=False))
+        for x, e in zip(other, self.tokenizer.encode_batch_fast(list(other), add_special_tokens=False), strict=True):
             known[x] = np.array(e.ids, "<u4").tobytes()
-        for w, core, tail in parts:
-            known[w] = known[core] + known[tail]
+        known.update((w, known[low] + known[tail]) for w, low, tail in parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        out = []
+        new = set()
         for words in split:
             found = list(map(self.words.get, words))
             if None in found:
-                self.learn(list({w for w, b in zip(words, found, strict=True) if b is None}))
-                found = list(map(self.words.get, words))
-                if None in found:  # the cache was emptied meanwhile
-                    self.learn(list(set(words)))
-                    found = [self.words[w] for w in words]
+                new.update(w for w, b in zip(words, found, strict=True) if b is None)
+        if new:
+            self.learn(new)
+        out = []
+        for words in split:
+            found = list(map(self.words.get, words))
+            if None in found:  # the cache was emptied meanwhile
+                self.learn(set(words))
+                found = [self.words[w] for w in words]
             out.append(b"".join(found))
         return out
 
