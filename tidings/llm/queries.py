@@ -7,6 +7,8 @@ from .decontam import op7_decontamination
 from .fingerprint import op6_fingerprint
 from .hilbert import op5_hilbert_sharding
 from .packing import op2_packing
+from .pii import op9_pii
+from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_hilbert_sharding, op6_fingerprint, op7_decontamination, op8_prefix_targets)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op5_hilbert_sharding, op6_fingerprint, op7_decontamination, op8_prefix_targets, op9_pii)}
 ORACLE_SQL = {"op7_decontamination": decontam.SQL, "op8_prefix_targets": chat.SQL}
