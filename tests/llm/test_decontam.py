@@ -49,6 +49,7 @@ def case(words, odd_rows):
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_against_brute_force(spark, make_docs, case, limit, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontam, "BROADCAST_DOCUMENTS", limit)
     monkeypatch.setattr(decontam.small, "__defaults__", (limit,))
     docs, items = case
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, phrase int")
@@ -59,7 +60,7 @@ def test_against_brute_force(spark, make_docs, case, limit, monkeypatch):
 def test_proximity(spark, make_docs):
     docs = make_docs([(1, "x delta beta alpha gamma y"), (2, "alpha " + "z " * 30 + "beta gamma delta"), (3, "alpha beta gamma delta")])
     found = phrases(spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string"))
-    index = build_index(docs, found.selectExpr("explode(terms) AS word").distinct().selectExpr("word", "xxhash64(word) AS term"))
+    index = build_index(docs, found.selectExpr("explode(terms) AS word").distinct())
     ranked = ranked_terms(found, index)
     assert {r.doc for r in phrase_matches(index, ranked).collect()} == {3}
     assert {r.doc for r in proximity_matches(index, ranked, slack=4, share=1).collect()} == {1, 3}

@@ -1,17 +1,20 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 ``build_index`` stores a posting (document, position, term) for every token of
-a document that is a term of the benchmark.  A phrase is found by intersecting
+a document that is a term of the benchmark, and one of a closing mark, whose
+position is the document's length.  A phrase is found by intersecting
 its terms' lists, each shifted by the term's place in the phrase, from the term
 that is rarest in the documents: its postings give the candidate starts, and a
 start stays if every other term has a posting at its place.  ``phrase_matches``
 gives exact matches, ``proximity_matches`` those with enough of the terms, in
 any order, near the expected place.
 
-Scale: tokens are filtered to benchmark terms as they are read, so the index
-holds narrow rows of a part of them.  Terms and phrases are broadcast where
-their counted size is under ``BROADCAST_ROWS``, and joined by shuffle beyond
-it.  Only a phrase's rarest term meets whole lists; the other terms meet the
+Scale: the texts are read once.  Tokens are filtered to benchmark terms as they
+are read, so the index holds narrow rows of a part of them.  Terms and phrases
+are broadcast where their counted size is under ``BROADCAST_ROWS``, and joined
+by shuffle beyond it.  A phrase's two rarest terms meet their lists alone; the
+common terms' postings are looked at only in the documents that are left (by a
+broadcast of those under ``BROADCAST_DOCUMENTS``, else by shuffle), and meet the
 candidates by (document, position), a key of one row.
 
 Defined cases: a null or empty text or item has no words; repeated documents
@@ -28,19 +31,22 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, read_table
 
 WINDOW = 10
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_DOCUMENTS = 100_000, 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII outside letters and digits stands between words.
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+NO_ID = -1 << 63
+CLOSING = "$"  # no word
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Lower-cased (A-Z) words of a text."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER + BETWEEN, LOWER + " " * len(BETWEEN)), " "), "")
 
 
 def document_key() -> list[Column]:
     """What tells documents apart: the id and a hash of the text."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("version")]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("version")]
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -57,11 +63,18 @@ def phrases(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.groupBy("terms").agg(F.collect_set("item_id").alias("item_ids")).select(F.xxhash64("terms").alias("phrase"), "terms", "item_ids")
 
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def build_index(docs: DataFrame, words: DataFrame) -> DataFrame:
     """Postings ``(doc, version, position, term)`` of the documents' tokens
-    among ``terms``, written as a table."""
-    tokens_of = docs.select(*document_key(), F.posexplode(tokens(F.col("text"))).alias("position", "word"))
-    return cut_lineage(tokens_of.join(small(terms), "word").select("doc", "version", "position", "term"))
+    among ``words`` and of the closing marks, written as a table.  A term is
+    its word's hash."""
+    closing = docs.sparkSession.createDataFrame([(CLOSING,)], "word string")
+    terms = words.select("word").unionByName(closing).withColumn("term", F.xxhash64("word"))
+    each = docs.select(*document_key(), F.posexplode(F.array_append(tokens(F.col("text")), F.lit(CLOSING))).alias("position", "word"))
+    return cut_lineage(each.join(small(terms), "word").select("doc", "version", "position", "term"))
+
+
+def closing_term() -> Column:
+    return F.xxhash64(F.lit(CLOSING))
 
 
 def ranked_terms(found: DataFrame, index: DataFrame) -> DataFrame:
@@ -76,15 +89,22 @@ def ranked_terms(found: DataFrame, index: DataFrame) -> DataFrame:
 
 def phrase_matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
     """Exact matches ``(doc, version, phrase, start, n)``."""
-    rarest = small(ranked.where("rank = 0").select("phrase", "n", "place", "term"))
-    starts = index.join(rarest, "term").select("doc", "version", "phrase", "n", (F.col("position") - F.col("place")).alias("start")).where("start >= 0")
-    rest = small(ranked.where("rank > 0").groupBy("phrase").agg(F.collect_list(F.struct("place", "term")).alias("rest")))
-    wanted = starts.join(rest, "phrase", "left").select("doc", "version", "phrase", "n", "start", F.explode_outer("rest").alias("r"))
-    wanted = wanted.select("doc", "version", "phrase", "n", "start", "r.place", "r.term", (F.col("start") + F.coalesce(F.col("r.place"), F.lit(0))).alias("position"))
-    single = wanted.where("n = 1").select("doc", "version", "phrase", "start", "n")
-    met = wanted.where("n > 1").join(index, ["doc", "version", "position", "term"])
-    full = met.groupBy("doc", "version", "phrase", "start", "n").agg(F.countDistinct("place").alias("places")).where(F.col("places") == F.col("n") - 1)
-    return full.drop("places").unionByName(single.distinct())
+    key = ["doc", "version", "position", "term"]
+    rarest, second = (ranked.where(F.col("rank") == r).select("phrase", "n", "place", "term") for r in (0, 1))
+    starts = index.join(small(rarest), "term").select("doc", "version", "phrase", "n", (F.col("position") - F.col("place")).alias("start")).where("start >= 0").distinct()
+    starts = cut_lineage(starts)
+    wanted = starts.join(small(second.drop("n")), "phrase").withColumn("position", F.col("start") + F.col("place"))
+    pairs = cut_lineage(wanted.join(index.join(small(second.select("term").distinct()), "term", "left_semi").select(key), key, "left_semi").select("doc", "version", "phrase", "n", "start"))
+    where = pairs.select("doc", "version").distinct()
+    few = where.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS
+    lists = index.join(F.broadcast(where), ["doc", "version"], "left_semi") if few else index
+    rest = small(ranked.where("rank > 1").groupBy("phrase").agg(F.collect_list(F.struct("place", "term")).alias("rest")))
+    places = pairs.where("n > 2").join(rest, "phrase").select("doc", "version", "phrase", "n", "start", F.explode("rest").alias("r"))
+    places = places.select("doc", "version", "phrase", "n", "start", "r.place", "r.term", (F.col("start") + F.col("r.place")).alias("position"))
+    met = places.join(lists.select(key), key)
+    full = met.groupBy("doc", "version", "phrase", "start", "n").agg(F.countDistinct("place").alias("places")).where(F.col("places") == F.col("n") - 2).drop("places")
+    short = starts.where("n = 1").unionByName(pairs.where("n = 2"))
+    return full.unionByName(short.select(full.columns))
 
 
 def proximity_matches(index: DataFrame, ranked: DataFrame, slack: int = 5, share: float = 0.8) -> DataFrame:
@@ -106,17 +126,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """One row per document: its key, words, words hit, and the items whose
     windows occur in it."""
     found = cut_lineage(phrases(benchmark, window))
-    terms = found.select(F.explode("terms").alias("word")).distinct().withColumn("term", F.xxhash64("word"))
-    index = build_index(docs, terms)
+    index = build_index(docs, found.select(F.explode("terms").alias("word")).distinct())
     matches = cut_lineage(phrase_matches(index, cut_lineage(ranked_terms(found, index))))
     places = matches.select("doc", "version", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("position")).distinct()
     hit = places.groupBy("doc", "version").agg(F.count("*").alias("n_hit"))
     owners = found.select("phrase", F.explode("item_ids").alias("item_id"))
     items = matches.select("doc", "version", "phrase").distinct().join(owners, "phrase").select("doc", "version", "item_id").distinct()
     items = items.groupBy("doc", "version").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
-    rows = docs.select("doc_id", *document_key(), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(CASED_WORD)).cast("long").alias("n_words"))
+    rows = index.where(F.col("term") == closing_term()).select("doc", "version", F.col("position").cast("long").alias("n_words"))
     return rows.join(hit.join(items, ["doc", "version"]), ["doc", "version"], "left").select(
-        "doc_id", "doc", "version", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "doc", "version", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ from .chat import op8_prefix_targets
 from .decontam import op7_decontamination
 from .fingerprint import op6_fingerprint
 from .hilbert import op5_hilbert_sharding
+from .lm import op1_ngram_trie
 from .neardup import op4_near_duplicates
 from .packing import op2_packing
 from .pii import op9_pii
 from .substr import op10_substring_dedup
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op4_near_duplicates, op5_hilbert_sharding, op6_fingerprint, op7_decontamination, op8_prefix_targets, op9_pii, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_trie, op2_packing, op3_toxicity, op4_near_duplicates, op5_hilbert_sharding, op6_fingerprint, op7_decontamination, op8_prefix_targets, op9_pii, op10_substring_dedup)}
 ORACLE_SQL = {"op7_decontamination": decontam.SQL, "op8_prefix_targets": chat.SQL}
