@@ -20,7 +20,10 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import defaultdict
+from itertools import count, islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,12 +47,13 @@ def piece_cost(n, linear: float = LINEAR, quadratic: float = QUADRATIC):
 class WordEncoder:
     """Ids of texts under a tokenizer that drops white space, word by word with
     a cache.  Words end at a blank or line feed, so a word's ids don't depend
-    on its neighbours; a run of letters followed by plain punctuation has the
-    ids of either part.  Plain lower-case words need no normalising and end in
-    one word-final token each, so many are encoded as one text and cut apart at
-    those."""
+    on its neighbours, and a run of letters followed by plain punctuation has
+    the ids of either part.  Letters below U+0250 are normalised once lowered;
+    a word of them ends in one word-final token, so many are encoded as one
+    text and cut apart at those."""
 
     RUN = 1000
+    TAIL = re.compile(r"[.,;:!?]+$", re.M)
 
     def __init__(self, tokenizer: str):
         import os
@@ -66,56 +70,54 @@ class WordEncoder:
         self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.final[i] = token.endswith("</w>")
-        self.words = {"": b""}
+        self.clear()
 
-    def learn(self, words) -> None:
-        from unicodedata import is_normalized
+    def clear(self) -> None:
+        #: A word's number, in order of appearance; ``ids`` has its ids there.
+        self.numbers = defaultdict(count().__next__)
+        self.ids: list[bytes] = []
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
+    def whole(self, words: list[str]) -> list[bytes]:
         import numpy as np
 
-        if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
-        known, parts, plain, other = self.words, [], {}, {}
-        for w in words:
-            core = w.rstrip(".,;:!?")
-            low = core.lower()
-            if low.isalpha() and (low.isascii() or max(low) < "\u0250" and is_normalized("NFC", core)):
-                tail = w[len(core):]
-                if low not in known:
-                    plain[low] = None
-                if tail and tail not in known:
-                    other[tail] = None
-                parts.append((w, low, tail))
-            else:
-                other[w] = None
-        plain = list(plain)
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        import numpy as np
+
+        if not words:
+            return []
+        joined = "\n".join(words)
+        low = joined.lower()
+        if len(low) != len(joined) or "\u03a3" in joined:  # letters whose lower case is longer or depends on the place
+            return self.whole(words)
+        cores = self.TAIL.sub("", low).split("\n")
+        known = self.cores
+        plain = [c for c in dict.fromkeys(cores) if c not in known and c.isalpha() and (c.isascii() or max(c) < "\u0250")]
         for i in range(0, len(plain), self.RUN):
             run = plain[i:i + self.RUN]
             ids = np.array(self.plain.encode(" ".join(run), add_special_tokens=False).ids, "<u4")
             raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.final[ids]) + 4).tolist()
-            known.update((w, raw[a:b]) for w, a, b in zip(run, [0, *cuts], cuts, strict=False))
-        for x, e in zip(other, self.tokenizer.encode_batch_fast(list(other), add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        known.update((w, known[low] + known[tail]) for w, low, tail in parts)
+            known.update(zip(run, [raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)], strict=True))
+        ends = {w[len(c):] for w, c in zip(words, cores, strict=True) if c in known}.difference(self.tails)
+        self.tails.update(zip(ends, self.whole(list(ends)), strict=True))
+        tails = self.tails
+        out = [known[c] + tails[w[len(c):]] if c in known else None for w, c in zip(words, cores, strict=True)]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.whole([words[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set()
-        for words in split:
-            found = list(map(self.words.get, words))
-            if None in found:
-                new.update(w for w, b in zip(words, found, strict=True) if b is None)
-        if new:
-            self.learn(new)
-        out = []
-        for words in split:
-            found = list(map(self.words.get, words))
-            if None in found:  # the cache was emptied meanwhile
-                self.learn(set(words))
-                found = [self.words[w] for w in words]
-            out.append(b"".join(found))
-        return out
+        if len(self.ids) > CACHE_WORDS:
+            self.clear()
+        numbered = [list(map(self.numbers.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+        new = len(self.numbers) - len(self.ids)
+        self.ids += self.learn(list(islice(reversed(self.numbers), new))[::-1])
+        return [b"".join(map(self.ids.__getitem__, x)) for x in numbered]
 
 
 def assign(lengths: list[int], sequence: int = SEQUENCE, linear: float = LINEAR,
