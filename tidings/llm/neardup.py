@@ -42,6 +42,7 @@ BANDS, ROWS = 14, 4
 PROMISING = 0.55  # share of agreeing samples from which a pair is verified
 BUCKETS = 1 << 18
 SMALL_BUCKET, BLOCK = 64, 200
+NO_ID = -1 << 63
 WORD = re.compile(r"\w+")
 
 
@@ -65,9 +66,9 @@ def document_frequencies(docs: DataFrame):
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["bucket", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
-    out[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    out[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     return docs.count(), out
 
 
@@ -254,7 +255,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = doc_text(docs)
     shingles = Shingles(*document_frequencies(docs))
     signed = cut_lineage(signatures(docs, shingles))
-    classes = cut_lineage(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", F.coalesce("doc_id", F.lit(-1 << 63))).alias("bands"), F.min_by("sample", F.coalesce("doc_id", F.lit(-1 << 63))).alias("sample")))
+    classes = cut_lineage(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", F.coalesce("doc_id", F.lit(NO_ID))).alias("bands"), F.min_by("sample", F.coalesce("doc_id", F.lit(NO_ID))).alias("sample")))
     cast = classes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
     sizes = cut_lineage(cast.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     largest = sizes.agg(F.max("size")).first()[0] or 0
@@ -262,8 +263,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
     members = cut_lineage(shared.join(company.join(classes.select("node", "sample"), "node"), "node"))  # bucket, size, node, company, sample
 
-    nodes = company.join(classes.select("node", "class_id"), "node").select("node", F.coalesce("class_id", F.lit(-1 << 63)).alias("id"))
-    texts = docs.select(F.md5("text").alias("node"), F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), "text").join(nodes, ["node", "id"], "left_semi")
+    nodes = company.join(classes.select("node", "class_id"), "node").select("node", F.coalesce("class_id", F.lit(NO_ID)).alias("id"))
+    texts = docs.select(F.md5("text").alias("node"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(nodes, ["node", "id"], "left_semi")
     texts = cut_lineage(texts.drop("id").dropDuplicates(["node"]))
 
     def against(pivots: DataFrame, others: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -317,7 +318,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             labels = components(links)
             labelled = cut_lineage(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     group = classes.select("node", "class_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = F.struct(F.coalesce("class_id", F.lit(-1 << 63)).alias("id"), F.col("node"), F.col("class_id").alias("group_id"))
+    first = F.struct(F.coalesce("class_id", F.lit(NO_ID)).alias("id"), F.col("node"), F.col("class_id").alias("group_id"))
     least = group.groupBy("label").agg(F.min(first).alias("least"))
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links")) if links is not None else members.select("node", F.lit(0).cast("long").alias("n_links")).limit(0)
     group = group.join(least, "label").join(counts, "node", "left").select("node", "class_id", F.col("least.group_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("node") == F.col("least.node")).alias("first_text"))

@@ -135,6 +135,19 @@ def keys_of(strings: list[str], order: int):
     return out
 
 
+def keyed(table: DataFrame, order: int) -> DataFrame:
+    """``(key, value)`` of a table of strings."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(batch.column(0).to_pylist(), order).view(np.int64)), batch.column(1)], ["key", "value"])
+
+    return table.select(table.columns[0], F.col("value").cast("float")).mapInArrow(run, "key long, value float")
+
+
 def key_of_columns(columns):
     import numpy as np
 
@@ -253,10 +266,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, order: int = O
         return Scorer(None, None, toxic / total if total else 0.0)
     tables = []
     for table in evidence_tables(word_counts(texts.where("not kept")), order, discount):
-        found = table.toPandas()  # bounded by the sample
-        keys = keys_of(found.iloc[:, 0].tolist(), order)
+        found = keyed(table, order).toArrow()  # twelve bytes a row, rows bounded by the sample
+        keys = found.column("key").to_numpy().view(np.uint64)
         at = np.argsort(keys)
-        tables.append((keys[at], found["value"].to_numpy()[at].astype(np.float32)))
+        tables.append((keys[at], found.column("value").to_numpy()[at]))
+        del found
     evidence = Evidence(*tables, order)
 
     def numbers(batches):
@@ -266,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, order: int = O
             x = evidence.of(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(c) for c in x.T]], ["toxic", *[f"x{i}" for i in range(x.shape[1])]])
 
-    held = texts.where("kept").select("text", "toxic").mapInArrow(numbers, "toxic int, " + ", ".join(f"x{i} double" for i in range(6))).toPandas()
+    held = texts.where("kept").select("text", "toxic").mapInArrow(numbers, "toxic int, " + ", ".join(f"x{i} double" for i in range(6))).toArrow().to_pandas()
     held = held.sort_values(list(held.columns))
     return Scorer(evidence, Logistic(held.iloc[:, 1:].to_numpy(), held["toxic"].to_numpy().astype(float)), toxic / total)
 
