@@ -8,17 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# One clock for a whole build.  The test fixtures use this one.
-DEFAULT_AS_OF = "2024-01-31 00:00:00"
-
 MICROS_PER_DAY = 86_400_000_000
 
 
+def clock(value=None):
+    """The time a run works with: the one given, else now in UTC.  A job with
+    several steps takes it once and hands it to each."""
+    return _dt.datetime.now(_dt.timezone.utc) if value is None else value
+
+
 def ts_lit(value: str | _dt.datetime | Column | None = None) -> Column:
     """A zone-less timestamp literal (``TIMESTAMP_NTZ``), independent of the
-    session time zone."""
-    if value is None:
-        value = DEFAULT_AS_OF
+    session time zone; without a value the current time."""
+    value = clock(value)
     if isinstance(value, Column):
         return value
     if isinstance(value, _dt.datetime):

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .common import let
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 BITS = 64
@@ -54,6 +55,32 @@ def fingerprint_from_counts(n: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), terms)
 
 
+def fingerprint(toks: Column) -> Column:
+    """The fingerprint of a row's own token array, without a shuffle: the same
+    sums as ``bit_count_aggs``, folded over the array."""
+    hashes = F.transform(toks, token_hash)
+    zero = F.lit(0).cast("bigint")
+    mask = F.lit(_LANES)
+
+    def lane(hs: Column, i: int) -> Column:
+        return F.aggregate(hs, zero, lambda a, h: a + F.shiftrightunsigned(h, i).bitwiseAND(mask))
+
+    def fold(p: Column) -> Column:
+        n = F.size(p["h"])
+
+        def bits(sums: Column) -> Column:
+            terms = []
+            for i in range(BITS):
+                s = F.element_at(sums, i % 32 + 1)
+                count = s.bitwiseAND(F.lit(_LOW)) if i < 32 else F.shiftrightunsigned(s, 32)
+                terms.append(F.when(F.lit(2) * count > n, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(zero))
+            return reduce(lambda a, b: a.bitwiseOR(b), terms)
+
+        return let(F.array(*[lane(p["h"], i) for i in range(BITS // 2)]), bits)
+
+    return let(F.struct(hashes.alias("h")), fold)
+
+
 def band(h: Column, k: int) -> Column:
     """B2: 16-bit band ``k`` (0 = lowest bits), via an unsigned shift."""
     return F.shiftrightunsigned(h, K.SIMHASH_BAND_BITS * k).bitwiseAND(F.lit(0xFFFF)).cast("int")
@@ -78,6 +105,6 @@ def from_text(s: Column) -> Column:
     """Decimal text (unsigned or signed) -> signed 64-bit value; NULL if
     the text is not all digits."""
     digits = F.regexp_extract(s, r"^-?[0-9]+$", 0)
-    wide = F.when(digits != "", digits.cast("decimal(20,0)"))
+    wide = F.when(digits != "", digits).try_cast("decimal(20,0)")
     return F.when(wide >= F.lit(str(2 ** 63)).cast("decimal(20,0)"),
-                  (wide - F.lit(str(TWO_64)).cast("decimal(20,0)"))).otherwise(wide).cast("bigint")
+                  (wide - F.lit(str(TWO_64)).cast("decimal(20,0)"))).otherwise(wide).try_cast("bigint")

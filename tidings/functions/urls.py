@@ -152,13 +152,49 @@ def same_site(host: Column, base_host: Column) -> Column:
 
 # ---------------------------------------------------------------- link extraction
 
-HREF_PATTERN = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
-
+# Parts of a page that hold no markup: comments and raw-text elements.
+NO_MARKUP = r"(?is)<!--.*?-->|<(script|style|textarea|title)\b[^>]*>.*?</\1\s*>"
+# An <a> tag up to the end of its href value.  Quoted values of attributes
+# before it are passed whole, so text in them is never taken for an attribute;
+# the name must follow white space, a quote or a slash.
+HREF_TAG = (r"(?is)<a(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"'/])href\s*=\s*"
+            r"(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)")
+HREF_VALUE = r"(?is)[\s\"'/]href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)$"
+# FIXED VALUES: the named entities that occur in link targets.
+LINK_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def _numeric_entities(c: Column) -> Column:
+    """``&#NN;`` and ``&#xHH;`` decoded (code points up to U+FFFF)."""
+    parts = F.split(c, r"(?=&#[0-9xX])", -1)
+    digits = lambda p: F.regexp_extract(p, r"^&#([0-9]{1,5});", 1)
+    hexa = lambda p: F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,4});", 1)
+    point = lambda p: F.when(digits(p) != "", digits(p)).when(hexa(p) != "", F.conv(hexa(p), 16, 10)).cast("int")
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0")), "UTF-16BE")
+    one = lambda p: F.when((point(p) > 0) & (point(p) < 65536) & ~point(p).between(0xD800, 0xDFFF),
+                           F.concat(char(point(p)), F.regexp_replace(p, r"^&#[0-9xXa-fA-F]+;", ""))).otherwise(p)
+    return F.when(F.instr(c, "&#") > 0, F.array_join(F.transform(parts, one), "")).otherwise(c)
+
+
+def decode_entities(c: Column) -> Column:
+    c = _numeric_entities(c)
+    for name, char in LINK_ENTITIES.items():
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
 
 
 def hrefs(html: Column) -> Column:
-    """All ``a[href]`` values of a page, in document order."""
-    return F.regexp_extract_all(html, F.lit(HREF_PATTERN), F.lit(1))
+    """All ``a[href]`` values of a page, in document order: double-quoted,
+    single-quoted or bare, entities decoded, comments and scripts left out."""
+    markup = F.regexp_replace(html, NO_MARKUP, " ")
+    tags = F.regexp_extract_all(markup, F.lit(HREF_TAG), F.lit(0))
+
+    def value(tag: Column) -> Column:
+        raw = F.regexp_extract(tag, HREF_VALUE, 1)
+        quoted = raw.startswith('"') | raw.startswith("'")
+        return decode_entities(F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
+
+    return F.transform(tags, value)
 
 
 def base_parts(base: Column) -> Column:

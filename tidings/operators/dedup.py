@@ -64,8 +64,11 @@ def near_dup_urls(incoming: DataFrame, existing: DataFrame,
     fingerprints is split into salted sub-buckets (``pmod(xxhash64(h), s)``)
     and the incoming rows of that bucket are replicated across the salts,
     so no single task probes a hot bucket in full.  The answer is the same:
-    a row matches if any sub-bucket holds a match."""
-    ex = _band_keys(existing.select("simhash").distinct(), ["simhash"]).withColumnRenamed("simhash", "ex_hash")
+    a row matches if any sub-bucket holds a match.  The stored side is read
+    and reduced to its distinct band keys once, as a written table that both
+    the bucket sizes and the join read."""
+    from ..session import cut_lineage
+    ex = cut_lineage(_band_keys(existing.select("simhash").distinct(), ["simhash"]).withColumnRenamed("simhash", "ex_hash"))
     sizes = ex.groupBy("band_no", "band").agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.where(F.col("_n") > hot_bucket_rows).select(
         "band_no", "band", F.ceil(F.col("_n") / F.lit(hot_bucket_rows)).cast("int").alias("_salts"))

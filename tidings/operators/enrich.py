@@ -2,9 +2,9 @@
 
 Everything except the model call is a Catalyst expression: the empty-chunks
 check, the thin-content gate (T5), the model input (T6), tag clean-up (T9)
-and the state update (C10).  Only rows that pass the gate reach Python, in
-Arrow batches through ``mapInPandas``; each row gets up to five tries and an
-error becomes data, as in the reference worker loop.
+and the state update (C10).  The model is called in Arrow batches through
+``mapInPandas``, for the rows that pass the gate; each gets up to five tries
+and an error becomes data, as in the reference worker loop.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.tags import finalize_tags, normalize_tags, tags_from_flags
@@ -42,13 +43,20 @@ def keyword_model(prompt: str) -> dict:
     return {"summary": summary, "tags": tags}
 
 
-ENRICH_SCHEMA = "id long, summary string, raw_tags array<string>, flags array<boolean>, error string, tries int"
+def vocabulary_model(vocabulary: list[str]) -> Model:
+    """Deterministic closed-vocabulary model: the summary of
+    ``keyword_model``, and for each entry whether it is a word of the text."""
+    def model(prompt: str) -> dict:
+        body = prompt.split("Content:\n", 1)[-1]
+        words = {w.lower() for w in _WORD.findall(body)}
+        return {"summary": keyword_model(prompt)["summary"], "flags": [v.strip().lower() in words for v in vocabulary]}
+    return model
 
 
 def _runner(model: Model, max_tries: int, max_workers: int = 1):
-    def one(prompt: str):
+    def one(prompt: str | None):
         summary, tags, flags, err, tries = None, None, None, None, 0
-        while tries < max_tries:
+        while prompt is not None and tries < max_tries:
             tries += 1
             try:
                 res = model(prompt)
@@ -65,12 +73,12 @@ def _runner(model: Model, max_tries: int, max_workers: int = 1):
         pool = ThreadPoolExecutor(max_workers) if max_workers > 1 else None
         try:
             for pdf in batches:
-                prompts = list(pdf["prompt"])
+                prompts = [None if gate is not None else p for p, gate in zip(pdf["prompt"], pdf["gate_error"])]
                 results = list(pool.map(one, prompts)) if pool else [one(p) for p in prompts]
                 cols = list(zip(*results)) if results else [[]] * 5
-                yield pd.DataFrame({"id": [int(i) for i in pdf["id"]], "summary": list(cols[0]),
-                                    "raw_tags": list(cols[1]), "flags": list(cols[2]),
-                                    "error": list(cols[3]), "tries": list(cols[4])})
+                yield pd.DataFrame({"id": pdf["id"], "summary": list(cols[0]), "raw_tags": list(cols[1]), "flags": list(cols[2]),
+                                    "error": [gate if gate is not None else e for gate, e in zip(pdf["gate_error"], cols[3])],
+                                    "tries": list(cols[4])})
         finally:
             if pool:
                 pool.shutdown()
@@ -82,7 +90,12 @@ def enrich_content(claimed: DataFrame, model: Model = keyword_model,
                    max_workers: int = 1) -> DataFrame:
     """Enrichment result per claimed row:
     ``id, summary, tags, error`` where exactly one of (tags/summary, error)
-    is set.  ``claimed`` needs ``id, chunks, title, url``.
+    is set.  ``claimed`` needs ``id`` (of any type), ``chunks, title, url``.
+
+    The gate is an expression next to the prompt; a row that it stops passes
+    through with its reason and never reaches the model.  The result is lazy:
+    whoever reads it twice writes it first (as ``enrichment_run`` does), or
+    the model is called again.
 
     Without ``allowed_tags`` (what the reference worker does) the model's
     free-form tags are cleaned of boilerplate.  With a vocabulary the model
@@ -90,28 +103,20 @@ def enrich_content(claimed: DataFrame, model: Model = keyword_model,
     tags are decoded in vocabulary order and kept only if allowed.
     ``max_workers`` > 1 overlaps I/O-bound model calls inside each task
     (order is kept; every row still gets its own ``max_tries``)."""
-    rows = claimed.select("id", "chunks", "title", "url")
     text = join_chunks(F.col("chunks"))
-    gated = rows.select(
-        "id", "title", "url",
-        F.when(F.coalesce(F.size("chunks"), F.lit(0)) == 0, F.lit("Empty chunks"))
-         .otherwise(thin_content_reason(text)).alias("gate_error"),
-        text.alias("text"))
-    to_model = gated.where(F.col("gate_error").isNull()).select(
-        F.col("id").cast("long").alias("id"),
-        build_enrich_input(F.col("text"), F.col("title"), F.col("url")).alias("prompt"))
-    answered = to_model.mapInPandas(_runner(model, max_tries, max_workers), ENRICH_SCHEMA)
+    gate = (F.when(F.coalesce(F.size("chunks"), F.lit(0)) <= 0, F.lit("Empty chunks"))
+            .otherwise(thin_content_reason(text)))
+    rows = claimed.select("id", build_enrich_input(text, F.col("title"), F.col("url")).alias("prompt"), gate.alias("gate_error"))
+    schema = T.StructType([T.StructField("id", claimed.schema["id"].dataType), *T.StructType.fromDDL(
+        "summary string, raw_tags array<string>, flags array<boolean>, error string, tries int").fields])
+    answered = rows.mapInPandas(_runner(model, max_tries, max_workers), schema)
     if allowed_tags:
         vocab = F.array(*[F.lit(t) for t in allowed_tags])
         raw = F.when(F.col("flags").isNotNull(), tags_from_flags(vocab, F.col("flags"))).otherwise(F.col("raw_tags"))
         final = finalize_tags(raw, vocab)
     else:
         final = finalize_tags(F.col("raw_tags"))
-    ok = answered.select("id", "summary", F.when(F.col("error").isNull(), final).alias("tags"), "error")
-    rejected = gated.where(F.col("gate_error").isNotNull()).select(
-        F.col("id").cast("long").alias("id"), F.lit(None).cast("string").alias("summary"),
-        F.lit(None).cast("array<string>").alias("tags"), F.col("gate_error").alias("error"))
-    return ok.unionByName(rejected)
+    return answered.select("id", "summary", F.when(F.col("error").isNull(), final).alias("tags"), "error")
 
 
 def apply_enrichment(content: DataFrame, results: DataFrame) -> DataFrame:

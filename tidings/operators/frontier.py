@@ -1,10 +1,9 @@
 """Crawl frontier as DataFrame views and conditional-update transitions.
 
 Each transition takes a table snapshot and a request / outcome frame plus one
-``as_of`` clock and returns the new snapshot with an ``applied`` flag.  When
-one batch carries competing requests for a row, the earliest request wins
-(``min`` per key -- an aggregation, so a hot key is pre-combined per
-partition).  Request frames join the table on its key; AQE broadcasts them
+``as_of`` clock and returns the new snapshot with an ``applied`` flag.  Leases
+and claims are the same for every request for a row, so competing requests are
+one; where they differ (patches) the earliest wins (see ``winners``).  Request frames join the table on its key; AQE broadcasts them
 when their measured size is small and uses a shuffle join otherwise.
 """
 
@@ -14,15 +13,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.common import plus_seconds, ts_lit
+from ..functions.common import clock, plus_seconds, ts_lit
 
 ACTIVE_URL_STATES = [K.CRAWL_QUEUED, K.CRAWL_RETRY, K.CRAWL_FETCHING]
 
 
-def _winners(requests: DataFrame, key: str, order: str = "request_seq") -> DataFrame:
-    if order not in requests.columns:
-        return requests.select(key).distinct()
-    return requests.groupBy(key).agg(F.min(order).alias(order))
+def request_order(requests: DataFrame, order: str = "request_seq") -> Column:
+    """What ranks competing requests: their sequence number (NULL last), then
+    all their fields, so that the winner never depends on partitioning."""
+    fields = [F.col(f"`{c}`").cast("string") for c in sorted(requests.columns) if c != order]
+    first = [F.col(order).isNull(), F.col(order)] if order in requests.columns else []
+    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate([*first, *fields])])
+
+
+def winners(requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The earliest request of each key, and the rest (an aggregation per key,
+    so a hot key is pre-combined per partition)."""
+    ranked = requests.withColumn("_order", request_order(requests)).withColumn("_row", F.struct(*requests.columns))
+    best = ranked.groupBy(key).agg(F.min_by("_row", "_order").alias("_row"), F.min("_order").alias("_order"), F.count("*").alias("_n"))
+    first = best.select("_row.*")
+    late = ranked.join(best.where("_n > 1").select(key, F.col("_order").alias("_best")), key)
+    equal = best.where("_n > 1").select(key, "_row", "_order", "_n")
+    behind = late.where(F.col("_order") != F.col("_best")).select("_row.*")
+    # rows equal in every field: all but one lose
+    same = (late.where(F.col("_order") == F.col("_best")).groupBy(key).agg(F.count("*").alias("_same"))
+            .join(equal.select(key, "_row"), key).where("_same > 1")
+            .select(F.explode(F.array_repeat("_row", F.col("_same").cast("int") - 1)).alias("_row")).select("_row.*"))
+    return first, behind.unionByName(same)
 
 
 # ---------------------------------------------------------------- queue views
@@ -38,17 +55,21 @@ def due_pages(urls: DataFrame, as_of=None) -> DataFrame:
                       & F.col("crawl_state").isin(*ACTIVE_URL_STATES))
 
 
-def front_queue(urls: DataFrame, as_of=None, limit: int = K.QUEUE_INIT_LIMIT) -> DataFrame:
-    """Due sources first, then other due URLs; each part limited to
-    ``limit`` rows in table order.  ``branch``/``sequence`` give the order."""
-    src = due_sources(urls, as_of).orderBy("sequence").limit(limit).withColumn("branch", F.lit(0))
-    oth = due_pages(urls, as_of).orderBy("sequence").limit(limit).withColumn("branch", F.lit(1))
-    return src.unionByName(oth)
+def front_queue(urls: DataFrame, as_of=None, limit: int | None = None) -> DataFrame:
+    """Due sources first, then other due URLs; ``branch``/``sequence`` give
+    the order.  Every due row is queued; a ``limit`` keeps the first rows of
+    each part, for callers that work in slices."""
+    as_of = clock(as_of)
+    src, oth = due_sources(urls, as_of), due_pages(urls, as_of)
+    if limit is not None:
+        src, oth = src.orderBy("sequence").limit(limit), oth.orderBy("sequence").limit(limit)
+    return src.withColumn("branch", F.lit(0)).unionByName(oth.withColumn("branch", F.lit(1)))
 
 
 def back_queue(front: DataFrame) -> DataFrame:
-    """A5 + W1: FIFO position of each queued URL within its host.  The input
-    is the front queue, bounded by ``2 * limit`` rows."""
+    """A5 + W1: FIFO position of each queued URL within its host.  A listing:
+    the window sorts one host's due rows in one task, so the crawl loop takes
+    its heads from :func:`due_host_heads` (an aggregation) instead."""
     w = Window.partitionBy("hostname").orderBy("branch", "sequence")
     return front.withColumn("pos", F.row_number().over(w).cast("bigint"))
 
@@ -71,7 +92,7 @@ def scheduler_queue(front: DataFrame, hostnames: DataFrame, as_of=None) -> DataF
 def due_host_heads(front: DataFrame, hostnames: DataFrame, as_of=None) -> DataFrame:
     """J7 + W1: the head URL of each due host (min of ``(branch, sequence)``
     per host -- a partial aggregation, no window)."""
-    sched = scheduler_queue(front, hostnames, as_of)
+    sched = scheduler_queue(front, hostnames, clock(as_of))
     head = front.groupBy("hostname").agg(
         F.min(F.struct("branch", "sequence", "id", "url", "kind")).alias("h"))
     heads = head.select("hostname", "h.id", "h.url", "h.kind", "h.branch", "h.sequence")
@@ -93,7 +114,7 @@ def lease_hostnames(hostnames: DataFrame, requests: DataFrame, as_of=None,
                     lease_seconds: int = K.HOSTNAME_LEASE_SECONDS) -> DataFrame:
     """A requested host that is due gets ``next_allowed_at = now + lease``."""
     now = ts_lit(as_of)
-    req = _winners(requests, "id").select("id", F.lit(True).alias("_req"))
+    req = requests.select("id").distinct().withColumn("_req", F.lit(True))
     j = hostnames.join(req, "id", "left")
     applied = F.coalesce(F.col("_req"), F.lit(False)) & (F.coalesce(F.col("next_allowed_at"), now) <= now)
     return (j.withColumn("applied", applied)
@@ -112,7 +133,7 @@ def claim_urls(urls: DataFrame, requests: DataFrame, as_of=None,
                lease_seconds: int = K.CLAIM_LEASE_SECONDS) -> DataFrame:
     """FETCHING with a lease of ``lease_seconds`` for claimable rows."""
     now = ts_lit(as_of)
-    req = _winners(requests, "id").select("id", F.lit(True).alias("_req"))
+    req = requests.select("id").distinct().withColumn("_req", F.lit(True))
     j = urls.join(req, "id", "left")
     applied = F.coalesce(F.col("_req"), F.lit(False)) & claimable(
         F.col("kind"), F.col("crawl_state"), F.col("next_crawl_at"), now)
@@ -223,11 +244,16 @@ PATCHABLE = ["priority_score", "crawl_state", "next_crawl_at"]
 
 def patch_source(urls: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """C11 + Q4: apply per-field patches (``set_<field>`` flags say which
-    fields a request sets).  Requests that set nothing are rejected."""
+    fields a request sets).  Rejected with a reason: requests that set nothing,
+    requests for an id that is not there, and all but the earliest
+    (``request_seq``) of several for one id."""
     flags = [F.coalesce(F.col(f"set_{f}"), F.lit(False)) for f in PATCHABLE]
     any_set = flags[0] | flags[1] | flags[2]
-    rejected = patches.where(~any_set).select("id", F.lit("No fields to update").alias("reason"))
-    ok = patches.where(any_set).dropDuplicates(["id"])
+    empty = patches.where(~any_set).select("id", F.lit("No fields to update").alias("reason"))
+    known = urls.select("id").distinct()
+    absent = patches.where(any_set).join(known, "id", "left_anti").select("id", F.lit("No such URL").alias("reason"))
+    ok, late = winners(patches.where(any_set).join(known, "id", "left_semi"), "id")
+    rejected = empty.unionByName(absent).unionByName(late.select("id", F.lit("An earlier request for this URL wins").alias("reason")))
     renamed = ok.select("id", *[F.col(f).alias(f"_new_{f}") for f in PATCHABLE],
                         *[F.col(f"set_{f}").alias(f"_set_{f}") for f in PATCHABLE], F.lit(True).alias("_p"))
     j = urls.join(renamed, "id", "left")
@@ -240,9 +266,11 @@ def patch_source(urls: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFr
 
 # ---------------------------------------------------------------- content queue
 
-def content_queue(content: DataFrame, limit: int = K.QUEUE_INIT_LIMIT) -> DataFrame:
-    """PENDING content, oldest first, ``limit`` rows."""
-    return content.where(F.col("pipeline_state") == K.PIPE_PENDING).orderBy("scraped_at", "id").limit(limit)
+def content_queue(content: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every PENDING content row, oldest first (a range-partitioned sort);
+    ``limit`` takes the first rows for callers that work in slices."""
+    queue = content.where(F.col("pipeline_state") == K.PIPE_PENDING).orderBy("scraped_at", "id")
+    return queue if limit is None else queue.limit(limit)
 
 
 def claim_content(content: DataFrame, requests: DataFrame) -> DataFrame:

@@ -51,7 +51,10 @@ def normalize_profile(raw: DataFrame) -> DataFrame:
 
 
 def tag_profile(interactions: DataFrame, as_of=None) -> DataFrame:
-    return normalize_profile(tag_profile_raw(interactions, as_of))
+    """A1-A3.  The per-tag sums are written once; the maxima and the result
+    both read that table, so the log is aggregated once."""
+    from ..session import cut_lineage
+    return normalize_profile(cut_lineage(tag_profile_raw(interactions, as_of)))
 
 
 def hidden_tags(interactions: DataFrame) -> DataFrame:

@@ -37,24 +37,23 @@ def content_window(content: DataFrame, as_of=None, window_days: int | None = Non
 def score_content(candidates: DataFrame, profile: DataFrame, as_of=None) -> DataFrame:
     """F1: join each post's tags with the profile and score it.
 
-    Tags are exploded (duplicates kept, empty tag lists kept as one NULL row),
-    looked up with a left equi-join (AQE broadcasts the profile when its
-    measured size is small, else sort-merge with skew splitting) and folded
-    back per post with a partial+final hash aggregation on ``id``.  The
-    carried columns are functionally dependent on ``id`` and ride along as
-    grouping keys, which keeps the aggregation hash-based (``first()`` over
-    strings and arrays would force a sort-based aggregation).
+    Narrow ``(id, tag)`` rows are looked up with an equi-join (AQE broadcasts
+    the profile when its measured size is small, else sort-merge with skew
+    splitting) and folded per post with a partial+final hash aggregation on
+    ``id``; the carried columns meet the result by ``id``.  Tags without a
+    profile entry count as zero, so an inner join and a left join back do.
     """
     now = ts_lit(as_of)
     keep = [c for c in CARRY if c in candidates.columns]
-    exploded = candidates.select("id", *keep, F.explode_outer("tags").alias("tag"))
+    exploded = candidates.select("id", F.explode("tags").alias("tag"))
     prof = profile.select("tag", "recent_weight", "long_weight", "hidden")
-    joined = exploded.join(prof, "tag", "left")
-    per_post = joined.groupBy("id", *keep).agg(
-        F.max(F.coalesce("recent_weight", F.lit(0.0))).alias("max_recent"),
-        F.sum(F.coalesce("long_weight", F.lit(0.0))).alias("sum_long"),
-        F.max(F.coalesce("hidden", F.lit(False))).alias("has_hidden"),
-    )
+    folded = exploded.join(prof, "tag").groupBy("id").agg(
+        F.max("recent_weight").alias("_recent"), F.sum("long_weight").alias("_long"), F.max("hidden").alias("_hidden"))
+    per_post = candidates.select("id", *keep).join(folded, "id", "left").select(
+        "id", *keep,
+        F.coalesce("_recent", F.lit(0.0)).alias("max_recent"),
+        F.coalesce("_long", F.lit(0.0)).alias("sum_long"),
+        F.coalesce("_hidden", F.lit(False)).alias("has_hidden"))
     n_tags = F.size("tags")
     continuity = F.greatest(F.lit(0.0), F.col("max_recent"))
     relevance = F.when(n_tags > 0, F.col("sum_long") / n_tags.cast("double")).otherwise(F.lit(0.0))

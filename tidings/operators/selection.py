@@ -50,16 +50,22 @@ def mmr_candidates(scored: DataFrame, limit: int = K.FEED_LIMIT) -> DataFrame:
     """Rows that can ever be picked -- the top ``limit`` of each tag set
     for each of the four signals (gated by freshness), in rank order.
 
-    One pass: every row becomes four ``(signal, value)`` rows, ranked by one
-    window keyed by ``(tag_set, signal)``.  The ``rn <= limit`` filter is
-    planned as a partial WindowGroupLimit before the shuffle."""
-    extra = [c for c in scored.columns if c not in CAND_COLUMNS]
+    Narrow ``(id, signal, value)`` rows are ranked by one window keyed by
+    ``(tag_set, signal)``; the ``rn <= limit`` filter is planned as a partial
+    WindowGroupLimit before the shuffle, and the wide rows are picked by a
+    semi-join on the few ids that are left."""
+    return scored.join(_top_ids(scored, [], limit), "id", "left_semi")
+
+
+def _top_ids(scored: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Ids among the top ``limit`` of their tag set (within ``keys``) for any
+    signal."""
     sig = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), (F.col(s) * F.col("freshness")).alias("value"))
                               for s in SIGNALS])).alias("sv")
-    rows = scored.select(*CAND_COLUMNS, *extra, tag_set(F.col("tags")).alias("_tag_set"), sig)
-    w = Window.partitionBy("_tag_set", "sv.signal").orderBy(F.col("sv.value").desc(), *rank_order())
+    rows = scored.select(*keys, "id", "score", "scraped_at", tag_set(F.col("tags")).alias("_tag_set"), sig)
+    w = Window.partitionBy(*keys, "_tag_set", "sv.signal").orderBy(F.col("sv.value").desc(), *rank_order())
     top = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
-    return top.dropDuplicates(["id"]).drop("_tag_set", "sv", "_rn")
+    return top.select(*keys, "id").distinct()
 
 
 def _sim_to_chosen(chosen_tags: list[list[str]]) -> Column:
@@ -198,36 +204,29 @@ def select_feeds(scored: DataFrame, feed_col: str = "feed_id", limit: int = K.FE
     """F3 for many feeds: the greedy budgeted MMR pick for every feed in
     ``limit`` synchronous rounds, all distributed.
 
-    Each round joins the still-available candidates with the picks of their
-    own feed (at most ``limit`` rows per feed), scores MMR, and takes the
-    per-feed arg-max with ``min_by`` (a partial aggregation, so a feed that
-    owns a third of all candidates is pre-reduced per partition).  No feed's
-    rows are gathered into one task or the driver; the pick table is
-    checkpointed to the shared folder every round to cut the lineage."""
+    Each round meets the candidates with one row per feed: the ids and tag
+    sets picked so far (at most ``limit`` of each).  The similarity is the
+    largest over that array, so no candidate is repeated, and the per-feed
+    arg-max is a ``min_by`` (a partial aggregation, so a feed that owns a third
+    of all candidates is pre-reduced per partition).  No feed's rows are
+    gathered into one task or the driver; the picks are written to the shared
+    folder every round to cut the lineage."""
     from ..session import cut_lineage
     base = scored.withColumnRenamed(feed_col, "_feed")
     cols = ["_feed", *CAND_COLUMNS]
-    rows = base.select(*cols, tag_set(F.col("tags")).alias("_tag_set"),
-                       F.explode(F.array(*[F.struct(F.lit(s).alias("signal"),
-                                                    (F.col(s) * F.col("freshness")).alias("value"))
-                                           for s in SIGNALS])).alias("sv"))
-    w = Window.partitionBy("_feed", "_tag_set", "sv.signal").orderBy(F.col("sv.value").desc(), *rank_order())
-    pool = (rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
-            .dropDuplicates(["_feed", "id"]).select(*cols))
+    pool = base.select(*cols).join(_top_ids(base, ["_feed"], limit), ["_feed", "id"], "left_semi")
     pool = cut_lineage(pool)
     ts_micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("scraped_at"))
     chosen = None
     lam = K.MMR_LAMBDA
     for rnd, signal in enumerate(pick_schedule(limit)):
-        avail = pool if chosen is None else pool.join(chosen.select("_feed", "id"), ["_feed", "id"], "left_anti")
         if chosen is None:
-            scoredr = avail.withColumn("_sim", F.lit(0.0))
+            scoredr = pool.withColumn("_sim", F.lit(0.0))
         else:
-            prev = chosen.select("_feed", F.col("tags").alias("_ctags"))
-            scoredr = (avail.join(prev, "_feed", "left")
-                       .withColumn("_j", F.when(F.col("_ctags").isNull(), F.lit(0.0))
-                                   .otherwise(jaccard(F.col("tags"), F.col("_ctags"))))
-                       .groupBy("_feed", *CAND_COLUMNS).agg(F.max("_j").alias("_sim")))
+            picked = chosen.groupBy("_feed").agg(F.collect_list("id").alias("_ids"), F.collect_list(F.struct("tags")).alias("_sets"))
+            sims = F.transform("_sets", lambda s: jaccard(F.col("tags"), s["tags"]))
+            scoredr = (pool.join(picked, "_feed").where(~F.array_contains("_ids", F.col("id")))
+                       .withColumn("_sim", F.array_max(sims)).drop("_ids", "_sets"))
         mmr = F.lit(lam) * F.col(signal) * F.col("freshness") - F.lit(1.0 - lam) * F.col("_sim")
         key = F.struct((-mmr).alias("a"), (-F.col("score")).alias("b"), (-ts_micros).alias("c"), F.col("id").alias("d"))
         best = scoredr.groupBy("_feed").agg(F.min_by(F.struct(*CAND_COLUMNS), key).alias("p"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.common import ts_lit
 from ..functions.urls import url_hostname
+from .frontier import winners
 
 def list_order():
     return [F.col("created_at").desc(), F.col("id").desc()]
@@ -25,8 +26,11 @@ def list_rows(df: DataFrame, equals: dict | None = None, isin: dict | None = Non
               contains: dict | None = None, limit: int = K.LIST_LIMIT,
               after_id=None, before_id=None) -> DataFrame:
     """Equality / IN / array-contains filters, then one page in
-    ``(created_at desc, id desc)`` order.  A cursor is located with scalar
-    subqueries (no join); ``before_id`` wins when both are given."""
+    ``(created_at desc, id desc)`` order.  The cursor row is looked up in the
+    whole table, whether or not it passes the filters (one row reaches the
+    driver, so the page is a plain pushed-down range); an id that is not there
+    raises.  ``before_id`` wins when both are given."""
+    table = df
     for col, v in (equals or {}).items():
         if v is not None:
             df = df.where(F.col(col) == F.lit(v))
@@ -39,9 +43,10 @@ def list_rows(df: DataFrame, equals: dict | None = None, isin: dict | None = Non
     cursor = before_id if before_id is not None else after_id
     if cursor is None:
         return df.orderBy(*list_order()).limit(limit)
-    c = df.where(F.col("id") == F.lit(cursor))
-    cur = c.select(F.max(F.struct("created_at", "id"))).scalar()
-    c_ts, c_id = cur.getField("created_at"), cur.getField("id")
+    found = table.where(F.col("id") == F.lit(cursor)).select("created_at").head(1)
+    if not found:
+        raise ValueError(f"no row with the cursor's id: {cursor!r}")
+    c_ts, c_id = F.lit(found[0]["created_at"]).cast(table.schema["created_at"].dataType), F.lit(cursor)
     newer = (F.col("created_at") > c_ts) | ((F.col("created_at") == c_ts) & (F.col("id") > c_id))
     older = (F.col("created_at") < c_ts) | ((F.col("created_at") == c_ts) & (F.col("id") < c_id))
     if before_id is not None:
@@ -96,21 +101,24 @@ def source_state_view(urls: DataFrame, kind: str = "source", limit: int = 100) -
 def create_source(requests: DataFrame, urls: DataFrame, hostnames: DataFrame, as_of=None):
     """S15 + Q4: validate source requests ``(url, kind, source)`` and build
     the new URL rows (QUEUED, due now) and Hostname rows (due now).
-    An existing host is tolerated; an existing URL is rejected.
+    An existing host is tolerated; an existing URL is rejected, and so are all
+    but the earliest (``request_seq``) of several valid requests for one URL.
     Returns ``(new_urls, new_hostnames, rejected)``."""
     now = ts_lit(as_of)
+    seq = [c for c in ("request_seq",) if c in requests.columns]
     req = requests.select("url", F.coalesce("kind", F.lit("source")).alias("kind"),
-                          F.coalesce("source", F.lit("api")).alias("source"))
+                          F.coalesce("source", F.lit("api")).alias("source"), *seq)
     host = url_hostname(F.col("url"))
     reason = (F.when(host.isNull(), F.lit("Invalid URL: could not extract hostname"))
               .when((F.col("kind") == "source") & (F.col("url") != F.col("source")),
                     F.lit("Invalid source and kind: source must equal the url for kind 'source'")))
     checked = req.withColumn("hostname", host).withColumn("reason", reason)
-    existing = urls.select("url").withColumn("_exists", F.lit(True))
+    existing = urls.select("url").distinct().withColumn("_exists", F.lit(True))
     checked = checked.join(existing, "url", "left").withColumn(
         "reason", F.coalesce(F.col("reason"), F.when(F.col("_exists"), F.lit("URL already exists")))).drop("_exists")
-    accepted = checked.where(F.col("reason").isNull()).dropDuplicates(["url"])
-    rejected = checked.where(F.col("reason").isNotNull()).select("url", "kind", "source", "reason")
+    accepted, late = winners(checked.where(F.col("reason").isNull()), "url")
+    rejected = checked.where(F.col("reason").isNotNull()).unionByName(late.withColumn("reason", F.lit("URL already exists")))
+    rejected = rejected.select("url", "kind", "source", "reason")
     new_urls = accepted.select(
         "url", "hostname", F.lit(K.CRAWL_QUEUED).alias("crawl_state"),
         F.lit(0).cast("bigint").alias("retry_count"), F.lit(0.0).alias("priority_score"),

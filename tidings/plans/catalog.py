@@ -31,7 +31,7 @@ from ..operators import profile as prof
 from ..operators import quality as QA
 from ..operators import scoring, selection
 from ..operators import tables as TB
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import testdata as td
 from ..sources.sinks import publish_feed
 from ..streaming import jobs as ST
@@ -39,6 +39,7 @@ from .enrichment import enrichment_run
 from .feed import build_feed
 from . import crawl
 
+NOW = td.NOW
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ROWS_ONLY: set[str] = set()
 
@@ -60,15 +61,15 @@ def _interactions(spark, sf):
 
 def _scored(spark, sf):
     content = td.content(spark, sf)
-    profile = prof.tag_profile(_interactions(spark, sf))
-    return scoring.score_content(scoring.content_window(content), profile)
+    profile = prof.tag_profile(_interactions(spark, sf), NOW)
+    return scoring.score_content(scoring.content_window(content, NOW), profile, NOW)
 
 
 # ---------------------------------------------------------------- feed maths
 
 @query("interaction_age")
 def q_interaction_age(spark, sf):
-    df = prof.interaction_age(_interactions(spark, sf))
+    df = prof.interaction_age(_interactions(spark, sf), NOW)
     return report(df.select("event_id", "content_id", "tag", "type", "weight", "created_at", "age"))
 
 
@@ -80,7 +81,7 @@ def q_interaction_weight(spark, sf):
 
 @query("decay")
 def q_decay(spark, sf):
-    df = prof.interaction_age(_interactions(spark, sf))
+    df = prof.interaction_age(_interactions(spark, sf), NOW)
     w, age = F.col("weight"), F.col("age")
     return report(df.select(
         "event_id", "tag", "age",
@@ -91,12 +92,12 @@ def q_decay(spark, sf):
 
 @query("tag_profile_raw")
 def q_tag_profile_raw(spark, sf):
-    return report(prof.tag_profile_raw(_interactions(spark, sf)))
+    return report(prof.tag_profile_raw(_interactions(spark, sf), NOW))
 
 
 @query("tag_profile")
 def q_tag_profile(spark, sf):
-    return report(prof.tag_profile(_interactions(spark, sf)))
+    return report(prof.tag_profile(_interactions(spark, sf), NOW))
 
 
 @query("hidden_tags")
@@ -106,15 +107,15 @@ def q_hidden_tags(spark, sf):
 
 @query("content_window")
 def q_content_window(spark, sf):
-    df = scoring.content_window(td.content(spark, sf))
+    df = scoring.content_window(td.content(spark, sf), NOW)
     return report(df.select("id", "url", "hostname", "title", "tags", "scraped_at", "last_shown_at",
                             "pipeline_state"))
 
 
 @query("freshness")
 def q_freshness(spark, sf):
-    cands = scoring.content_window(td.content(spark, sf))
-    return report(scoring.freshness(cands, prof.hidden_tags(_interactions(spark, sf))))
+    cands = scoring.content_window(td.content(spark, sf), NOW)
+    return report(scoring.freshness(cands, prof.hidden_tags(_interactions(spark, sf)), NOW))
 
 
 @query("score_content")
@@ -135,14 +136,14 @@ def q_top_n(spark, sf):
 
 @query("feed_quota")
 def q_feed_quota(spark, sf):
-    per_host = scoring.content_window(td.content(spark, sf)).groupBy("hostname").agg(
+    per_host = scoring.content_window(td.content(spark, sf), NOW).groupBy("hostname").agg(
         F.count(F.lit(1)).alias("feed_limit"))
     return per_host.select("hostname", "feed_limit", *selection.quota_columns(F.col("feed_limit")))
 
 
 @query("tag_jaccard")
 def q_tag_jaccard(spark, sf):
-    cands = scoring.content_window(td.content(spark, sf))
+    cands = scoring.content_window(td.content(spark, sf), NOW)
     first = cands.groupBy("hostname").agg(F.min("id").alias("first_id"))
     ref = cands.select(F.col("id").alias("first_id"), F.col("tags").alias("ref_tags"))
     j = cands.join(first, "hostname").join(ref, "first_id")
@@ -164,20 +165,24 @@ def q_select_feed(spark, sf):
 def q_serialize_feed(spark, sf):
     """The feed document, parsed back: header fields and the ordered items."""
     feed = selection.select_feed(_scored(spark, sf), K.FEED_LIMIT)
-    payload = selection.serialize_feed(feed)
-    doc = F.from_json("payload", "date string, generated_at string, count long, "
-                                 "items array<struct<id string, url string, score double>>")
-    parsed = payload.select(doc.alias("d")).select("d.*")
-    return parsed.select("date", "generated_at", "count",
-                         F.array_join(F.transform("items", lambda i: i["id"]), "|").alias("item_ids"),
-                         F.array_join(F.transform("items", lambda i: i["url"]), "|").alias("item_urls"))
+    payload = selection.serialize_feed(feed, NOW)
+    return _feed_items(payload.select("payload"), "payload")
+
+
+def _feed_items(documents, column):
+    """Published documents, parsed back: one row per item with all its fields."""
+    doc = F.from_json(column, "date string, generated_at string, count long, "
+                              "items array<struct<id string, url string, title string, summary string, tags array<string>, "
+                              "score double, scraped_at string>>")
+    parsed = documents.select(doc.alias("d")).select("d.date", "d.generated_at", "d.count", F.posexplode("d.items").alias("pos", "item"))
+    return report(parsed.select("date", "generated_at", "count", (F.col("pos") + 1).cast("bigint").alias("rank"), "item.*"))
 
 
 @query("mark_shown")
 def q_mark_shown(spark, sf):
     content = td.content(spark, sf)
     top = scoring.top_n_by_score(_scored(spark, sf), K.FEED_LIMIT)
-    return report(selection.mark_shown(content, top).select("id", "last_shown_at"))
+    return report(selection.mark_shown(content, top, NOW).select("id", "last_shown_at"))
 
 
 # ---------------------------------------------------------------- SimHash / dedup
@@ -188,24 +193,12 @@ def _doc_fp(spark, sf):
     return dedup.doc_simhash(docs, "doc_id", "text")
 
 
-_DERIVED: dict[tuple[str, str], str] = {}
-
-
 def _content_fp(spark, sf):
-    """Content rows with their fingerprint and scrape time.
-
-    A stored content table carries ``simhash``; the driver tables do not, so
-    the first query of an application derives it and writes it as a table in
-    the shared checkpoint folder, and later queries read that table (lineage
-    cut, survives executor loss)."""
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
-    if key not in _DERIVED:
-        c = td.content(spark, sf).select("id", "url", "text", "scraped_at")
-        fp = c.drop("text").join(dedup.doc_simhash(c, "id", "text"), "id")
-        path = scratch_path(spark, "content-fingerprints")
-        fp.write.parquet(path)
-        _DERIVED[key] = path
-    return spark.read.parquet(_DERIVED[key])
+    """Content rows with their fingerprint and scrape time.  A stored content
+    table carries ``simhash``; the driver tables do not, so it is derived, and
+    written once for the several reads of one query."""
+    c = td.content(spark, sf).select("id", "url", "text", "scraped_at")
+    return cut_lineage(c.drop("text").join(dedup.doc_simhash(c, "id", "text"), "id"))
 
 
 INCOMING_SINCE = "2024-01-16 00:00:00"  # FIXTURES B4: the last 15 days are new
@@ -271,8 +264,8 @@ def q_page_chunks(spark, sf):
 @query("content_ingest")
 def q_content_ingest(spark, sf):
     existing = _content_fp(spark, sf)
-    rows = crawl.content_ingest(td.read_table(spark, sf, "pages"), existing)
-    return report(rows.drop("tags", "scraped_at"))
+    rows = crawl.content_ingest(td.read_table(spark, sf, "pages"), existing, NOW)
+    return report(rows.drop("tags"))
 
 
 # ---------------------------------------------------------------- URLs and links
@@ -324,7 +317,7 @@ def q_crawl_scope(spark, sf):
 
 
 def _discovery(spark, sf):
-    return crawl.discover_sources(td.urls(spark, sf), td.read_table(spark, sf, "pages"))
+    return crawl.discover_sources(td.urls_and_roots(spark, sf), td.read_table(spark, sf, "pages"), NOW)
 
 
 @query("create_source_urls")
@@ -342,14 +335,14 @@ def q_discover_sources(spark, sf):
 @query("bump_sources")
 def q_bump_sources(spark, sf):
     urls = td.urls(spark, sf)
-    out = FR.bump_sources(urls, FR.due_sources(urls).select("id"))
+    out = FR.bump_sources(urls, FR.due_sources(urls, NOW).select("id"), NOW)
     return report(out.select("id", "next_crawl_at", "applied"))
 
 
 # ---------------------------------------------------------------- frontier
 
 def _front(spark, sf):
-    return FR.front_queue(td.urls(spark, sf))
+    return FR.front_queue(td.urls(spark, sf), NOW)
 
 
 @query("front_queue")
@@ -364,12 +357,12 @@ def q_back_queue(spark, sf):
 
 @query("scheduler_queue")
 def q_scheduler_queue(spark, sf):
-    return report(FR.scheduler_queue(_front(spark, sf), td.hostnames(spark, sf)))
+    return report(FR.scheduler_queue(_front(spark, sf), td.hostnames(spark, sf), NOW))
 
 
 @query("due_host_heads")
 def q_due_host_heads(spark, sf):
-    heads = FR.due_host_heads(_front(spark, sf), td.hostnames(spark, sf))
+    heads = FR.due_host_heads(_front(spark, sf), td.hostnames(spark, sf), NOW)
     return report(heads.select("hostname", "id", "url", "kind", "next_allowed_at"))
 
 
@@ -381,14 +374,14 @@ def q_queue_sizes(spark, sf):
 @query("lease_hostnames")
 def q_lease_hostnames(spark, sf):
     hosts = td.hostnames(spark, sf)
-    sched = FR.scheduler_queue(_front(spark, sf), hosts)
-    return report(FR.lease_hostnames(hosts, sched.select("id")).select("id", "next_allowed_at", "applied"))
+    sched = FR.scheduler_queue(_front(spark, sf), hosts, NOW)
+    return report(FR.lease_hostnames(hosts, sched.select("id"), NOW).select("id", "next_allowed_at", "applied"))
 
 
 def _claimed(spark, sf):
     urls = td.urls(spark, sf)
-    heads = FR.due_host_heads(FR.front_queue(urls), td.hostnames(spark, sf))
-    return FR.claim_urls(urls, heads.select("id"))
+    heads = FR.due_host_heads(FR.front_queue(urls, NOW), td.hostnames(spark, sf), NOW)
+    return FR.claim_urls(urls, heads.select("id"), NOW)
 
 
 @query("claim_urls")
@@ -404,14 +397,14 @@ def _outcomes(claimed):
 @query("apply_crawl_outcomes")
 def q_apply_crawl_outcomes(spark, sf):
     claimed = _claimed(spark, sf)
-    out = FR.apply_url_outcomes(claimed.drop("applied"), _outcomes(claimed))
+    out = FR.apply_url_outcomes(claimed.drop("applied"), _outcomes(claimed), NOW)
     return report(out.select("id", "crawl_state", "next_crawl_at", "applied"))
 
 
 @query("hostname_stats")
 def q_hostname_stats(spark, sf):
     claimed = _claimed(spark, sf)
-    out = FR.hostname_stats(td.hostnames(spark, sf), _outcomes(claimed))
+    out = FR.hostname_stats(td.hostnames(spark, sf), _outcomes(claimed), NOW)
     return report(out.select("name", "crawl_count", "success_count", "failure_count", "last_crawled_at",
                              "next_allowed_at", "applied"))
 
@@ -420,26 +413,42 @@ def q_hostname_stats(spark, sf):
 def q_retry_source(spark, sf):
     urls, hosts = td.urls(spark, sf), td.hostnames(spark, sf)
     req = urls.where(F.col("crawl_state").isin(K.CRAWL_RETRY, K.CRAWL_FAILED)).select("id")
-    new_urls, new_hosts = FR.retry_source(urls, hosts, req)
+    new_urls, new_hosts = FR.retry_source(urls, hosts, req, NOW)
     out = new_urls.join(new_hosts.select(F.col("name").alias("hostname"),
                                          F.col("next_allowed_at").alias("host_next_allowed_at")), "hostname", "left")
     return report(out.select("id", "crawl_state", "next_crawl_at", "applied", "host_next_allowed_at"))
 
 
-@query("patch_source")
-def q_patch_source(spark, sf):
-    urls = td.urls(spark, sf)
+def _patches(urls):
+    """Patches for sources, blocked and failed URLs; sources get two, of which
+    the one with the lower number counts; failed ones set nothing; one id is
+    not there."""
     src = F.col("kind") == "source"
     blocked = F.col("crawl_state") == K.CRAWL_BLOCKED
     patches = urls.where(src | blocked | (F.col("crawl_state") == K.CRAWL_FAILED)).select(
-        "id",
+        "id", F.explode(F.when(src, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("request_seq"),
         F.lit(1.0).alias("priority_score"), src.alias("set_priority_score"),
         F.lit(K.CRAWL_QUEUED).alias("crawl_state"), (~src & blocked).alias("set_crawl_state"),
-        ts_lit(None).alias("next_crawl_at"), (~src & blocked).alias("set_next_crawl_at"))
-    out, _rejected = FR.patch_source(urls, patches)
+        ts_lit(NOW).alias("next_crawl_at"), (~src & blocked).alias("set_next_crawl_at"))
+    patches = patches.withColumn("priority_score", F.col("request_seq").cast("double"))
+    absent = patches.where(F.col("set_crawl_state")).withColumn("id", -1 - F.col("id"))
+    return patches.unionByName(absent)
+
+
+@query("patch_source")
+def q_patch_source(spark, sf):
+    urls = td.urls(spark, sf)
+    out, _ = FR.patch_source(urls, _patches(urls))
     return report(out.select("id", "priority_score", "crawl_state", "next_crawl_at", "applied"))
 
 
+@query("patch_rejected")
+def q_patch_rejected(spark, sf):
+    urls = td.urls(spark, sf)
+    _, rejected = FR.patch_source(urls, _patches(urls))
+    return rejected
+
+
 # ---------------------------------------------------------------- content pipeline
 
 @query("content_queue")
@@ -490,6 +499,16 @@ def q_finalize_tags(spark, sf):
     return report(_raw_tags(spark, sf).select("id", TG.finalize_tags(F.col("raw")).alias("tags")))
 
 
+@query("finalize_tags_allowed")
+def q_finalize_tags_allowed(spark, sf):
+    """T9 with an allow-list: two of the row's own tags in other spellings and
+    the first word of its title."""
+    c = td.content(spark, sf).select("id", F.concat(F.transform(F.slice("tags", 1, 2), lambda t: F.concat(F.lit(" "), F.upper(t))),
+                                                    F.array(F.substring_index("title", " ", 1))).alias("allowed"))
+    rows = _raw_tags(spark, sf).join(c, "id")
+    return report(rows.select("id", TG.finalize_tags(F.col("raw"), F.col("allowed")).alias("tags")))
+
+
 @query("is_ignored_tag")
 def q_is_ignored_tag(spark, sf):
     words = _raw_tags(spark, sf).select(F.explode("raw").alias("tag")).distinct()
@@ -521,7 +540,7 @@ def _grading_cases(spark, sf):
     empty = F.array().cast("array<string>")
     cases = c.join(labels.withColumnRenamed("doc_id", "id"), "id").select(
         "id",
-        empty.alias("allowed_tags"),
+        F.when(F.col("id") % 2 == 0, F.slice("tags", 1, 2 + (F.col("id") % 4 / 2).cast("int"))).otherwise(empty).alias("allowed_tags"),
         F.when(err.isNull(), F.col("title")).otherwise(F.lit("")).alias("summary"),
         F.when(err.isNull(), F.col("tags")).otherwise(empty).alias("tags"),
         err.alias("error"),
@@ -544,18 +563,28 @@ def q_enrichment_pass_rate(spark, sf):
     return report(EN.enrichment_pass_rate(EN.grade_enrichment(_grading_cases(spark, sf))))
 
 
-@query("enrich_content", rows_only=True)
+@query("enrich_content")
 def q_enrich_content(spark, sf):
     _, res = enrichment_run(td.content(spark, sf))
     return report(res)
 
 
-@query("apply_enrichment", rows_only=True)
+@query("apply_enrichment")
 def q_apply_enrichment(spark, sf):
     snapshot, _ = enrichment_run(td.content(spark, sf))
     return report(snapshot.select("id", "pipeline_state", "summary", "tags", "pipeline_error"))
 
 
+VOCABULARY = ["That", "with", " from ", "this", "ciónes", "home", "avec", "nicht", "have", "tion"]
+
+
+@query("enrich_allowed")
+def q_enrich_allowed(spark, sf):
+    """One flag per entry of a closed vocabulary, decoded to tags."""
+    _, res = enrichment_run(td.content(spark, sf), EN.vocabulary_model(VOCABULARY), allowed_tags=VOCABULARY)
+    return report(res)
+
+
 # ---------------------------------------------------------------- table API
 
 
@@ -593,6 +622,19 @@ def q_list_content_before(spark, sf):
     return report(TB.list_content(td.content(spark, sf), before_id=cur))
 
 
+@query("list_content_after_filtered")
+def q_list_content_after_filtered(spark, sf):
+    """P4 with a filter: the cursor row itself need not pass it."""
+    cur = _page_cursor(spark, sf, K.LIST_LIMIT)
+    return report(TB.list_content(td.content(spark, sf), tag="t7", after_id=cur))
+
+
+@query("list_sources_filtered")
+def q_list_sources_filtered(spark, sf):
+    """P1 with other kinds and an IN filter."""
+    return report(TB.list_sources(td.urls(spark, sf), kind="url", sources=["seed", "api"]))
+
+
 @query("lookup_by_id")
 def q_lookup_by_id(spark, sf):
     ids = _interactions(spark, sf).select(F.col("content_id").alias("id"))
@@ -611,9 +653,12 @@ def q_create_source(spark, sf):
     roots = hosts.select(F.concat(F.lit("https://"), F.col("name"), F.lit("/")).alias("url"))
     again = urls.where(F.col("kind") == "source").select("url")
     reqs = roots.unionByName(again).select("url", F.lit("source").alias("kind"), F.col("url").alias("source"))
-    new_urls, new_hosts, rejected = TB.create_source(reqs, urls, hosts)
-    ok = new_urls.select("url", "hostname", F.lit("accepted").alias("status"))
-    bad = rejected.select("url", U.url_hostname(F.col("url")).alias("hostname"), F.col("reason").alias("status"))
+    # each root once more as a page, later: it loses
+    late = roots.select("url", F.lit("url").alias("kind"), F.lit("api").alias("source"), F.lit(2).alias("request_seq"))
+    reqs = reqs.withColumn("request_seq", F.lit(1)).unionByName(late)
+    new_urls, new_hosts, rejected = TB.create_source(reqs, urls, hosts, NOW)
+    ok = new_urls.select("url", "kind", "hostname", F.lit("accepted").alias("status"))
+    bad = rejected.select("url", "kind", U.url_hostname(F.col("url")).alias("hostname"), F.col("reason").alias("status"))
     return ok.unionByName(bad)
 
 
@@ -627,6 +672,23 @@ def q_unique_violations(spark, sf):
     return QA.unique_violations(td.urls(spark, sf), "hostname")
 
 
+@query("unique_urls")
+def q_unique_urls(spark, sf):
+    """Q2 on a column declared unique, over stored URLs and discovered ones."""
+    new_rows, _ = _discovery(spark, sf)
+    table = FR.enqueue(td.urls(spark, sf), new_rows, SC.URL)
+    return QA.unique_violations(table.unionByName(table.where(F.col("kind") == "source")), "url")
+
+
+@query("cast_failures")
+def q_cast_failures(spark, sf):
+    """Q3: URL rows that came in as text, some of them no numbers."""
+    urls = td.urls(spark, sf)
+    text = urls.select("url", F.when(F.col("id") % 7 == 0, F.lit("soon")).otherwise(F.col("crawl_state").cast("string")).alias("crawl_state"),
+                       F.when(F.col("id") % 5 == 0, F.lit("n/a")).otherwise(F.col("priority_score").cast("string")).alias("priority_score"))
+    return QA.cast_failures(text, SC.URL)
+
+
 @query("apply_defaults")
 def q_apply_defaults(spark, sf):
     new_rows, _ = _discovery(spark, sf)
@@ -647,60 +709,82 @@ def q_interaction_append(spark, sf):
     return prof.interaction_rows(accepted).select("event_id", "content_id", "tag", "type", "weight")
 
 
+@query("interaction_rejected")
+def q_interaction_rejected(spark, sf):
+    """Q4: requests without tags, with the reason."""
+    _, rejected = prof.split_interaction_requests(_requests(spark, sf))
+    return rejected.select("event_id", "content_id", "type", "reason")
+
+
+def _requests(spark, sf):
+    """Reader requests as they come in (``schemas.REQUEST``)."""
+    ev = td.read_table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    c = td.content(spark, sf).select(F.col("id").alias("k"), "tags")
+    ev = ev.select("event_id", "ts", "event_type", "value", k.alias("k")).join(c, "k")
+    return ev.select("event_id", F.col("k").cast("string").alias("content_id"),
+                     td.interaction_type(F.col("event_type"), F.col("value"), F.col("k")).alias("type"), "tags", F.col("ts").cast("timestamp_ntz").alias("created_at"))
+
+
 @query("tag_score_upsert")
 def q_tag_score_upsert(spark, sf):
     inter = _interactions(spark, sf)
     cut = ts_lit("2024-01-15 00:00:00")
-    old = prof.tag_profile(inter.where(F.col("created_at") < cut))
-    new = prof.tag_profile(inter.where(F.col("created_at") >= cut))
+    old = prof.tag_profile(inter.where(F.col("created_at") < cut), NOW)
+    new = prof.tag_profile(inter.where(F.col("created_at") >= cut), NOW)
     return report(prof.tag_score_upsert(old, new))
 
 
 # ---------------------------------------------------------------- streaming and sinks
 
 
+def _request_stream(spark, sf):
+    path = scratch_path(spark, "requests")
+    _requests(spark, sf).write.parquet(path)
+    return ST.request_stream(spark, path)
+
+
 @query("stream_interactions")
 def q_stream_interactions(spark, sf):
     out, ck = scratch_path(spark, "interactions"), scratch_path(spark, "ck-interactions")
-    q = ST.stream_interactions(spark, f"{sf}/events.parquet", td.content(spark, sf), out, ck)
+    q = ST.stream_interactions(_request_stream(spark, sf), out, ck)
     q.awaitTermination()
-    return report(spark.read.parquet(out).select("event_id", "content_id", "tag", "type", "weight", "created_at"))
+    rows = spark.read.parquet(out).withColumn("content_id", F.col("content_id").cast("bigint"))
+    return report(rows.select("event_id", "content_id", "tag", "type", "weight", "created_at"))
 
 
 @query("stream_tag_profile")
 def q_stream_tag_profile(spark, sf):
     out, ck = scratch_path(spark, "profile"), scratch_path(spark, "ck-profile")
-    q = ST.stream_tag_profile(spark, f"{sf}/events.parquet", td.content(spark, sf), out, ck,
+    q = ST.stream_tag_profile(_request_stream(spark, sf), out, ck, NOW,
                               state_partitions=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
-    return report(ST.latest_version(spark, out))
+    return report(ST.latest_version(spark, out, NOW))
 
 
 @query("stream_content_ingest")
 def q_stream_content_ingest(spark, sf):
     fp = ST.write_existing_fingerprints(td.content(spark, sf), scratch_path(spark, "existing-fp"))
     out, ck = scratch_path(spark, "ingest"), scratch_path(spark, "ck-ingest")
-    q = ST.stream_content_ingest(spark, f"{sf}/pages.parquet", fp, out, ck)
+    q = ST.stream_content_ingest(spark, f"{sf.rstrip('/')}/pages.parquet", fp, out, ck, NOW)
     q.awaitTermination()
-    return report(spark.read.parquet(out).drop("tags", "scraped_at", "chunks"))
+    return report(spark.read.parquet(out).drop("tags"))
 
 
 @query("publish_feed")
 def q_publish_feed(spark, sf):
     feed = selection.select_feed(_scored(spark, sf), K.FEED_LIMIT)
     out = scratch_path(spark, "feeds")
-    ok, err = publish_feed(selection.serialize_feed(feed), out)
+    ok, err = publish_feed(selection.serialize_feed(feed, NOW), out)
     if not ok:
         raise err
-    doc = F.from_json("value", "generated_at string, count long")
-    return spark.read.text(out).select("date", doc["generated_at"].alias("generated_at"),
-                                       doc["count"].alias("count"))
+    return _feed_items(spark.read.text(out), "value")
 
 
 @query("build_feed")
 def q_build_feed(spark, sf):
     content = td.content(spark, sf)
-    feed, snapshot = build_feed(content, _interactions(spark, sf), scratch_path(spark, "feeds"))
+    feed, snapshot = build_feed(content, _interactions(spark, sf), scratch_path(spark, "feeds"), NOW)
     if snapshot is None:
         return content.limit(0).select("id", "last_shown_at")
     return report(snapshot.join(feed.select("id", "rank"), "id").select("id", "rank", "last_shown_at"))
@@ -716,11 +800,15 @@ def q_select_feeds(spark, sf):
 
 @query("crawl_round")
 def q_crawl_round(spark, sf):
-    """One batch pass of the crawl loop; reports the URL table by state."""
+    """One batch pass of the crawl loop: every url, host and new content row."""
     existing = _content_fp(spark, sf).select("url", "simhash")
-    url_table, hosts, new_content = crawl.crawl_round(td.urls(spark, sf), td.hostnames(spark, sf),
-                                                      td.read_table(spark, sf, "pages"), existing)
-    states = url_table.groupBy("kind", "crawl_state").agg(F.count(F.lit(1)).alias("n"))
-    ingested = new_content.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("content").alias("kind"), F.lit(K.PIPE_PENDING).alias("crawl_state"), "n")
-    return states.unionByName(ingested)
+    url_table, hosts, new_content = crawl.crawl_round(td.urls_and_roots(spark, sf), td.hostnames(spark, sf),
+                                                      td.read_table(spark, sf, "pages"), existing, NOW)
+    none = F.lit(None).cast("bigint")
+    rows = url_table.select(F.lit("url").alias("part"), F.col("url").alias("key"), "crawl_state", none.alias("crawls"), none.alias("failures"),
+                            F.col("next_crawl_at").alias("at"))
+    rows = rows.unionByName(hosts.select(F.lit("host").alias("part"), F.col("name").alias("key"), F.lit(None).cast("int").alias("crawl_state"),
+                                         F.col("crawl_count").alias("crawls"), F.col("failure_count").alias("failures"), F.col("next_allowed_at").alias("at")))
+    rows = rows.unionByName(new_content.select(F.lit("content").alias("part"), F.concat_ws(" ", "url", "simhash").alias("key"),
+                                               F.col("pipeline_state").alias("crawl_state"), none.alias("crawls"), none.alias("failures"), F.col("scraped_at").alias("at")))
+    return report(rows)

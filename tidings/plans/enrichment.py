@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..operators import enrich as EN
 from ..operators import frontier as FR
+from ..session import cut_lineage
 
 
 def enrichment_run(content: DataFrame, model: EN.Model = EN.keyword_model,
-                   limit: int = K.QUEUE_INIT_LIMIT, allowed_tags: list[str] | None = None,
+                   limit: int | None = None, allowed_tags: list[str] | None = None,
                    max_workers: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Queue (oldest PENDING first, ``limit`` rows) -> claim (PENDING ->
-    SUMMARIZING) -> gate + model + tag clean-up -> COMPLETED or FAILED.
+    """Queue (every PENDING row; ``limit`` takes the oldest) -> claim (PENDING
+    -> SUMMARIZING) -> gate + model + tag clean-up -> COMPLETED or FAILED.
 
-    Returns ``(new_content_snapshot, results)``.  Stale SUMMARIZING rows are
+    Returns ``(new_content_snapshot, results)``.  The results are written once
+    to the shared folder and the snapshot is built from that table, so the
+    model is called once per row and both agree.  Stale SUMMARIZING rows are
     not re-queued, as in the reference."""
     queue = FR.content_queue(content, limit)
     claimed = FR.claim_content(content, queue.select("id"))
     won = claimed.where(F.col("applied"))
-    results = EN.enrich_content(won, model, allowed_tags=allowed_tags, max_workers=max_workers)
+    results = cut_lineage(EN.enrich_content(won, model, allowed_tags=allowed_tags, max_workers=max_workers))
     snapshot = EN.apply_enrichment(claimed.drop("applied"), results)
     return snapshot, results

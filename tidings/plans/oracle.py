@@ -415,17 +415,21 @@ sql("page_chunks", [], f"""
 SELECT page_id, {sql_title('html')} AS title, CAST(len({sql_chunks('html')}) AS BIGINT) AS n_chunks,
        {J(sql_chunks('html'))} AS chunks FROM pages""")
 
-sql("content_ingest", ["pages_txt", "page_fp", "doc_fp_full"], f"""SELECT * FROM (
-WITH inc AS (SELECT p.page_id AS id, p.url, p.title, p.chunks, f.simhash FROM pages_txt p JOIN page_fp f ON f.id = p.page_id),
+cte("ingested", ["pages_txt", "page_fp", "doc_fp_full"], f"""SELECT * FROM (
+WITH inc AS (SELECT p.page_id AS id, p.url, p.title, p.chunks, f.simhash FROM pages_txt p JOIN page_fp f ON f.id = p.page_id
+             WHERE p.url NOT IN (SELECT url FROM doc_fp_full)),
      eb AS ({_banded('(SELECT DISTINCT simhash FROM doc_fp_full)', 'simhash')}),
      ib AS ({_banded('inc', 'id, url, simhash')}),
      dup AS (SELECT DISTINCT ib.url FROM ib JOIN eb ON ib.band_no = eb.band_no AND ib.band = eb.band
-             WHERE 1.0 - bit_count(xor(ib.simhash, eb.simhash)) / 64.0 > 0.6)
-SELECT url, string_split(url, '/')[3] AS hostname, title, simhash, {UNSIGNED('simhash')} AS simhash_text,
-       {J('chunks')} AS chunks, 1 AS pipeline_state,
+             WHERE 1.0 - bit_count(xor(ib.simhash, eb.simhash)) / 64.0 > 0.6),
+     kept AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM inc WHERE url NOT IN (SELECT url FROM dup))
+SELECT url, string_split(url, '/')[3] AS hostname, title, {UNSIGNED('simhash')} AS simhash,
        {BAND('simhash', 0)} AS simhash_1, {BAND('simhash', 1)} AS simhash_2,
-       {BAND('simhash', 2)} AS simhash_3, {BAND('simhash', 3)} AS simhash_4
-FROM inc WHERE url NOT IN (SELECT url FROM dup)) z""")
+       {BAND('simhash', 2)} AS simhash_3, {BAND('simhash', 3)} AS simhash_4,
+       {J('chunks')} AS chunks, {S(AS_OF)} AS scraped_at, 1 AS pipeline_state
+FROM kept WHERE rn = 1) z""")
+
+sql("content_ingest", ["ingested"], "SELECT * FROM ingested")
 
 
 # ---- more SQL builders --------------------------------------------------------
@@ -550,12 +554,26 @@ sql("canonicalize_url", [], f"SELECT page_id, url, canonical FROM {sql_canonical
 
 sql("is_ignored_url", [], f"SELECT page_id, url, {sql_is_ignored('url')} AS ignored FROM pages")
 
-HREF = _U.HREF_PATTERN
+def sql_hrefs(html: str) -> str:
+    """Link targets of a page: comments and raw text dropped, tags cut at the
+    first '>', the attribute picked from each tag, quotes removed."""
+    t = f"regexp_replace({html}, '(?is)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "textarea", "title"):
+        t = f"regexp_replace({t}, {q(rf'(?is)<{tag}[^>]*>.*?</{tag}[^>]*>')}, '', 'g')"
+    attr = q(r"""(?is)[\s"'/]href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)""")
+    tags = f"list_filter(regexp_extract_all({t}, {q('(?is)<a[' + chr(92) + 's/][^>]*>')}), lambda x: regexp_matches(x, {attr}))"
+    raw = f"list_transform({tags}, lambda x: regexp_extract(x, {attr}, 1))"
+    bare = f"list_transform({raw}, lambda x: CASE WHEN x[1] IN (chr(34), chr(39)) THEN substr(x, 2, length(x) - 2) ELSE x END)"
+    plain = "x"
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", chr(160)), ("&amp;", "&")):
+        plain = f"replace({plain}, {q(a)}, {q(b)})"
+    return f"list_transform({bare}, lambda x: {plain})"
+
 
 cte("hrefs_t", ["url_t"], f"""
 SELECT page_id, base, host, href, pos FROM (
   SELECT page_id, base, host, unnest(l) AS href, unnest(range(len(l))) AS pos
-  FROM (SELECT p.page_id, p.url AS base, u.hostname AS host, regexp_extract_all(p.html, {q(HREF)}, 1) AS l
+  FROM (SELECT p.page_id, p.url AS base, u.hostname AS host, {sql_hrefs('p.html')} AS l
         FROM pages p JOIN url_t u ON u.id = p.page_id) h0) h1
 WHERE href <> ''""")
 
@@ -585,23 +603,33 @@ FROM (SELECT page_id, pos, base, {sql_resolve('base', 'href')} AS absolute FROM
 
 cte("due_src", ["url_t"], f"SELECT * FROM url_t WHERE kind = 'source' AND next_crawl_at <= {AS_OF}")
 
-cte("src_links", ["due_src"], f"""
+cte("url_r", ["url_t"], f"""
+SELECT * FROM url_t
+UNION ALL BY NAME
+SELECT -1 - first_id AS id, root AS url, hostname, 1 AS crawl_state, 'source' AS kind, root AS source,
+       {AS_OF} - to_minutes(1) AS next_crawl_at, CASE WHEN first_id % 2 = 0 THEN -1 ELSE 1099511627776 END AS sequence
+FROM (SELECT hostname, 'https://' || hostname || '/' AS root, min(id) AS first_id FROM url_t WHERE hostname IS NOT NULL GROUP BY hostname) g
+WHERE root NOT IN (SELECT url FROM url_t)""")
+
+cte("due_src_r", ["url_r"], f"SELECT * FROM url_r WHERE kind = 'source' AND next_crawl_at <= {AS_OF}")
+
+cte("src_links", ["due_src_r"], f"""
 SELECT page_id, link, source, source_seq FROM (
   SELECT page_id, base, host, source, source_seq,
          regexp_replace({sql_resolve('base', 'href')}, '#.*$', '') AS link
   FROM (SELECT page_id, base, host, source, source_seq, unnest(l) AS href
         FROM (SELECT d.id AS page_id, d.url AS base, d.hostname AS host, d.url AS source, d.sequence AS source_seq,
-                     regexp_extract_all(p.html, {q(HREF)}, 1) AS l
-              FROM due_src d JOIN pages p ON p.page_id = d.id) s0) s1
+                     {sql_hrefs('p.html')} AS l
+              FROM due_src_r d JOIN pages p ON p.page_id = d.id) s0) s1
   WHERE href <> '') s2
 WHERE {sql_scheme('link')} IN ('http', 'https') AND {sql_hostname('link')} IS NOT NULL
   AND {sql_same_site(sql_hostname('link'), 'host')}
   AND regexp_replace(link, '/+$', '') <> regexp_replace(base, '/+$', '')""")
 
-cte("new_url_rows", ["src_links", "url_t"], f"""
+cte("new_url_rows", ["src_links", "url_r"], f"""
 SELECT url, {sql_hostname('url')} AS hostname, 1 AS crawl_state, 'url' AS kind, source, {AS_OF} AS next_crawl_at
 FROM (SELECT link AS url, arg_min(source, source_seq) AS source FROM src_links GROUP BY link) g
-WHERE url NOT IN (SELECT url FROM url_t) AND {sql_hostname('url')} IS NOT NULL""")
+WHERE url NOT IN (SELECT url FROM url_r) AND {sql_hostname('url')} IS NOT NULL""")
 
 sql("create_source_urls", ["new_url_rows"], f"""
 SELECT url, hostname, crawl_state, kind, source, {S('next_crawl_at')} AS next_crawl_at FROM new_url_rows""")
@@ -612,12 +640,12 @@ SELECT url, hostname, crawl_state, CAST(0 AS BIGINT) AS retry_count, 0.0::DOUBLE
        CAST(NULL AS VARCHAR) AS last_crawl_at, CAST(NULL AS VARCHAR) AS crawl_run_id
 FROM new_url_rows""")
 
-sql("discover_sources", ["url_t", "due_src"], f"""
+sql("discover_sources", ["url_r", "due_src_r"], f"""
 SELECT u.id,
-       CASE WHEN d.id IS NOT NULL THEN 3 ELSE u.crawl_state END AS crawl_state,
-       {S(f"CASE WHEN d.id IS NOT NULL THEN {AS_OF} + to_seconds({_K.SOURCE_REFRESH_SECONDS}) ELSE u.next_crawl_at END")} AS next_crawl_at,
+       CASE WHEN d.id IS NULL THEN u.crawl_state WHEN p.page_id IS NULL THEN 4 ELSE 3 END AS crawl_state,
+       {S(f"CASE WHEN d.id IS NULL THEN u.next_crawl_at WHEN p.page_id IS NULL THEN {AS_OF} ELSE {AS_OF} + to_seconds({_K.SOURCE_REFRESH_SECONDS}) END")} AS next_crawl_at,
        d.id IS NOT NULL AS applied
-FROM url_t u LEFT JOIN due_src d ON d.id = u.id""")
+FROM url_r u LEFT JOIN due_src_r d ON d.id = u.id LEFT JOIN (SELECT DISTINCT page_id FROM pages) p ON p.page_id = u.id""")
 
 sql("bump_sources", ["url_t", "due_src"], f"""
 SELECT u.id,
@@ -626,25 +654,29 @@ SELECT u.id,
 FROM url_t u LEFT JOIN due_src d ON d.id = u.id""")
 
 # ---- frontier ----------------------------------------------------------------
-cte("front", ["url_t"], f"""
-SELECT * FROM (SELECT *, 0 AS branch FROM url_t WHERE kind = 'source' AND next_crawl_at <= {AS_OF}
-               ORDER BY sequence LIMIT {_K.QUEUE_INIT_LIMIT}) fs
+def frontier_ctes(urls: str, suffix: str = "") -> None:
+    """Queue, due hosts, heads and claims over a table of URLs."""
+    cte(f"front{suffix}", [urls], f"""
+SELECT *, 0 AS branch FROM {urls} WHERE kind = 'source' AND next_crawl_at <= {AS_OF}
 UNION ALL
-SELECT * FROM (SELECT *, 1 AS branch FROM url_t WHERE kind <> 'source' AND next_crawl_at <= {AS_OF}
-               AND crawl_state IN (1, 4, 2) ORDER BY sequence LIMIT {_K.QUEUE_INIT_LIMIT}) fo""")
+SELECT *, 1 AS branch FROM {urls} WHERE kind <> 'source' AND next_crawl_at <= {AS_OF} AND crawl_state IN (1, 4, 2)""")
 
-cte("sched", ["front", "host_t"], f"""
+    cte(f"sched{suffix}", [f"front{suffix}", "host_t"], f"""
 SELECT id, name, coalesce(next_allowed_at, {AS_OF}) AS next_allowed_at FROM host_t
-WHERE name IN (SELECT hostname FROM front) AND coalesce(next_allowed_at, {AS_OF}) <= {AS_OF}""")
+WHERE name IN (SELECT hostname FROM front{suffix}) AND coalesce(next_allowed_at, {AS_OF}) <= {AS_OF}""")
 
-cte("heads", ["front", "sched"], """
+    cte(f"heads{suffix}", [f"front{suffix}", f"sched{suffix}"], f"""
 SELECT f.hostname, f.id, f.url, f.kind, s.next_allowed_at FROM (
-  SELECT *, row_number() OVER (PARTITION BY hostname ORDER BY branch, sequence) AS rn FROM front) f
-JOIN sched s ON s.name = f.hostname WHERE f.rn = 1""")
+  SELECT *, row_number() OVER (PARTITION BY hostname ORDER BY branch, sequence) AS rn FROM front{suffix}) f
+JOIN sched{suffix} s ON s.name = f.hostname WHERE f.rn = 1""")
 
-cte("claimed", ["url_t", "heads"], f"""
+    cte(f"claimed{suffix}", [urls, f"heads{suffix}"], f"""
 SELECT u.*, (h.id IS NOT NULL AND u.next_crawl_at <= {AS_OF} AND (u.kind = 'source' OR u.crawl_state IN (1, 4, 2))) AS applied
-FROM url_t u LEFT JOIN heads h ON h.id = u.id""")
+FROM {urls} u LEFT JOIN heads{suffix} h ON h.id = u.id""")
+
+
+frontier_ctes("url_t")
+frontier_ctes("url_r", "_r")
 
 cte("claimed2", ["claimed"], f"""
 SELECT * REPLACE (CASE WHEN applied THEN 2 ELSE crawl_state END AS crawl_state,
@@ -709,9 +741,14 @@ SELECT id,
        (sp OR ss) AS applied
 FROM (SELECT *, kind = 'source' AS sp, (kind <> 'source' AND crawl_state = 6) AS ss FROM url_t) u""")
 
+sql("patch_rejected", ["url_t"], """
+SELECT id, 'No fields to update' AS reason FROM url_t WHERE kind <> 'source' AND crawl_state = 5
+UNION ALL SELECT -1 - id, 'No such URL' FROM url_t WHERE kind <> 'source' AND crawl_state = 6
+UNION ALL SELECT id, 'An earlier request for this URL wins' FROM url_t WHERE kind = 'source'""")
+
 # ---- content pipeline -----------------------------------------------------------
 cte("cqueue", ["content"], f"""
-SELECT * FROM content WHERE pipeline_state = 1 ORDER BY scraped_at, id LIMIT {_K.QUEUE_INIT_LIMIT}""")
+SELECT * FROM content WHERE pipeline_state = 1""")
 
 sql("content_queue", ["cqueue"], f"SELECT id, url, {S('scraped_at')} AS scraped_at FROM cqueue")
 
@@ -734,6 +771,10 @@ sql("filter_tags", ["raw_tags"], f"SELECT id, {J(sql_filter_tags('raw'))} AS tag
 sql("finalize_tags", ["raw_tags"], f"""
 SELECT id, {J(f"list_slice({sql_filter_tags('n')}, 1, {_K.MAX_TAGS})")} AS tags
 FROM (SELECT id, {sql_normalize('raw')} AS n FROM raw_tags) z""")
+sql("finalize_tags_allowed", ["raw_tags", "content"], f"""
+SELECT id, {J(f"list_slice(CASE WHEN len(a) > 0 THEN list_filter(n, lambda t: list_contains(a, t)) ELSE {sql_filter_tags('n')} END, 1, {_K.MAX_TAGS})")} AS tags
+FROM (SELECT t.id, {sql_normalize('t.raw')} AS n, {sql_normalize("list_concat(list_transform(list_slice(c.tags, 1, 2), lambda x: ' ' || upper(x)), [split_part(c.title, ' ', 1)])")} AS a
+      FROM raw_tags t JOIN content c ON c.id = t.id) z""")
 sql("is_ignored_tag", ["raw_tags"], f"""
 SELECT tag, {sql_ignored_tag('tag')} AS ignored FROM (SELECT DISTINCT unnest(raw) AS tag FROM raw_tags) z""")
 
@@ -747,7 +788,7 @@ FROM (SELECT *, regexp_replace(regexp_replace(lower(tag), '[^0-9a-z]+', '_', 'g'
             FROM (SELECT item_id, {VOCAB} AS v FROM benchmark) a) b) c""")
 
 cte("gcases", ["content"], f"""
-SELECT id, CAST([] AS VARCHAR[]) AS allowed_tags,
+SELECT id, CASE WHEN id % 2 = 0 THEN list_slice(tags, 1, CASE WHEN id % 4 = 2 THEN 3 ELSE 2 END) ELSE CAST([] AS VARCHAR[]) END AS allowed_tags,
        CASE WHEN err IS NULL THEN title ELSE '' END AS summary,
        CASE WHEN err IS NULL THEN tags ELSE CAST([] AS VARCHAR[]) END AS tags,
        err AS error,
@@ -783,6 +824,53 @@ sql("enrichment_pass_rate", ["graded"], f"""
 SELECT count(*) AS n_cases, count(*) * 8 AS n_assertions, CAST(sum({_PASSED}) AS BIGINT) AS n_passed,
        {R(f"sum({_PASSED}) / (count(*) * 8.0)")} AS pass_rate FROM graded""")
 
+# ---- enrichment by the keyword model ----------------------------------------------
+def sql_body(text: str) -> str:
+    """What the model sees after the header lines."""
+    return f"regexp_extract({sql_prompt(text, 'NULL', 'NULL')}, {q('(?s)^Content:' + chr(10) + '(.*)$')}, 1)"
+
+
+cte("to_enrich", ["cqueue"], f"""
+SELECT id, body, reason,
+       list_filter(list_transform(string_split(regexp_replace({sql_strip('body')}, {q('([.!?])' + PY + '+')}, {q(chr(92) + '1' + chr(1))}, 'g'), chr(1)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS sentences,
+       list_transform(regexp_extract_all(body, {q('[' + chr(92) + 'p{L}' + chr(92) + 'p{Nl}' + chr(92) + 'p{No}]{4,}')}), lambda x: lower(x)) AS words
+FROM (SELECT id, {sql_body(f'array_to_string(chunks, {JOIN2})')} AS body,
+             CASE WHEN len(chunks) = 0 THEN 'Empty chunks' ELSE {sql_thin_reason(f'array_to_string(chunks, {JOIN2})')} END AS reason
+      FROM cqueue) b""")
+
+cte("frequent", ["to_enrich"], """
+SELECT id, list(w ORDER BY n DESC, i) AS tags FROM (
+  SELECT id, w, n, i, row_number() OVER (PARTITION BY id ORDER BY n DESC, i) AS rn FROM (
+    SELECT id, w, count(*) AS n, min(i) AS i
+    FROM (SELECT id, unnest(words) AS w, unnest(range(len(words))) AS i FROM to_enrich) a GROUP BY id, w) b) c
+WHERE rn <= 5 GROUP BY id""")
+
+cte("enriched", ["to_enrich", "frequent"], f"""
+SELECT e.id, CASE WHEN reason IS NULL THEN array_to_string(list_slice(sentences, 1, 2), ' ') END AS summary,
+       CASE WHEN reason IS NULL THEN list_slice({sql_filter_tags(sql_normalize("coalesce(f.tags, CAST([] AS VARCHAR[]))"))}, 1, {_K.MAX_TAGS}) END AS tags,
+       reason AS error
+FROM to_enrich e LEFT JOIN frequent f ON f.id = e.id""")
+
+sql("enrich_content", ["enriched"], f"SELECT id, summary, {J('tags')} AS tags, error FROM enriched")
+
+sql("apply_enrichment", ["content", "enriched"], f"""
+SELECT c.id, CASE WHEN e.id IS NULL THEN c.pipeline_state WHEN e.error IS NULL THEN {_K.PIPE_COMPLETED} ELSE {_K.PIPE_FAILED} END AS pipeline_state,
+       CASE WHEN e.id IS NOT NULL AND e.error IS NULL THEN e.summary ELSE c.summary END AS summary,
+       {J('CASE WHEN e.id IS NOT NULL AND e.error IS NULL THEN e.tags ELSE c.tags END')} AS tags,
+       CASE WHEN e.error IS NOT NULL THEN e.error ELSE c.pipeline_error END AS pipeline_error
+FROM content c LEFT JOIN enriched e ON e.id = c.id""")
+
+
+def _vocabulary_sql() -> str:
+    from .catalog import VOCABULARY
+    return "[" + ", ".join(q(v) for v in VOCABULARY) + "]"
+
+
+SQL_LATE = {"enrich_allowed": lambda: with_ctes(["to_enrich"], f"""
+SELECT id, CASE WHEN reason IS NULL THEN array_to_string(list_slice(sentences, 1, 2), ' ') END AS summary,
+       CASE WHEN reason IS NULL THEN {J(f"list_slice(list_filter({sql_normalize(_vocabulary_sql())}, lambda t: list_contains(words, t)), 1, {_K.MAX_TAGS})")} END AS tags,
+       reason AS error FROM to_enrich""")}
+
 # ---- table API -------------------------------------------------------------------
 _SRC_COLS = f"id, url, hostname, crawl_state, retry_count, priority_score, {S('next_crawl_at')} AS next_crawl_at, {S('last_crawl_at')} AS last_crawl_at"
 _HOST_COLS = f"id, name, crawl_count, crawl_delay_seconds, {S('last_crawled_at')} AS last_crawled_at, {S('next_allowed_at')} AS next_allowed_at, failure_count, success_count"
@@ -793,6 +881,10 @@ sql("list_sources", ["url_t"], f"""
 SELECT {_SRC_COLS}, {S('created_at')} AS created_at FROM url_t WHERE kind = 'source'
 ORDER BY created_at DESC, id DESC LIMIT {_K.LIST_LIMIT}""")
 
+sql("list_sources_filtered", ["url_t"], f"""
+SELECT {_SRC_COLS}, {S('created_at')} AS created_at FROM url_t WHERE kind = 'url' AND source IN ('seed', 'api')
+ORDER BY url_t.created_at DESC, id DESC LIMIT {_K.LIST_LIMIT}""")
+
 sql("list_hostnames", ["host_t"], f"""
 SELECT {_HOST_COLS}, {S('created_at')} AS created_at FROM host_t ORDER BY created_at DESC, id DESC LIMIT {_K.LIST_LIMIT}""")
 
@@ -806,6 +898,10 @@ sql("list_content_after", ["ordered_content"], f"""
 SELECT {_CONTENT_COLS}, {S('created_at')} AS created_at FROM ordered_content
 WHERE _rn > {_K.LIST_LIMIT} ORDER BY created_at DESC, id DESC LIMIT {_K.LIST_LIMIT}""")
 
+sql("list_content_after_filtered", ["ordered_content"], f"""
+SELECT {_CONTENT_COLS}, {S('created_at')} AS created_at FROM ordered_content
+WHERE _rn > {_K.LIST_LIMIT} AND list_contains(tags, 't7') ORDER BY _rn LIMIT {_K.LIST_LIMIT}""")
+
 sql("list_content_before", ["ordered_content"], f"""
 SELECT {_CONTENT_COLS}, {S('created_at')} AS created_at FROM ordered_content
 WHERE _rn < {2 * _K.LIST_LIMIT} ORDER BY created_at ASC, id ASC LIMIT {_K.LIST_LIMIT}""")
@@ -820,12 +916,12 @@ SELECT id, url, coalesce(hostname, '') AS hostname, {_STATE_LABEL} AS state, coa
 FROM url_t WHERE kind = 'source' ORDER BY created_at DESC, id DESC LIMIT 100""")
 
 sql("create_source", ["url_t", "host_t"], f"""
-SELECT url, hostname, CASE WHEN reason IS NULL THEN 'accepted' ELSE reason END AS status FROM (
-  SELECT url, {sql_hostname('url')} AS hostname,
-         CASE WHEN {sql_hostname('url')} IS NULL THEN 'Invalid URL: could not extract hostname'
-              WHEN url IN (SELECT url FROM url_t) THEN 'URL already exists' END AS reason
-  FROM (SELECT 'https://' || name || '/' AS url FROM host_t
-        UNION ALL SELECT url FROM url_t WHERE kind = 'source') r) z""")
+SELECT url, kind, {sql_hostname('url')} AS hostname,
+       CASE WHEN {sql_hostname('url')} IS NULL THEN 'Invalid URL: could not extract hostname'
+            WHEN late OR url IN (SELECT url FROM url_t) THEN 'URL already exists' ELSE 'accepted' END AS status
+FROM (SELECT 'https://' || name || '/' AS url, 'source' AS kind, false AS late FROM host_t
+      UNION ALL SELECT url, 'source', false FROM url_t WHERE kind = 'source'
+      UNION ALL SELECT 'https://' || name || '/', 'url', true FROM host_t) r""")
 
 _URL_COLS = [f for f in _SC.URL.fields if f.name in (
     "url", "hostname", "crawl_state", "retry_count", "priority_score", "depth", "kind", "source",
@@ -841,14 +937,26 @@ def _validate_part(f) -> str:
         bad = f"CAST(sum(CASE WHEN {f.name} IS NOT NULL AND CAST({f.name} AS VARCHAR) NOT IN ({vals}) THEN 1 ELSE 0 END) AS BIGINT)"
     else:
         bad = "CAST(count(*) * 0 AS BIGINT)"
+    repeats = f"count({f.name}) - count(DISTINCT {f.name})" if f.metadata.get("unique") else "CAST(count(*) * 0 AS BIGINT)"
     return (f"SELECT {q(f.name)} AS \"column\", {str(req).lower()} AS required, {str(bool(enum)).lower()} AS has_enum,"
-            f" {nulls} AS null_violations, {bad} AS enum_violations FROM url_t")
+            f" true AS present, true AS type_ok, {nulls} AS null_violations, {bad} AS enum_violations,"
+            f" {repeats} AS unique_violations FROM url_t")
 
 
 sql("validate_table", ["url_t"], " UNION ALL ".join(_validate_part(f) for f in _URL_COLS))
 
 sql("unique_violations", ["url_t"], "SELECT hostname, count(*) AS n FROM url_t GROUP BY hostname HAVING count(*) > 1")
 
+sql("unique_urls", ["url_t", "new_url_rows"], """
+SELECT url, count(*) AS n FROM (
+  SELECT url FROM url_t UNION ALL SELECT url FROM new_url_rows UNION ALL SELECT url FROM url_t WHERE kind = 'source') t
+GROUP BY url HAVING count(*) > 1""")
+
+sql("cast_failures", ["url_t"], """
+SELECT 'url' AS "column", CAST(0 AS BIGINT) AS n
+UNION ALL SELECT 'crawl_state', count(*) FROM url_t WHERE id % 7 = 0
+UNION ALL SELECT 'priority_score', count(*) FROM url_t WHERE id % 5 = 0""")
+
 # ---- appends and upserts -------------------------------------------------------------
 sql("interaction_append", ["content"], f"""
 SELECT event_id, content_id, tag, type, {WEIGHT_CASE} AS weight FROM (
@@ -864,6 +972,18 @@ SELECT event_id, content_id, tag, type, {WEIGHT_CASE} AS weight FROM (
   WHERE len(tags) > 0) x""")
 
 
+sql("interaction_rejected", ["content"], """
+SELECT e.event_id, CAST(c.id AS VARCHAR) AS content_id,
+       CASE WHEN e.event_type = 'view' THEN 'impression'
+            WHEN e.event_type = 'click' THEN CASE WHEN e.value < 50 THEN 'open' ELSE 'read' END
+            WHEN e.event_type = 'purchase' THEN 'like'
+            WHEN e.event_type = 'signup' THEN CASE WHEN e.value < 50 THEN 'bookmark' ELSE 'share' END
+            WHEN e.event_type = 'error' THEN CASE WHEN e.k < 5 THEN 'hide' ELSE 'impression' END END AS type,
+       'No tags provided' AS reason
+FROM (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e
+JOIN content c ON c.id = e.k WHERE len(c.tags) = 0""")
+
+
 def _profile_sql(where: str) -> str:
     return f"""SELECT tag,
        recent_weight / (SELECT CASE WHEN max(recent_weight) > 0 THEN max(recent_weight) ELSE 1.0 END FROM pr) AS recent_weight,
@@ -952,8 +1072,13 @@ sql("build_feed", ["scored", "picks"], f"""
 SELECT s.id, row_number() OVER (ORDER BY s.score DESC, x.pick ASC) AS rank, {S(AS_OF)} AS last_shown_at
 FROM (SELECT unnest(ids) AS id, unnest(range(len(ids))) AS pick FROM picks) x JOIN scored s ON s.id = x.id""")
 
-sql("publish_feed", ["picks"], """
-SELECT '2024-01-31' AS date, '2024-01-31T00:00:00+00:00' AS generated_at, CAST(len(ids) AS BIGINT) AS count FROM picks""")
+sql("publish_feed", ["scored", "picks"], f"""
+SELECT '2024-01-31' AS date, '2024-01-31T00:00:00+00:00' AS generated_at, (SELECT CAST(len(ids) AS BIGINT) FROM picks) AS count,
+       row_number() OVER (ORDER BY s.score DESC, x.pick ASC) AS rank, CAST(s.id AS VARCHAR) AS id, s.url, s.title,
+       CAST(NULL AS VARCHAR) AS summary, {J('s.tags')} AS tags, {R('s.score')} AS score,
+       strftime(s.scraped_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS scraped_at
+FROM (SELECT unnest(ids) AS id, unnest(range(len(ids))) AS pick FROM picks) x JOIN scored s ON s.id = x.id""")
+SQL["serialize_feed"] = SQL["publish_feed"]
 
 # ---- streams: the drained result equals the batch result ------------------------
 SQL["stream_tag_profile"] = SQL["tag_profile"]
@@ -961,58 +1086,50 @@ SQL["stream_tag_profile"] = SQL["tag_profile"]
 sql("stream_interactions", ["interaction"], f"""
 SELECT event_id, content_id, tag, type, {R('weight')} AS weight, {S('created_at')} AS created_at FROM interaction""")
 
-sql("stream_content_ingest", ["pages_txt", "page_fp", "doc_fp_full"], f"""SELECT * FROM (
-WITH inc AS (SELECT p.page_id AS id, p.url, p.title, f.simhash FROM pages_txt p JOIN page_fp f ON f.id = p.page_id),
-     eb AS ({_banded('(SELECT DISTINCT simhash FROM doc_fp_full)', 'simhash')}),
-     ib AS ({_banded('inc', 'id, url, simhash')}),
-     dup AS (SELECT DISTINCT ib.url FROM ib JOIN eb ON ib.band_no = eb.band_no AND ib.band = eb.band
-             WHERE 1.0 - bit_count(xor(ib.simhash, eb.simhash)) / 64.0 > 0.6)
-SELECT url, string_split(url, '/')[3] AS hostname, title, simhash, {UNSIGNED('simhash')} AS simhash_text,
-       1 AS pipeline_state,
-       {BAND('simhash', 0)} AS simhash_1, {BAND('simhash', 1)} AS simhash_2,
-       {BAND('simhash', 2)} AS simhash_3, {BAND('simhash', 3)} AS simhash_4, 0 AS batch_id
-FROM inc WHERE url NOT IN (SELECT url FROM dup)) z""")
+sql("stream_content_ingest", ["ingested"], "SELECT *, 0 AS batch_id FROM ingested")
 
 # ---- one crawl round ---------------------------------------------------------------
-cte("cr_won", ["claimed2"], "SELECT id, url, hostname, kind, sequence FROM claimed2 WHERE applied")
+cte("cr_won", ["claimed_r"], "SELECT c.id, c.url, c.hostname, c.kind, c.sequence, c.id IN (SELECT page_id FROM pages) AS success FROM claimed_r c WHERE applied")
 
 cte("cr_links", ["cr_won"], f"""
-SELECT page_id, link, source, source_seq FROM (
-  SELECT page_id, base, host, source, source_seq,
-         regexp_replace({sql_resolve('base', 'href')}, '#.*$', '') AS link
-  FROM (SELECT page_id, base, host, source, source_seq, unnest(l) AS href
-        FROM (SELECT w.id AS page_id, w.url AS base, w.hostname AS host, w.url AS source, w.sequence AS source_seq,
-                     regexp_extract_all(p.html, {q(HREF)}, 1) AS l
+SELECT page_id, link FROM (
+  SELECT page_id, base, host, regexp_replace({sql_resolve('base', 'href')}, '#.*$', '') AS link
+  FROM (SELECT page_id, base, host, unnest(l) AS href
+        FROM (SELECT w.id AS page_id, w.url AS base, w.hostname AS host, {sql_hrefs('p.html')} AS l
               FROM cr_won w JOIN pages p ON p.page_id = w.id WHERE w.kind = 'source') s0) s1
   WHERE href <> '') s2
 WHERE {sql_scheme('link')} IN ('http', 'https') AND {sql_hostname('link')} IS NOT NULL
   AND {sql_same_site(sql_hostname('link'), 'host')}
   AND regexp_replace(link, '/+$', '') <> regexp_replace(base, '/+$', '')""")
 
-cte("cr_new", ["cr_links", "url_t"], f"""
-SELECT url FROM (SELECT link AS url FROM cr_links GROUP BY link) g
-WHERE url NOT IN (SELECT url FROM url_t) AND {sql_hostname('url')} IS NOT NULL""")
-
 cte("cr_ingested", ["pages_txt", "page_fp", "doc_fp_full", "cr_won"], f"""SELECT * FROM (
 WITH inc AS (SELECT p.page_id AS id, p.url, f.simhash FROM pages_txt p JOIN page_fp f ON f.id = p.page_id
-             WHERE p.page_id IN (SELECT id FROM cr_won WHERE kind <> 'source')),
+             WHERE p.page_id IN (SELECT id FROM cr_won WHERE kind <> 'source') AND p.url NOT IN (SELECT url FROM doc_fp_full)),
      eb AS ({_banded('(SELECT DISTINCT simhash FROM doc_fp_full)', 'simhash')}),
      ib AS ({_banded('inc', 'id, url, simhash')}),
      dup AS (SELECT DISTINCT ib.url FROM ib JOIN eb ON ib.band_no = eb.band_no AND ib.band = eb.band
-             WHERE 1.0 - bit_count(xor(ib.simhash, eb.simhash)) / 64.0 > 0.6)
-SELECT url FROM inc WHERE url NOT IN (SELECT url FROM dup)) z""")
-
-sql("crawl_round", ["url_t", "cr_won", "cr_new", "cr_ingested"], """
-SELECT kind, crawl_state, count(*) AS n FROM (
-  SELECT u.kind, CASE WHEN w.id IS NOT NULL THEN 3 ELSE u.crawl_state END AS crawl_state
-  FROM url_t u LEFT JOIN cr_won w ON w.id = u.id
-  UNION ALL SELECT 'url' AS kind, 1 AS crawl_state FROM cr_new) t
-GROUP BY kind, crawl_state
+             WHERE 1.0 - bit_count(xor(ib.simhash, eb.simhash)) / 64.0 > 0.6),
+     kept AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM inc WHERE url NOT IN (SELECT url FROM dup))
+SELECT url, {UNSIGNED('simhash')} AS simhash FROM kept WHERE rn = 1) z""")
+
+sql("crawl_round", ["url_r", "host_t", "sched_r", "cr_won", "cr_links", "cr_ingested"], f"""
+SELECT 'url' AS part, url AS key, crawl_state, CAST(NULL AS BIGINT) AS crawls, CAST(NULL AS BIGINT) AS failures, {S('next_crawl_at')} AS at FROM (
+  SELECT u.url, CASE WHEN w.id IS NULL THEN u.crawl_state WHEN w.success THEN 3 ELSE 4 END AS crawl_state,
+         CASE WHEN w.id IS NULL THEN u.next_crawl_at WHEN NOT w.success THEN {AS_OF}
+              WHEN u.kind = 'source' THEN {AS_OF} + to_seconds({_K.SOURCE_REFRESH_SECONDS})
+              ELSE {AS_OF} + to_seconds({_K.CLAIM_LEASE_SECONDS}) END AS next_crawl_at
+  FROM url_r u LEFT JOIN cr_won w ON w.id = u.id
+  UNION ALL
+  SELECT url, 1, {AS_OF} FROM (SELECT DISTINCT link AS url FROM cr_links) g
+  WHERE url NOT IN (SELECT url FROM url_r) AND {sql_hostname('url')} IS NOT NULL) t
 UNION ALL
-SELECT 'content' AS kind, 1 AS crawl_state, count(*) AS n FROM cr_ingested""")
+SELECT 'host', h.name, NULL, h.crawl_count + coalesce(o.ok, 0), h.failure_count + coalesce(o.err, 0),
+       {S(f"CASE WHEN o.hostname IS NOT NULL THEN coalesce(h.next_allowed_at, {AS_OF}) + to_seconds({_K.HOST_COOLDOWN_SECONDS} * (o.ok + o.err)) WHEN s.id IS NOT NULL THEN {AS_OF} + to_seconds({_K.HOSTNAME_LEASE_SECONDS}) ELSE h.next_allowed_at END")}
+FROM host_t h LEFT JOIN sched_r s ON s.id = h.id
+LEFT JOIN (SELECT hostname, CAST(count(*) FILTER (success) AS BIGINT) AS ok, CAST(count(*) FILTER (NOT success) AS BIGINT) AS err
+           FROM cr_won GROUP BY hostname) o ON o.hostname = h.name
+UNION ALL
+SELECT 'content', url || ' ' || simhash, 1, NULL, NULL, {S(AS_OF)} FROM cr_ingested""")
 
-sql("serialize_feed", ["scored", "picks"], """
-SELECT '2024-01-31' AS date, '2024-01-31T00:00:00+00:00' AS generated_at, count(*) AS count,
-       string_agg(CAST(s.id AS VARCHAR), '|' ORDER BY s.score DESC, x.pick ASC) AS item_ids,
-       string_agg(s.url, '|' ORDER BY s.score DESC, x.pick ASC) AS item_urls
-FROM (SELECT unnest(ids) AS id, unnest(range(len(ids))) AS pick FROM picks) x JOIN scored s ON s.id = x.id""")
+for _name, _make in SQL_LATE.items():
+    SQL[_name] = _make()

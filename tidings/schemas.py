@@ -89,5 +89,16 @@ TAG_SCORE = T.StructType([
     field("long_weight", DBL, default=0.0),
 ])
 
+# What readers send, and what the fetcher stores: inputs of the streams.
+REQUEST = T.StructType([
+    field("event_id", LONG),
+    field("content_id", STR, required=True),
+    field("type", STR, required=True, enum=list(K.INTERACTION_WEIGHTS)),
+    field("tags", STR_ARR),
+    field("created_at", TS, required=True),
+])
+
+PAGE = T.StructType([field("page_id", LONG, required=True), field("url", STR, required=True), field("html", STR)])
+
 TABLES = {"Hostname": HOSTNAME, "URL": URL, "Content": CONTENT, "CrawlRun": CRAWL_RUN,
           "Interaction": INTERACTION, "TagScore": TAG_SCORE}

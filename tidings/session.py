@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+import atexit
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -19,7 +21,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     # remove checkpoint files once their frame is garbage collected
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -86,14 +88,65 @@ def ship_package(spark: SparkSession | None = None) -> None:
         pass
 
 
+_TABLES: list[str] = []  # written by cut_lineage and still there
+
+
 def cut_lineage(df):
     """Cut the lineage of ``df`` by writing it as a Parquet table in the
     shared folder named by ``spark.checkpoint.dir`` and reading it back.
 
     One job (a reliable RDD checkpoint needs a persist and two), the plan is
     never recomputed downstream, and the files survive the loss of an
-    executor.  Never a local checkpoint."""
+    executor.  Never a local checkpoint.  The files stay until the frames that
+    read them are done with: ``scratch_tables`` around a job, or
+    ``release_scratch``, deletes them, and so does the end of the driver."""
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that it names."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
+def _delete(paths: list[str]) -> None:
+    from pyspark import SparkContext
+    jvm = SparkContext._jvm
+    if jvm is None:
+        return
+    active = SparkContext._active_spark_context
+    conf = active._jsc.hadoopConfiguration() if active and active._jsc else jvm.org.apache.hadoop.conf.Configuration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def release_scratch(since: int = 0) -> None:
+    """Delete the tables that ``cut_lineage`` wrote (from number ``since``)."""
+    gone = _TABLES[since:]
+    del _TABLES[since:]
+    _delete(gone)
+
+
+@contextmanager
+def scratch_tables():
+    """Delete, at the end, the intermediate tables written inside: for jobs
+    that end with their result written."""
+    since = len(_TABLES)
+    try:
+        yield
+    finally:
+        release_scratch(since)
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        release_scratch()
+    except Exception:  # the JVM may be gone already; nothing is left to tell
+        pass

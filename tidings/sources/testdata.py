@@ -22,50 +22,15 @@ TABLES = [
 ]
 
 
-# Key column per table, used to spread an under-partitioned scan.
-TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id", "labels": "doc_id",
-              "conversations": "conv_id", "benchmark": "item_id"}
+# The fixtures' clock (FIXTURES part B).
+NOW = "2024-01-31 00:00:00"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, TABLE_KEYS.get(name))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-SPREAD_MIN_BYTES = 4 << 20
-
-
-def spread(df: DataFrame, key: str | None = None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Hash-partition a scan that yields fewer partitions than the cluster
-    has cores (one large row group is one task) and is big enough for that
-    to matter, so CPU-heavy per-row work (tokenising, regexes, hashing) runs
-    on every core.  With many input files -- the normal case at scale --
-    this is a no-op and adds no shuffle.  Filters and column pruning still
-    reach the scan, and a later aggregation on the same key reuses this
-    partitioning."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if want <= 1 or df.rdd.getNumPartitions() >= want:
-        return df
-    if _input_bytes(df) < min_bytes:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)
-
-
-def _input_bytes(df: DataFrame) -> int:
-    """Size of the files behind a scan; remote inputs count as large."""
-    import os
-    from urllib.parse import urlparse
-
-    total = 0
-    for f in df.inputFiles():
-        u = urlparse(f)
-        if u.scheme not in ("", "file"):
-            return 1 << 62
-        total += os.path.getsize(u.path)
-    return total
-
-
-def content(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
+def content(spark: SparkSession, sf_dir: str, as_of=NOW) -> DataFrame:
     """FIXTURES B1: one content row per document."""
     now = ts_lit(as_of)
     d = read_table(spark, sf_dir, "documents")
@@ -104,7 +69,7 @@ def interaction_type(event_type: Column, value: Column, k: Column) -> Column:
             .when(event_type == "error", F.when(k < 5, "hide").otherwise("impression")))
 
 
-def interactions(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
+def interactions(spark: SparkSession, sf_dir: str, as_of=NOW) -> DataFrame:
     """FIXTURES B2: events joined to content on ``props.k``, one row per tag.
 
     The join key domain is small (content ids hit by events), so the event
@@ -129,7 +94,7 @@ def interactions(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
     return rows.withColumn("weight", interaction_weight(F.col("type")))
 
 
-def urls(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
+def urls(spark: SparkSession, sf_dir: str, as_of=NOW) -> DataFrame:
     """FIXTURES B3: URL frontier rows from ``pages``."""
     now = ts_lit(as_of)
     p = read_table(spark, sf_dir, "pages")
@@ -153,7 +118,22 @@ def urls(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
     )
 
 
-def hostnames(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
+def urls_and_roots(spark: SparkSession, sf_dir: str, as_of=NOW) -> DataFrame:
+    """FIXTURES B3 and one due source per host that the fetcher brought no page
+    for: the host's root (id ``-1 - first id``), first or last in its queue."""
+    now = ts_lit(as_of)
+    u = urls(spark, sf_dir, as_of)
+    g = u.where("hostname IS NOT NULL").groupBy("hostname").agg(F.min("id").alias("first_id"))
+    root = F.concat(F.lit("https://"), F.col("hostname"), F.lit("/"))
+    rows = g.select(
+        (-1 - F.col("first_id")).alias("id"), root.alias("url"), "hostname", F.lit(1).alias("crawl_state"),
+        F.lit("source").alias("kind"), root.alias("source"), (now - F.make_dt_interval(mins=F.lit(1))).alias("next_crawl_at"),
+        F.when(F.col("first_id") % 2 == 0, F.lit(-1)).otherwise(F.lit(1 << 40)).cast("bigint").alias("sequence"))
+    rows = rows.join(u.select("url"), "url", "left_anti")
+    return u.unionByName(rows, allowMissingColumns=True)
+
+
+def hostnames(spark: SparkSession, sf_dir: str, as_of=NOW) -> DataFrame:
     """FIXTURES B3: one Hostname row per distinct URL host."""
     now = ts_lit(as_of)
     u = urls(spark, sf_dir, as_of)

@@ -1,9 +1,9 @@
 """Structured Streaming jobs that keep the interaction log, the tag profile and
 the content table current.
 
-* ``stream_interactions`` (G1): events -> weighted interaction rows, a
-  stateless stream-static join plus ``explode`` into an exactly-once Parquet
-  file sink.
+* ``stream_interactions`` (G1): reader requests (``REQUEST``) -> weighted
+  interaction rows, a stateless ``explode`` into an exactly-once Parquet file
+  sink.
 * ``stream_tag_profile`` (G2): a stateful streaming aggregation per tag
   (state = one row per tag, kept by the state store and checkpointed); each
   trigger writes a normalised profile version.  Ages are whole days at one
@@ -22,67 +22,82 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.common import ts_lit, whole_days
-from ..functions.feed import decay, interaction_weight
+from ..functions.common import clock, ts_lit, whole_days
+from ..functions.feed import decay
 from ..operators.dedup import doc_simhash
-from ..operators.profile import normalize_profile
-from ..plans.crawl import content_ingest
-from ..sources import testdata as td
+from ..operators.profile import interaction_rows, normalize_profile, split_interaction_requests
+from ..plans.crawl import content_ingest, stored_fingerprints
+from ..schemas import PAGE, REQUEST
+from ..session import path_exists, scratch_tables
 
 
-def _stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """File stream over a folder.  A path that names one file streams the
-    matching files of its folder (``pathGlobFilter``), so new files dropped
-    next to it are picked up by later triggers."""
+
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """File stream over a folder of Parquet files.  A path that names one file
+    streams the matching files of its folder (``pathGlobFilter``), so new files
+    dropped next to it are picked up by later triggers.  ``max_files`` bounds a
+    micro-batch; by default a trigger takes all that is there."""
     import os
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if path.endswith(".parquet"):
         folder, name = os.path.split(path.rstrip("/"))
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
-def interaction_stream(spark: SparkSession, events_path: str, content: DataFrame) -> DataFrame:
-    """Streaming interaction rows from an events source (FIXTURES B2)."""
-    ev = _stream(spark, events_path)
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    ev = ev.select("event_id", "ts", "event_type", "value", k.alias("k"))
-    joined = ev.join(content.select(F.col("id").alias("k"), "tags"), "k")
-    typ = td.interaction_type(F.col("event_type"), F.col("value"), F.col("k"))
-    rows = joined.select("event_id", F.col("k").alias("content_id"), F.explode("tags").alias("tag"),
-                         typ.alias("type"), F.col("ts").alias("created_at"))
-    return rows.withColumn("weight", interaction_weight(F.col("type")))
+def request_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Reader requests as they arrive (``REQUEST``)."""
+    return file_stream(spark, path, REQUEST, max_files)
+
+
+def request_rows(requests: DataFrame) -> DataFrame:
+    """Requests -> weighted interaction rows, one per distinct tag; requests
+    without tags are left out (``profile.split_interaction_requests``)."""
+    accepted, _ = split_interaction_requests(requests)
+    return interaction_rows(accepted)
 
 
-def stream_interactions(spark: SparkSession, events_path: str, content: DataFrame,
-                        out_path: str, checkpoint: str):
+def stream_interactions(requests: DataFrame, out_path: str, checkpoint: str):
     """G1: append interaction rows to a Parquet sink (exactly once)."""
-    rows = interaction_stream(spark, events_path, content)
-    return (rows.writeStream.format("parquet").option("path", out_path)
+    return (request_rows(requests).writeStream.format("parquet").option("path", out_path)
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
 
 
-def stream_tag_profile(spark: SparkSession, events_path: str, content: DataFrame,
-                       out_path: str, checkpoint: str, as_of=None, state_partitions: int | None = None):
-    """Running per-tag decayed sums; each trigger writes
-    ``<out_path>/v=<batch_id>`` with the normalised profile.
+def _run_folder(out_path: str, as_of) -> str:
+    stamp = str(as_of) if isinstance(as_of, str) else as_of.isoformat(sep=" ")
+    return f"{out_path}/as_of=" + "".join(c for c in stamp if c.isalnum())
+
+
+def stream_tag_profile(requests: DataFrame, out_path: str, checkpoint: str, as_of=None, state_partitions: int | None = None):
+    """Running per-tag decayed sums at one clock; each trigger writes the
+    normalised profile to ``<out_path>/as_of=<clock>/v=<batch_id>``.  A fresh
+    checkpoint starts at batch 0, which clears what an earlier run with the
+    same clock left, so the highest version is always the last one written.
 
     ``state_partitions`` sizes the state store (one row per tag) when the
     checkpoint is new; Spark keeps that number for the life of the
     checkpoint.  The session setting is restored once the query started."""
-    rows = interaction_stream(spark, events_path, content)
+    spark = requests.sparkSession
+    as_of = clock(as_of)
+    folder = _run_folder(out_path, as_of)
     age = whole_days(ts_lit(as_of), F.col("created_at"))
-    raw = rows.groupBy("tag").agg(
+    raw = request_rows(requests).groupBy("tag").agg(
         F.sum(decay(F.col("weight"), age, K.RECENT_HALF_LIFE_DAYS)).alias("recent_weight"),
         F.sum(decay(F.col("weight"), age, K.LONG_HALF_LIFE_DAYS)).alias("long_weight"),
         F.max(F.col("type") == "hide").alias("hidden"))
 
     def write_version(batch: DataFrame, batch_id: int) -> None:
-        normalize_profile(batch).write.mode("overwrite").parquet(f"{out_path}/v={batch_id}")
+        batch = batch.persist()
+        writer = normalize_profile(batch).withColumn("v", F.lit(batch_id)).write.mode("overwrite").partitionBy("v")
+        mode = "static" if batch_id == 0 else "dynamic"
+        writer.option("partitionOverwriteMode", mode).parquet(folder)
+        batch.unpersist()
 
     writer = (raw.writeStream.outputMode("complete").foreachBatch(write_version)
               .option("checkpointLocation", checkpoint).trigger(availableNow=True))
@@ -97,31 +112,30 @@ def stream_tag_profile(spark: SparkSession, events_path: str, content: DataFrame
         spark.conf.set(key, previous)
 
 
-def latest_version(spark: SparkSession, out_path: str) -> DataFrame:
-    """Read the newest ``v=<n>`` version written by ``stream_tag_profile``."""
-    df = spark.read.parquet(out_path)
+def latest_version(spark: SparkSession, out_path: str, as_of) -> DataFrame:
+    """The last profile written by the run with this clock."""
+    df = spark.read.parquet(_run_folder(out_path, as_of))
     newest = df.select(F.max("v")).scalar()
     return df.where(F.col("v") == newest).drop("v")
 
 
 def stream_content_ingest(spark: SparkSession, pages_path: str, existing_fp_path: str,
-                          out_path: str, checkpoint: str, as_of=None):
+                          out_path: str, checkpoint: str, as_of=None, max_files: int | None = None):
     """Drain new pages into PENDING content rows.  ``existing_fp_path``
     holds ``(url, simhash)`` of stored content; rows ingested by earlier
-    batches count as stored too."""
-    pages = _stream(spark, pages_path)
+    batches count as stored too.  A storage error fails the batch."""
+    pages = file_stream(spark, pages_path, PAGE, max_files)
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
-        existing = sess.read.parquet(existing_fp_path).select("url", "simhash")
-        try:
-            earlier = sess.read.parquet(out_path).where(F.col("batch_id") < batch_id).select("url", "simhash")
-            existing = existing.unionByName(earlier)
-        except Exception:  # no earlier batch yet
-            pass
-        rows = content_ingest(batch, existing, as_of).withColumn("batch_id", F.lit(batch_id))
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(out_path))
+        with scratch_tables():
+            existing = stored_fingerprints(sess.read.parquet(existing_fp_path))
+            if path_exists(sess, out_path):
+                earlier = sess.read.parquet(out_path).where(F.col("batch_id") < batch_id)
+                existing = existing.unionByName(stored_fingerprints(earlier))
+            rows = content_ingest(batch, existing, as_of).withColumn("batch_id", F.lit(batch_id))
+            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(out_path))
 
     return (pages.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
