@@ -108,9 +108,9 @@ def test_groups_against_brute_force(make_docs, case):
         assert r.class_id == (min(ids) if ids else None)
 
 
-def test_large_buckets_in_rounds(make_docs, case, monkeypatch):
-    """With every bucket handled as a large one the groups are the same."""
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 1)
+def test_large_buckets_in_blocks(make_docs, case, monkeypatch):
+    """With buckets and partners cut into small blocks the groups are the same."""
+    monkeypatch.setattr(neardup, "GROUP", 3)
     monkeypatch.setattr(neardup, "BLOCK", 7)
     part = [d for d in case if d[0] is not None and (d[0] < 1100 or 2000 <= d[0] < 2040)]
     rows = near_duplicates(make_docs(part)).collect()

@@ -50,8 +50,9 @@ def with_chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "chunk long, place int, doc_id long, text string")
 
 
-def word_hashes(split: list[list[bytes]]):
-    """64-bit hashes of the words of each text, as one array per text."""
+def word_hashes(split):
+    """64-bit hashes of the words of each text (an iterable of lists of words),
+    as one array per text."""
     import numpy as np
     import xxhash
 

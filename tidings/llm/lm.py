@@ -9,7 +9,8 @@ context they form one monotone sequence, kept in Elias-Fano code (low bytes as
 they are, high parts as a unary bit vector with sampled zeros), and beside it
 the discounted probabilities in 8-bit codes.  Both levels lie in one
 memory-mapped file.  A query finds its context, then searches the first
-successor not below its word within that context.
+successor not below its word within that context; a chunk's queries come in
+order, so the code is read a stretch at a time for many of them.
 
 Smoothing: interpolated, with three discounts from the shard's counts of
 counts; the lower order is the additive unigram that is also the base score.
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from .chunks import chunks, with_chunks, word_hashes
 from .common import crc_mod, cut_lineage, doc_text, read_table, text_bytes
 
-CHUNK_BYTES, SHARD_BYTES = 16 << 20, 32 << 20
-HOT = 0.01
+CHUNK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+HOT, HOT_SAMPLE = 0.01, 4
 ADDED = 0.1
 FOLDS = 10
 SUCCESSOR_BITS = 40
@@ -104,8 +105,9 @@ class EliasFano:
         """Low part of the entries ``i``."""
         import numpy as np
 
-        out = np.zeros((len(i), 8), np.uint8)
-        out[:, :self.low_bytes] = self.low[i]
+        low = self.low[i]
+        out = np.zeros((len(low), 8), np.uint8)
+        out[:, :self.low_bytes] = low
         return out.view(np.uint64).ravel()
 
     def successor(self, x):
@@ -130,6 +132,34 @@ class EliasFano:
         return start, same
 
 
+    def decoded(self, start: int, stop: int):
+        """The entries whose high part is from ``start`` to ``stop`` - 1, and
+        the number of the first of them."""
+        import numpy as np
+
+        first = int(self.zero(np.array([start - 1]))[0]) + 1 if start else 0
+        end = int(self.zero(np.array([stop - 1]))[0])
+        bits = np.unpackbits(self.words[first >> 6:(end >> 6) + 1].view(np.uint8), bitorder="little")[first & 63:end - (first >> 6 << 6)]
+        ones = np.flatnonzero(bits)
+        n, at = len(ones), first - start
+        return (ones - np.arange(n) + start).astype(np.uint64) << np.uint64(8 * self.low_bytes) | self.get(slice(at, at + n)), at
+
+    def successor_of_sorted(self, x, step: int = 1 << 18):
+        """``successor`` for sorted ``x``."""
+        import numpy as np
+
+        at, same = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        shift = np.uint64(8 * self.low_bytes)
+        for i in range(0, len(x), step):
+            part = x[i:i + step]
+            entries, before = self.decoded(int(part[0] >> shift), int(part[-1] >> shift) + 1)
+            found = np.searchsorted(entries, part)
+            at[i:i + step] = found + before
+            if len(entries):
+                same[i:i + step] = entries[np.minimum(found, len(entries) - 1)] == part
+        return at, same
+
+
 def stored(arrays):
     """The arrays, written to one temporary file and mapped back from it; the
     file goes as soon as it is mapped."""
@@ -207,12 +237,13 @@ class Trie:
         return int(a), int(b)
 
     def code(self, context, successor):
-        """Code of each (context number, 40-bit successor); 0 if unseen."""
+        """Code of each (context number, 40-bit successor), in order; 0 if
+        unseen."""
         import numpy as np
 
         if not self.successors.n:
             return np.zeros(len(context), np.uint8)
-        at, same = self.successors.successor(context.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor)
+        at, same = self.successors.successor_of_sorted(context.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor)
         return np.where(same, self.codes[np.minimum(at, self.successors.n - 1)], 0).astype(np.uint8)
 
 
@@ -236,7 +267,7 @@ class Pairs:
     def __init__(self, rows, shards: int, hot: dict[int, int], folds: int):
         import numpy as np
 
-        words = word_hashes([t.encode("utf-8", "surrogatepass").lower().split() for _, t in rows])
+        words = word_hashes(t.encode("utf-8", "surrogatepass").lower().split() for _, t in rows)
         self.lengths = np.array([len(w) + 1 for w in words], np.int64)
         self.held = np.array([is_held_out(d, folds) for d, _ in rows], bool)
         ends = np.cumsum(self.lengths) if len(rows) else np.zeros(0, np.int64)
@@ -295,9 +326,9 @@ class Pairs:
 
 def hot_words(docs: DataFrame, shards: int, share: float = HOT) -> dict[int, int]:
     """Contexts of at least ``share`` of all tokens (so at most 1 / share), and
-    the slices each is cut into.  Chunks name words of a twentieth of that share;
-    what is lost below it only shifts the bound, and results don't depend on
-    where a context is cut."""
+    the slices each is cut into.  This only places the work, and results don't
+    depend on it: one chunk in ``HOT_SAMPLE`` is looked at (by its number's
+    hash), and chunks name words of a twentieth of the share."""
 
     if shards == 1:
         return {}
@@ -308,7 +339,9 @@ def hot_words(docs: DataFrame, shards: int, share: float = HOT) -> dict[int, int
         import pyarrow as pa
         import xxhash
 
-        for _, rows in chunks(batches, CHUNK_BYTES):
+        for number, rows in chunks(batches, CHUNK_BYTES):
+            if zlib.crc32(str(number).encode()) % HOT_SAMPLE:
+                continue
             seen: Counter = Counter()
             for _, text in rows:
                 seen.update(text.encode("utf-8", "surrogatepass").lower().split())
@@ -319,6 +352,7 @@ def hot_words(docs: DataFrame, shards: int, share: float = HOT) -> dict[int, int
             yield pa.RecordBatch.from_arrays([pa.array([0, *signed], pa.int64()), pa.array([total, *[n for _, n in found]], pa.int64()), pa.array([True] + [False] * len(found))], ["h", "n", "total"])
 
     sums = docs.select("doc_id", "text").mapInArrow(run, "h long, n long, total boolean").groupBy("h", "total").agg(F.sum("n").alias("n"))
+    sums = cut_lineage(sums)
     total = sums.where("total").agg(F.sum("n")).first()[0] or 0
     found = sums.where(~F.col("total") & (F.col("n") >= total * share)).orderBy("h").collect()
     return {r["h"] % (1 << 64): min(shards, 1 + -(-2 * r["n"] * shards // total)) for r in found}

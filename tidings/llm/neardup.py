@@ -7,15 +7,18 @@ large group of near copies a shared shingle is frequent and an edited one rare,
 so shingle frequencies would push the group's own members apart.)  Improved
 consistent weighted sampling draws ``BANDS * ROWS`` samples whose chance to
 agree is the weighted Jaccard similarity.  Documents that agree on a whole band
-are candidates; candidates whose samples agree often enough are verified on
-their texts, and links of similarity ``THRESHOLD`` or more join them to groups.
+are candidates; candidates are verified on their texts, and links of similarity
+``THRESHOLD`` or more join them to groups.
 
 Equal texts are one class from the start and only its first document goes on.
 In each bucket the member with the most company is compared to all others
-first; what that leaves in different groups is then compared across groups --
-small buckets at once, large ones by four times as many members each round,
-until no untested pair of a bucket lies in two groups.  So no link that the
-bands show is lost, and a group of near copies costs its size, not its square.
+first; what that leaves in different groups is then compared across groups,
+inside tasks that hold two blocks of a bucket each, so only links come out and
+no pair is ever a row.  Pairs that cannot be similar are left out: the smaller
+total weight must be ``THRESHOLD`` of the larger, the similarities to the
+bucket's first member may differ by at most 1 - ``THRESHOLD`` (the distance is
+a metric), and ``PROMISING`` of the samples must agree (2.8 standard deviations
+below the threshold).
 
 Scale: word frequencies go to a table of fixed size (``BUCKETS`` hashed
 counts); signatures are made in one pass; buckets, degrees and components are
@@ -39,9 +42,10 @@ from .common import cut_lineage, doc_text, read_table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 4
-PROMISING = 0.55  # share of agreeing samples from which a pair is verified
+PROMISING = 0.66  # share of agreeing samples from which a pair is verified
+BROADCAST_NODES = 500_000  # of 40 bytes each
 BUCKETS = 1 << 18
-SMALL_BUCKET, BLOCK = 64, 200
+GROUP, BLOCK = 500, 200
 NO_ID = -1 << 63
 WORD = re.compile(r"\w+")
 
@@ -52,15 +56,16 @@ def document_frequencies(docs: DataFrame):
     import numpy as np
 
     def run(batches):
+        from collections import Counter
+
         import pyarrow as pa
         import xxhash
 
         n = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            seen: dict[str, int] = {}
+            seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                for w in set(WORD.findall(text.lower())):
-                    seen[w] = seen.get(w, 0) + 1
+                seen.update(set(WORD.findall(text.lower())))
             at = np.fromiter((xxhash.xxh64_intdigest(w) % BUCKETS for w in seen), np.int64, len(seen))
             np.add.at(n, at, np.fromiter(seen.values(), np.int64, len(seen)))
         at = np.flatnonzero(n)
@@ -123,10 +128,10 @@ class Sampler:
         import numpy as np
 
         r = np.random.RandomState(seed)
-        self.seeds = r.randint(1, 1 << 62, samples, np.int64).astype(np.uint64)
+        self.seeds = r.randint(1, 1 << 32, samples, np.int64).astype(np.uint32)
         grid = np.linspace(0, 40, 400_001)
         cdf = 1 - (1 + grid) * np.exp(-grid)  # gamma with shape 2
-        self.gamma = np.interp((np.arange(4096) + 0.5) / 4096, cdf, grid).astype(np.float32)
+        self.gamma = np.interp((np.arange(2048) + 0.5) / 2048, cdf, grid).astype(np.float32)
         self.log_gamma = np.log(self.gamma)
 
     def __call__(self, shingles, weights):
@@ -136,21 +141,27 @@ class Sampler:
         k = len(self.seeds)
         best, chosen = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64)
         log_w = np.log(weights)
-        low = np.uint64(4095)
-        for i in range(0, len(shingles), 1024):
-            s = shingles[i:i + 1024]
-            u = s[:, None] ^ self.seeds
-            u *= np.uint64(0xD6E8FEB86659FD93)
-            u ^= u >> np.uint64(32)
-            u *= np.uint64(0x9E3779B97F4A7C15)
-            u ^= u >> np.uint64(29)
-            r = self.gamma[(u & low).astype(np.int32)]
-            beta = (u >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-            t = np.floor(log_w[i:i + 1024, None] / r + beta)
-            cost = self.log_gamma[((u >> np.uint64(12)) & low).astype(np.int32)] - r * (t - beta + 1)
-            at = cost.argmin(0)
-            least = cost[at, np.arange(k)]
-            value = s[at] + t[at, np.arange(k)].astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        low, each = np.uint32(2047), np.arange(k)
+        for i in range(0, len(shingles), 512):
+            s = shingles[i:i + 512]
+            u = (s >> np.uint64(32)).astype(np.uint32)[:, None] ^ self.seeds
+            u *= np.uint32(0x85EBCA6B)
+            u ^= u >> np.uint32(15)
+            u *= np.uint32(0xC2B2AE35)
+            u ^= u >> np.uint32(16)
+            r = self.gamma.take(u & low)
+            beta = (u >> np.uint32(22)).astype(np.float32)
+            beta *= np.float32(2.0**-10)
+            t = log_w[i:i + 512, None] / r
+            t += beta
+            np.floor(t, out=t)
+            beta -= t
+            beta -= np.float32(1)
+            beta *= r
+            beta += self.log_gamma.take((u >> np.uint32(11)) & low)  # the cost: ln c - r (t - beta + 1)
+            at = beta.argmin(0)
+            least = beta[at, each]
+            value = s[at] + t[at, each].astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
             better = least < best
             best[better], chosen[better] = least[better], value[better]
         return chosen
@@ -170,8 +181,9 @@ def similarity(a, b) -> float:
 
 
 def signatures(docs: DataFrame, shingles: Shingles) -> DataFrame:
-    """``(doc_id, node, bands, sample)``: ``node`` is the text's md5, ``bands``
-    a hash per band (null without words), ``sample`` one byte per sample."""
+    """``(doc_id, node, bands, sample, total)``: ``node`` is the text's md5,
+    ``bands`` a hash per band (null without words), ``sample`` one byte per
+    sample, ``total`` the sum of the weights."""
     sampler = Sampler()
 
     def run(batches):
@@ -183,9 +195,10 @@ def signatures(docs: DataFrame, shingles: Shingles) -> DataFrame:
         tag = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            nodes, bands, samples = [], [], []
+            nodes, bands, samples, totals = [], [], [], []
             for text, (s, w) in zip(texts, shingles.of(texts), strict=True):
                 nodes.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest())
+                totals.append(float(w.sum(dtype=np.float64)))
                 if not len(s):
                     bands.append(None)
                     samples.append(None)
@@ -197,18 +210,18 @@ def signatures(docs: DataFrame, shingles: Shingles) -> DataFrame:
                     h ^= h >> np.uint64(31)
                 bands.append(h.astype(np.int64))
                 samples.append((chosen.ravel() * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).view(np.int8))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int8()))], ["doc_id", "node", "bands", "sample"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int8())), pa.array(totals)], ["doc_id", "node", "bands", "sample", "total"])
 
-    return docs.mapInArrow(run, "doc_id long, node string, bands array<long>, sample array<tinyint>")
+    return docs.mapInArrow(run, "doc_id long, node string, bands array<long>, sample array<tinyint>, total double")
 
 
-def promising(a: str, b: str):
-    """Whether two sample arrays agree in ``PROMISING`` of their entries."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= int(PROMISING * BANDS * ROWS)
+def comparable(a: str, b: str, threshold: float):
+    """Whether two total weights allow a similarity of the threshold."""
+    return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-6)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingles: Shingles, threshold: float = THRESHOLD) -> DataFrame:
-    """``(a, b, similarity)`` of the pairs at or over the threshold."""
+def similarities(pairs: DataFrame, texts: DataFrame, shingles: Shingles) -> DataFrame:
+    """``(a, b, similarity)`` of the pairs."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     partners = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks").cast("long")).alias("block"))
     firsts = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
@@ -225,13 +238,94 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Shingles, threshold:
             for a, block, b, weighted in rows:
                 if not b:
                     key, own = (a, block), weighted
-                elif key == (a, block) and (s := similarity(own, weighted)) >= threshold:
-                    out.append((a, b, s))
+                elif key == (a, block):
+                    out.append((a, b, similarity(own, weighted)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["a", "b", "similarity"])
 
     return first.unionByName(other).repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(run, "a string, b string, similarity double")
 
 
+def across(members: DataFrame, texts: DataFrame, shingles: Shingles, threshold: float = THRESHOLD) -> DataFrame:
+    """Links ``(a, b, similarity)`` between the groups that meet in a bucket.
+
+    A bucket's members are dealt into blocks of about ``GROUP``, and each pair of
+    blocks is one piece of work, so a task holds two blocks.  It looks at a pair
+    in the first band it agrees on only, and not at pairs that cannot be similar
+    (see above), the most promising first; members that a link has joined are
+    not compared any more."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("second"),
+                         "node", "label", "total", "near", "sample").join(texts, "node")
+    share = int(PROMISING * BANDS * ROWS)
+
+    def links(rows):
+        """Of one pair of blocks: (band, low, high, rows of the rest)."""
+        import numpy as np
+
+        band, low, high, members = rows
+        second = np.array([m[0] for m in members])
+        total = np.array([m[3] for m in members])
+        near = np.array([np.nan if m[4] is None else m[4] for m in members])
+        sample = np.array([m[5] for m in members], np.int8)
+        kinds = {x: i for i, x in enumerate(dict.fromkeys(m[2] for m in members))}
+        home = list(range(len(kinds)))
+
+        def find(i):
+            while home[i] != i:
+                home[i] = home[home[i]]
+                i = home[i]
+            return i
+
+        label = np.array([kinds[m[2]] for m in members])
+        found = []
+        for i in range(len(members) - 1):
+            j = np.arange(i + 1, len(members))
+            keep = label[j] != label[i]
+            if low != high:
+                keep &= second[j] != second[i]
+            keep &= np.minimum(total[j], total[i]) >= np.maximum(total[j], total[i]) * (threshold - 1e-6)
+            keep &= ~(np.abs(near[j] - near[i]) > 1 - threshold + 1e-6)
+            j = j[keep]
+            if not len(j):
+                continue
+            same = sample[j] == sample[i]
+            agree = same.sum(1)
+            earlier = same[:, :band * ROWS].reshape(len(j), band, ROWS).all(2).any(1) if band else np.zeros(len(j), bool)
+            ok = (agree >= share) & ~earlier
+            found += zip((-agree[ok]).tolist(), [i] * int(ok.sum()), j[ok].tolist(), strict=True)
+        weighted: dict[int, tuple] = {}
+        for _, i, j in sorted(found):
+            if find(label[i]) == find(label[j]):
+                continue
+            for k in (i, j):
+                if k not in weighted:
+                    weighted[k] = next(shingles.of([members[k][6]]))
+            if (s := similarity(weighted[i], weighted[j])) >= threshold:
+                home[find(label[i])] = find(label[j])
+                yield members[i][1], members[j][1], s
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, group = None, []
+        names = ("bucket", "low", "high", "band", "second", "node", "label", "total", "near", "sample", "text")
+
+        def done():
+            out = list(links((group[0][3], key[1], key[2], [g[4:] for g in group]))) if group else []
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["a", "b", "similarity"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[:3] != key:
+                    yield done()
+                    key, group = row[:3], []
+                group.append(row)
+        yield done()
+
+    return dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node").mapInArrow(run, "a string, b string, similarity double")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for the nodes of the edges: the least node that can be
     reached, by least labels of neighbours and labels' labels."""
@@ -249,81 +343,52 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id``, ``node`` (its text's md5), ``class_id``
-    (least id of its equal texts), ``group_id`` (least id of its group),
-    ``n_links`` (verified links of its text to different ones) and ``first``
-    (whether its text is the one that stays)."""
+    (least id of its equal texts), ``group_id`` (least id of its group) and
+    ``first`` (whether its text is the one that stays)."""
     docs = doc_text(docs)
     shingles = Shingles(*document_frequencies(docs))
     signed = cut_lineage(signatures(docs, shingles))
-    classes = cut_lineage(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", F.coalesce("doc_id", F.lit(NO_ID))).alias("bands"), F.min_by("sample", F.coalesce("doc_id", F.lit(NO_ID))).alias("sample")))
-    cast = classes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
+    order = F.coalesce("doc_id", F.lit(NO_ID))
+    classes = cut_lineage(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(order.alias("id"), "bands", "sample", "total")).alias("s")).select("node", "class_id", "s.*"))
+    cast = classes.where("bands IS NOT NULL").select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = cut_lineage(cast.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    largest = sizes.agg(F.max("size")).first()[0] or 0
     shared = cut_lineage(cast.join(sizes, "bucket"))
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
-    members = cut_lineage(shared.join(company.join(classes.select("node", "sample"), "node"), "node"))  # bucket, size, node, company, sample
+    members = cut_lineage(shared.join(company.join(classes.select("node", "sample", "total"), "node"), "node"))  # bucket, band, size, node, company, sample, total
 
-    nodes = company.join(classes.select("node", "class_id"), "node").select("node", F.coalesce("class_id", F.lit(NO_ID)).alias("id"))
-    texts = docs.select(F.md5("text").alias("node"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(nodes, ["node", "id"], "left_semi")
+    nodes = cut_lineage(company.join(classes, "node").select("node", "id"))
+    few = nodes.count() <= BROADCAST_NODES
+    texts = docs.select(F.md5("text").alias("node"), order.alias("id"), "text").join(F.broadcast(nodes) if few else nodes, ["node", "id"], "left_semi")
     texts = cut_lineage(texts.drop("id").dropDuplicates(["node"]))
 
-    def against(pivots: DataFrame, others: DataFrame, known: DataFrame | None) -> DataFrame:
-        """Pairs of a bucket's pivot and its other members, in two groups."""
-        p = pivots.select("bucket", F.col("node").alias("p"), F.col("sample").alias("p_sample"), F.col("label").alias("p_label"))
-        met = others.join(p, "bucket").where((F.col("node") != F.col("p")) & (F.col("label") != F.col("p_label")) & promising("sample", "p_sample"))
-        return ordered(met.select("p", "node"), known)
-
-    def ordered(found: DataFrame, known: DataFrame | None) -> DataFrame:
-        """The more connected node first would skew nothing here: pairs are kept
-        as (pivot, member), once for either order."""
-        x, y = found.columns
-        pairs = found.groupBy(F.least(x, y).alias("low"), F.greatest(x, y).alias("high")).agg(F.min(x).alias("a"))
-        if known is not None:
-            pairs = pairs.join(known, ["low", "high"], "left_anti")
-        return pairs.select("low", "high", "a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
-
-    labelled = members.withColumn("label", F.col("node"))
-    used, tested, links, labels, rounds = None, None, None, None, 0
-    while True:
-        open_ = labelled
-        if labels is not None:  # buckets whose members are in more than one group
-            split = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-            open_ = cut_lineage(labelled.join(split, "bucket"))
-        left = open_ if used is None else open_.join(used, ["bucket", "node"], "left_anti")
-        if labels is None:
-            chosen = left.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("node"))
-            pivots = cut_lineage(chosen.join(left, ["bucket", "node"]))
-        else:
-            every = F.greatest(F.floor(F.col("size") / 4**rounds), F.lit(1))
-            pivots = cut_lineage(left.where((F.col("size") > SMALL_BUCKET) & (F.pmod(F.xxhash64("node"), every) == 0)))
-        rounds += 1
-        pairs = against(pivots, open_, tested)
-        if labels is not None:
-            small = open_.where(F.col("size") <= SMALL_BUCKET)
-            other = small.select("bucket", F.col("node").alias("p"), F.col("sample").alias("p_sample"), F.col("label").alias("p_label"))
-            cross = small.join(other, "bucket").where((F.col("node") < F.col("p")) & (F.col("label") != F.col("p_label")) & promising("sample", "p_sample"))
-            pairs = pairs.unionByName(ordered(cross.select("p", "node"), tested)).dropDuplicates(["low", "high"])
-        pairs = cut_lineage(pairs)
-        some, more = pairs.limit(1).count(), pivots.limit(1).count()
-        if some:
-            new = cut_lineage(verified(pairs.select("a", "b"), texts, shingles, threshold))
-            links = new if links is None else links.unionByName(new)
-            tested = pairs.select("low", "high") if tested is None else tested.unionByName(pairs.select("low", "high"))
-        used = pivots.select("bucket", "node") if used is None else used.unionByName(pivots.select("bucket", "node"))
-        if labels is not None and not some and not more and (largest <= SMALL_BUCKET or 4**(rounds - 1) >= largest):
-            break
-        if links is None:
-            labels = members.select("node", F.col("node").alias("label")).limit(0)
-        elif some:
-            labels = components(links)
-            labelled = cut_lineage(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    group = classes.select("node", "class_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = F.struct(F.coalesce("class_id", F.lit(NO_ID)).alias("id"), F.col("node"), F.col("class_id").alias("group_id"))
-    least = group.groupBy("label").agg(F.min(first).alias("least"))
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links")) if links is not None else members.select("node", F.lit(0).cast("long").alias("n_links")).limit(0)
-    group = group.join(least, "label").join(counts, "node", "left").select("node", "class_id", F.col("least.group_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("node") == F.col("least.node")).alias("first_text"))
+    def compared(found: DataFrame) -> DataFrame:
+        """Similarities of distinct pairs (p, node), each in one order."""
+        pairs = found.groupBy(F.least("p", "node").alias("low"), F.greatest("p", "node").alias("high")).agg(F.min("p").alias("a"))
+        pairs = pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
+        return cut_lineage(similarities(pairs, texts, shingles))
+
+    # first: every bucket's best connected member against all others
+    chosen = members.groupBy("bucket").agg(F.max(F.struct("company", "node", "total")).alias("p")).select("bucket", F.col("p.node").alias("p"), F.col("p.total").alias("p_total"))
+    chosen = cut_lineage(chosen)
+    star = members.join(chosen, "bucket").where((F.col("node") != F.col("p")) & comparable("total", "p_total", threshold)).select("p", "node")
+    tested = compared(star)
+    links = tested.where(F.col("similarity") >= threshold)
+    labels = components(links)
+    either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).select(F.col("a").alias("p"), F.col("b").alias("node"), F.col("similarity").alias("near"))
+    around = members.join(chosen.select("bucket", "p"), "bucket").join(either, ["p", "node"], "left")
+    around = cut_lineage(around.withColumn("near", F.when(F.col("node") == F.col("p"), 1.0).otherwise(F.col("near"))).drop("p"))
+
+    labelled = around.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")).where("x <> y").drop("x", "y")
+    open_ = cut_lineage(labelled.join(split, "bucket"))
+    if open_.limit(1).count():
+        links = links.unionByName(cut_lineage(across(open_, texts, shingles, threshold)))
+        labels = components(links)
+    group = classes.select("node", "class_id", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = group.groupBy("label").agg(F.min(F.struct("id", "node", "class_id")).alias("least"))
+    group = group.join(least, "label").select("node", "class_id", F.col("least.class_id").alias("group_id"), (F.col("node") == F.col("least.node")).alias("first_text"))
     rows = signed.select("doc_id", "node").join(group, "node")
-    return rows.select("doc_id", "node", "class_id", "group_id", "n_links", (F.col("first_text") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("first"))
+    return rows.select("doc_id", "node", "class_id", "group_id", (F.col("first_text") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("first"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
