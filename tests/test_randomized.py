@@ -1,4 +1,5 @@
-"""Randomised agreement with Python's own rules (one Spark job per rule)."""
+"""Properties on random inputs (one Spark job per rule), and agreement with
+Python's urllib where the standard defines the result."""
 
 import random
 import string
@@ -9,9 +10,6 @@ from tidings import constants as K
 from tidings.functions import tags as TG
 from tidings.functions import urls as U
 
-from test_tags_text import py_filter, py_normalize
-from test_urls import py_canonical, py_ignored
-
 
 def _rand_url(rng):
     scheme = rng.choice(["http", "https", "HTTPS", "ftp"])
@@ -30,31 +28,51 @@ def _rand_url(rng):
     return f"{scheme}://{host}{path}{query}{frag}"
 
 
-def test_random_urls_match_urllib(spark):
+def test_random_urls(spark):
+    """A canonical form is canonical itself, has no fragment, no tracking key
+    and no trailing slash, and keeps scheme, host and the other parameters;
+    what is junk by scheme, extension or segment is found so."""
+    from urllib.parse import parse_qsl, urlsplit
     rng = random.Random(1234)
     urls = sorted({_rand_url(rng) for _ in range(400)})
-    df = spark.createDataFrame([(u,) for u in urls], "url string")
-    rows = df.select("url", U.canonicalize_url(F.col("url")).alias("c"),
-                     U.is_ignored_url(F.col("url")).alias("i"), U.url_hostname(F.col("url")).alias("h")).collect()
-    from urllib.parse import urlsplit
+    df = spark.createDataFrame([(u,) for u in urls], "url string").withColumn("c", U.canonicalize_url(F.col("url")))
+    rows = df.select("url", "c", U.canonicalize_url(F.col("c")).alias("cc"), U.is_ignored_url(F.col("url")).alias("i"),
+                     U.url_hostname(F.col("url")).alias("h")).collect()
     for r in rows:
-        assert r["c"] == py_canonical(r["url"]), r["url"]
-        assert r["i"] == py_ignored(r["url"]), r["url"]
-        assert r["h"] == urlsplit(r["url"]).hostname, r["url"]
+        before, after = urlsplit(r["url"]), urlsplit(r["c"])
+        assert r["cc"] == r["c"], r["url"]
+        assert r["h"] == before.hostname == after.hostname, r["url"]
+        assert "#" not in r["c"] and (after.path == "/" or not after.path.endswith("/")), r["url"]
+        kept = parse_qsl(after.query)
+        assert not {k.lower() for k, _ in kept} & set(K.TRACKING_PARAMS), r["url"]
+        assert [p for p in parse_qsl(before.query) if p in kept] == kept, r["url"]
+        assert len(kept) == sum(k.lower() not in K.TRACKING_PARAMS for k, _ in parse_qsl(before.query)), r["url"]
+        segments = [x.lower() for x in before.path.split("/") if x]
+        if before.scheme == "ftp" or not segments or set(segments) & {"about", "tags"} or before.path.lower().endswith(".json"):
+            assert r["i"], r["url"]
+        if before.scheme != "ftp" and set(segments) <= {"post", "new-in-go", "p~1"} and segments:
+            assert not r["i"], r["url"]
 
 
-def test_random_tag_lists_match_python(spark):
+def test_random_tag_lists(spark):
+    """Normalised tags are stripped, lower and distinct; filtering keeps the
+    first spelling of each tag in order and drops junk; both are idempotent."""
     rng = random.Random(99)
-    pool = ["Python", " python", "PYTHON ", "", "  ", "Home", "home page", "Rust", "rust", "Data Bases",
-            "x" * 41, "y" * 40, "Privacy Policy", "sql", "ümlaut", "ÜMLAUT", "a\tb", "　c"]
-    lists = [[rng.choice(pool) for _ in range(rng.randint(0, 12))] for _ in range(200)]
-    df = spark.createDataFrame([(i, l) for i, l in enumerate(lists)], "i int, raw array<string>")
-    got = df.select("i", TG.normalize_tags(F.col("raw")).alias("n"), TG.filter_tags(F.col("raw")).alias("f"),
-                    TG.finalize_tags(F.col("raw")).alias("z")).orderBy("i").collect()
-    for r, raw in zip(got, lists):
-        assert r["n"] == py_normalize(raw), raw
-        assert r["f"] == py_filter(raw), raw
-        assert r["z"] == py_filter(py_normalize(raw))[: K.MAX_TAGS], raw
+    good = ["Python", " python", "PYTHON ", "Rust", "rust", "Data Bases", "y" * 40, "sql", "\u00fcmlaut", "\u00dcMLAUT", "a\tb", "\u3000c"]
+    junk = ["", "  ", "Home", "home page", "x" * 41, "Privacy Policy"]
+    lists = [[rng.choice(good + junk) for _ in range(rng.randint(0, 12))] for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, raw array<string>")
+    df = df.select("i", "raw", TG.normalize_tags(F.col("raw")).alias("n"), TG.filter_tags(F.col("raw")).alias("f"), TG.finalize_tags(F.col("raw")).alias("z"))
+    df = df.withColumn("nn", TG.normalize_tags(F.col("n"))).withColumn("ff", TG.filter_tags(F.col("f")))
+    for r in df.collect():
+        keys = {t.strip().lower() for t in r["raw"]} - {""}
+        assert r["nn"] == r["n"] and r["ff"] == r["f"]
+        assert set(r["n"]) == keys and len(r["n"]) == len(keys)
+        assert not set(r["f"]) & set(junk) and {t.strip().lower() for t in r["f"]} == {t.strip().lower() for t in r["raw"] if t not in junk}
+        assert len({t.strip().lower() for t in r["f"]}) == len(r["f"])
+        places = [r["raw"].index(t) for t in r["f"]]
+        assert places == sorted(places)
+        assert r["z"] == [t.strip().lower() for t in r["f"]][: K.MAX_TAGS]
 
 
 def test_random_references_match_urljoin(spark):

@@ -1,38 +1,73 @@
 """Structured Streaming jobs: incremental, exactly-once appends."""
 
+import datetime as dt
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidings.sources import testdata as td
+from tidings.schemas import REQUEST
 from tidings.streaming import jobs as ST
 
 
-def test_interactions_stream_is_incremental_and_exactly_once(spark, sf_small):
-    src = tempfile.mkdtemp(prefix="tidings-events-")
-    out = tempfile.mkdtemp(prefix="tidings-log-") + "/log"
-    ck = tempfile.mkdtemp(prefix="tidings-ck-")
-    events = spark.read.parquet(f"{sf_small}/events.parquet")
-    mid = events.select(F.percentile_approx("event_id", 0.5)).first()[0]
-    events.where(F.col("event_id") <= mid).coalesce(1).write.parquet(f"{src}/a")
-    content = td.content(spark, sf_small)
+def _requests(spark, rows):
+    return spark.createDataFrame(rows, REQUEST)
+
+
+def _request(i, tags=("a", "b", "a"), kind="like"):
+    return (i, f"c{i % 7}", kind, list(tags), dt.datetime(2024, 1, 1 + i % 28))
+
+
+def test_interactions_stream_is_incremental_and_exactly_once(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("requests", "log", "ck"))
+    _requests(spark, [_request(i) for i in range(100)] + [_request(500, ())]).coalesce(1).write.parquet(f"{src}/a")
 
     def run():
-        q = ST.stream_interactions(spark, f"{src}/*", content, out, ck)
-        q.awaitTermination()
+        ST.stream_interactions(ST.request_stream(spark, f"{src}/*"), out, ck).awaitTermination()
         return spark.read.parquet(out)
 
-    first = run()
-    n_first = first.count()
-    assert first.agg(F.max("event_id")).first()[0] <= mid
-    # replay with nothing new: no duplicates
-    assert run().count() == n_first
-    # a new file arrives: only its rows are added
-    events.where(F.col("event_id") > mid).coalesce(1).write.parquet(f"{src}/b")
-    final = run()
-    batch = td.interactions(spark, sf_small)
-    assert final.count() == batch.count()
-    assert final.select("event_id", "tag").distinct().count() == batch.select("event_id", "tag").distinct().count()
+    assert run().count() == 200  # one row per distinct tag; no tags, no row
+    assert run().count() == 200  # replay with nothing new: no duplicates
+    _requests(spark, [_request(i) for i in range(100, 150)]).coalesce(1).write.parquet(f"{src}/b")
+    final = run()  # a new file arrives: only its rows are added
+    assert final.count() == 300 and final.select("event_id", "tag").distinct().count() == 300
+
+
+def test_batches_take_what_the_caller_allows(spark, tmp_path):
+    src = str(tmp_path / "requests")
+    for k in range(3):
+        _requests(spark, [_request(k)]).coalesce(1).write.parquet(f"{src}/{k}")
+
+    def batches(name, **limits):
+        q = ST.stream_interactions(ST.request_stream(spark, f"{src}/*", **limits), str(tmp_path / f"log{name}"), str(tmp_path / f"ck{name}"))
+        q.awaitTermination()
+        return sum(p["numInputRows"] > 0 for p in q.recentProgress)
+
+    assert batches(1) == 1 and batches(2, max_files=1) == 3
+
+
+def test_profile_after_a_restart(spark, tmp_path):
+    """A fresh checkpoint in the same folder: the last run's profile is read."""
+    out = str(tmp_path / "profile")
+    as_of = "2024-01-31 00:00:00"
+    for name, tags in (("a", [("x",), ("y",)]), ("b", [("z",)])):
+        src = str(tmp_path / name)
+        for k, t in enumerate(tags):
+            _requests(spark, [_request(k, t)]).coalesce(1).write.parquet(f"{src}/{k}")
+        ST.stream_tag_profile(ST.request_stream(spark, f"{src}/*", max_files=1), out, str(tmp_path / f"ck-{name}"), as_of, 2).awaitTermination()
+        got = {r["tag"] for r in ST.latest_version(spark, out, as_of).collect()}
+        assert got == {t for x in tags for t in x}
+
+
+def test_ingest_fails_on_unreadable_output(spark, sf_small, tmp_path):
+    src, fp, out = (str(tmp_path / x) for x in ("pages", "fp", "content"))
+    spark.read.parquet(f"{sf_small}/pages.parquet").limit(5).coalesce(1).write.parquet(f"{src}/a")
+    ST.write_existing_fingerprints(spark.createDataFrame([], "id long, url string, text string"), fp)
+    (tmp_path / "content").mkdir()
+    (tmp_path / "content" / "part-0.parquet").write_text("not parquet")
+    q = ST.stream_content_ingest(spark, f"{src}/*", fp, out, str(tmp_path / "ck"))
+    with pytest.raises(Exception):
+        q.awaitTermination()
 
 
 def test_ingest_stream_dedups_against_earlier_batches(spark, sf_small):
@@ -47,7 +82,7 @@ def test_ingest_stream_dedups_against_earlier_batches(spark, sf_small):
     copies.coalesce(1).write.parquet(f"{src}/b")
     empty = spark.createDataFrame([], "id long, url string, text string")
     ST.write_existing_fingerprints(empty, fp)
-    q = ST.stream_content_ingest(spark, f"{src}/*", fp, out, ck)
+    q = ST.stream_content_ingest(spark, f"{src}/*", fp, out, ck, max_files=1)
     q.awaitTermination()
     rows = spark.read.parquet(out)
     batches = sorted(r["batch_id"] for r in rows.select("batch_id").distinct().collect())
