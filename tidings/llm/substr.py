@@ -4,9 +4,11 @@ A window of ``WINDOW`` words is removed where its words also start in a
 document of a smaller id.  Only suffixes that can begin a repeat are kept: of
 the nine five-word prefixes inside a window the one of least hash is its
 anchor, so equal windows have equal anchors at the same place.  Anchors are
-split by key range into groups that fit in memory.  Whether an anchor occurs in
-more than one document is found first, from the anchors' hashes alone; the
-words around the anchors that do are then sent to the anchor's group, which
+split by key range into groups that fit in memory.  A window also holds the
+anchor's four neighbours on one side (the left ones if it begins that far
+before it, else the right ones); whether such nine words occur in more than one
+document is found first, from their hashes alone.  The words around the anchors
+for which they do are then sent to the anchor's group, which
 sorts the suffixes that start in each window, takes the longest common prefix
 of neighbours, and so has the suffix tree's internal nodes: those at least
 ``WINDOW`` words deep are the repeats, and the least document below a node says
@@ -21,7 +23,8 @@ Of equal texts only the first goes to the trees; the others lose all words, if
 there are enough for a window.
 
 Scale: see ``chunks``; the texts are shuffled once, those with an anchor that
-repeats once more.  Everything else is arrays of eight bytes an anchor.
+repeats once more.  Everything else is arrays of eight to sixteen bytes an
+anchor, and 100 bytes for one that repeats.
 
 Defined cases: a null or empty text has no words; a null id is the smallest;
 documents of equal ids don't remove each other's words; a text of fewer than
@@ -46,7 +49,9 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 class Anchors:
     """The anchors of one text: positions, hashes, and the first and last
-    window (by its start) that each one stands for."""
+    window (by its start) that each one stands for.  ``looked`` are the hashes
+    of the anchors with their neighbours on a side, ``owner`` the anchors they
+    belong to."""
 
     def __init__(self, hashes, window: int, anchor: int):
         import numpy as np
@@ -54,8 +59,8 @@ class Anchors:
         factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
         n = len(hashes) - window + 1
         if n <= 0:
-            self.at = self.first = self.last = np.zeros(0, np.int64)
-            self.keys = np.zeros(0, np.uint64)
+            self.at = self.first = self.last = self.owner = np.zeros(0, np.int64)
+            self.keys = self.looked = np.zeros(0, np.uint64)
             return
         grams = np.zeros(len(hashes) - anchor + 1, np.uint64)
         for k in range(anchor):
@@ -72,6 +77,16 @@ class Anchors:
         self.last = np.r_[self.first[1:], n] - 1
         self.at = at[self.first]
         self.keys = grams[self.at]
+        more = (window - anchor) // 2
+        left, right = np.flatnonzero(self.at - self.first >= more), np.flatnonzero(self.at - self.last < more)
+        sides = []
+        for which, shift, tag in ((left, -more, 1), (right, 0, 2)):
+            total = np.full(len(which), tag, np.uint64)
+            for k in range(anchor + more):
+                total = (total ^ hashes[self.at[which] + shift + k]) * np.uint64(0x9E3779B97F4A7C15)
+                total ^= total >> np.uint64(32)
+            sides.append(mixed(total))
+        self.looked, self.owner = np.concatenate(sides), np.concatenate([left, right])
 
 
 def split_words(rows) -> list[list[bytes]]:
@@ -83,8 +98,8 @@ def key_of(doc) -> int:
 
 
 class Chunk:
-    """Anchors of a chunk's texts, and its distinct anchor hashes with whether
-    more than one document of the chunk has them."""
+    """Anchors of a chunk's texts, and its distinct ``looked`` hashes with
+    whether more than one document of the chunk has them."""
 
     def __init__(self, rows, window: int, anchor: int):
         import numpy as np
@@ -92,8 +107,8 @@ class Chunk:
         self.rows, self.words = rows, split_words(rows)
         self.hashes = word_hashes(self.words)
         self.anchors = [Anchors(h, window, anchor) for h in self.hashes]
-        keys = np.concatenate([a.keys for a in self.anchors] or [np.zeros(0, np.uint64)])
-        docs = np.repeat(np.array([key_of(d) for d, _ in rows], np.int64), [len(a.keys) for a in self.anchors])
+        keys = np.concatenate([a.looked for a in self.anchors] or [np.zeros(0, np.uint64)])
+        docs = np.repeat(np.array([key_of(d) for d, _ in rows], np.int64), [len(a.looked) for a in self.anchors])
         order = np.lexsort((docs, keys))
         keys, docs = keys[order], docs[order]
         new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
@@ -104,7 +119,7 @@ class Chunk:
 
 
 def anchor_rows(docs: DataFrame, shards: int, window: int, anchor: int) -> DataFrame:
-    """``(shard, chunk, keys, several)``: a chunk's distinct anchors there."""
+    """``(shard, chunk, chk, keys, several)``: a chunk's distinct hashes there."""
 
     def run(batches):
         import numpy as np
@@ -121,7 +136,7 @@ def anchor_rows(docs: DataFrame, shards: int, window: int, anchor: int) -> DataF
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """``(chunk, shard, chk, bits)``: which of the chunk's anchors occur in more
+    """``(chunk, shard, chk, bits)``: which of the chunk's hashes occur in more
     than one document."""
 
     def run(table):
@@ -189,7 +204,7 @@ def suspects(docs: DataFrame, answers: DataFrame, shards: int, window: int, anch
         repeated = answered(right, [(s, int(bounds[s + 1] - bounds[s])) for s in range(shards)], c.check)
         out = []
         for (doc, text), words, a in zip(rows, c.words, c.anchors, strict=True):
-            found = np.flatnonzero(repeated[np.searchsorted(c.keys, a.keys)]) if len(a.keys) else a.keys
+            found = np.unique(a.owner[repeated[np.searchsorted(c.keys, a.looked)]]) if len(a.looked) else a.owner
             out.append((doc, len(words), None, None, text, found.astype(np.int32).tobytes(), len(found)) if len(found) else (doc, len(words), 0, sha(words), None, None, 0))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32())
         names = ("doc_id", "n_words", "n_removed", "kept_sha256", "text", "found", "n_found")
