@@ -22,8 +22,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
-from itertools import count, islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +45,13 @@ def piece_cost(n, linear: float = LINEAR, quadratic: float = QUADRATIC):
 class WordEncoder:
     """Ids of texts under a tokenizer that drops white space, word by word with
     a cache.  Words end at a blank or line feed, so a word's ids don't depend
-    on its neighbours, and a run of letters followed by plain punctuation has
+    on its neighbours, and a run of letters followed by ASCII punctuation has
     the ids of either part.  Letters below U+0250 are normalised once lowered;
     a word of them ends in one word-final token, so many are encoded as one
     text and cut apart at those."""
 
     RUN = 1000
-    TAIL = re.compile(r"[.,;:!?]+$", re.M)
+    TAIL = re.compile(r"[!-/:-@\[-`{-~]+$", re.M)
 
     def __init__(self, tokenizer: str):
         import os
@@ -64,18 +62,16 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         path = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = None
+        self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.final[i] = token.endswith("</w>")
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        #: A word's number, in order of appearance; ``ids`` has its ids there.
-        self.numbers = defaultdict(count().__next__)
-        self.ids: list[bytes] = []
+        self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
@@ -110,14 +106,39 @@ class WordEncoder:
             out[i] = x
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.ids) > CACHE_WORDS:
+    def encode(self, texts) -> list[bytes]:
+        """Little-endian 32-bit ids of each text.  A batch's words are numbered
+        by Arrow, each different one is looked up once, and the ids are put
+        together by numbers."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        if len(self.words) > CACHE_WORDS:
             self.clear()
-        numbered = [list(map(self.numbers.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
-        new = len(self.numbers) - len(self.ids)
-        self.ids += self.learn(list(islice(reversed(self.numbers), new))[::-1])
-        return [b"".join(map(self.ids.__getitem__, x)) for x in numbered]
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.words.get, words))
+        at = [i for i, x in enumerate(found) if x is None]
+        if at:
+            new = [words[i] for i in at]
+            ids = self.learn(new)
+            self.words.update(zip(new, ids, strict=True))
+            for i, x in zip(at, ids, strict=True):
+                found[i] = x
+        pool = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        number = coded.indices.to_numpy()
+        own = size[number]
+        ends = np.cumsum(own)
+        ids = pool[np.repeat(start[number] - (ends - own), own) + np.arange(ends[-1])]
+        bounds = np.r_[0, ends][parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def assign(lengths: list[int], sequence: int = SEQUENCE, linear: float = LINEAR,
@@ -202,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = EN
             return rows(found)
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 group.append((doc, ids + end))
                 tokens += len(ids) // 4 + 1
                 if tokens >= group_tokens:
