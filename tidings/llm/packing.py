@@ -32,7 +32,7 @@ GROUP_TOKENS = 1 << 22
 END_ID = 2
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, piece_cost double, sequence_length long")

@@ -38,7 +38,7 @@ ORDER, DISCOUNT = 7, 0.8
 SAMPLE = 40_000
 CALIBRATION = 4  # one in so many sampled rows is kept for the logistic model
 STRONG = 3.0  # evidence of a word beyond this adds to the document's excess
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
