@@ -53,11 +53,14 @@ def with_chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
 def word_hashes(split):
     """64-bit hashes of the words of each text (an iterable of lists of words),
     as one array per text."""
+    from collections import defaultdict
+    from itertools import count
+
     import numpy as np
     import xxhash
 
-    ids: dict[bytes, int] = {}
-    at = [np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)) for words in split]
+    ids: dict[bytes, int] = defaultdict(count().__next__)
+    at = [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) for words in split]
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), np.uint64, len(ids))
     return [hashes[i] for i in at]
 

@@ -66,13 +66,12 @@ class Anchors:
         for k in range(anchor):
             grams += hashes[k:k + len(grams)] * factors[k % 5] * np.uint64(2 * (k // 5) + 1)
         grams = mixed(grams)
-        least, off = grams[:n].copy(), np.zeros(n, np.int64)
+        places = np.uint64((1 << (window - anchor).bit_length()) - 1)
+        ranked = grams & ~places  # a hash's low bits make room for its place in the window
+        least = ranked[:n].copy()
         for k in range(1, window - anchor + 1):
-            other = grams[k:k + n]
-            less = other < least
-            least[less] = other[less]
-            off[less] = k
-        at = off + np.arange(n)
+            np.minimum(least, ranked[k:k + n] | np.uint64(k), out=least)
+        at = (least & places).astype(np.int64) + np.arange(n)
         self.first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         self.last = np.r_[self.first[1:], n] - 1
         self.at = at[self.first]
@@ -109,12 +108,11 @@ class Chunk:
         self.anchors = [Anchors(h, window, anchor) for h in self.hashes]
         keys = np.concatenate([a.looked for a in self.anchors] or [np.zeros(0, np.uint64)])
         docs = np.repeat(np.array([key_of(d) for d, _ in rows], np.int64), [len(a.looked) for a in self.anchors])
-        order = np.lexsort((docs, keys))
+        order = np.argsort(keys)
         keys, docs = keys[order], docs[order]
-        new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        ends = np.r_[starts[1:], len(keys)] - 1 if len(starts) else starts
-        self.keys, self.several = keys[starts], docs[starts] != docs[ends]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.keys = keys[starts]
+        self.several = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts) if len(starts) else np.zeros(0, bool)
         self.check = int(self.keys.sum(dtype=np.uint64) >> np.uint64(1)) if len(keys) else 0
 
 
