@@ -20,7 +20,6 @@ ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +31,7 @@ GROUP_TOKENS = 1 << 22
 END_ID = 2
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, piece_cost double, sequence_length long")
@@ -46,12 +45,13 @@ class WordEncoder:
     """Ids of texts under a tokenizer that drops white space, word by word with
     a cache.  Words end at a blank or line feed, so a word's ids don't depend
     on its neighbours, and a run of letters followed by ASCII punctuation has
-    the ids of either part.  Letters below U+0250 are normalised once lowered;
-    a word of them ends in one word-final token, so many are encoded as one
+    the ids of either part.  Small Latin letters need no normalising and a word
+    of them ends in one word-final token, so many such words are encoded as one
     text and cut apart at those."""
 
     RUN = 1000
-    TAIL = re.compile(r"[!-/:-@\[-`{-~]+$", re.M)
+    PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
     def __init__(self, tokenizer: str):
         import os
@@ -71,38 +71,54 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.others: dict[str, bytes] = {"": b""}
 
     def whole(self, words: list[str]) -> list[bytes]:
+        """Ids of any words."""
         import numpy as np
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        known = self.others
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+        return [known[w] for w in words]
 
-    def learn(self, words: list[str]) -> list[bytes]:
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of different words of small Latin letters."""
         import numpy as np
 
-        if not words:
-            return []
-        joined = "\n".join(words)
-        low = joined.lower()
-        if len(low) != len(joined) or "\u03a3" in joined:  # letters whose lower case is longer or depends on the place
-            return self.whole(words)
-        cores = self.TAIL.sub("", low).split("\n")
-        known = self.cores
-        plain = [c for c in dict.fromkeys(cores) if c not in known and c.isalpha() and (c.isascii() or max(c) < "\u0250")]
-        for i in range(0, len(plain), self.RUN):
-            run = plain[i:i + self.RUN]
+        found = list(map(self.cores.get, words))
+        at = [i for i, x in enumerate(found) if x is None]
+        for i in range(0, len(at), self.RUN):
+            part = at[i:i + self.RUN]
+            run = [words[k] for k in part]
             ids = np.array(self.plain.encode(" ".join(run), add_special_tokens=False).ids, "<u4")
             raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.final[ids]) + 4).tolist()
-            known.update(zip(run, [raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)], strict=True))
-        ends = {w[len(c):] for w, c in zip(words, cores, strict=True) if c in known}.difference(self.tails)
-        self.tails.update(zip(ends, self.whole(list(ends)), strict=True))
-        tails = self.tails
-        out = [known[c] + tails[w[len(c):]] if c in known else None for w, c in zip(words, cores, strict=True)]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.whole([words[i] for i in rest]), strict=True):
+            for k, w, x, y in zip(part, run, [0, *cuts], cuts, strict=False):
+                self.cores[w] = found[k] = raw[x:y]
+        return found
+
+    def unique(self, words) -> list[bytes]:
+        """Ids of the different words of a batch (an Arrow array)."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cores = pc.ascii_rtrim(pc.ascii_lower(words), characters=self.PUNCTUATION)
+        plain = pc.match_substring_regex(cores, pattern=self.PLAIN).to_numpy(zero_copy_only=False)
+        tail = pc.subtract(pc.binary_length(words), pc.binary_length(cores)).to_numpy()
+        coded = cores.filter(pa.array(plain)).dictionary_encode()
+        ids = self.letters(coded.dictionary.to_pylist())
+        out: list = [None] * len(words)
+        for i, k in zip(np.flatnonzero(plain).tolist(), coded.indices.to_numpy().tolist(), strict=True):
+            out[i] = ids[k]
+        ended = np.flatnonzero(plain & (tail > 0))
+        ends = [w[-n:] for w, n in zip(words.take(pa.array(ended)).to_pylist(), tail[ended].tolist(), strict=True)]
+        for i, x in zip(ended.tolist(), self.whole(ends), strict=True):
+            out[i] += x
+        rest = np.flatnonzero(~plain)
+        for i, x in zip(rest.tolist(), self.whole(words.take(pa.array(rest)).to_pylist()), strict=True):
             out[i] = x
         return out
 
@@ -117,19 +133,11 @@ class WordEncoder:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not len(texts):
             return []
-        if len(self.words) > CACHE_WORDS:
+        if len(self.cores) + len(self.others) > CACHE_WORDS:
             self.clear()
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        found = list(map(self.words.get, words))
-        at = [i for i, x in enumerate(found) if x is None]
-        if at:
-            new = [words[i] for i in at]
-            ids = self.learn(new)
-            self.words.update(zip(new, ids, strict=True))
-            for i, x in zip(at, ids, strict=True):
-                found[i] = x
+        found = self.unique(coded.dictionary)
         pool = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(size) - size
