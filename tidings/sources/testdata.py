@@ -26,8 +26,16 @@ TABLES = [
 NOW = "2024-01-31 00:00:00"
 
 
+SCAN_PARTITIONS = "spark.tidings.scan.partitions"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table.  Where the setting ``SCAN_PARTITIONS`` is given, its rows
+    are dealt out over so many partitions: for tables in one file of one row
+    group, which are one task to scan.  By default the files decide."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    wanted = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def content(spark: SparkSession, sf_dir: str, as_of=NOW) -> DataFrame:
