@@ -118,6 +118,30 @@ def test_large_buckets_in_blocks(make_docs, case, monkeypatch):
     assert got == {(d, g) for (d, _), g in brute(part).items()}
 
 
+def test_pairs_that_meet_are_verified(spark, words):
+    """Whatever share of the samples agrees; only a bucket shared in an earlier
+    band leaves a pair to that bucket."""
+    base = words(300, 5)
+    texts = [base, edit(base, 0.02, 1)]
+    shingles = Shingles(2, np.ones(BUCKETS, np.int64))
+    assert similarity(*shingles.of(texts)) >= 0.8
+    text = spark.createDataFrame([("a", texts[0]), ("b", texts[1])], "node string, text string")
+    totals = [float(w.sum(dtype=np.float64)) for _, w in shingles.of(texts)]
+
+    def links(band, bands):
+        rows = [(99, band, 1, node, node, t, None, h, [1] * 30 + [x] * 26) for node, t, h, x in zip("ab", totals, bands, (1, 2))]
+        rows = spark.createDataFrame(rows, "bucket long, band int, blocks int, node string, label string, total double, near double, bands array<long>, sample array<tinyint>")
+        return {(r.a, r.b) for r in neardup.across(rows, text, shingles).collect()}
+
+    apart = [[100 * k + i for i in range(14)] for k in (1, 2)]
+    for b in apart:
+        b[3] = 99
+    assert links(3, apart) == {("a", "b")}
+    for b in apart:
+        b[1] = 7
+    assert links(3, apart) == set()
+
+
 def test_empty(make_docs):
     assert near_duplicates(make_docs([])).count() == 0
     assert [r.first for r in near_duplicates(make_docs([(1, ""), (2, None)])).collect()].count(True) == 1

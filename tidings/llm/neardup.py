@@ -14,11 +14,11 @@ Equal texts are one class from the start and only its first document goes on.
 In each bucket the member with the most company is compared to all others
 first; what that leaves in different groups is then compared across groups,
 inside tasks that hold two blocks of a bucket each, so only links come out and
-no pair is ever a row.  Pairs that cannot be similar are left out: the smaller
-total weight must be ``THRESHOLD`` of the larger, the similarities to the
-bucket's first member may differ by at most 1 - ``THRESHOLD`` (the distance is
-a metric), and ``PROMISING`` of the samples must agree (2.8 standard deviations
-below the threshold).
+no pair is ever a row.  Only pairs that cannot be similar are left out: the
+smaller total weight must be ``THRESHOLD`` of the larger, and the similarities
+to the bucket's first member may differ by at most 1 - ``THRESHOLD`` (the
+distance is a metric).  All others that meet in a bucket are verified, unless
+links have already joined them.
 
 Scale: word frequencies go to a table of fixed size (``BUCKETS`` hashed
 counts); signatures are made in one pass; buckets, degrees and components are
@@ -42,10 +42,9 @@ from .common import cut_lineage, doc_text, read_table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 4
-PROMISING = 0.66  # share of agreeing samples from which a pair is verified
 BROADCAST_NODES = 500_000  # of 40 bytes each
 BUCKETS = 1 << 18
-GROUP, BLOCK = 500, 200
+GROUP, BLOCK, AT_ONCE = 500, 200, 64
 NO_ID = -1 << 63
 WORD = re.compile(r"\w+")
 
@@ -180,10 +179,21 @@ def similarity(a, b) -> float:
     return common / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - common)
 
 
+def similarities_to(a, total: float, others: list, totals):
+    """Weighted Jaccard similarity of ``a`` to each of the others."""
+    import numpy as np
+
+    keys, weights = np.concatenate([o[0] for o in others]), np.concatenate([o[1] for o in others])
+    at = np.searchsorted(a[0], keys)
+    at[at == len(a[0])] = 0
+    common = np.where(a[0][at] == keys, np.minimum(a[1][at], weights), 0).astype(np.float64)
+    common = np.add.reduceat(common, np.cumsum([0, *[len(o[0]) for o in others[:-1]]]))
+    return common / (total + totals - common)
+
+
 def signatures(docs: DataFrame, shingles: Shingles) -> DataFrame:
-    """``(doc_id, node, bands, sample, total)``: ``node`` is the text's md5,
-    ``bands`` a hash per band (null without words), ``sample`` one byte per
-    sample, ``total`` the sum of the weights."""
+    """``(doc_id, node, bands, total)``: ``node`` is the text's md5, ``bands`` a
+    hash per band (null without words), ``total`` the sum of the weights."""
     sampler = Sampler()
 
     def run(batches):
@@ -195,13 +205,12 @@ def signatures(docs: DataFrame, shingles: Shingles) -> DataFrame:
         tag = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            nodes, bands, samples, totals = [], [], [], []
+            nodes, bands, totals = [], [], []
             for text, (s, w) in zip(texts, shingles.of(texts), strict=True):
                 nodes.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest())
                 totals.append(float(w.sum(dtype=np.float64)))
                 if not len(s):
                     bands.append(None)
-                    samples.append(None)
                     continue
                 chosen = sampler(s, w).reshape(BANDS, ROWS)
                 h = tag.copy()
@@ -209,10 +218,9 @@ def signatures(docs: DataFrame, shingles: Shingles) -> DataFrame:
                     h = (h ^ chosen[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
                     h ^= h >> np.uint64(31)
                 bands.append(h.astype(np.int64))
-                samples.append((chosen.ravel() * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).view(np.int8))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int8())), pa.array(totals)], ["doc_id", "node", "bands", "sample", "total"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(totals)], ["doc_id", "node", "bands", "total"])
 
-    return docs.mapInArrow(run, "doc_id long, node string, bands array<long>, sample array<tinyint>, total double")
+    return docs.mapInArrow(run, "doc_id long, node string, bands array<long>, total double")
 
 
 def comparable(a: str, b: str, threshold: float):
@@ -250,14 +258,13 @@ def across(members: DataFrame, texts: DataFrame, shingles: Shingles, threshold:
 
     A bucket's members are dealt into blocks of about ``GROUP``, and each pair of
     blocks is one piece of work, so a task holds two blocks.  It looks at a pair
-    in the first band it agrees on only, and not at pairs that cannot be similar
-    (see above), the most promising first; members that a link has joined are
-    not compared any more."""
+    in the first bucket the two share only, and not at pairs that cannot be
+    similar (see above); members that a link has joined are not compared any
+    more."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("second"),
-                         "node", "label", "total", "near", "sample").join(texts, "node")
-    share = int(PROMISING * BANDS * ROWS)
+                         "node", "label", "total", "near", "bands").join(texts, "node")
 
     def links(rows):
         """Of one pair of blocks: (band, low, high, rows of the rest)."""
@@ -267,49 +274,42 @@ def across(members: DataFrame, texts: DataFrame, shingles: Shingles, threshold:
         second = np.array([m[0] for m in members])
         total = np.array([m[3] for m in members])
         near = np.array([np.nan if m[4] is None else m[4] for m in members])
-        sample = np.array([m[5] for m in members], np.int8)
+        bands = np.array([m[5] for m in members], np.int64)
         kinds = {x: i for i, x in enumerate(dict.fromkeys(m[2] for m in members))}
-        home = list(range(len(kinds)))
+        root = np.arange(len(kinds))
+        label = np.array([kinds[m[2]] for m in members])
+        weighted: dict[int, tuple] = {}
 
-        def find(i):
-            while home[i] != i:
-                home[i] = home[home[i]]
-                i = home[i]
-            return i
+        def of(k):
+            if k not in weighted:
+                weighted[k] = next(shingles.of([members[k][6]]))
+            return weighted[k]
 
-        label = np.array([kinds[m[2]] for m in members])
-        found = []
         for i in range(len(members) - 1):
             j = np.arange(i + 1, len(members))
-            keep = label[j] != label[i]
+            keep = root[label[j]] != root[label[i]]
             if low != high:
                 keep &= second[j] != second[i]
             keep &= np.minimum(total[j], total[i]) >= np.maximum(total[j], total[i]) * (threshold - 1e-6)
             keep &= ~(np.abs(near[j] - near[i]) > 1 - threshold + 1e-6)
             j = j[keep]
-            if not len(j):
-                continue
-            same = sample[j] == sample[i]
-            agree = same.sum(1)
-            earlier = same[:, :band * ROWS].reshape(len(j), band, ROWS).all(2).any(1) if band else np.zeros(len(j), bool)
-            ok = (agree >= share) & ~earlier
-            found += zip((-agree[ok]).tolist(), [i] * int(ok.sum()), j[ok].tolist(), strict=True)
-        weighted: dict[int, tuple] = {}
-        for _, i, j in sorted(found):
-            if find(label[i]) == find(label[j]):
-                continue
-            for k in (i, j):
-                if k not in weighted:
-                    weighted[k] = next(shingles.of([members[k][6]]))
-            if (s := similarity(weighted[i], weighted[j])) >= threshold:
-                home[find(label[i])] = find(label[j])
-                yield members[i][1], members[j][1], s
+            j = j[~(bands[j, :band] == bands[i, :band]).any(1)]
+            for at in range(0, len(j), AT_ONCE):
+                part = j[at:at + AT_ONCE]
+                part = part[root[label[part]] != root[label[i]]]
+                if not len(part):
+                    continue
+                close = similarities_to(of(i), total[i], [of(k) for k in part.tolist()], total[part]) >= threshold - 1e-9
+                for k in part[close].tolist():
+                    if root[label[k]] != root[label[i]] and (s := similarity(of(i), of(k))) >= threshold:
+                        root[root == root[label[k]]] = root[label[i]]
+                        yield members[i][1], members[k][1], s
 
     def run(batches):
         import pyarrow as pa
 
         key, group = None, []
-        names = ("bucket", "low", "high", "band", "second", "node", "label", "total", "near", "sample", "text")
+        names = ("bucket", "low", "high", "band", "second", "node", "label", "total", "near", "bands", "text")
 
         def done():
             out = list(links((group[0][3], key[1], key[2], [g[4:] for g in group]))) if group else []
@@ -349,12 +349,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shingles = Shingles(*document_frequencies(docs))
     signed = cut_lineage(signatures(docs, shingles))
     order = F.coalesce("doc_id", F.lit(NO_ID))
-    classes = cut_lineage(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(order.alias("id"), "bands", "sample", "total")).alias("s")).select("node", "class_id", "s.*"))
+    classes = cut_lineage(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(order.alias("id"), "bands", "total")).alias("s")).select("node", "class_id", "s.*"))
     cast = classes.where("bands IS NOT NULL").select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = cut_lineage(cast.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     shared = cut_lineage(cast.join(sizes, "bucket"))
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
-    members = cut_lineage(shared.join(company.join(classes.select("node", "sample", "total"), "node"), "node"))  # bucket, band, size, node, company, sample, total
+    members = cut_lineage(shared.join(company.join(classes.select("node", "bands", "total"), "node"), "node"))  # bucket, band, size, node, company, bands, total
 
     nodes = cut_lineage(company.join(classes, "node").select("node", "id"))
     few = nodes.count() <= BROADCAST_NODES
