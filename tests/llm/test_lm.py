@@ -92,6 +92,48 @@ def test_against_brute_force(spark, make_docs, case, tmp_path, size, hot, monkey
         assert abs(g[6] - w[6]) <= 0.016 * w[2]
 
 
+def brute_three(docs, folds):
+    split = [(i, zlib.crc32(b"" if i is None else str(i).encode()) % folds == 0, re.findall(rb"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode()) + [b" end"]) for i, t in docs]
+    counts = [Counter(), Counter(), Counter()]
+    for _, held, w in split:
+        if not held:
+            t = [b" start", *w]
+            counts[0].update((x,) for x in w)
+            counts[1].update(zip(t, w))
+            counts[2].update(zip(t, w, w[1:]))
+    n, v = sum(counts[0].values()), len(counts[0])
+    d = [[0.0, *lm.discounts(np.array(list(c.values()) or [0]))] for c in counts]
+    total, taken = Counter(), defaultdict(float)
+    for k in (1, 2):
+        for g, c in counts[k].items():
+            total[g[:-1]] += c
+            taken[g[:-1]] += d[k][min(c, 3)]
+
+    def chance(g):
+        if len(g) == 1:
+            return (counts[0][g] + 0.1) / (n + 0.1 * (v + 1))
+        lower, of, c = chance(g[1:]), g[:-1], counts[len(g) - 1][g]
+        return lower if not total[of] else (c - d[len(g) - 1][min(c, 3)] + taken[of] * lower) / total[of]
+
+    out = []
+    for i, held, w in split:
+        t = [b" start", *w]
+        out.append((i, held, len(w), sum(math.log10(chance(tuple(t[max(0, k - 1):k + 2]))) for k in range(len(w)))))
+    return out
+
+
+@pytest.mark.parametrize("size", [1 << 30, 2000])
+def test_three_levels_and_corpus_discounts(spark, make_docs, case, tmp_path, size):
+    """With several shards too, as op1 runs it: no constant is changed."""
+    path = str(tmp_path / "d.parquet")
+    make_docs(case, 4).write.parquet(path)
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.score) for r in train_and_score(spark.read.parquet(path), 5, size, 3).collect()), key=lambda r: (str(r[0]), r[2], r[3]))
+    want = sorted(brute_three(case, 5), key=lambda r: (str(r[0]), r[2], r[3]))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    for g, w in zip(got, want):
+        assert abs(g[3] - w[3]) <= 0.019 * w[2]
+
+
 def test_held_out_gain(spark, make_docs, tmp_path):
     r = random.Random(4)
     chain = {w: [r.randrange(80) for _ in range(3)] for w in range(80)}

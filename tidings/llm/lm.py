@@ -1,25 +1,32 @@
 """Language-model scores from Elias-Fano n-gram tries.
 
-Words and their successors are counted over the training documents, and each
-shard of the contexts (by hash range) keeps its part as a trie of two levels.
-The upper level has the contexts in order, with their counts and back-off
-weights; a monotone pointer says where a context's successors begin.  The lower
-level has the successors, each context's in order; made relative to their
-context they form one monotone sequence, kept in Elias-Fano code (low bytes as
-they are, high parts as a unary bit vector with sampled zeros), and beside it
-the discounted probabilities in 8-bit codes.  Both levels lie in one
+Words, their successors and (order three) the words after each pair are counted
+over the training documents, and each shard of the contexts (by hash range of
+the first word) keeps its part as a trie of two or three levels.  A level has
+its contexts in order, with their counts; a monotone pointer says where a
+context's successors begin.  The successors, each context's in order, are made
+relative to their context and form one monotone sequence, kept in Elias-Fano
+code (low bytes as they are, high parts as a unary bit vector with sampled
+zeros), and beside it their counts in 8-bit codes.  The contexts of the third
+level are the pairs of the second, by number.  A level lies in one
 memory-mapped file.  A query finds its context, then searches the first
 successor not below its word within that context; a chunk's queries come in
 order, so the code is read a stretch at a time for many of them.
 
-Smoothing: interpolated, with three discounts from the shard's counts of
-counts; the lower order is the additive unigram that is also the base score.
-
-Scale: a chunk of documents sends each shard the distinct pairs it has there,
-once, with their training counts, and gets codes back; that serves for training
-and for scoring, so no model is ever held whole, and what is moved grows with
-the corpus.  A context of more than ``HOT`` of all tokens is split over shards
-by its successors; every slice gets its total.  See ``chunks`` for the chunks.
+Smoothing: interpolated, each level with three discounts from the counts of
+counts of all shards.  Shards answer with counts, and with how many successors
+of count one, two, and three or more a context has; so the discounts, which are
+known once all shards are built, are applied where the chunk is scored.  The
+triples back off to the pairs, these to the additive unigram that is also the
+base score.
+
+Scale: a chunk of documents sends each shard the distinct pairs and triples it
+has there, once, with their training counts, and gets codes back; that serves
+for training and for scoring, so no model is ever held whole, and what is moved
+grows with the corpus.  A context of more than ``HOT`` of all tokens is split
+over shards by its successors; every slice gets its total.  The triples of one
+pair stay with it, at most one entry per chunk and word.  See ``chunks`` for
+the chunks.
 
 Defined cases: a null or empty text is its end token; a null id counts as empty
 text in the hash that holds rows out; repeated documents are counted and scored
@@ -40,7 +47,7 @@ from .common import crc_mod, cut_lineage, doc_text, read_table, text_bytes
 CHUNK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
 HOT, HOT_SAMPLE = 0.01, 4
 ADDED = 0.1
-FOLDS = 10
+FOLDS, ORDER = 10, 3
 SUCCESSOR_BITS = 40
 CODE_RANGE = 8.0  # decades of probability that the codes span
 START, END = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB  # hashes that stand for the ends of a text
@@ -182,8 +189,8 @@ def stored(arrays):
 
 def discounts(counts) -> list[float]:
     """Discounts of counts one, two, and three or more, from the counts of
-    counts (Chen and Goodman)."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
+    counts (Chen and Goodman), which can be given as a tuple of four."""
+    n = counts if isinstance(counts, tuple) else [int((counts == k).sum()) for k in range(1, 5)]
     if not n[0]:
         return [0.5, 0.5, 0.5]
     y = n[0] / (n[0] + 2 * n[1])
@@ -195,10 +202,13 @@ def discounts(counts) -> list[float]:
 
 
 class Trie:
-    """Contexts (sorted hashes) and their successors (``keys`` =
-    context number << 40 | successor, sorted, with training counts)."""
+    """Contexts (sorted) and their successors (``keys`` = context number << 40 |
+    successor, sorted, with training counts).  ``codes`` are those of the
+    probabilities less the trie's own discounts, or what ``coded`` makes of the
+    counts; ``tally`` is each context's number of successors of count one, two,
+    and three or more."""
 
-    def __init__(self, contexts, totals, keys, counts):
+    def __init__(self, contexts, totals, keys, counts, coded=None):
         import numpy as np
 
         seen = counts > 0
@@ -210,12 +220,15 @@ class Trie:
         backoff = np.bincount(of, cut, len(contexts)) / safe
         p = (counts - cut) / safe[of]
         codes = np.clip(np.rint((np.log10(np.maximum(p, 1e-30)) / CODE_RANGE + 1) * 254), 0, 254).astype(np.uint8) + 1
+        if coded:
+            codes = coded(counts)
+        tally = np.bincount(of * 3 + np.minimum(counts, 3) - 1, minlength=3 * len(contexts)).reshape(-1, 3).astype(np.uint32)
         pointers = EliasFano.encode(np.searchsorted(keys, np.arange(len(contexts) + 1, dtype=np.uint64) << np.uint64(SUCCESSOR_BITS)).astype(np.uint64), len(keys) + 1)
         successors = EliasFano.encode(keys, max(len(contexts), 1) << SUCCESSOR_BITS)
-        parts = stored([contexts, totals, backoff.astype(np.float32), codes, *pointers.arrays(), *successors.arrays()])
-        self.contexts, self.totals, self.backoff, self.codes = parts[:4]
-        self.pointers = EliasFano(pointers.n, pointers.low_bytes, *parts[4:7])
-        self.successors = EliasFano(successors.n, successors.low_bytes, *parts[7:10])
+        parts = stored([contexts, totals, backoff.astype(np.float32), codes, tally, *pointers.arrays(), *successors.arrays()])
+        self.contexts, self.totals, self.backoff, self.codes, self.tally = parts[:5]
+        self.pointers = EliasFano(pointers.n, pointers.low_bytes, *parts[5:8])
+        self.successors = EliasFano(successors.n, successors.low_bytes, *parts[8:11])
 
     def pointer(self, i):
         """Where the successors of context ``i`` begin."""
@@ -256,15 +269,45 @@ def decoded():
     return out
 
 
+EXACT, STEP = 64, 0.036  # counts up to EXACT have codes of their own, larger ones share STEP decades
+
+
+def count_codes(counts):
+    import numpy as np
+
+    large = EXACT + np.rint(np.log10(np.maximum(counts, 1) / EXACT) / STEP)
+    return np.where(counts <= EXACT, counts, np.clip(large, EXACT + 1, 255)).astype(np.uint8)
+
+
+def coded_counts():
+    """Count of each code."""
+    import numpy as np
+
+    code = np.arange(256.0)
+    return np.where(code <= EXACT, code, EXACT * 10 ** ((code - EXACT) * STEP))
+
+
+def interpolated(codes, totals, tally, of, lower, d):
+    """Probabilities of successors with these count codes, each in context
+    ``of``: the discounted share, and the lower order for what was taken off."""
+    import numpy as np
+
+    counts, cut = coded_counts()[codes], np.array([0.0, *d])
+    safe = np.maximum(totals, 1)
+    backoff = np.where(totals > 0, tally @ cut[1:] / safe, 1.0)
+    return (counts - cut[np.minimum(codes, 3)]) / safe[of] + backoff[of] * lower
+
+
 def is_held_out(doc, folds: int = FOLDS) -> bool:
     return zlib.crc32(b"" if doc is None else str(doc).encode()) % folds == 0
 
 
 class Pairs:
     """The distinct (context, word) pairs of a chunk's texts in the order in
-    which the shards get them."""
+    which the shards get them; of order three, also the distinct words that
+    follow each pair, in the order of the pairs."""
 
-    def __init__(self, rows, shards: int, hot: dict[int, int], folds: int):
+    def __init__(self, rows, shards: int, hot: dict[int, int], folds: int, order: int = 2):
         import numpy as np
 
         words = word_hashes(t.encode("utf-8", "surrogatepass").lower().split() for _, t in rows)
@@ -293,10 +336,20 @@ class Pairs:
                 mine = np.flatnonzero(context == i)
                 part = (self.kinds[follows[mine]] >> np.uint64(13)) % np.uint64(slices)
                 shard[mine] = (shard[mine] + part.astype(np.int64)) % shards
-        order = np.argsort(shard, kind="stable")
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.arange(len(order))
-        self.context, self.follows, self.counts, shard = context[order], follows[order], counts[order], shard[order]
+        sent = np.argsort(shard, kind="stable")
+        self.place = np.empty(len(sent), np.int64)
+        self.place[sent] = np.arange(len(sent))
+        self.context, self.follows, self.counts, shard = context[sent], follows[sent], counts[sent], shard[sent]
+        self.later = np.ones(n, bool)  # tokens with two before them, a text's start included
+        self.later[np.r_[0, ends[:-1]] if n else ends] = order < 3
+        self.later &= order > 2
+        at = np.flatnonzero(self.later)
+        self.parent = self.place[self.pair[at - 1]]
+        triple, self.triple = np.unique(self.parent * np.int64(max(len(self.kinds), 1)) + self.token[at], return_inverse=True)
+        self.third = triple % max(len(self.kinds), 1)
+        self.third_counts = np.bincount(self.triple, trained[at], len(triple)).astype(np.int64)
+        self.below = np.bincount(triple // max(len(self.kinds), 1), minlength=len(sent))  # words after each pair
+        self.first_below = np.r_[0, np.cumsum(self.below)]
         bounds = np.searchsorted(shard, np.arange(shards + 1))
         self.parts = []  # (shard, from, to, contexts, successors of each)
         spread: dict[int, list[int]] = {}
@@ -358,101 +411,147 @@ def hot_words(docs: DataFrame, shards: int, share: float = HOT) -> dict[int, int
     return {r["h"] % (1 << 64): min(shards, 1 + -(-2 * r["n"] * shards // total)) for r in found}
 
 
-REQUEST = "shard int, chunk long, chk long, contexts binary, totals binary, sizes binary, low binary, high binary, counts binary, many binary"
+REQUEST = "shard int, chunk long, chk long, contexts binary, totals binary, sizes binary, low binary, high binary, counts binary, many binary, below binary, low3 binary, high3 binary, counts3 binary, many3 binary"
 
 
-def requests(docs: DataFrame, shards: int, hot: dict[int, int], folds: int) -> DataFrame:
+def requests(docs: DataFrame, shards: int, hot: dict[int, int], folds: int, order: int = 2) -> DataFrame:
     """What each chunk sends each shard: contexts with their training totals and
     numbers of successors; the successors' 40 bits and training counts (one
-    byte, 255 for those listed in ``many``)."""
+    byte, 255 for those listed in ``many``); of order three the number of words
+    that follow each pair, and these words as the successors."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for number, rows in chunks(batches, CHUNK_BYTES):
-            p = Pairs(rows, shards, hot, folds)
-            out = []
+            p = Pairs(rows, shards, hot, folds, order)
+
+            def listed(kind, n):
+                word = p.kinds[kind] >> np.uint64(64 - SUCCESSOR_BITS)
+                return word.astype(np.uint32).tobytes(), (word >> np.uint64(32)).astype(np.uint8).tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype(np.uint32).tobytes()
+
+            kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 12
             for s, a, b, own, size in p.parts:
-                word = p.kinds[p.follows[a:b]] >> np.uint64(64 - SUCCESSOR_BITS)
-                n = p.counts[a:b]
-                out.append((s, number, p.check, p.kinds[own].tobytes(), p.totals[own].astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes(), word.astype(np.uint32).tobytes(), (word >> np.uint64(32)).astype(np.uint8).tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype(np.uint32).tobytes()))
-            kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 7
-            for o in out:
+                x, y = p.first_below[a], p.first_below[b]
+                o = (s, number, p.check, p.kinds[own].tobytes(), p.totals[own].astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes(), *listed(p.follows[a:b], p.counts[a:b]),
+                     p.below[a:b].astype(np.uint32).tobytes(), *listed(p.third[x:y], p.third_counts[x:y]))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(o, kinds, strict=True)], [x.split()[0] for x in REQUEST.split(", ")])
 
     return docs.mapInArrow(run, REQUEST)
 
 
-ANSWER = "chunk long, shard int, chk long, totals binary, backoff binary, codes binary, kinds long, words long"
+ANSWER = "chunk long, shard int, chk long, totals binary, tally binary, codes binary, totals3 binary, tally3 binary, codes3 binary, kinds long, words long, cc array<long>, cc3 array<long>"
+
+
+def merged(keys, counts):
+    """Distinct keys that have training counts, sorted, and the sums of these."""
+    import numpy as np
+
+    trained = np.flatnonzero(counts)
+    order = trained[np.argsort(keys[trained], kind="stable")]
+    same = keys[order]
+    heads = np.flatnonzero(np.r_[True, same[1:] != same[:-1]]) if len(same) else np.zeros(0, np.int64)
+    return same[heads], np.add.reduceat(counts[order], heads) if len(heads) else counts[:0]
 
 
 def answers(sent: DataFrame, shards: int) -> DataFrame:
-    """Builds each shard's trie and answers its chunks: totals and back-off
-    weights of their contexts, codes of their pairs.  ``kinds`` and ``words``
-    have, once a shard, the number of distinct training words at home there and
-    of their occurrences."""
+    """Builds each shard's trie and answers its chunks: totals and tallies of
+    their contexts, count codes of their pairs, and the same of their pairs as
+    contexts and the words after them.  ``kinds`` and ``words`` have, once a
+    shard, the number of distinct training words at home there and of their
+    occurrences; ``cc`` and ``cc3`` its counts of counts one to four."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
         col = lambda n, t: [np.frombuffer(b, t) for b in table.column(n).to_pylist()]
-        asked, sizes = col("contexts", np.uint64), col("sizes", np.uint32)
-        everything = np.concatenate(asked)
-        contexts, number = np.unique(everything, return_inverse=True)
+
+        def listed(third=""):
+            counts = []
+            for n, many in zip(col("counts" + third, np.uint8), col("many" + third, np.uint32), strict=True):
+                n = n.astype(np.int64)
+                n[n == 255] = many
+                counts.append(n)
+            words = np.concatenate(col("low" + third, np.uint32)).astype(np.uint64)
+            words |= np.concatenate(col("high" + third, np.uint8)).astype(np.uint64) << np.uint64(32)
+            return words, np.concatenate(counts)
+
+        asked, sizes, below = col("contexts", np.uint64), col("sizes", np.uint32), col("below", np.uint32)
+        contexts, number = np.unique(np.concatenate(asked), return_inverse=True)
         totals = np.bincount(number, np.concatenate(col("totals", np.uint32)), len(contexts)).astype(np.int64)
-        counts = []
-        for n, many in zip(col("counts", np.uint8), col("many", np.uint32), strict=True):
-            n = n.astype(np.int64)
-            n[n == 255] = many
-            counts.append(n)
-        successor = np.concatenate(col("low", np.uint32)).astype(np.uint64) | np.concatenate(col("high", np.uint8)).astype(np.uint64) << np.uint64(32)
+        successor, counts = listed()
         of = np.repeat(number, np.concatenate(sizes))
         keys = of.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor
-        counts = np.concatenate(counts)
-        trained = np.flatnonzero(counts)
-        order = trained[np.argsort(keys[trained], kind="stable")]
-        same = keys[order]
-        heads = np.flatnonzero(np.r_[True, same[1:] != same[:-1]]) if len(same) else np.zeros(0, np.int64)
-        trie = Trie(contexts, totals, same[heads], np.add.reduceat(counts[order], heads) if len(heads) else counts[:0])
+        pairs, pair_counts = merged(keys, counts)
+        trie = Trie(contexts, totals, pairs, pair_counts, count_codes)
+        pair = np.searchsorted(pairs, keys)  # number of each pair; that of no pair where it has no training counts
+        pair[pair < len(pairs)] = np.where(pairs[pair[pair < len(pairs)]] == keys[pair < len(pairs)], pair[pair < len(pairs)], len(pairs))
+        del keys, counts
+        third, counts = listed("3")
+        parent = np.repeat(pair, np.concatenate(below))
+        triples, triple_counts = merged(parent.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | third, counts)
+        del counts
+        lower = Trie(np.r_[pairs, np.uint64(0)], np.r_[pair_counts, 0].astype(np.int64), triples, triple_counts, count_codes)
+        cc, cc3 = ([int((n == k).sum()) for k in range(1, 5)] for n in (pair_counts, triple_counts))
         at_home = (Pairs.home(contexts, shards) == table.column("shard")[0].as_py()) & (totals > 0) & (contexts != np.uint64(START))
-        out, a, c = [], 0, 0
-        for i, (own, size) in enumerate(zip(asked, sizes, strict=True)):
+        out, a, c, e = [], 0, 0, 0
+        for i, (own, size, under) in enumerate(zip(asked, sizes, below, strict=True)):
             mine = number[c:c + len(own)]
-            n = int(size.sum())
-            codes = trie.code(of[a:a + n], successor[a:a + n])
-            out.append((trie.totals[mine].tobytes(), trie.backoff[mine].tobytes(), codes.tobytes(), int(at_home.sum()) if i == 0 else 0, int(totals[at_home].sum()) if i == 0 else 0))
-            a, c = a + n, c + len(own)
-        return pa.table([table.column("chunk"), table.column("shard"), table.column("chk"), *[pa.array([o[i] for o in out], pa.binary()) for i in range(3)], *[pa.array([o[i] for o in out], pa.int64()) for i in (3, 4)]], ["chunk", "shard", "chk", "totals", "backoff", "codes", "kinds", "words"])
+            n, m = int(size.sum()), int(under.sum())
+            codes, codes3 = trie.code(of[a:a + n], successor[a:a + n]), ordered_codes(lower, parent[e:e + m], third[e:e + m])
+            at = pair[a:a + n] if len(under) and m else pair[:0]
+            out.append((trie.totals[mine].tobytes(), trie.tally[mine].tobytes(), codes.tobytes(), lower.totals[at].astype(np.uint32).tobytes(), lower.tally[at].tobytes(), codes3.tobytes(),
+                        int(at_home.sum()) if i == 0 else 0, int(totals[at_home].sum()) if i == 0 else 0, cc if i == 0 else [0] * 4, cc3 if i == 0 else [0] * 4))
+            a, c, e = a + n, c + len(own), e + m
+        types = [pa.binary()] * 6 + [pa.int64()] * 2 + [pa.list_(pa.int64())] * 2
+        return pa.table([table.column("chunk"), table.column("shard"), table.column("chk"), *[pa.array([o[i] for o in out], t) for i, t in enumerate(types)]], [x.split()[0] for x in ANSWER.split(", ")])
 
     return sent.groupBy("shard").applyInArrow(run, ANSWER)
 
 
-def scores(docs: DataFrame, answered: DataFrame, shards: int, hot: dict[int, int], folds: int, train_docs: int, train_tokens: int, distinct: int) -> DataFrame:
+def ordered_codes(trie: Trie, context, successor):
+    """``trie.code`` of queries in any order."""
+    import numpy as np
+
+    key = context.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor
+    order = np.argsort(key, kind="stable")
+    codes = np.zeros(len(key), np.uint8)
+    codes[order] = trie.code(context[order], successor[order])
+    return codes
+
+
+def scores(docs: DataFrame, answered: DataFrame, shards: int, hot: dict[int, int], folds: int, train_docs: int, train_tokens: int, distinct: int, cut2: list[float], cut3: list[float], order: int = 2) -> DataFrame:
+    """``cut2`` and ``cut3`` are the discounts of pairs and of triples."""
+
     def run(key, left, right):
         import numpy as np
         import pyarrow as pa
 
         rows = sorted(zip(left.column("place").to_pylist(), left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True), key=lambda r: r[0])
         rows = [r[1:] for r in rows]
-        p = Pairs(rows, shards, hot, folds)
+        p = Pairs(rows, shards, hot, folds, order)
         got = {r["shard"]: r for r in right.to_pylist()}
-        totals, backoff, codes = np.zeros(len(p.kinds), np.int64), np.zeros(len(p.kinds)), []
+        totals, tally, codes = np.zeros(len(p.kinds), np.int64), np.zeros((len(p.kinds), 3)), np.zeros(len(p.context), np.uint8)
+        totals3, tally3, codes3 = np.zeros(len(p.context), np.int64), np.zeros((len(p.context), 3), np.uint32), np.zeros(len(p.third), np.uint8)
         for s, a, b, own, size in p.parts:
             if s not in got or got[s]["chk"] != p.check:
                 raise RuntimeError("a chunk changed between two reads of the documents")
             totals[own] = np.frombuffer(got[s]["totals"], np.int64)
-            backoff[own] += np.frombuffer(got[s]["backoff"], np.float32)
-            if b > a:
-                codes.append(np.frombuffer(got[s]["codes"], np.uint8))
-        codes = np.concatenate(codes) if codes else np.zeros(0, np.uint8)
-        backoff[totals == 0] = 1.0
+            tally[own] += np.frombuffer(got[s]["tally"], np.uint32).reshape(-1, 3)
+            codes[a:b] = np.frombuffer(got[s]["codes"], np.uint8)
+            x, y = p.first_below[a], p.first_below[b]
+            if y > x:
+                totals3[a:b] = np.frombuffer(got[s]["totals3"], np.uint32)
+                tally3[a:b] = np.frombuffer(got[s]["tally3"], np.uint32).reshape(-1, 3)
+                codes3[x:y] = np.frombuffer(got[s]["codes3"], np.uint8)
         count = totals.copy()
         count[p.kinds == np.uint64(END)] = train_docs
         unigram = (count + ADDED) / (train_tokens + ADDED * (distinct + 1))
-        chance = decoded()[codes] + backoff[p.context] * unigram[p.follows]
-        log_pair, log_one = np.log10(chance)[p.place][p.pair], np.log10(unigram)[p.token]
+        chance = interpolated(codes, totals, tally, p.context, unigram[p.follows], cut2)[p.place][p.pair]
+        chance[p.later] = interpolated(codes3[p.triple], totals3, tally3, p.parent, chance[p.later], cut3)
+        log_pair, log_one = np.log10(chance), np.log10(unigram)[p.token]
         known = count[p.token] > 0
         starts = np.r_[0, np.cumsum(p.lengths)[:-1]]
         add = lambda x: np.add.reduceat(x, starts)
@@ -461,17 +560,20 @@ def scores(docs: DataFrame, answered: DataFrame, shards: int, hot: dict[int, int
     return with_chunks(docs, CHUNK_BYTES).groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, RESULT)
 
 
-def train_and_score(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Scores every document by the model of those that are not held out."""
+def train_and_score(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHARD_BYTES, order: int = 2) -> DataFrame:
+    """Scores every document by the model, of ``order`` two or three, of those
+    that are not held out."""
     docs = doc_text(docs)
     shards = max(1, -(-text_bytes(docs) // shard_bytes))
     hot = hot_words(docs, shards)
-    answered = cut_lineage(answers(requests(docs, shards, hot, folds), shards))
-    distinct, words = (x or 0 for x in answered.agg(F.sum("kinds"), F.sum("words")).first())
+    answered = cut_lineage(answers(requests(docs, shards, hot, folds, order), shards))
+    sums = answered.agg(F.sum("kinds"), F.sum("words"), *[F.sum(F.col(c)[k]) for c in ("cc", "cc3") for k in range(4)]).first()
+    distinct, words, *cc = (x or 0 for x in sums)
     train_docs = docs.where(crc_mod(F.col("doc_id"), folds) != 0).count()
-    return scores(docs, answered, shards, hot, folds, train_docs, words + train_docs, distinct + (train_docs > 0))
+    cuts = discounts(tuple(cc[:4])), discounts(tuple(cc[4:]))
+    return scores(docs, answered.drop("cc", "cc3"), shards, hot, folds, train_docs, words + train_docs, distinct + (train_docs > 0), *cuts, order)
 
 
 def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities of all documents."""
-    return train_and_score(read_table(spark, sf_dir, "documents"))
+    return train_and_score(read_table(spark, sf_dir, "documents"), order=ORDER)
