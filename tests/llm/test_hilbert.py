@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tidings.llm.hilbert import hilbert_index, ordered_number, shard
+from tidings.llm.hilbert import hilbert_index, ordered_number, shard, string_cuts
 
 
 def test_curve_visits_neighbours(spark):
@@ -54,5 +54,23 @@ def test_small_groups_stay_together(make_docs, words):
     assert all(len(x) == 1 for x in home.values())
 
 
+def test_sources_with_a_common_prefix(make_docs, words):
+    """Sources and their cut points are compared whole."""
+    sources = [f"https://example.org/{i:02}" for i in range(16)]
+    docs = make_docs([(i, words(30, i)) for i in range(640)]).withColumn("source", F.array_join(F.array(F.lit("https://example.org/"), F.lpad((F.col("doc_id") % 16).cast("string"), 2, "0")), ""))
+    assert string_cuts(docs, "source", 16) == sources[:15]
+    rows = shard(docs, {"source": F.col("source")}, shards=8, whole=0).collect()
+    home = defaultdict(set)
+    for r in rows:
+        home[r.cell].add(r.doc_id % 16)
+    assert len(home) == 15 and sorted(map(len, home.values())) == [1] * 14 + [2]
+    cells = defaultdict(set)
+    for r in shard(docs, shards=8).collect():
+        cells[r.doc_id % 16].add(r.cell)
+    assert len(set(map(frozenset, cells.values()))) > 8  # by default too
+    nulls = docs.withColumn("source", F.when(F.col("doc_id") % 16 > 7, F.col("source")))
+    assert string_cuts(nulls, "source", 16) == sources[8:15]
+
+
 def test_empty(make_docs):
     assert shard(make_docs([])).count() == 0

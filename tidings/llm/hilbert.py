@@ -73,34 +73,56 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
 
 
 def ordered_number(c: Column) -> Column:
-    """A long that orders strings by their first seven bytes (null: -1)."""
+    """A long that orders strings by their first seven bytes (null: -1), for
+    callers that want numbers; ``shard`` compares whole strings."""
     head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
     return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
 def quantised(c: Column, cuts: list) -> Column:
-    """Number of cut points not above the value."""
+    """Number of cut points not above the value (null: none)."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in cuts]), lambda x: x <= c))
+    return F.size(F.filter(F.array(*[F.lit(x) if isinstance(x, str) else F.lit(x).cast("long") for x in cuts]), lambda x: x <= c))
+
+
+def string_cuts(rows: DataFrame, name: str, parts: int) -> list[str]:
+    """The values of a string column at which the ``i / parts`` quantiles of the
+    rows lie, in order of whole values: distinct values with their counts are
+    sorted by range, with one sum per range (null is before all others, and no
+    cut point)."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = rows.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    runs = cut_lineage(values.repartitionByRange(ranges, "value").withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    sums = runs.groupBy("range").agg(F.sum("n").alias("s"))
+    total = sums.agg(F.sum("s")).first()[0] or 1
+    inside = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = runs.join(F.broadcast(sums.select("range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))), "range").withColumn("end", F.col("start") + F.sum("n").over(inside))
+    quantile = lambda c: F.least(F.floor(c * parts / total), F.lit(parts - 1))
+    cuts = at.where(F.col("value").isNotNull() & (quantile(F.col("end")) > quantile(F.col("end") - F.col("n"))))
+    return sorted((r["value"] for r in cuts.select("value").collect()), key=lambda x: x.encode())
 
 
 def shard(docs: DataFrame, dimensions: dict[str, Column] | None = None, shards: int = SHARDS, bits: int = BITS,
           whole: float = WHOLE) -> DataFrame:
     """Rows ``(doc_id, size, text_crc32, law, shard, slot, grown_shard, cell)``
     in runs of the Hilbert order; ``dimensions`` are expressions over ``docs``
-    that give longs."""
+    that give longs or strings."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + 16
-    dimensions = dimensions or {"lang": ordered_number(F.col("lang")), "source": ordered_number(F.col("source")), "size": size}
+    dimensions = dimensions or {"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "size": size}
     names = [f"dim{i}" for i in range(len(dimensions))]
     rows = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text).alias("text_key"),
                                    *[c.alias(n) for n, c in zip(names, dimensions.values(), strict=True)]))
     points = [i / (1 << bits) for i in range(1, 1 << bits)]
-    stats = rows.agg(F.sum("size").alias("total"), *[F.percentile_approx(n, points, 10_000).alias(n) for n in names]).first()
+    strings = {n for n in names if rows.schema[n].dataType.simpleString() == "string"}
+    stats = rows.agg(F.sum("size").alias("total"), *[F.percentile_approx(n, points, 10_000).alias(n) for n in names if n not in strings]).first()
     total = stats["total"] or 1
-    cell = hilbert_index([quantised(F.col("first")[n], sorted(set(stats[n] or []))) for n in names], bits)
+    cuts = {n: string_cuts(rows, n, 1 << bits) if n in strings else sorted(set(stats[n] or [])) for n in names}
+    rows = rows.withColumns({n: quantised(F.col(n), cuts[n]) for n in names})
+    cell = hilbert_index([F.col("first")[n] for n in names], bits)
     groups = rows.groupBy("text_key").agg(F.min(F.struct("doc_id", *names)).alias("first"), F.sum("size").alias("group_bytes"))
     small = F.col("group_bytes") <= int(whole * total / shards)
     spread = F.when(small, F.lit(0).cast("long")).otherwise(F.xxhash64("doc_id"))
