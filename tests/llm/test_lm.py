@@ -92,6 +92,17 @@ def test_against_brute_force(spark, make_docs, case, tmp_path, size, hot, monkey
         assert abs(g[6] - w[6]) <= 0.016 * w[2]
 
 
+@pytest.mark.parametrize("size", [1500, 2000, 6000])
+def test_discounts_of_all_shards(spark, make_docs, case, tmp_path, size):
+    """Scores don't depend on the number of shards: no constant is changed."""
+    path = str(tmp_path / "d.parquet")
+    make_docs(case, 4).write.parquet(path)
+    rows = {s: sorted(((r.doc_id, r.n_tokens, r.score) for r in train_and_score(spark.read.parquet(path), 5, s).collect()), key=lambda r: (str(r[0]), r[1], r[2])) for s in (size, 1 << 30)}
+    assert len(rows[size]) == len(case)
+    for a, b in zip(rows[size], rows[1 << 30]):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-6)
+
+
 def brute_three(docs, folds):
     split = [(i, zlib.crc32(b"" if i is None else str(i).encode()) % folds == 0, re.findall(rb"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode()) + [b" end"]) for i, t in docs]
     counts = [Counter(), Counter(), Counter()]
