@@ -66,6 +66,20 @@ def test_proximity(spark, make_docs):
     assert {r.doc for r in proximity_matches(index, ranked, slack=4, share=1).collect()} == {1, 3}
 
 
+def test_proximity_without_the_rarest_term(spark, make_docs):
+    """A passage of nine of ten terms is found when the tenth, the rarest, was
+    replaced, and when no document has it."""
+    one, two = ([f"{x}{i}" for i in range(10)] for x in "pq")
+    filler = " ".join(one[1:3] + one[4:] + two[1:])
+    docs = make_docs([(1, "x " + " ".join(one[:3] + ["new"] + one[4:])), (2, " ".join(one)), (3, " ".join(["other", *two[1:]]) + " y")] + [(10 + i, " ".join(f"{w} " + "z " * 30 for w in filler.split())) for i in range(3)])
+    found = phrases(spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "item_id long, text string"))
+    index = build_index(docs, found.selectExpr("explode(terms) AS word").distinct())
+    ranked = ranked_terms(found, index)
+    assert {r.doc for r in phrase_matches(index, ranked).collect()} == {2}
+    assert {(r.doc, r.near) for r in proximity_matches(index, ranked).collect()} == {(1, 9), (2, 10), (3, 9)}
+    assert {r.doc for r in proximity_matches(index, ranked, share=1).collect()} == {2}
+
+
 def test_empty(spark, make_docs, case):
     bench = spark.createDataFrame(case[1], "item_id long, text string")
     assert contamination(make_docs([]), bench).count() == 0

@@ -78,18 +78,20 @@ def closing_term() -> Column:
 
 
 def ranked_terms(found: DataFrame, index: DataFrame) -> DataFrame:
-    """``(phrase, n, rank, place, term)``: each phrase's terms by their number
-    of postings, the rarest first; phrases with a term that no document has are
-    left out."""
+    """``(phrase, n, rank, place, term, whole)``: each phrase's terms by their
+    number of postings, the rarest first, those that no document has before all
+    others; ``whole`` tells whether the documents have all of them."""
     counts = index.groupBy("term").agg(F.count("*").alias("postings"))
     placed = found.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("place", "word")).withColumn("term", F.xxhash64("word"))
-    known = placed.join(counts, "term").groupBy("phrase", "n").agg(F.array_sort(F.collect_list(F.struct("postings", "place", "term"))).alias("terms")).where(F.size("terms") == F.col("n"))
-    return known.select("phrase", "n", F.posexplode("terms").alias("rank", "t")).select("phrase", "n", "rank", "t.place", "t.term")
+    placed = placed.join(counts, "term", "left").withColumn("postings", F.coalesce("postings", F.lit(0).cast("long")))
+    known = placed.groupBy("phrase", "n").agg(F.array_sort(F.collect_list(F.struct("postings", "place", "term"))).alias("terms"))
+    return known.select("phrase", "n", (F.col("terms")[0]["postings"] > 0).alias("whole"), F.posexplode("terms").alias("rank", "t")).select("phrase", "n", "rank", "t.place", "t.term", "whole")
 
 
 def phrase_matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
     """Exact matches ``(doc, version, phrase, start, n)``."""
     key = ["doc", "version", "position", "term"]
+    ranked = ranked.where("whole")
     rarest, second = (ranked.where(F.col("rank") == r).select("phrase", "n", "place", "term") for r in (0, 1))
     starts = index.join(small(rarest), "term").select("doc", "version", "phrase", "n", (F.col("position") - F.col("place")).alias("start")).where("start >= 0").distinct()
     starts = cut_lineage(starts)
@@ -108,18 +110,23 @@ def phrase_matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, ranked: DataFrame, slack: int = 5, share: float = 0.8) -> DataFrame:
-    """``(doc, version, phrase, start, n, near)``: starts given by the rarest
-    term from which at least ``share`` of the phrase's distinct terms lie, in
-    any order, at most ``slack`` tokens outside the phrase's extent."""
-    terms = ranked.select("phrase", "term").distinct()
-    needed = terms.groupBy("phrase").agg(F.count("*").alias("terms"))
-    rarest = small(ranked.where("rank = 0").select("phrase", "n", "place", "term"))
-    starts = index.join(rarest, "term").select("doc", "version", "phrase", "n", (F.col("position") - F.col("place")).alias("start"))
+    """``(doc, version, phrase, start, n, near)``: starts from which at least
+    ``share`` of the phrase's distinct terms lie, in any order, at most ``slack``
+    tokens outside the phrase's extent.  A match may lack some terms, so starts
+    come from one term more than it may lack, the rarest ones: it has at least
+    one of them.  A term that no document has counts as one it lacks."""
+    terms = ranked.groupBy("phrase", "term").agg(F.min("rank").alias("rank"))
+    needed = terms.groupBy("phrase").agg(F.count("*").cast("int").alias("terms"), F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("ordered"))
+    needed = needed.withColumn("least", F.greatest(F.ceil(F.col("terms") * F.lit(float(share)) - 1e-9).cast("int"), F.lit(1)))
+    seeds = needed.select("phrase", F.explode(F.slice("ordered", F.lit(1), F.col("terms") - F.col("least") + 1)).alias("t")).select("phrase", "t.term")
+    rarest = small(ranked.join(seeds, ["phrase", "term"], "left_semi").select("phrase", "n", "place", "term"))
+    terms, needed = terms.drop("rank"), needed.drop("ordered", "terms")
+    starts = index.join(rarest, "term").select("doc", "version", "phrase", "n", (F.col("position") - F.col("place")).alias("start")).distinct()
     wanted = starts.join(small(terms), "phrase")
     places = index.select("doc", "version", "term", F.col("position").alias("at"))
     met = wanted.join(places, ["doc", "version", "term"]).where((F.col("at") >= F.col("start") - slack) & (F.col("at") < F.col("start") + F.col("n") + slack))
     near = met.groupBy("doc", "version", "phrase", "start", "n").agg(F.countDistinct("term").alias("near"))
-    return near.join(small(needed), "phrase").where(F.col("near") >= F.col("terms") * share).drop("terms")
+    return near.join(small(needed), "phrase").where("near >= least").drop("least")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
