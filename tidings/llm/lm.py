@@ -9,9 +9,9 @@ relative to their context and form one monotone sequence, kept in Elias-Fano
 code (low bytes as they are, high parts as a unary bit vector with sampled
 zeros), and beside it their counts in 8-bit codes.  The contexts of the third
 level are the pairs of the second, by number.  A level lies in one
-memory-mapped file.  A query finds its context, then searches the first
-successor not below its word within that context; a chunk's queries come in
-order, so the code is read a stretch at a time for many of them.
+memory-mapped file.  A chunk's queries
+come in order; the stretch of keys that they span is decoded a part at a time
+and searched for many of them (pointers are not used for that).
 
 Smoothing: interpolated, each level with three discounts from the counts of
 counts of all shards.  Shards answer with counts, and with how many successors
