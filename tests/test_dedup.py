@@ -98,3 +98,49 @@ def test_simhash_text_round_trip(spark):
         assert r["t"] == str(r["h"] % (1 << 64)) and r["back"] == r["h"]
     odd = spark.createDataFrame([("abc",), ("",), ("-5",)], "t string").select(SH.from_text(F.col("t")).alias("v"))
     assert [r["v"] for r in odd.collect()] == [None, None, -5]
+
+
+def test_groups_within_a_batch_equal_brute_force(spark):
+    from tidings.operators.groups import near_copy_groups
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(8)] + [0, (1 << 64) - 1]
+    rows = []
+    for i in range(220):
+        v = rng.choice(base)
+        for b in rng.sample(range(64), rng.choice([0, 0, 4, 14, 22, 30])):
+            v ^= 1 << b
+        rows.append((i, f"u{i}", v))
+    rows += [(300 + i, "again", rows[i][2]) for i in range(5)]
+    group = {v: v for _, _, v in rows}
+
+    def root(v):
+        while group[v] != v:
+            v = group[v]
+        return v
+
+    values = sorted(group)
+    for x in values:
+        for y in values:
+            share = any((x >> 16 * k) & 0xFFFF == (y >> 16 * k) & 0xFFFF for k in range(4))
+            if share and 1 - bin(x ^ y).count("1") / 64 > 0.6:
+                group[root(x)] = root(y)
+    least = {}
+    for i, _, v in rows:
+        least[root(v)] = min(i, least.get(root(v), i))
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    df = spark.createDataFrame([(i, u, signed(v)) for i, u, v in rows] + [(400, "none", None), (401, "none", None)], "id long, url string, simhash long")
+    want = {i: least[root(v)] for i, _, v in rows} | {400: 400, 401: 401}
+    assert len(set(want.values())) > 3
+    for block in (3, 1000):
+        assert {r["id"]: r["group_id"] for r in near_copy_groups(df, block=block).collect()} == want
+
+
+def test_components_of_chains_and_stars(spark):
+    from tidings.operators.groups import components
+    rng = random.Random(1)
+    chain = list(range(100, 160))
+    rng.shuffle(chain)
+    edges = list(zip(chain, chain[1:])) + [(5, x) for x in range(6, 60)] + [(200, 201), (201, 200), (300, 300)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 100 for x in chain} | {x: 5 for x in range(5, 60)} | {200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -91,3 +91,84 @@ def test_concurrent_calls_keep_order(spark):
     seq = EN.enrich_content(_claimed(spark)).orderBy("id").collect()
     par = EN.enrich_content(_claimed(spark), max_workers=4).orderBy("id").collect()
     assert [tuple(r) for r in seq] == [tuple(r) for r in par]
+
+
+def _prompts(spark, n):
+    rows = [(i, [f"{LONG}\nrow number {i:03d} of the batch"], f"T{i}", f"https://x/{i}") for i in range(n)]
+    return spark.createDataFrame(rows + [(900, ["Home"], "Home", "https://x/900")], "id long, chunks array<string>, title string, url string").repartition(3)
+
+
+def _model_maker(folder, broken=(), slow=()):
+    """A batch model that notes its calls as files; rows in ``broken`` break
+    their whole list (or answer with an error) until tried often enough."""
+    def make():
+        import os
+        import re
+        import time
+        import uuid
+        os.makedirs(f"{folder}/made", exist_ok=True)
+        open(f"{folder}/made/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(prompts):
+            ids = [int(re.search(r"row number (\d+)", p).group(1)) for p in prompts]
+            os.makedirs(f"{folder}/calls", exist_ok=True)
+            with open(f"{folder}/calls/{uuid.uuid4().hex}", "w") as out:
+                out.write(",".join(map(str, ids)))
+            if set(ids) & set(slow):
+                time.sleep(1.5)
+            for kind, i in broken:
+                if kind == "list" and i in ids and len(ids) > 1:
+                    raise RuntimeError("list broken")
+            return [RuntimeError(f"no answer for {i}") if ("row", i) in broken else {"summary": f"s{i}", "tags": ["spark", "joins"]} for i in ids]
+        return model
+    return make
+
+
+def _calls(folder):
+    import os
+    return [[int(i) for i in open(f"{folder}/calls/{f}").read().split(",")] for f in os.listdir(f"{folder}/calls")]
+
+
+def test_rounds_count_calls_and_tries(spark, tmp_path):
+    pauses = []
+    maker = _model_maker(str(tmp_path), broken=[("row", 7), ("list", 11)])
+    out = {r["id"]: r for r in EN.enrich_in_rounds(_prompts(spark, 40), maker, name=str(tmp_path), batch_size=8, sleep=pauses.append).collect()}
+    assert len(out) == 41 and out[900]["tries"] == 0 and out[900]["error"].startswith("content too thin")
+    assert out[7]["error"] == "no answer for 7" and out[7]["tries"] == K.ENRICH_MAX_TRIES and out[7]["tags"] is None
+    assert all(out[i]["error"] is None and out[i]["summary"] == f"s{i}" and out[i]["tags"] == ["spark", "joins"] for i in range(40) if i != 7)
+    assert 2 <= out[11]["tries"] <= 4 and pauses == [2.0, 3.0, 4.0, 5.0]
+    calls = _calls(str(tmp_path))
+    tries = {i: sum(i in c for c in calls) for i in range(40)}
+    assert tries == {i: out[i]["tries"] for i in range(40)}  # no row is called for more often than it is tried
+    assert sum(out[i]["tries"] == 1 for i in range(40)) >= 40 - 2 * 8 and max(map(len, calls)) <= 8
+    made = {f.split("-")[0] for f in __import__("os").listdir(tmp_path / "made")}
+    assert len(made) == len(__import__("os").listdir(tmp_path / "made"))  # one model a worker
+
+
+def test_a_slow_list_does_not_hold_back_the_others(spark):
+    import time
+    ends = {}
+
+    def model(prompts):
+        if "slow" in prompts:
+            time.sleep(0.6)
+        return [{"summary": p, "tags": []} for p in prompts]
+
+    import pandas as pd
+    run = EN._batch_runner(lambda: model, "slow-test", 2, 4)
+    frame = pd.DataFrame({"id": range(8), "prompt": ["slow", "a", "b", "c", "d", "e", "f", "g"]})
+    start = time.time()
+    for out in run(iter([frame])):
+        for i in out["id"]:
+            ends[i] = time.time() - start
+    assert max(ends[i] for i in range(2, 8)) < 0.5 <= min(ends[0], ends[1])
+
+
+def test_rounds_give_what_single_calls_give(spark):
+    def make():
+        return lambda prompts: [EN.keyword_model(p) for p in prompts]
+
+    one = sorted(map(tuple, EN.enrich_content(_prompts(spark, 20)).collect()))
+    many = sorted(map(tuple, EN.enrich_in_rounds(_prompts(spark, 20), make, name="keywords").drop("tries").collect()))
+    assert one == many
+    assert EN.enrich_in_rounds(_prompts(spark, 0).where("id < 0"), make, name="keywords").count() == 0

@@ -149,6 +149,26 @@ def test_selection_picks_the_best_each_time(spark):
         _check_picks(rows, [(p["id"], p["signal"]) for p in picks], limit)
 
 
+def test_picks_do_not_depend_on_how_many_posts_are_fetched(spark):
+    """From one post ahead (all feeds go on to the rounds) to all of them; one
+    feed holds most posts, all of one tag set, another's have no tags."""
+    rng = random.Random(23)
+    vocab = ["a", "b", "c", "d"]
+    rows = [(f"f1-{i:03d}", ["a", "b"], *(round(rng.random(), 2) for _ in range(4))) for i in range(60)]
+    rows += [(f"f2-{i:03d}", [], *(round(rng.random(), 2) for _ in range(4))) for i in range(20)]
+    rows += [(f"f3-{i:03d}", sorted(rng.sample(vocab, rng.randint(0, 3))), *(round(rng.random(), 1) for _ in range(4))) for i in range(40)]
+    rows += [(f"f4-{i:03d}", ["x"], 0.5, 0.5, 0.5, 1.0) for i in range(3)]
+    scored = _scored_frame(spark, rows).withColumn("feed_id", F.substring("id", 1, 2))
+    results = []
+    for ahead in (1, 2, 5, 1000):
+        got = selection.select_feeds(scored, "feed_id", 5, ahead=ahead, prune=ahead % 2 == 1).collect()
+        results.append(sorted((r["feed_id"], r["pick"], r["id"], r["bucket"], r["rank"]) for r in got))
+    assert results[0] == results[1] == results[2] == results[3]
+    for f in ("f1", "f2", "f3", "f4"):
+        mine = [x for x in results[0] if x[0] == f]
+        _check_picks([r for r in rows if r[0].startswith(f)], [(x[2], x[3]) for x in mine], 5)
+
+
 def test_pick_schedule():
     assert selection.pick_schedule(4) == ["continuity", "continuity", "relevance", "novelty"]
     assert selection.pick_schedule(3) == ["continuity", "continuity", "relevance"]

@@ -88,3 +88,31 @@ def test_ingest_stream_dedups_against_earlier_batches(spark, sf_small):
     batches = sorted(r["batch_id"] for r in rows.select("batch_id").distinct().collect())
     assert batches == [0]  # every copy in the second batch was a duplicate
     assert rows.where(F.col("url").endswith("-copy")).count() == 0
+
+
+def test_profiles_of_two_days_from_one_checkpoint(spark, tmp_path):
+    """The second run reads only the new file; both profiles equal the batch
+    profile of all requests so far."""
+    from tidings.operators import profile as prof
+    src, table, ck = (str(tmp_path / x) for x in ("requests", "weights", "ck"))
+    hour = dt.timedelta(minutes=37)
+    kinds = ["open", "like", "hide", "impression"]
+    parts = [[(i, f"c{i}", kinds[i % 4], [f"t{i % 5}", f"u{i % 3}"], dt.datetime(2024, 1, 1) + i * hour) for i in range(300)],
+             [(i, f"c{i}", kinds[i % 3], [f"t{i % 7}"], dt.datetime(2024, 1, 9) + i * hour) for i in range(200)]]
+    so_far = []
+    for n, (rows, at) in enumerate(zip(parts, ["2024-01-09 07:00:00", "2024-01-20 18:00:00"])):
+        _requests(spark, rows).coalesce(1).write.parquet(f"{src}/{n}")
+        so_far += rows
+        q = ST.stream_tag_weights(ST.request_stream(spark, f"{src}/*"), table, ck)
+        q.awaitTermination()
+        assert sum(p["numInputRows"] for p in q.recentProgress) == len(rows)
+        for folder in (table, ST.compact_tag_weights(spark, table, str(tmp_path / f"compact{n}"))):
+            got = {r["tag"]: r for r in ST.profile_at(spark, folder, at).collect()}
+            want = prof.tag_profile(ST.request_rows(_requests(spark, so_far)), at).collect()
+            assert got.keys() == {r["tag"] for r in want}
+            for r in want:
+                mine = got[r["tag"]]
+                assert mine["hidden"] == r["hidden"]
+                assert mine["recent_weight"] == pytest.approx(r["recent_weight"], abs=1e-12) and mine["long_weight"] == pytest.approx(r["long_weight"], abs=1e-12)
+    with pytest.raises(ValueError):
+        ST.profile_at(spark, table, "2024-01-20 18:30:00")

@@ -64,3 +64,67 @@ def test_schema_checks(spark):
     assert [r["url"] for r in QA.unique_violations(df, "url").collect()] == ["u1"]
     d = QA.apply_defaults(df, SC.URL).first()
     assert d["retry_count"] == 0 and d["priority_score"] == 0.0 and d["last_crawl_at"] is None
+
+
+def _scan_rows(spark, df):
+    """Rows that the scans of an executed frame gave, after row groups were skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node):
+        if "Scan" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        for child in [node.children().apply(i) for i in range(node.children().size())]:
+            walk(child)
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            walk(node.plan())
+    walk(plan)
+    return sum(found)
+
+
+def _listed(spark, n):
+    tags = F.when(F.col("id") % 3 == 0, F.array(F.lit("hot"), F.lit("a"))).when(F.col("id") % 50 == 1, F.array(F.lit("rare"))).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.array(F.lit("b"), F.lit("b")))
+    df = spark.range(n).select("id", F.concat(F.lit("https://x/"), "id").alias("url"), F.concat(F.lit("h"), F.col("id") % 4).alias("hostname"), tags.alias("tags"), (F.col("id") % 5).cast("int").alias("pipeline_state"),
+                               (ts_lit("2024-01-01 00:00:00") + F.make_dt_interval(hours=(F.col("id") / 4).cast("int"))).alias("created_at"))
+    for c in TB.CONTENT_COLUMNS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    return df
+
+
+def test_stored_listing_gives_the_same_pages(spark, tmp_path):
+    from tidings.operators.listing import ContentListing
+    df = _listed(spark, 700)
+    stored = ContentListing(spark, str(tmp_path / "c"))
+    stored.write(df)
+    same = 0
+    for tag in (None, "hot", "rare", "b", "none"):
+        for cursor in ({}, {"after_id": 500}, {"after_id": 3}, {"before_id": 690}, {"before_id": 10}, {"after_id": 400, "before_id": 100}):
+            for more in ({}, {"hostname": "h1"}, {"hostname": "h2", "pipeline_state": 3}, {"id": 33}):
+                if more and cursor.keys() - {"after_id"}:
+                    continue
+                want = [tuple(r) for r in TB.list_content(df, tag, limit=7, **cursor, **more).collect()]
+                got = [tuple(r) for r in stored.list_content(tag, limit=7, **cursor, **more).collect()]
+                assert got == want, (tag, cursor, more)
+                same += len(want)
+    assert same > 200
+    try:
+        stored.list_content("hot", after_id=10**9)
+        raise AssertionError("an unknown cursor has to raise")
+    except ValueError:
+        pass
+
+
+def test_a_page_by_tag_reads_few_of_the_rows(spark, tmp_path):
+    from tidings.operators.listing import ContentListing
+    df = _listed(spark, 40_000)
+    stored = ContentListing(spark, str(tmp_path / "c"))
+    stored.write(df, row_group_bytes=16_384)
+    for tag in ("hot", "rare"):
+        page = stored.list_content(tag, limit=20, after_id=20_001)
+        assert [r["id"] for r in page.collect()] == [r["id"] for r in TB.list_content(df, tag, limit=20, after_id=20_001).collect()]
+        assert _scan_rows(spark, page) < 8_000
+    assert _scan_rows(spark, stored.row(123)) < 8_000

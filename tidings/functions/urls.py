@@ -7,7 +7,10 @@ and array functions so they stay inside whole-stage code generation.
 
 from __future__ import annotations
 
+import json
 import re
+from html import unescape
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -160,27 +163,59 @@ NO_MARKUP = r"(?is)<!--.*?-->|<(script|style|textarea|title)\b[^>]*>.*?</\1\s*>"
 HREF_TAG = (r"(?is)<a(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"'/])href\s*=\s*"
             r"(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)")
 HREF_VALUE = r"(?is)[\s\"'/]href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)$"
-# FIXED VALUES: the named entities that occur in link targets.
-LINK_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+# A character reference at the start of a string, and what stands behind '&'.
+REFERENCE = r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+LAST_POINT = 0x10FFFF
 
 
-def _numeric_entities(c: Column) -> Column:
-    """``&#NN;`` and ``&#xHH;`` decoded (code points up to U+FFFF)."""
-    parts = F.split(c, r"(?=&#[0-9xX])", -1)
-    digits = lambda p: F.regexp_extract(p, r"^&#([0-9]{1,5});", 1)
-    hexa = lambda p: F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,4});", 1)
-    point = lambda p: F.when(digits(p) != "", digits(p)).when(hexa(p) != "", F.conv(hexa(p), 16, 10)).cast("int")
-    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0")), "UTF-16BE")
-    one = lambda p: F.when((point(p) > 0) & (point(p) < 65536) & ~point(p).between(0xD800, 0xDFFF),
-                           F.concat(char(point(p)), F.regexp_replace(p, r"^&#[0-9xXa-fA-F]+;", ""))).otherwise(p)
-    return F.when(F.instr(c, "&#") > 0, F.array_join(F.transform(parts, one), "")).otherwise(c)
+def _names_json() -> str:
+    """The named references of the standard, as Python knows them, by their
+    first two characters; of each the longest name first."""
+    by_head: dict[str, list[dict[str, str]]] = {}
+    for name in sorted(html5, key=lambda n: (-len(n), n)):
+        by_head.setdefault(name[:2], []).append({"n": name, "v": html5[name]})
+    return json.dumps(by_head)
+
+
+def _character(number: Column) -> Column:
+    """The text of a numeric reference: code points below 160 as the standard
+    maps them, surrogates and numbers beyond the last one as U+FFFD,
+    noncharacters as nothing."""
+    low = F.array(*[F.lit(unescape(f"&#{n};")) for n in range(160)])
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return (F.when(number < 160, F.get(low, number.cast("int")))
+            .when(number.between(0xD800, 0xDFFF) | (number > LAST_POINT), F.lit("\ufffd"))
+            .when(number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE), F.lit(""))
+            .otherwise(char))
+
+
+def _number(ref: Column) -> Column:
+    """The number of a numeric reference; of a very large one, one that is too
+    large."""
+    hexa = ref.rlike("^#[xX]")
+    digits = F.regexp_extract(ref, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    value = F.when(digits == "", F.lit("0")).when(hexa, F.conv(digits, 16, 10)).otherwise(digits)
+    return F.when(F.length(digits) > 8, F.lit(LAST_POINT + 1).cast("bigint")).otherwise(value.cast("bigint"))
 
 
 def decode_entities(c: Column) -> Column:
-    c = _numeric_entities(c)
-    for name, char in LINK_ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """``html.unescape``: numeric references, and of the named ones the longest
+    that the text begins with."""
+    names = F.from_json(F.lit(_names_json()), "map<string,array<struct<n:string,v:string>>>")
+
+    def one(part: Column) -> Column:
+        ref = F.regexp_extract(part, REFERENCE, 1)
+        return let(F.struct(part.alias("part"), ref.alias("ref"), F.substr(part, F.length(ref) + 2, F.length(part)).alias("rest")), decoded)
+
+    def decoded(p: Column) -> Column:
+        ref = p["ref"]
+        found = F.get(F.filter(F.try_element_at(names, F.substring(ref, 1, 2)), lambda e: F.startswith(ref, e["n"])), F.lit(0))
+        named = let(found, lambda e: F.concat(e["v"], F.substr(ref, F.length(e["n"]) + 1, F.length(ref)), p["rest"]))
+        return (F.when(ref == "", p["part"])
+                .when(F.startswith(ref, F.lit("#")), F.concat(let(_number(ref), _character), p["rest"]))
+                .otherwise(F.coalesce(named, p["part"])))
+
+    return F.when(F.instr(c, "&") > 0, F.array_join(F.transform(F.split(c, "(?=&)", -1), one), "")).otherwise(c)
 
 
 def hrefs(html: Column) -> Column:

@@ -110,13 +110,107 @@ def enrich_content(claimed: DataFrame, model: Model = keyword_model,
     schema = T.StructType([T.StructField("id", claimed.schema["id"].dataType), *T.StructType.fromDDL(
         "summary string, raw_tags array<string>, flags array<boolean>, error string, tries int").fields])
     answered = rows.mapInPandas(_runner(model, max_tries, max_workers), schema)
+    return _with_tags(answered, allowed_tags).select("id", "summary", "tags", "error")
+
+
+# ---------------------------------------------------------------- batch models, tries in rounds
+
+BatchModel = Callable[[list[str]], list]  # per prompt a result as of ``Model``, or an exception
+ANSWER = "summary string, raw_tags array<string>, flags array<boolean>, error string"
+
+
+def per_worker(make_model: Callable[[], BatchModel], name: str) -> BatchModel:
+    """The model of this Python worker: made at the first task that asks for it
+    by this name, and kept as long as the worker lives."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_enrich_models", types.ModuleType("_enrich_models")).__dict__
+    if name not in kept:
+        kept[name] = make_model()
+    return kept[name]
+
+
+def _batch_runner(make_model, name: str, batch_size: int, max_workers: int):
+    def answers(model, prompts: list[str]) -> list[tuple]:
+        try:
+            results = list(model(prompts))
+            if len(results) != len(prompts):
+                raise ValueError(f"{len(results)} answers to {len(prompts)} prompts")
+        except Exception as e:  # the whole call: each of its rows gets another try
+            results = [e] * len(prompts)
+        out = []
+        for r in results:
+            if isinstance(r, Exception):
+                out.append((None, None, None, str(r)))
+            else:
+                flags = [bool(f) for f in r["flags"]] if r.get("flags") is not None else None
+                out.append((r.get("summary"), list(r.get("tags") or []), flags, None))
+        return out
+
+    def run(batches):
+        from concurrent.futures import ThreadPoolExecutor, as_completed
+
+        model = per_worker(make_model, name)
+
+        def frame(ids, prompts):
+            cols = list(zip(*answers(model, prompts)))
+            return pd.DataFrame({"id": ids, **{c: list(x) for c, x in zip(("summary", "raw_tags", "flags", "error"), cols)}})
+
+        with ThreadPoolExecutor(max_workers) as pool:
+            for pdf in batches:  # a slow call holds back neither the other calls nor their rows
+                calls = [pool.submit(frame, pdf["id"].iloc[i:i + batch_size].reset_index(drop=True), pdf["prompt"].iloc[i:i + batch_size].tolist())
+                         for i in range(0, len(pdf), batch_size)]
+                for call in as_completed(calls):
+                    yield call.result()
+    return run
+
+
+def enrich_in_rounds(claimed: DataFrame, make_model: Callable[[], BatchModel], name: str = "model", max_tries: int = K.ENRICH_MAX_TRIES,
+                     allowed_tags: list[str] | None = None, batch_size: int = 16, max_workers: int = 4,
+                     pause: Callable[[int], float] = lambda tries: 1.0 + tries, sleep: Callable[[float], None] | None = None) -> DataFrame:
+    """E1 with a model that takes lists of prompts: ``id, summary, tags, error,
+    tries`` as of ``enrich_content``.
+
+    A round calls the model for every row that is left, in lists of
+    ``batch_size`` of which ``max_workers`` run at once in a task.  Rows that
+    failed, alone or with their whole list, are dealt out anew to all tasks in
+    the next round, in lists half as long, so that a row that breaks its list
+    soon breaks only its own; before it the job pauses (``pause`` of the tries
+    made, growing by a second, as the reference does per row).  Each round's
+    answers are a written table: a lost executor repeats its own calls only."""
+    import time
+
+    from ..session import cut_lineage
+    text = join_chunks(F.col("chunks"))
+    gate = F.when(F.coalesce(F.size("chunks"), F.lit(0)) <= 0, F.lit("Empty chunks")).otherwise(thin_content_reason(text))
+    rows = cut_lineage(claimed.select("id", build_enrich_input(text, F.col("title"), F.col("url")).alias("prompt"), gate.alias("gate_error")))
+    schema = T.StructType([T.StructField("id", claimed.schema["id"].dataType), *T.StructType.fromDDL(ANSWER).fields])
+    left = rows.where("gate_error IS NULL").select("id", "prompt")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ANSWER).fields if f.name != "error"]
+    done = rows.where("gate_error IS NOT NULL").select("id", *none, F.col("gate_error").alias("error"), F.lit(0).alias("tries"))
+    for tries in range(1, max_tries + 1):
+        if tries > 1:
+            (sleep or time.sleep)(pause(tries - 1))
+            left = left.repartition(left.sparkSession.sparkContext.defaultParallelism)
+        answered = cut_lineage(left.mapInPandas(_batch_runner(make_model, name, max(1, batch_size >> (tries - 1)), max_workers), schema))
+        failed = answered.where("error IS NOT NULL")
+        last = tries == max_tries or failed.isEmpty()
+        done = done.unionByName((answered if last else answered.where("error IS NULL")).withColumn("tries", F.lit(tries)))
+        if last:
+            break
+        left = cut_lineage(left.join(failed.select("id"), "id", "left_semi"))
+    return _with_tags(done, allowed_tags).select("id", "summary", "tags", "error", "tries")
+
+
+def _with_tags(answered: DataFrame, allowed_tags: list[str] | None) -> DataFrame:
     if allowed_tags:
         vocab = F.array(*[F.lit(t) for t in allowed_tags])
         raw = F.when(F.col("flags").isNotNull(), tags_from_flags(vocab, F.col("flags"))).otherwise(F.col("raw_tags"))
         final = finalize_tags(raw, vocab)
     else:
         final = finalize_tags(F.col("raw_tags"))
-    return answered.select("id", "summary", F.when(F.col("error").isNull(), final).alias("tags"), "error")
+    return answered.withColumn("tags", F.when(F.col("error").isNull(), final))
 
 
 def apply_enrichment(content: DataFrame, results: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ when their measured size is small and uses a shuffle join otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.common import clock, plus_seconds, ts_lit
+from .ranks import positions
 
 ACTIVE_URL_STATES = [K.CRAWL_QUEUED, K.CRAWL_RETRY, K.CRAWL_FETCHING]
 
@@ -67,11 +68,10 @@ def front_queue(urls: DataFrame, as_of=None, limit: int | None = None) -> DataFr
 
 
 def back_queue(front: DataFrame) -> DataFrame:
-    """A5 + W1: FIFO position of each queued URL within its host.  A listing:
-    the window sorts one host's due rows in one task, so the crawl loop takes
-    its heads from :func:`due_host_heads` (an aggregation) instead."""
-    w = Window.partitionBy("hostname").orderBy("branch", "sequence")
-    return front.withColumn("pos", F.row_number().over(w).cast("bigint"))
+    """A5 + W1: FIFO position of each queued URL within its host, by counts
+    over a range partitioning: a host with most of the queue covers many
+    ranges.  The crawl loop needs the heads alone (:func:`due_host_heads`)."""
+    return positions(front, ["hostname"], ["branch", "sequence", "id"])
 
 
 def back_queue_hosts(front: DataFrame) -> DataFrame:

@@ -31,6 +31,10 @@ from ..operators import profile as prof
 from ..operators import quality as QA
 from ..operators import scoring, selection
 from ..operators import tables as TB
+from ..operators.bandindex import ContentIndex
+from ..operators.groups import near_copy_groups
+from ..operators.listing import ContentListing
+from ..operators.stored import BucketedTable
 from ..session import cut_lineage, scratch_path
 from ..sources import testdata as td
 from ..sources.sinks import publish_feed
@@ -202,6 +206,8 @@ def _content_fp(spark, sf):
 
 
 INCOMING_SINCE = "2024-01-16 00:00:00"  # FIXTURES B4: the last 15 days are new
+MID_MONTH = "2024-01-15 06:00:00"
+SECOND_BATCH_SINCE = "2024-01-24 00:00:00"
 
 
 @query("doc_simhash")
@@ -236,6 +242,30 @@ def q_dedup_content(spark, sf):
     return dedup.dedup_content(incoming, dedup.near_dup_urls(incoming, existing)).select("id", "url")
 
 
+@query("near_dup_incremental")
+def q_near_dup_incremental(spark, sf):
+    """J3 + J4 against the stored index: two batches of new content, of which
+    the second also meets what the first one left."""
+    existing, incoming = _split_existing(spark, sf)
+    index = ContentIndex(spark, scratch_path(spark, "content-index"))
+    index.add(existing, 0)
+    second = F.col("scraped_at") >= ts_lit(SECOND_BATCH_SINCE)
+    found = []
+    for batch, rows in ((1, incoming.where(~second)), (2, incoming.where(second))):
+        rows = rows.select("id", "url", "simhash")
+        dups = cut_lineage(index.near_dup_urls(rows, before=batch))
+        index.add(dedup.dedup_content(rows, dups), batch)
+        found.append(dups.select(F.lit(batch).alias("batch"), "id", "url"))
+    return found[0].unionByName(found[1])
+
+
+@query("near_copy_groups")
+def q_near_copy_groups(spark, sf):
+    """C8 / J5 within a batch: groups of near copies among the new content."""
+    _, incoming = _split_existing(spark, sf)
+    return near_copy_groups(incoming.select("id", "url", "simhash"))
+
+
 @query("near_dup_candidates")
 def q_near_dup_candidates(spark, sf):
     existing, incoming = _split_existing(spark, sf)
@@ -261,6 +291,19 @@ def q_page_chunks(spark, sf):
                            F.size(ch).cast("bigint").alias("n_chunks"), ch.alias("chunks")))
 
 
+@query("relevant_sections")
+def q_relevant_sections(spark, sf):
+    """The sections of every page ranked by its title, and what stays."""
+    p = td.read_table(spark, sf, "pages")
+    title = html_title(F.col("html"))
+    p = p.select("page_id", title.alias("title"), TX.page_sections(F.col("html")).alias("sections"))
+    scored = p.withColumn("scores", TX.section_scores(F.col("sections"), F.col("title")))
+    return report(scored.select(
+        "page_id", "title", F.size("sections").cast("bigint").alias("n_sections"),
+        F.size(F.filter("scores", lambda s: s > 0)).cast("bigint").alias("n_scored"), F.array_max("scores").alias("best"),
+        F.flatten(TX.relevant_sections(F.col("sections"), F.col("title"))).alias("chunks")))
+
+
 @query("content_ingest")
 def q_content_ingest(spark, sf):
     existing = _content_fp(spark, sf)
@@ -389,6 +432,20 @@ def q_claim_urls(spark, sf):
     return report(_claimed(spark, sf).select("id", "crawl_state", "next_crawl_at", "applied"))
 
 
+@query("claim_stored_urls")
+def q_claim_stored_urls(spark, sf):
+    """C2 + C3 on a table stored by host: the due heads are claimed and their
+    outcomes applied in the buckets of their hosts alone."""
+    urls = td.urls(spark, sf)
+    table = BucketedTable(spark, scratch_path(spark, "urls"), "hostname")
+    table.write(urls)
+    heads = cut_lineage(FR.due_host_heads(FR.front_queue(table.rows(), NOW), td.hostnames(spark, sf), NOW).select("hostname", "id"))
+    claimed = table.update(heads, lambda t: FR.claim_urls(t, heads, NOW))
+    outcomes = cut_lineage(_outcomes(claimed))
+    table.update(outcomes, lambda t: FR.apply_url_outcomes(t, outcomes, NOW))
+    return report(table.rows().select("id", "hostname", "crawl_state", "next_crawl_at"))
+
+
 def _outcomes(claimed):
     won = claimed.where(F.col("applied"))
     return won.select("id", "hostname", (~U.is_ignored_url(F.col("url"))).alias("success"))
@@ -569,6 +626,22 @@ def q_enrich_content(spark, sf):
     return report(res)
 
 
+def _keyword_batches():
+    """A batch model of ``keyword_model`` that is too busy for some prompts of
+    lists longer than four."""
+    def model(prompts):
+        return [RuntimeError("busy") if len(prompts) > 4 and len(p) % 7 == 0 else EN.keyword_model(p) for p in prompts]
+    return model
+
+
+@query("enrich_in_rounds")
+def q_enrich_in_rounds(spark, sf):
+    """E1 with a batch model: the same answers as one prompt at a time, though
+    some prompts fail until their lists are short enough."""
+    _, res = enrichment_run(td.content(spark, sf), make_batch_model=_keyword_batches, pause=lambda tries: 0.0)
+    return report(res)
+
+
 @query("apply_enrichment")
 def q_apply_enrichment(spark, sf):
     snapshot, _ = enrichment_run(td.content(spark, sf))
@@ -629,6 +702,25 @@ def q_list_content_after_filtered(spark, sf):
     return report(TB.list_content(td.content(spark, sf), tag="t7", after_id=cur))
 
 
+def _stored_listing(spark, sf):
+    listing = ContentListing(spark, scratch_path(spark, "listing"))
+    listing.write(td.content(spark, sf).drop("text", "chunks"))
+    return listing
+
+
+@query("list_content_stored")
+def q_list_content_stored(spark, sf):
+    """P3 on the stored layout: day counts, postings, rows."""
+    return report(_stored_listing(spark, sf).list_content(tag="src3"))
+
+
+@query("list_content_after_stored")
+def q_list_content_after_stored(spark, sf):
+    """P4 with a filter on the stored layout."""
+    cur = _page_cursor(spark, sf, K.LIST_LIMIT)
+    return report(_stored_listing(spark, sf).list_content(tag="t7", after_id=cur))
+
+
 @query("list_sources_filtered")
 def q_list_sources_filtered(spark, sf):
     """P1 with other kinds and an IN filter."""
@@ -762,6 +854,21 @@ def q_stream_tag_profile(spark, sf):
     return report(ST.latest_version(spark, out, NOW))
 
 
+@query("stream_profile_clocks")
+def q_stream_profile_clocks(spark, sf):
+    """G2 with a moving clock: two profiles, of the first half of January and
+    of its end, from one checkpoint that gets the requests in two parts."""
+    path, table, ck = (scratch_path(spark, x) for x in ("requests", "weights", "ck-weights"))
+    late = F.col("created_at") >= ts_lit(MID_MONTH)
+    requests = _requests(spark, sf)
+    profiles = []
+    for part, rows, at in (("a", requests.where(~late), MID_MONTH), ("b", requests.where(late), NOW)):
+        rows.write.parquet(f"{path}/{part}")
+        ST.stream_tag_weights(ST.request_stream(spark, f"{path}/*"), table, ck).awaitTermination()
+        profiles.append(ST.profile_at(spark, table, at).withColumn("as_of", F.lit(at)))
+    return report(profiles[0].unionByName(profiles[1]))
+
+
 @query("stream_content_ingest")
 def q_stream_content_ingest(spark, sf):
     fp = ST.write_existing_fingerprints(td.content(spark, sf), scratch_path(spark, "existing-fp"))

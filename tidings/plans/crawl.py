@@ -9,9 +9,11 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import simhash as SH
 from ..functions.common import clock, ts_lit
-from ..functions.text import html_title, page_chunks
+from ..functions.text import html_title, page_chunks, page_sections, relevant_sections
 from ..functions.urls import is_ignored_url
+from ..operators.bandindex import ContentIndex
 from ..operators.dedup import dedup_content, near_dup_urls, with_bands
+from ..operators.groups import near_copy_groups
 
 
 def crawl_pages(pages: DataFrame) -> DataFrame:
@@ -33,17 +35,20 @@ def stored_fingerprints(stored: DataFrame) -> DataFrame:
     return stored.select(F.col("url") if "url" in stored.columns else F.lit(None).cast("string").alias("url"), h.alias("simhash"))
 
 
-def content_ingest(pages: DataFrame, existing: DataFrame, as_of=None,
-                   threshold: float = K.SIMILARITY_THRESHOLD, dedup_in_batch: bool = False) -> DataFrame:
+def content_ingest(pages: DataFrame, existing: DataFrame | ContentIndex, as_of=None,
+                   threshold: float = K.SIMILARITY_THRESHOLD, dedup_in_batch: bool | str = False, before: int | None = None) -> DataFrame:
     """New PENDING content rows from crawled pages.
 
-    Junk URLs are dropped, each page is fingerprinted on its body text, pages
+    Junk URLs are dropped, each page is fingerprinted on its whole body text (its
+    chunks are those of the sections relevant to its title), pages
     whose url is stored already and pages equal or similar to *stored* content
     (band semi-join) are skipped, of several pages with one url the first (by
     id) stays, and the rest become content rows as declared in ``schemas``.
-    ``existing`` needs ``simhash`` and, for the check of urls, ``url``.  With
-    ``dedup_in_batch`` only the first page of each exact fingerprint in the
-    batch is kept.
+    ``existing`` needs ``simhash`` and, for the check of urls, ``url``; or it is
+    a ``ContentIndex``, whose rows (of batches ``before`` the one given) are
+    looked up without being exploded or shuffled.  With ``dedup_in_batch`` only the first page of each exact fingerprint in the
+    batch is kept, with ``dedup_in_batch="near"`` the first (by id) of each group
+    of near copies.
 
     The HTML is parsed once: chunks and fingerprint come from the row itself
     and are written to the shared folder.  All decisions are taken on
@@ -51,14 +56,24 @@ def content_ingest(pages: DataFrame, existing: DataFrame, as_of=None,
     where they are counted to be few enough, else by a shuffle.
     """
     from ..session import cut_lineage
-    existing = stored_fingerprints(existing)
-    parsed = crawl_pages(pages).withColumnRenamed("page_id", "id")
-    parsed = cut_lineage(parsed.withColumn("simhash", SH.fingerprint(SH.tokens(F.array_join("chunks", "\n")))))
+    indexed = isinstance(existing, ContentIndex)
+    existing = existing if indexed else stored_fingerprints(existing)
+    parsed = pages.where(~is_ignored_url(F.col("url"))).select(
+        F.col("page_id").alias("id"), "url", html_title(F.col("html")).alias("title"), page_sections(F.col("html")).alias("sections"))
+    parsed = cut_lineage(parsed.select(
+        "id", "url", "title", F.flatten(relevant_sections(F.col("sections"), F.col("title"))).alias("chunks"),
+        SH.fingerprint(SH.tokens(F.array_join(F.flatten("sections"), "\n"))).alias("simhash")))
     narrow = parsed.select("id", "url", "simhash")
-    fresh = narrow.join(existing.where("url IS NOT NULL").select("url").distinct(), "url", "left_anti")
-    fresh = dedup_content(fresh, near_dup_urls(fresh, existing, threshold))
+    if indexed:
+        fresh = existing.unknown_urls(narrow, before)
+        fresh = dedup_content(fresh, existing.near_dup_urls(fresh, threshold, before))
+    else:
+        fresh = narrow.join(existing.where("url IS NOT NULL").select("url").distinct(), "url", "left_anti")
+        fresh = dedup_content(fresh, near_dup_urls(fresh, existing, threshold))
     fresh = fresh.groupBy("url").agg(F.min(F.struct("id", "simhash")).alias("first")).select("url", "first.*")
-    if dedup_in_batch:
+    if dedup_in_batch == "near":
+        fresh = near_copy_groups(cut_lineage(fresh), threshold).where("id = group_id")
+    elif dedup_in_batch:
         fresh = fresh.groupBy("simhash").agg(F.min(F.struct("id", "url")).alias("first")).select("first.*")
     keep = cut_lineage(fresh.select("id", "url"))
     if keep.limit(KEEP_BROADCAST_ROWS + 1).count() <= KEEP_BROADCAST_ROWS:

@@ -31,7 +31,7 @@ def build_feed(content: DataFrame, interactions: DataFrame, out_dir: str, as_of=
     scored = cut_lineage(scored_candidates(content, interactions, as_of))  # the test and the selection both read it
     if scored.isEmpty():
         return None, None
-    feed = select_feed(scored, limit)
+    feed = select_feed(scored, limit, written=True)
     payload = serialize_feed(feed, as_of)
     ok, _err = publish_feed(payload, out_dir)
     if not ok:

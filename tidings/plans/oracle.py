@@ -200,6 +200,14 @@ SELECT tag, {R('recent_weight')} AS recent_weight, {R('long_weight')} AS long_we
 sql("tag_profile", ["profile"], f"""
 SELECT tag, {R('recent_weight')} AS recent_weight, {R('long_weight')} AS long_weight, hidden FROM profile""")
 
+_CLOCKS = [("2024-01-15 06:00:00", "created_at < TIMESTAMP '2024-01-15 06:00:00'"), ("2024-01-31 00:00:00", "true")]
+sql("stream_profile_clocks", ["interaction"], " UNION ALL ".join(f"""SELECT * FROM (
+WITH r AS (SELECT tag, sum(weight * pow(0.5, age / 2.0)) AS recent_weight, sum(weight * pow(0.5, age / 14.0)) AS long_weight, bool_or(type = 'hide') AS hidden
+           FROM (SELECT *, {DAYS(f"TIMESTAMP '{at}'", 'created_at')} AS age FROM interaction WHERE {where}) a GROUP BY tag),
+     m AS (SELECT CASE WHEN max(recent_weight) > 0 THEN max(recent_weight) ELSE 1.0 END AS r, CASE WHEN max(long_weight) > 0 THEN max(long_weight) ELSE 1.0 END AS l FROM r)
+SELECT tag, {R('recent_weight / m.r')} AS recent_weight, {R('long_weight / m.l')} AS long_weight, hidden, '{at}' AS as_of FROM r, m) z{i}"""
+    for i, (at, where) in enumerate(_CLOCKS)))
+
 sql("hidden_tags", ["interaction"], """
 SELECT DISTINCT tag FROM interaction WHERE type = 'hide'""")
 
@@ -301,20 +309,27 @@ def sql_unescape(x: str) -> str:
     return x
 
 
-def sql_body_text(h: str) -> str:
+def sql_body_text(h: str, sections: bool = False) -> str:
+    if sections:
+        h = f"replace({h}, chr(30), ' ')"
     t = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
     for tag in _T.DROP_BLOCKS:
         t = f"regexp_replace({t}, {q(rf'(?is)<{tag}\b[^>]*>.*?</{tag}\s*>')}, ' ', 'g')"
     t = f"regexp_replace({t}, {q(r'(?is)<head\b[^>]*>.*?</head\s*>')}, ' ', 'g')"
+    if sections:
+        t = f"regexp_replace({t}, {q(_T.SECTION_EDGE)}, chr(30) || '\\0', 'g')"
     t = f"regexp_replace({t}, {q(_T.BREAK_PATTERN)}, chr(10), 'g')"
     t = f"regexp_replace({t}, '<[^>]*>', ' ', 'g')"
     t = sql_unescape(t)
     return f"regexp_replace({t}, {q(_T.SPACE_RUN)}, ' ', 'g')"
 
 
+def sql_lines(t: str) -> str:
+    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda l: trim(l)), lambda l: l <> '')"
+
+
 def sql_chunks(h: str) -> str:
-    return (f"list_filter(list_transform(string_split({sql_body_text(h)}, chr(10)), lambda s: trim(s)),"
-            f" lambda s: s <> '')")
+    return sql_lines(sql_body_text(h))
 
 
 def sql_title(h: str) -> str:
@@ -398,6 +413,24 @@ FROM (SELECT ib.id, ib.url, ib.simhash, CAST(sum(coalesce(cnt.n_band, 0)) AS BIG
       GROUP BY ib.id, ib.url, ib.simhash) h
 LEFT JOIN ex ON ex.simhash = h.simhash) z""")
 
+_SIMILAR = "1.0 - bit_count(xor(i.simhash, e.simhash)) / 64.0 > 0.6"
+sql("near_dup_incremental", ["incoming_c", "existing_c"], f"""SELECT * FROM (
+WITH parts AS (SELECT *, CASE WHEN scraped_at < TIMESTAMP '2024-01-24 00:00:00' THEN 1 ELSE 2 END AS batch FROM incoming_c),
+     ib AS ({_banded('parts', 'batch, id, url, simhash')}),
+     eb AS ({_banded('existing_c', 'simhash')}),
+     d0 AS (SELECT DISTINCT i.batch, i.id, i.url FROM ib i JOIN eb e ON i.band_no = e.band_no AND i.band = e.band WHERE {_SIMILAR}),
+     kept AS (SELECT * FROM ib WHERE batch = 1 AND url NOT IN (SELECT url FROM d0 WHERE batch = 1)),
+     d1 AS (SELECT DISTINCT i.batch, i.id, i.url FROM ib i JOIN kept e ON i.band_no = e.band_no AND i.band = e.band WHERE i.batch = 2 AND {_SIMILAR})
+SELECT batch, id, url FROM d0 UNION SELECT batch, id, url FROM d1) z""")
+
+sql("near_copy_groups", ["incoming_c", "inc_bands"], f"""
+SELECT * FROM (
+WITH RECURSIVE links AS MATERIALIZED (SELECT DISTINCT i.simhash AS a, e.simhash AS b FROM (SELECT DISTINCT simhash, band_no, band FROM inc_bands) i
+                JOIN (SELECT DISTINCT simhash, band_no, band FROM inc_bands) e ON i.band_no = e.band_no AND i.band = e.band WHERE {_SIMILAR}),
+     reach(node, other) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+     least AS (SELECT r.node, min(c.id) AS group_id FROM reach r JOIN incoming_c c ON c.simhash = r.other GROUP BY r.node)
+SELECT c.id, c.url, l.group_id FROM incoming_c c JOIN least l ON l.node = c.simhash) z""")
+
 sql("simhash_groups", ["existing_c"], """
 SELECT simhash, CAST(count(url) AS BIGINT) AS n_urls, min(url) AS first_url FROM existing_c GROUP BY simhash""")
 
@@ -415,8 +448,35 @@ sql("page_chunks", [], f"""
 SELECT page_id, {sql_title('html')} AS title, CAST(len({sql_chunks('html')}) AS BIGINT) AS n_chunks,
        {J(sql_chunks('html'))} AS chunks FROM pages""")
 
-cte("ingested", ["pages_txt", "page_fp", "doc_fp_full"], f"""SELECT * FROM (
-WITH inc AS (SELECT p.page_id AS id, p.url, p.title, p.chunks, f.simhash FROM pages_txt p JOIN page_fp f ON f.id = p.page_id
+# sections, BM25 by joining words with the title's, and the lines of those that stay
+cte("page_parts", [], f"""
+SELECT page_id, title, CASE WHEN instr(t, chr(30)) > 0
+         THEN list_filter(list_transform(string_split(t, chr(30)), lambda s: {sql_lines('s')}), lambda p: len(p) > 0)
+         ELSE list_transform({sql_lines('t')}, lambda p: [p]) END AS parts
+FROM (SELECT page_id, {sql_title('html')} AS title, {sql_body_text('html', True)} AS t FROM pages)""")
+cte("page_section", ["page_parts"], """
+SELECT page_id, unnest(parts) AS lines, unnest(range(len(parts))) AS i FROM page_parts""")
+cte("section_word", ["page_section"], f"""
+SELECT page_id, i, unnest(regexp_extract_all(lower(array_to_string(lines, chr(10))), {q(_T.WORD)})) AS w FROM page_section""")
+cte("title_word", ["page_parts"], f"""
+SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(title), {q(_T.WORD)})) AS w FROM page_parts""")
+cte("section_score", ["page_section", "section_word", "title_word"], f"""SELECT * FROM (
+WITH sizes AS (SELECT s.page_id, s.i, count(w) AS n FROM page_section s LEFT JOIN section_word x ON x.page_id = s.page_id AND x.i = s.i GROUP BY ALL),
+     means AS (SELECT page_id, count(*) AS sections, sum(n) / count(*) AS mean FROM sizes GROUP BY page_id),
+     tfs AS (SELECT page_id, i, w, count(*) AS tf FROM section_word SEMI JOIN title_word USING (page_id, w) GROUP BY ALL),
+     idfs AS (SELECT page_id, w, ln(1.0 + (sections - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tfs JOIN means USING (page_id) GROUP BY page_id, w, sections),
+     sums AS (SELECT page_id, i, sum(idf * tf * ({_T.BM25_K1} + 1) / (tf + {_T.BM25_K1} * ({1 - _T.BM25_B}::DOUBLE + {_T.BM25_B}::DOUBLE * n / mean))) AS score
+              FROM tfs JOIN idfs USING (page_id, w) JOIN means USING (page_id) JOIN sizes USING (page_id, i) GROUP BY page_id, i)
+SELECT s.page_id, s.i, s.lines, round(coalesce(score, 0.0::DOUBLE), 9) AS score FROM page_section s LEFT JOIN sums USING (page_id, i)) z""")
+cte("relevant", ["page_parts", "section_score"], f"""SELECT * FROM (
+WITH best AS (SELECT page_id, max(score) AS best, count(*) AS n_sections, count(*) FILTER (score > 0) AS n_scored FROM section_score GROUP BY page_id)
+SELECT p.page_id, p.title, coalesce(any_value(b.n_sections), 0) AS n_sections, coalesce(any_value(b.n_scored), 0) AS n_scored, any_value(b.best) AS best,
+       coalesce(flatten(list(s.lines ORDER BY s.i) FILTER (s.score >= {_T.SECTION_SHARE} * b.best)), CAST([] AS VARCHAR[])) AS chunks
+FROM page_parts p LEFT JOIN best b USING (page_id) LEFT JOIN section_score s USING (page_id) GROUP BY p.page_id, p.title) z""")
+sql("relevant_sections", ["relevant"], f"SELECT page_id, title, n_sections, n_scored, {R('best')} AS best, {J('chunks')} AS chunks FROM relevant")
+
+cte("ingested", ["pages_txt", "page_fp", "doc_fp_full", "relevant"], f"""SELECT * FROM (
+WITH inc AS (SELECT p.page_id AS id, p.url, p.title, r.chunks, f.simhash FROM pages_txt p JOIN page_fp f ON f.id = p.page_id JOIN relevant r ON r.page_id = p.page_id
              WHERE p.url NOT IN (SELECT url FROM doc_fp_full)),
      eb AS ({_banded('(SELECT DISTINCT simhash FROM doc_fp_full)', 'simhash')}),
      ib AS ({_banded('inc', 'id, url, simhash')}),
@@ -714,6 +774,12 @@ SELECT c.id,
        o.id IS NOT NULL AS applied
 FROM claimed2 c LEFT JOIN outcomes o ON o.id = c.id""")
 
+sql("claim_stored_urls", ["claimed2", "outcomes"], f"""
+SELECT c.id, c.hostname,
+       CASE WHEN o.id IS NULL THEN c.crawl_state WHEN o.success THEN 3 ELSE 4 END AS crawl_state,
+       {S(f"CASE WHEN o.id IS NOT NULL AND NOT o.success THEN {AS_OF} ELSE c.next_crawl_at END")} AS next_crawl_at
+FROM claimed2 c LEFT JOIN outcomes o ON o.id = c.id""")
+
 sql("hostname_stats", ["host_t", "outcomes"], f"""
 SELECT h.name, h.crawl_count + coalesce(o.ok, 0) AS crawl_count, h.success_count + coalesce(o.ok, 0) AS success_count,
        h.failure_count + coalesce(o.err, 0) AS failure_count,
@@ -1082,6 +1148,9 @@ SQL["serialize_feed"] = SQL["publish_feed"]
 
 # ---- streams: the drained result equals the batch result ------------------------
 SQL["stream_tag_profile"] = SQL["tag_profile"]
+SQL["list_content_stored"] = SQL["list_content"]
+SQL["list_content_after_stored"] = SQL["list_content_after_filtered"]
+SQL["enrich_in_rounds"] = SQL["enrich_content"]
 
 sql("stream_interactions", ["interaction"], f"""
 SELECT event_id, content_id, tag, type, {R('weight')} AS weight, {S('created_at')} AS created_at FROM interaction""")

@@ -22,6 +22,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
+    # lists of keys of stored lookups reach the Parquet reader as such (Bloom
+    # filters and page statistics), not as one range
+    "spark.sql.parquet.pushdown.inFilterThreshold": "2000",
     # remove checkpoint files once their frame is garbage collected
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

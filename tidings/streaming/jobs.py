@@ -7,13 +7,16 @@ the content table current.
 * ``stream_tag_profile`` (G2): a stateful streaming aggregation per tag
   (state = one row per tag, kept by the state store and checkpointed); each
   trigger writes a normalised profile version.  Ages are whole days at one
-  ``as_of`` per run, so the running sums are exact within a run; a new run
-  with a new clock starts from a fresh checkpoint and re-reads the log.
+  ``as_of`` per run, so the running sums are exact within a run.
+* ``stream_tag_weights`` and ``profile_at`` (G2 with a moving clock): sums per
+  tag and hour, kept current from new requests alone, give the profile at any
+  whole hour from one checkpoint.
 * ``stream_content_ingest`` (G3): new pages -> content rows with the
-  near-duplicate check against stored content and earlier batches.  Batches
-  run one after another, which gives the single-writer behaviour; each batch
-  writes to a path keyed by ``batch_id`` with overwrite, so a replayed batch
-  does not duplicate rows.
+  near-duplicate check against an index of stored content, to which each
+  batch appends what it has kept.  Batches run one after another, which gives
+  the single-writer behaviour; each batch writes to a path keyed by ``batch_id``
+  with overwrite and looks only at rows of earlier batches, so a replayed batch
+  gives the same rows once.
 
 ``Trigger.AvailableNow`` matches the reference's drain-then-stop workers.
 """
@@ -27,11 +30,12 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions.common import clock, ts_lit, whole_days
 from ..functions.feed import decay
+from ..operators.bandindex import ContentIndex
 from ..operators.dedup import doc_simhash
 from ..operators.profile import interaction_rows, normalize_profile, split_interaction_requests
 from ..plans.crawl import content_ingest, stored_fingerprints
 from ..schemas import PAGE, REQUEST
-from ..session import path_exists, scratch_tables
+from ..session import cut_lineage, path_exists, scratch_tables
 
 
 
@@ -119,30 +123,81 @@ def latest_version(spark: SparkSession, out_path: str, as_of) -> DataFrame:
     return df.where(F.col("v") == newest).drop("v")
 
 
-def stream_content_ingest(spark: SparkSession, pages_path: str, existing_fp_path: str,
+UNIT_SECONDS = 3600
+
+
+def stream_tag_weights(requests: DataFrame, table: str, checkpoint: str):
+    """G2 for a moving clock: each batch adds up the weights of its requests
+    per tag and hour of creation, and writes these sums under its number (with
+    overwrite, so a replayed batch counts once).  ``profile_at`` gives the
+    profile of any whole hour from them, without the log."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("created_at"))
+    unit = F.ceil(micros / F.lit(UNIT_SECONDS * 1_000_000)).cast("bigint")  # the first whole hour at or after it
+
+    def write_sums(batch: DataFrame, batch_id: int) -> None:
+        sums = request_rows(batch).groupBy("tag", unit.alias("unit")).agg(
+            F.sum("weight").alias("weight"), F.max(F.col("type") == "hide").alias("hidden"))
+        (sums.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(table))
+
+    return (requests.writeStream.foreachBatch(write_sums).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def profile_at(spark: SparkSession, table: str, as_of) -> DataFrame:
+    """The normalised profile at a whole hour.  All events of one hour of
+    creation have the same whole days of age at such a clock, so the hourly
+    sums decay as the events would.  Rows: tags times hours of activity."""
+    import datetime as dt
+    at = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of))
+    at = at.astimezone(dt.timezone.utc).replace(tzinfo=None) if at.tzinfo else at
+    seconds, rest = divmod((at - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1), 1_000_000)
+    if rest or seconds % UNIT_SECONDS:
+        raise ValueError(f"the clock has to be a whole hour: {as_of}")
+    age = F.floor((F.lit(seconds // UNIT_SECONDS) - F.col("unit")) * UNIT_SECONDS / F.lit(86_400)).cast("bigint")
+    raw = spark.read.schema("tag string, unit long, weight double, hidden boolean").parquet(table).groupBy("tag").agg(
+        F.sum(decay(F.col("weight"), age, K.RECENT_HALF_LIFE_DAYS)).alias("recent_weight"),
+        F.sum(decay(F.col("weight"), age, K.LONG_HALF_LIFE_DAYS)).alias("long_weight"),
+        F.max("hidden").alias("hidden"))
+    return normalize_profile(cut_lineage(raw))
+
+
+def compact_tag_weights(spark: SparkSession, table: str, to: str) -> str:
+    """The sums of all batches so far as those of one, at another path."""
+    sums = spark.read.parquet(table).groupBy("tag", "unit").agg(F.sum("weight").alias("weight"), F.max("hidden").alias("hidden"), F.max("batch_id").alias("batch_id"))
+    last = sums.select(F.max("batch_id")).first()[0]
+    sums.withColumn("batch_id", F.lit(last)).write.partitionBy("batch_id").parquet(to)
+    return to
+
+
+def stream_content_ingest(spark: SparkSession, pages_path: str, index_path: str,
                           out_path: str, checkpoint: str, as_of=None, max_files: int | None = None):
-    """Drain new pages into PENDING content rows.  ``existing_fp_path``
-    holds ``(url, simhash)`` of stored content; rows ingested by earlier
-    batches count as stored too.  A storage error fails the batch."""
+    """Drain new pages into PENDING content rows.  ``index_path`` holds the
+    index of stored content (``write_existing_fingerprints``); a batch reads
+    the buckets that its pages touch and appends the rows it has kept, which
+    count as stored for later ones.  A storage error fails the batch."""
     pages = file_stream(spark, pages_path, PAGE, max_files)
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
         with scratch_tables():
-            existing = stored_fingerprints(sess.read.parquet(existing_fp_path))
+            index = ContentIndex(sess, index_path)
             if path_exists(sess, out_path):
-                earlier = sess.read.parquet(out_path).where(F.col("batch_id") < batch_id)
-                existing = existing.unionByName(stored_fingerprints(earlier))
-            rows = content_ingest(batch, existing, as_of).withColumn("batch_id", F.lit(batch_id))
+                sess.read.parquet(out_path)  # an output that can't be read stops the batch here
+            rows = content_ingest(batch, index, as_of, before=batch_id).withColumn("batch_id", F.lit(batch_id))
             (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch_id").parquet(out_path))
+            own = f"{out_path.rstrip('/')}/batch_id={batch_id}"
+            if path_exists(sess, own):
+                index.add(stored_fingerprints(sess.read.parquet(own)), batch_id)
 
     return (pages.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def write_existing_fingerprints(content: DataFrame, path: str) -> str:
-    """Fingerprint stored content once (a written table cuts the lineage)."""
+    """Index stored content once, as of before the first batch."""
     fp = doc_simhash(content.select("id", "text"))
-    content.select("id", "url").join(fp, "id").write.mode("overwrite").parquet(path)
+    rows = cut_lineage(content.select("id", "url").join(fp, "id").select("url", "simhash"))
+    ContentIndex(content.sparkSession, path).add(rows, -1)
     return path
