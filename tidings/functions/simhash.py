@@ -8,8 +8,6 @@ fingerprint is set when more tokens have that bit set than not.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,43 +40,36 @@ def bit_count_aggs(h: Column) -> list[Column]:
     return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES))).alias(f"_b{i}") for i in range(BITS // 2)]
 
 
-def _count(i: int) -> Column:
-    s = F.coalesce(F.col(f"_b{i % 32}"), F.lit(0).cast("bigint"))
-    return s.bitwiseAND(F.lit(_LOW)) if i < 32 else F.shiftrightunsigned(s, 32)
+def _majority(sums: Column, n: Column) -> Column:
+    """OR of the bits whose set-count is a strict majority of ``n`` tokens, from
+    an array of the packed sums."""
+    zero = F.lit(0).cast("bigint")
+
+    def bit(acc: Column, i: Column) -> Column:
+        packed = F.get(sums, F.pmod(i, F.lit(BITS // 2)))
+        count = F.when(i < BITS // 2, packed.bitwiseAND(F.lit(_LOW))).otherwise(F.shiftrightunsigned(packed, 32))
+        return acc.bitwiseOR(F.when(F.lit(2) * count > n, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(zero))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), zero, bit)
 
 
 def fingerprint_from_counts(n: Column) -> Column:
-    """OR of the bits whose set-count is a strict majority of ``n`` tokens."""
-    terms = [F.when(F.lit(2) * _count(i) > n,
-                    F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
-             for i in range(BITS)]
-    return reduce(lambda a, b: a.bitwiseOR(b), terms)
+    """The fingerprint of a document with ``n`` tokens and the sums of
+    ``bit_count_aggs``."""
+    return let(F.array(*[F.coalesce(F.col(f"_b{i}"), F.lit(0).cast("bigint")) for i in range(BITS // 2)]), lambda sums: _majority(sums, n))
 
 
 def fingerprint(toks: Column) -> Column:
     """The fingerprint of a row's own token array, without a shuffle: the same
     sums as ``bit_count_aggs``, folded over the array."""
-    hashes = F.transform(toks, token_hash)
-    zero = F.lit(0).cast("bigint")
     mask = F.lit(_LANES)
 
-    def lane(hs: Column, i: int) -> Column:
-        return F.aggregate(hs, zero, lambda a, h: a + F.shiftrightunsigned(h, i).bitwiseAND(mask))
-
-    def fold(p: Column) -> Column:
-        n = F.size(p["h"])
-
-        def bits(sums: Column) -> Column:
-            terms = []
-            for i in range(BITS):
-                s = F.element_at(sums, i % 32 + 1)
-                count = s.bitwiseAND(F.lit(_LOW)) if i < 32 else F.shiftrightunsigned(s, 32)
-                terms.append(F.when(F.lit(2) * count > n, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(zero))
-            return reduce(lambda a, b: a.bitwiseOR(b), terms)
-
-        return let(F.array(*[lane(p["h"], i) for i in range(BITS // 2)]), bits)
+    def fold(hashes: Column) -> Column:
+        def lane(i: Column) -> Column:
+            return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a + F.call_function("shiftrightunsigned", h, i).bitwiseAND(mask))
+        return let(F.transform(F.sequence(F.lit(0), F.lit(BITS // 2 - 1)), lane), lambda sums: _majority(sums, F.size(hashes)))
 
-    return let(F.struct(hashes.alias("h")), fold)
+    return let(F.transform(toks, token_hash), fold)
 
 
 def band(h: Column, k: int) -> Column:
