@@ -7,8 +7,9 @@ curve are close in every dimension, so each shard spans small ranges of all of
 them and min/max statistics prune files on any of them.
 
 Rows of equal texts take the metadata of their first row, hence lie next to
-each other.  A group of up to ``whole`` of a shard's bytes is kept in one
-shard; a larger one (a third of all rows, say) is cut between rows.
+each other.  A group is kept in one shard; only one that alone exceeds what a shard's
+size may deviate, ``whole`` of a shard's bytes (a third of all rows, say), is
+cut between rows.
 
 Scale: only narrow rows are shuffled.  Positions come from a range partitioning
 on (index, text, row) -- a hot cell or a hot text is split over many ranges --
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, read_table
 
-SHARDS, BITS, WHOLE = 40, 4, 0.01
+SHARDS, BITS, WHOLE = 40, 4, 0.1
 
 
 def curve_states(n: int) -> tuple[list[int], list[int]]:
