@@ -229,7 +229,7 @@ def fingerprint_documents(docs: DataFrame, ranges: int | None = None) -> DataFra
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*found, strict=True))], names)
 
-    rows = with_successors(doc_text(docs), ranges).repartition(ranges, "part").sortWithinPartitions("part", "extra", "k", "text")
+    rows = with_successors(doc_text(docs), ranges).repartitionById(ranges, "part").sortWithinPartitions("part", "extra", "k", "text")
     return rows.mapInArrow(run, SCHEMA)
 
 
