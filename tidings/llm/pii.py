@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import doc_text, read_table
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, SURE = 6, 0.9
+LONGEST, SURE, PIECE = 6, 0.9, 12
 SAMPLE_DOCS, SAMPLE_ISLANDS = 20_000, 6_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -138,7 +138,7 @@ def features(text: str, start: int, end: int):
     """Numbers that describe the whole span."""
     import numpy as np
 
-    s = text[start:min(end, start + 400)]  # a longer span has the features of a long one
+    s = text[start:end]
     digits = only_digits(s)
     n, dots, ats = len(digits), s.count("."), s.count("@")
     letters = sum(c.isalpha() for c in s)
@@ -229,6 +229,19 @@ def gold(units, spans) -> list[tuple[int, int, int]] | None:
     return path + [(u, u, 0) for u in range(at, len(units))]
 
 
+def pieces(units, path):
+    """An island's units and path in pieces of at most ``PIECE`` units, cut
+    between segments, so that islands of any length are learnt from."""
+    part: list = []
+    for i, j, k in path or ():
+        if part and j - part[0][0] >= PIECE:
+            yield units[part[0][0]:i], [(a - part[0][0], b - part[0][0], c) for a, b, c in part]
+            part = []
+        part.append((i, j, k))
+    if part:
+        yield units[part[0][0]:], [(a - part[0][0], b - part[0][0], c) for a, b, c in part]
+
+
 def train(samples, rounds: int = 30, rate: float = 0.5, ridge: float = 1e-4) -> Field:
     """Gradient ascent on the paths' likelihood; ``samples``: (rows, path,
     times seen)."""
@@ -279,7 +292,8 @@ def spelled(spans) -> str:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_islands: int = SAMPLE_ISLANDS) -> Field:
     """Weights from the islands of at most ``sample_docs`` documents, those of
-    the least hashes of their ids, and at most ``sample_islands`` islands."""
+    the least hashes of their ids, and at most ``sample_islands`` islands (or
+    pieces of longer ones)."""
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
 
     def cut(batches):
@@ -290,9 +304,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_islands: int = S
             for text in batch.column(0).to_pylist():
                 base = base_spans(text)
                 for units in islands(text):
-                    if len(units) <= 12 and (path := gold(units, base)) is not None:
-                        a, b = max(0, units[0][0] - 1), units[-1][1] + 1
-                        out.append((text[a:b], [x - a for u in units for x in u], [x for s in path for x in s]))
+                    for part, path in pieces(units, gold(units, base)):
+                        a, b = max(0, part[0][0] - 1), part[-1][1] + 1
+                        out.append((text[a:b], [x - a for u in part for x in u], [x for s in path for x in s]))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["text", "units", "path"])
 
     rows = docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(cut, "text string, units array<int>, path array<int>")
