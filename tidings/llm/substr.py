@@ -1,4 +1,4 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees.
+"""Removal of repeated passages by prefix-partitioned suffix sorting.
 
 A window of ``WINDOW`` words is removed where its words also start in a
 document of a smaller id.  Only suffixes that can begin a repeat are kept: of
@@ -9,10 +9,14 @@ anchor's four neighbours on one side (the left ones if it begins that far
 before it, else the right ones); whether such nine words occur in more than one
 document is found first, from their hashes alone.  The words around the anchors
 for which they do are then sent to the anchor's group, which
-sorts the suffixes that start in each window, takes the longest common prefix
-of neighbours, and so has the suffix tree's internal nodes: those at least
-``WINDOW`` words deep are the repeats, and the least document below a node says
-who keeps the passage.  Runs of removed windows are the maximal repeats.
+sorts the suffixes that start in each window and takes the longest common prefix
+of neighbours up to ``WINDOW`` words.  Those that share so many are below one
+node of the suffix tree at that depth, and the least document among them says
+who keeps the passage.  No deeper node is formed: only equal windows decide what
+is removed, and runs of removed windows are the longer repeats.
+
+Words are compared by 32 bits of their hashes, thirteen in a row, anchors and
+their neighbours by 64; words themselves are not compared.
 
 (Prefixes are chosen by their hash and split by key ranges, not lengthened one
 word at a time: a chunk of documents sends each distinct passage once, so a
@@ -403,3 +407,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 13-word windows that an earlier one has."""
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split)
+), firsts AS (SELECT k, min(doc_id) AS keeper FROM windows GROUP BY k
+), hit AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM windows JOIN firsts USING (k) WHERE keeper < doc_id
+), placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM split
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text FROM placed ANTI JOIN hit USING (doc_id, place) GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, CAST(len(s.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id
+"""

@@ -285,11 +285,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, order: int = O
     return Scorer(evidence, Logistic(held.iloc[:, 1:].to_numpy(), held["toxic"].to_numpy().astype(float)), toxic / total)
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """``docs`` with ``__toxicity``, a score from 0 to 1, as last column."""
+def score(docs: DataFrame, scorer: Scorer, name: str = "__toxicity") -> DataFrame:
+    """``docs`` with a score from 0 to 1 as last column, under a ``name`` that
+    ``docs`` does not have."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__toxicity", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches):
@@ -297,7 +298,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
         for batch in batches:
             found = scorer([t or "" for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "__toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
