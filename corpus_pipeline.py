@@ -12,7 +12,8 @@ written as Parquet and read again as the next one's documents:
 
 All but the last return the columns of the documents they got.  Decisions of a
 stage that looks at all documents are joined back on the id and the text's
-hash, so other columns can have any names and ids may repeat or be null.
+hash, in columns whose names the documents don't have in any case of letters, so
+other columns can have any names, and ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -30,33 +31,53 @@ def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def _spare(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``docs`` has none of them (Spark compares
+    names without case)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     scorer = toxicity.fit(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, scorer).where("__toxicity < 0.5").drop("__toxicity")
+    name, = _spare(docs, "toxicity")
+    return toxicity.score(docs, scorer, name).where(F.col(name) < 0.5).select(*_own(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = neardup.near_duplicates(docs)
-    gone = cut_lineage(found.where("NOT first").select(F.coalesce("doc_id", F.lit(neardup.NO_ID)).alias("__id"), F.col("node").alias("__node")).distinct())
-    twice = found.where("first").groupBy(F.coalesce("doc_id", F.lit(neardup.NO_ID)).alias("__id"), F.col("node").alias("__node")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    twice = cut_lineage(twice)
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(neardup.NO_ID))).withColumn("__node", F.md5(_text()))
-    kept = keyed.join(gone, ["__id", "__node"], "left_anti")
+    key = _spare(docs, "id", "node")
+    of = lambda rows: rows.select(F.coalesce("doc_id", F.lit(neardup.NO_ID)).alias(key[0]), F.col("node").alias(key[1]))
+    gone = cut_lineage(of(found.where("NOT first")).distinct())
+    twice = cut_lineage(of(found.where("first")).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
+    keyed = docs.withColumn(key[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(neardup.NO_ID))).withColumn(key[1], F.md5(_text()))
+    kept = keyed.join(gone, key, "left_anti")
     if twice.limit(1).count():  # rows repeated whole: one of them stays
-        again = kept.join(twice, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"])
-        kept = kept.join(twice, ["__id", "__node"], "left_anti").unionByName(again)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        again = kept.join(twice, key, "left_semi").dropDuplicates(key)
+        kept = kept.join(twice, key, "left_anti").unionByName(again)
+    return kept.select(*_own(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = decontam.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    gone = cut_lineage(found.where("n_hit > 0").select(F.col("doc").alias("__doc"), F.col("version").alias("__version")).distinct())
+    key = _spare(docs, "doc", "version")
+    gone = cut_lineage(found.where("n_hit > 0").select(F.col("doc").alias(key[0]), F.col("version").alias(key[1])).distinct())
     doc, version = decontam.document_key()
-    keyed = docs.withColumn("__doc", doc).withColumn("__version", version)
-    return keyed.join(gone, ["__doc", "__version"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn(key[0], doc).withColumn(key[1], version)
+    return keyed.join(gone, key, "left_anti").select(*_own(docs))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
