@@ -23,7 +23,8 @@ base score.
 Scale: a chunk of documents sends each shard the distinct pairs and triples it
 has there, once, with their training counts, and gets codes back; that serves
 for training and for scoring, so no model is ever held whole, and what is moved
-grows with the corpus.  A context of more than ``HOT`` of all tokens is split
+grows with the corpus.  A shard has what ``SHARD_BYTES`` of text give it, and a task
+streams through its shards' sorted rows.  A context of more than ``HOT`` of all tokens is split
 over shards by its successors; every slice gets its total.  The triples of one
 pair stay with it, at most one entry per chunk and word.  See ``chunks`` for
 the chunks.
@@ -41,10 +42,10 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import chunks, with_chunks, word_hashes
+from .chunks import chunks, with_chunks, word_numbers
 from .common import crc_mod, cut_lineage, doc_text, read_table, text_bytes
 
-CHUNK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 HOT, HOT_SAMPLE = 0.01, 4
 ADDED = 0.1
 FOLDS, ORDER = 10, 3
@@ -218,10 +219,11 @@ class Trie:
         cut = d[np.minimum(counts, 3)]
         safe = np.maximum(totals, 1)
         backoff = np.bincount(of, cut, len(contexts)) / safe
-        p = (counts - cut) / safe[of]
-        codes = np.clip(np.rint((np.log10(np.maximum(p, 1e-30)) / CODE_RANGE + 1) * 254), 0, 254).astype(np.uint8) + 1
         if coded:
             codes = coded(counts)
+        else:
+            p = (counts - cut) / safe[of]
+            codes = np.clip(np.rint((np.log10(np.maximum(p, 1e-30)) / CODE_RANGE + 1) * 254), 0, 254).astype(np.uint8) + 1
         tally = np.bincount(of * 3 + np.minimum(counts, 3) - 1, minlength=3 * len(contexts)).reshape(-1, 3).astype(np.uint32)
         pointers = EliasFano.encode(np.searchsorted(keys, np.arange(len(contexts) + 1, dtype=np.uint64) << np.uint64(SUCCESSOR_BITS)).astype(np.uint64), len(keys) + 1)
         successors = EliasFano.encode(keys, max(len(contexts), 1) << SUCCESSOR_BITS)
@@ -310,19 +312,18 @@ class Pairs:
     def __init__(self, rows, shards: int, hot: dict[int, int], folds: int, order: int = 2):
         import numpy as np
 
-        words = word_hashes(t.encode("utf-8", "surrogatepass").lower().split() for _, t in rows)
-        self.lengths = np.array([len(w) + 1 for w in words], np.int64)
+        words, sizes, hashes = word_numbers([t for _, t in rows])
+        self.lengths = sizes.astype(np.int64) + 1
         self.held = np.array([is_held_out(d, folds) for d, _ in rows], bool)
-        ends = np.cumsum(self.lengths) if len(rows) else np.zeros(0, np.int64)
+        ends = np.cumsum(self.lengths)
         n = int(ends[-1]) if len(rows) else 0
-        token = np.empty(n + 1, np.uint64)
-        token[n] = START
-        for w, end in zip(words, ends.tolist(), strict=True):
-            token[end - 1 - len(w):end - 1] = w
-            token[end - 1] = END
-        self.kinds, number = np.unique(token, return_inverse=True)
-        self.token, before = number[:n], np.r_[number[n], number[:-2]] if n else number[:0]
-        before[ends[:-1]] = number[n]
+        self.kinds, number = np.unique(np.r_[hashes, np.uint64(END), np.uint64(START)], return_inverse=True)
+        self.token = np.full(n, number[-2])
+        inside = np.ones(n, bool)
+        inside[ends - 1] = False
+        self.token[inside] = number[words]
+        before = np.r_[number[-1], self.token[:-1]] if n else self.token
+        before[ends[:-1]] = number[-1]
         trained = np.repeat(~self.held, self.lengths)
         pair = before * np.int64(len(self.kinds)) + self.token
         distinct, self.pair = np.unique(pair, return_inverse=True)
@@ -432,16 +433,20 @@ def requests(docs: DataFrame, shards: int, hot: dict[int, int], folds: int, orde
                 return word.astype(np.uint32).tobytes(), (word >> np.uint64(32)).astype(np.uint8).tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype(np.uint32).tobytes()
 
             kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 12
+            out = []
             for s, a, b, own, size in p.parts:
                 x, y = p.first_below[a], p.first_below[b]
                 o = (s, number, p.check, p.kinds[own].tobytes(), p.totals[own].astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes(), *listed(p.follows[a:b], p.counts[a:b]),
                      p.below[a:b].astype(np.uint32).tobytes(), *listed(p.third[x:y], p.third_counts[x:y]))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(o, kinds, strict=True)], [x.split()[0] for x in REQUEST.split(", ")])
+                out.append(o)
+                if len(out) == 200 or s == p.parts[-1][0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in REQUEST.split(", ")])
+                    out = []
 
     return docs.mapInArrow(run, REQUEST)
 
 
-ANSWER = "chunk long, shard int, chk long, totals binary, tally binary, codes binary, totals3 binary, tally3 binary, codes3 binary, kinds long, words long, cc array<long>, cc3 array<long>"
+ANSWER = "chunk long, shard int, chk long, totals binary, tally binary, codes binary, small3 binary, large3 binary, codes3 binary, kinds long, words long, cc array<long>, cc3 array<long>"
 
 
 def merged(keys, counts):
@@ -455,6 +460,24 @@ def merged(keys, counts):
     return same[heads], np.add.reduceat(counts[order], heads) if len(heads) else counts[:0]
 
 
+def packed(totals, tally) -> tuple[bytes, bytes]:
+    """Totals and tallies of contexts, a byte for each number and those of 255
+    and more apart."""
+    import numpy as np
+
+    numbers = np.column_stack([totals, tally]).astype(np.uint32).ravel()
+    return np.minimum(numbers, 255).astype(np.uint8).tobytes(), numbers[numbers >= 255].tobytes()
+
+
+def unpacked(small: bytes, large: bytes):
+    import numpy as np
+
+    numbers = np.frombuffer(small, np.uint8).astype(np.int64)
+    numbers[numbers == 255] = np.frombuffer(large, np.uint32)
+    numbers = numbers.reshape(-1, 4)
+    return numbers[:, 0], numbers[:, 1:]
+
+
 def answers(sent: DataFrame, shards: int) -> DataFrame:
     """Builds each shard's trie and answers its chunks: totals and tallies of
     their contexts, count codes of their pairs, and the same of their pairs as
@@ -462,11 +485,11 @@ def answers(sent: DataFrame, shards: int) -> DataFrame:
     shard, the number of distinct training words at home there and of their
     occurrences; ``cc`` and ``cc3`` its counts of counts one to four."""
 
-    def run(table):
+    def built(table):
         import numpy as np
         import pyarrow as pa
 
-        col = lambda n, t: [np.frombuffer(b, t) for b in table.column(n).to_pylist()]
+        col = lambda n, t: [np.frombuffer(b.as_buffer(), t) for b in table.column(n)]
 
         def listed(third=""):
             counts = []
@@ -502,13 +525,35 @@ def answers(sent: DataFrame, shards: int) -> DataFrame:
             n, m = int(size.sum()), int(under.sum())
             codes, codes3 = trie.code(of[a:a + n], successor[a:a + n]), ordered_codes(lower, parent[e:e + m], third[e:e + m])
             at = pair[a:a + n] if len(under) and m else pair[:0]
-            out.append((trie.totals[mine].tobytes(), trie.tally[mine].tobytes(), codes.tobytes(), lower.totals[at].astype(np.uint32).tobytes(), lower.tally[at].tobytes(), codes3.tobytes(),
+            out.append((trie.totals[mine].tobytes(), trie.tally[mine].tobytes(), codes.tobytes(), *packed(lower.totals[at], lower.tally[at]), codes3.tobytes(),
                         int(at_home.sum()) if i == 0 else 0, int(totals[at_home].sum()) if i == 0 else 0, cc if i == 0 else [0] * 4, cc3 if i == 0 else [0] * 4))
             a, c, e = a + n, c + len(own), e + m
         types = [pa.binary()] * 6 + [pa.int64()] * 2 + [pa.list_(pa.int64())] * 2
-        return pa.table([table.column("chunk"), table.column("shard"), table.column("chk"), *[pa.array([o[i] for o in out], t) for i, t in enumerate(types)]], [x.split()[0] for x in ANSWER.split(", ")])
+        names = [x.split()[0] for x in ANSWER.split(", ")]
+        keys = [table.column(c).combine_chunks() for c in names[:3]]
+        for i, o in enumerate(out):
+            yield pa.RecordBatch.from_arrays([*(k[i:i + 1] for k in keys), *[pa.array([v], t) for v, t in zip(o, types, strict=True)]], names)
+
+    def run(batches):
+        """A shard's rows follow each other, in batches of any size."""
+        import pyarrow as pa
+
+        held, own = [], None
+        for batch in batches:
+            shard, at = batch.column("shard").to_pylist(), 0
+            for i in range(1, len(shard) + 1):
+                if i < len(shard) and shard[i] == shard[at]:
+                    continue
+                if own is not None and shard[at] != own:
+                    yield from built(pa.Table.from_batches(held))
+                    held = []
+                own = shard[at]
+                held.append(batch.slice(at, i - at))
+                at = i
+        if held:
+            yield from built(pa.Table.from_batches(held))
 
-    return sent.groupBy("shard").applyInArrow(run, ANSWER)
+    return sent.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(run, ANSWER)
 
 
 def ordered_codes(trie: Trie, context, successor):
@@ -543,8 +588,7 @@ def scores(docs: DataFrame, answered: DataFrame, shards: int, hot: dict[int, int
             codes[a:b] = np.frombuffer(got[s]["codes"], np.uint8)
             x, y = p.first_below[a], p.first_below[b]
             if y > x:
-                totals3[a:b] = np.frombuffer(got[s]["totals3"], np.uint32)
-                tally3[a:b] = np.frombuffer(got[s]["tally3"], np.uint32).reshape(-1, 3)
+                totals3[a:b], tally3[a:b] = unpacked(got[s]["small3"], got[s]["large3"])
                 codes3[x:y] = np.frombuffer(got[s]["codes3"], np.uint8)
         count = totals.copy()
         count[p.kinds == np.uint64(END)] = train_docs
