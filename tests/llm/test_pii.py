@@ -117,3 +117,34 @@ def test_redaction(make_docs, case):
 def test_empty(make_docs):
     empty = make_docs([])
     assert scan(empty, fit(doc_text(empty))).count() == 0
+
+
+def test_features_see_whole_spans():
+    """Spans of over 400 characters that differ at their ends only."""
+    from tidings.llm.pii import features
+    digits = "5" * 500
+    mail, plain_end = digits + "a@b.c", digits + "zzzzz"
+    assert (features(mail, 0, len(mail)) != features(plain_end, 0, len(plain_end))).any()
+    short, long = "5" * 18, "5" * 18 + " " * 0 + "." * 480 + "@x"
+    assert (features(short, 0, len(short)) != features(long, 0, len(long))).any()
+    assert features("1" * 9000 + "." + "2" * 9000, 0, 18001) is not None  # very long numbers
+
+
+def test_long_islands_are_learnt_from(make_docs):
+    """Islands of 13 units and more reach training, in pieces cut between the
+    segments; none of their units is lost."""
+    from tidings.llm.pii import LONGEST, PIECE, base_spans, gold, islands, pieces
+    r = random.Random(3)
+    for n in (1, PIECE, PIECE + 1, 13, 40):
+        text = " ".join(r.choice(["12", "345", "10.0.0.1", "me@x.co", "7"]) for _ in range(n))
+        units, = islands(text)
+        path = gold(units, base_spans(text))
+        assert path is not None and len(units) == n
+        cut = list(pieces(units, path))
+        assert [u for part, _ in cut for u in part] == units
+        assert all(len(part) < PIECE + LONGEST and sum(j - i + 1 for i, j, _ in way) == len(part) and way[0][0] == 0 for part, way in cut)
+        assert [k for _, way in cut for *_, k in way] == [k for *_, k in path]
+    assert list(pieces([(0, 1)], None)) == []
+    long_only = [(i, " ".join(["10.0.0.%d" % (k % 250) if k % 2 else "v%d" % k for k in range(13 + i % 5)])) for i in range(40)]
+    table = make_docs(long_only)
+    assert np.abs(fit(doc_text(table)).w).max() > 0.1  # with islands of over twelve units alone, something is learnt

@@ -78,6 +78,22 @@ def test_each_stage_against_its_operator(spark, tables, tmp_path):
             assert {r.doc_id: r.doc_tokens for r in new} == pieces and set(pieces) == {r.doc_id for r in old}
 
 
+@pytest.mark.parametrize("names", [("__toxicity", "__id", "__node", "__doc", "__version"), ("TOXICITY", "ID", "Node", "DOC", "Version"), ("toxicity", "toxicity_", "id_", "node_", "doc")])
+def test_columns_named_like_helpers(spark, tables, tmp_path, names):
+    """Every stage on documents whose other columns have its helpers' names, in
+    any case of letters: they come back as they were."""
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, tables)
+        after.write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        assert after.columns == docs.columns
+        for row in after.collect():
+            assert all(row[n] == f"{n} of {'none' if row['doc_id'] is None else row['doc_id']}" for n in names), (name, row)
+        assert after.count() < docs.count() or name == "pii"
+
+
 def test_run_gives_the_last_stage(spark, tables, tmp_path):
     last = list(stages(spark, tables, tmp_path))[-1][2]
     got = corpus_pipeline.run(spark, tables)

@@ -92,7 +92,7 @@ def test_largest_is_the_first_maximum():
     low, high = [], []
     for a, b in zip(s.starts, s.ends, strict=True):
         for _ in range(50):
-            x, y = sorted(random.Random(a + len(low)).choices(range(a, b + 1), k=2))
+            x, y = sorted(random.Random(int(a) + len(low)).choices(range(int(a), int(b) + 1), k=2))
             low.append(x), high.append(y)
     at, most = s.largest(np.array(low), np.array(high))
     for x, y, i, m in zip(low, high, at, most, strict=True):
