@@ -154,3 +154,14 @@ def test_crawl_round(spark):
     assert [r["url"] for r in content.collect()] == ["https://c/p2"]
     h = {r["name"]: r for r in hosts.collect()}
     assert h["a"]["crawl_count"] == 1 and h["c"]["crawl_count"] == 1 and h["b"]["crawl_count"] == 0
+
+
+def test_one_update_equals_claim_refresh_and_outcome(spark):
+    urls = _urls(spark, [r[:7] for r in CLAIM_TABLE] + [("s3", "https://h/s3", "h", "source", K.CRAWL_RETRY, -3, 9)])
+    claimed = FR.claim_urls(urls, urls.select("id"), AS_OF)
+    won = claimed.where("applied").select("id", "kind", (F.col("id") != "u3").alias("success"))
+    won = won.withColumn("success", F.col("success") & (F.col("id") != "s3"))
+    step = FR.bump_sources(claimed.drop("applied"), won.where("success AND kind = 'source'").select("id"), AS_OF).drop("applied")
+    step = FR.apply_url_outcomes(step, won, AS_OF).drop("applied")
+    columns = sorted(step.columns)
+    assert sorted(map(str, FR.finish_urls(urls, won, AS_OF).select(columns).collect())) == sorted(map(str, step.select(columns).collect()))

@@ -157,6 +157,21 @@ def apply_url_outcomes(urls: DataFrame, outcomes: DataFrame, as_of=None) -> Data
             .drop("_ok"))
 
 
+def finish_urls(urls: DataFrame, won: DataFrame, as_of=None, lease_seconds: int = K.CLAIM_LEASE_SECONDS,
+                refresh_seconds: int = K.SOURCE_REFRESH_SECONDS) -> DataFrame:
+    """C2, C5 and C3 of one round in one update by id: the state in which claim,
+    source refresh and outcome leave the rows of ``won`` (``id``, ``success``,
+    claimed and crawled in this round)."""
+    now = ts_lit(as_of)
+    o = won.groupBy("id").agg(F.min("success").alias("_ok"))
+    hit, ok = F.col("_ok").isNotNull(), F.col("_ok")
+    later = F.when(F.col("kind") == "source", plus_seconds(now, refresh_seconds)).otherwise(plus_seconds(now, lease_seconds))
+    return (urls.join(o, "id", "left")
+            .withColumn("crawl_state", F.when(hit & ok, F.lit(K.CRAWL_SUCCESS)).when(hit, F.lit(K.CRAWL_RETRY)).otherwise(F.col("crawl_state")))
+            .withColumn("next_crawl_at", F.when(hit & ok, later).when(hit, now).otherwise(F.col("next_crawl_at")))
+            .drop("_ok"))
+
+
 def hostname_stats(hostnames: DataFrame, outcomes: DataFrame, as_of=None,
                    cooldown_seconds: int = K.HOST_COOLDOWN_SECONDS) -> DataFrame:
     """A7 + C4 (host side): success bumps crawl_count and success_count, an

@@ -85,7 +85,7 @@ def pick_schedule(limit: int) -> list[str]:
     return sched + ["interest"] * (limit - len(sched))
 
 
-AHEAD = 16  # posts fetched at first for each signal, times the feed's limit
+AHEAD = 64  # posts fetched at first for each signal, times the feed's limit
 MORE = 8  # times as many at the second try
 
 

@@ -110,9 +110,11 @@ def discover_sources(urls: DataFrame, pages: DataFrame, as_of=None) -> tuple[Dat
     from ..operators import frontier as FR
     from ..operators.links import extract_links
 
+    from ..session import cut_lineage
+
     as_of = clock(as_of)
     claimed = FR.claim_urls(urls, FR.due_sources(urls, as_of).select("id"), as_of)
-    won = fetched(claimed.where(F.col("applied") & (F.col("kind") == "source")), pages)
+    won = cut_lineage(fetched(claimed.where(F.col("applied") & (F.col("kind") == "source")), pages).select("id", "url", "hostname", "sequence", "success"))
     src = won.select(F.col("id").alias("page_id"), F.col("url").alias("source"),
                      F.col("sequence").alias("source_seq"), "hostname")
     src_pages = pages.select("page_id", "html").join(src, "page_id")
@@ -155,7 +157,6 @@ def crawl_round(urls: DataFrame, hostnames: DataFrame, pages: DataFrame, existin
     claimed0 = FR.claim_urls(urls, heads.join(lease_won.select(F.col("name").alias("hostname")), "hostname",
                                               "left_semi").select("id"), as_of)
     won = cut_lineage(fetched(claimed0.where(F.col("applied")), pages).select("id", "url", "hostname", "kind", "sequence", "success"))
-    claimed = FR.claim_urls(urls, won.select("id"), as_of).drop("applied")
 
     # sources: discover links
     src = won.where(F.col("kind") == "source").select(
@@ -163,14 +164,13 @@ def crawl_round(urls: DataFrame, hostnames: DataFrame, pages: DataFrame, existin
     src_pages = pages.select("page_id", "html").join(src, "page_id").withColumn("url", F.col("source"))
     links = extract_links(src_pages).join(src.select("page_id", "source", "source_seq"), "page_id")
     new_urls = FR.create_source_urls(links, urls, as_of)
-    bumped = FR.bump_sources(claimed, won.where("success AND kind = 'source'").select("id"), as_of).drop("applied")
 
     # pages: ingest content
     crawl_batch = pages.join(won.where(F.col("kind") != "source").select(F.col("id").alias("page_id")), "page_id")
     new_content = content_ingest(crawl_batch, existing, as_of)
 
     outcomes = won.select("id", "hostname", "success")
-    url_table = FR.apply_url_outcomes(bumped, outcomes, as_of).drop("applied")
+    url_table = FR.finish_urls(urls, outcomes, as_of)
     url_table = FR.enqueue(url_table, new_urls.withColumn("sequence", F.lit(None).cast("bigint")), SC.URL)
     # crawled hosts: counters, rescheduled from their scheduled time; hosts
     # leased without a completed crawl keep the lease
