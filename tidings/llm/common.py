@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
 
-__all__ = ["cut_lineage", "crc_mod", "doc_text", "prepare", "read_table", "text_bytes"]
+__all__ = ["cut_lineage", "crc_mod", "doc_text", "prepare", "read_table", "text_bytes", "trimmed"]
 
 ship_package()
 
@@ -37,3 +37,26 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts: one narrow aggregate, used to size partitions."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def trimmed(run):
+    """``run``, a function over a partition's Arrow batches, which at its end
+    gives free memory back to the system: Python workers live on between tasks
+    and stages, and what an idle one holds is missing elsewhere."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim is not None:
+                trim(0)
+
+    return wrapped

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import chunks, with_chunks, word_numbers
-from .common import crc_mod, cut_lineage, doc_text, read_table, text_bytes
+from .common import crc_mod, cut_lineage, doc_text, read_table, text_bytes, trimmed
 
 CHUNK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 HOT, HOT_SAMPLE = 0.01, 4
@@ -443,7 +443,7 @@ def requests(docs: DataFrame, shards: int, hot: dict[int, int], folds: int, orde
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in REQUEST.split(", ")])
                     out = []
 
-    return docs.mapInArrow(run, REQUEST)
+    return docs.mapInArrow(trimmed(run), REQUEST)
 
 
 ANSWER = "chunk long, shard int, chk long, totals binary, tally binary, codes binary, small3 binary, large3 binary, codes3 binary, kinds long, words long, cc array<long>, cc3 array<long>"
@@ -553,7 +553,7 @@ def answers(sent: DataFrame, shards: int) -> DataFrame:
         if held:
             yield from built(pa.Table.from_batches(held))
 
-    return sent.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(run, ANSWER)
+    return sent.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(trimmed(run), ANSWER)
 
 
 def ordered_codes(trie: Trie, context, successor):

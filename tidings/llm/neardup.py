@@ -38,7 +38,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, doc_text, read_table
+from .common import cut_lineage, doc_text, read_table, trimmed
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 4
@@ -70,7 +70,7 @@ def document_frequencies(docs: DataFrame):
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["bucket", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select("text").mapInArrow(trimmed(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     return docs.count(), out
@@ -220,7 +220,7 @@ def signatures(docs: DataFrame, shingles: Shingles) -> DataFrame:
                 bands.append(h.astype(np.int64))
             yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(totals)], ["doc_id", "node", "bands", "total"])
 
-    return docs.mapInArrow(run, "doc_id long, node string, bands array<long>, total double")
+    return docs.mapInArrow(trimmed(run), "doc_id long, node string, bands array<long>, total double")
 
 
 def comparable(a: str, b: str, threshold: float):
@@ -250,7 +250,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, shingles: Shingles) -> Data
                     out.append((a, b, similarity(own, weighted)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["a", "b", "similarity"])
 
-    return first.unionByName(other).repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(run, "a string, b string, similarity double")
+    return first.unionByName(other).repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(trimmed(run), "a string, b string, similarity double")
 
 
 def across(members: DataFrame, texts: DataFrame, shingles: Shingles, threshold: float = THRESHOLD) -> DataFrame:
@@ -323,7 +323,7 @@ def across(members: DataFrame, texts: DataFrame, shingles: Shingles, threshold:
                 group.append(row)
         yield done()
 
-    return dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node").mapInArrow(run, "a string, b string, similarity double")
+    return dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node").mapInArrow(trimmed(run), "a string, b string, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import doc_text, read_table
+from .common import doc_text, read_table, trimmed
 
 SEQUENCE = 4096
 GROUP_TOKENS = 1 << 22
@@ -238,8 +238,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = EN
                     yield flush()
         if group:
             yield flush()
+        encoder.clear()
 
-    return doc_text(docs).mapInArrow(run, SCHEMA + ", ids binary" * keep_ids)
+    return doc_text(docs).mapInArrow(trimmed(run), SCHEMA + ", ids binary" * keep_ids)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut_lineage, doc_text, read_table
+from .common import crc_mod, cut_lineage, doc_text, read_table, trimmed
 
 ORDER, DISCOUNT = 7, 0.8
 SAMPLE = 40_000
@@ -299,8 +299,10 @@ def score(docs: DataFrame, scorer: Scorer, name: str = "__toxicity") -> DataFram
         for batch in batches:
             found = scorer([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
+        if scorer.evidence:
+            scorer.evidence.known = {}
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
