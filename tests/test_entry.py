@@ -53,8 +53,7 @@ KEYS = ["tag_profile", "score_content", "mmr_candidates", "doc_simhash", "near_d
         "extract_links", "filter_links", "front_queue", "hostname_stats", "filter_tags", "thin_content",
         "grade_enrichment", "list_content_after_filtered", "create_source_urls", "create_source", "patch_rejected",
         "validate_table", "enrich_content", "enrich_allowed", "crawl_round", "publish_feed",
-        "relevant_sections", "content_ingest", "near_dup_incremental", "near_copy_groups", "claim_stored_urls", "back_queue",
-        "stream_profile_clocks", "select_feed", "select_feeds", "enrich_in_rounds", "list_content_stored", "list_content_after_stored"]
+        "relevant_sections", "near_dup_incremental", "near_copy_groups", "claim_stored_urls", "back_queue", "stream_profile_clocks", "select_feeds"]
 
 
 @pytest.fixture(scope="module")
