@@ -46,6 +46,15 @@ def test_batches_take_what_the_caller_allows(spark, tmp_path):
     assert batches(1) == 1 and batches(2, max_files=1) == 3
 
 
+def test_a_table_in_a_folder_named_like_a_file_is_streamed(spark, tmp_path):
+    """``pages.parquet`` may be one file or, as Spark writes it, a folder."""
+    src = str(tmp_path / "requests.parquet")
+    _requests(spark, [_request(k) for k in range(30)]).repartition(3).write.parquet(src)
+    out = str(tmp_path / "log")
+    ST.stream_interactions(ST.request_stream(spark, src), out, str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(out).count() == 60
+
+
 def test_profile_after_a_restart(spark, tmp_path):
     """A fresh checkpoint in the same folder: the last run's profile is read."""
     out = str(tmp_path / "profile")

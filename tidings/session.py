@@ -117,6 +117,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path names a folder in its file system."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def _delete(paths: list[str]) -> None:
     from pyspark import SparkContext
     jvm = SparkContext._jvm

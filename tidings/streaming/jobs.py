@@ -35,20 +35,21 @@ from ..operators.dedup import doc_simhash
 from ..operators.profile import interaction_rows, normalize_profile, split_interaction_requests
 from ..plans.crawl import content_ingest, stored_fingerprints
 from ..schemas import PAGE, REQUEST
-from ..session import cut_lineage, path_exists, scratch_tables
+from ..session import cut_lineage, is_folder, path_exists, scratch_tables
 
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
     """File stream over a folder of Parquet files.  A path that names one file
     streams the matching files of its folder (``pathGlobFilter``), so new files
-    dropped next to it are picked up by later triggers.  ``max_files`` bounds a
-    micro-batch; by default a trigger takes all that is there."""
+    dropped next to it are picked up by later triggers; a table in a folder of
+    such a name (as Spark writes it) is streamed file by file.  ``max_files``
+    bounds a micro-batch; by default a trigger takes all that is there."""
     import os
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    if path.endswith(".parquet"):
+    if path.endswith(".parquet") and not is_folder(spark, path):
         folder, name = os.path.split(path.rstrip("/"))
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
