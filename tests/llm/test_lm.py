@@ -168,3 +168,25 @@ def test_no_training_rows_and_empty(spark, make_docs, tmp_path):
     r = train_and_score(spark.read.parquet(a)).collect()[0]
     assert r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.score == pytest.approx(r.base_score)
     assert train_and_score(spark.read.parquet(b)).count() == 0
+
+
+def test_a_shard_decodes_its_keys_once(spark, make_docs, words, tmp_path, monkeypatch):
+    """However many chunks ask it: a second pass over its keys for every chunk
+    makes the work grow with the square of the corpus."""
+    import pyarrow as pa
+
+    path = str(tmp_path / "d.parquet")
+    make_docs([(i, words(80, i)) for i in range(200)], 1).repartition(25).write.parquet(path)
+    sent = lm.requests(lm.doc_text(spark.read.parquet(path)), 1, {}, 5, 3).toArrow()
+    assert len(sent) > 5  # a chunk a partition
+    entries, decoded = [0], lm.EliasFano.decoded
+
+    def counted(self, start, stop):
+        out = decoded(self, start, stop)
+        entries[0] += len(out[0])
+        return out
+
+    monkeypatch.setattr(lm.EliasFano, "decoded", counted)
+    answered = pa.Table.from_batches(lm.shard_answers(sent, 1))
+    assert answered.column("chunk").to_pylist() == sent.column("chunk").to_pylist()
+    assert 0 < entries[0] <= sum(len(b.as_py()) for k in ("counts", "counts3") for b in sent.column(k))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
 
-__all__ = ["cut_lineage", "crc_mod", "doc_text", "prepare", "read_table", "text_bytes", "trimmed"]
+__all__ = ["cut_lineage", "crc_mod", "doc_text", "prepare", "read_table", "text_bytes", "trimmed", "trimmed_groups"]
 
 ship_package()
 
@@ -39,24 +39,41 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def give_back() -> None:
+    """Give a Python worker's free memory back to the system: workers live on
+    between tasks and stages, and what an idle one holds is missing elsewhere."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def trimmed(run):
     """``run``, a function over a partition's Arrow batches, which at its end
-    gives free memory back to the system: Python workers live on between tasks
-    and stages, and what an idle one holds is missing elsewhere."""
+    gives free memory back."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
+            give_back()
 
-            import pyarrow as pa
+    return wrapped
 
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-            if trim is not None:
-                trim(0)
+
+def trimmed_groups(run):
+    """The same for a function of a cogroup, after each group."""
+
+    def wrapped(key, left, right):
+        try:
+            return run(key, left, right)
+        finally:
+            give_back()
 
     return wrapped

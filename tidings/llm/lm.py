@@ -9,9 +9,10 @@ relative to their context and form one monotone sequence, kept in Elias-Fano
 code (low bytes as they are, high parts as a unary bit vector with sampled
 zeros), and beside it their counts in 8-bit codes.  The contexts of the third
 level are the pairs of the second, by number.  A level lies in one
-memory-mapped file.  A chunk's queries
-come in order; the stretch of keys that they span is decoded a part at a time
-and searched for many of them (pointers are not used for that).
+memory-mapped file.  The queries of all chunks that ask a shard are put in
+order once, each distinct one once; the stretch of keys that they span is
+decoded a part at a time and searched for many of them (pointers are not used
+for that).
 
 Smoothing: interpolated, each level with three discounts from the counts of
 counts of all shards.  Shards answer with counts, and with how many successors
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import chunks, with_chunks, word_numbers
-from .common import crc_mod, cut_lineage, doc_text, read_table, text_bytes, trimmed
+from .common import crc_mod, cut_lineage, doc_text, read_table, text_bytes, trimmed, trimmed_groups
 
 CHUNK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 HOT, HOT_SAMPLE = 0.01, 4
@@ -256,9 +257,15 @@ class Trie:
         unseen."""
         import numpy as np
 
+        return self.code_of(context.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor)
+
+    def code_of(self, keys):
+        """``code`` of sorted keys."""
+        import numpy as np
+
         if not self.successors.n:
-            return np.zeros(len(context), np.uint8)
-        at, same = self.successors.successor_of_sorted(context.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor)
+            return np.zeros(len(keys), np.uint8)
+        at, same = self.successors.successor_of_sorted(keys)
         return np.where(same, self.codes[np.minimum(at, self.successors.n - 1)], 0).astype(np.uint8)
 
 
@@ -318,6 +325,7 @@ class Pairs:
         ends = np.cumsum(self.lengths)
         n = int(ends[-1]) if len(rows) else 0
         self.kinds, number = np.unique(np.r_[hashes, np.uint64(END), np.uint64(START)], return_inverse=True)
+        number = number.astype(np.int32)  # a chunk has far fewer than 2 ** 31 tokens
         self.token = np.full(n, number[-2])
         inside = np.ones(n, bool)
         inside[ends - 1] = False
@@ -327,30 +335,36 @@ class Pairs:
         trained = np.repeat(~self.held, self.lengths)
         pair = before * np.int64(len(self.kinds)) + self.token
         distinct, self.pair = np.unique(pair, return_inverse=True)
-        counts = np.bincount(self.pair, trained, len(distinct)).astype(np.int64)
-        context, follows = distinct // max(len(self.kinds), 1), distinct % max(len(self.kinds), 1)
+        self.pair = self.pair.astype(np.int32)
+        counts = np.bincount(self.pair, trained, len(distinct)).astype(np.int32)
+        context, follows = (distinct // max(len(self.kinds), 1)).astype(np.int32), (distinct % max(len(self.kinds), 1)).astype(np.int32)
         totals = np.bincount(before, trained, len(self.kinds)).astype(np.int64)
-        shard = self.home(self.kinds, shards)[context]
+        self.check = int(distinct.sum() & 0x7FFFFFFFFFFFFFFF) ^ n if n else 0
+        del pair, distinct, before, number, words, inside
+        shard = self.home(self.kinds, shards).astype(np.int32)[context]
         for h, slices in hot.items():
             i = int(np.searchsorted(self.kinds, np.uint64(h)))
             if i < len(self.kinds) and self.kinds[i] == np.uint64(h):
                 mine = np.flatnonzero(context == i)
                 part = (self.kinds[follows[mine]] >> np.uint64(13)) % np.uint64(slices)
                 shard[mine] = (shard[mine] + part.astype(np.int64)) % shards
-        sent = np.argsort(shard, kind="stable")
-        self.place = np.empty(len(sent), np.int64)
-        self.place[sent] = np.arange(len(sent))
+        sent = np.argsort(shard, kind="stable").astype(np.int32)
+        self.place = np.empty(len(sent), np.int32)
+        self.place[sent] = np.arange(len(sent), dtype=np.int32)
         self.context, self.follows, self.counts, shard = context[sent], follows[sent], counts[sent], shard[sent]
+        del context, follows, counts, sent
         self.later = np.ones(n, bool)  # tokens with two before them, a text's start included
         self.later[np.r_[0, ends[:-1]] if n else ends] = order < 3
         self.later &= order > 2
         at = np.flatnonzero(self.later)
         self.parent = self.place[self.pair[at - 1]]
         triple, self.triple = np.unique(self.parent * np.int64(max(len(self.kinds), 1)) + self.token[at], return_inverse=True)
-        self.third = triple % max(len(self.kinds), 1)
-        self.third_counts = np.bincount(self.triple, trained[at], len(triple)).astype(np.int64)
-        self.below = np.bincount(triple // max(len(self.kinds), 1), minlength=len(sent))  # words after each pair
-        self.first_below = np.r_[0, np.cumsum(self.below)]
+        self.triple = self.triple.astype(np.int32)
+        self.third = (triple % max(len(self.kinds), 1)).astype(np.int32)
+        self.third_counts = np.bincount(self.triple, trained[at], len(triple)).astype(np.int32)
+        self.below = np.bincount(triple // max(len(self.kinds), 1), minlength=len(self.place)).astype(np.int32)  # words after each pair
+        del triple, at
+        self.first_below = np.r_[0, np.cumsum(self.below, dtype=np.int64)]
         bounds = np.searchsorted(shard, np.arange(shards + 1))
         self.parts = []  # (shard, from, to, contexts, successors of each)
         spread: dict[int, list[int]] = {}
@@ -369,7 +383,6 @@ class Pairs:
             own, size = np.concatenate([own, more]), np.concatenate([size, np.zeros(len(more), np.int64)])
             self.parts.append((s, a, b, own, size))
         self.totals = totals
-        self.check = int(distinct.sum() & 0x7FFFFFFFFFFFFFFF) ^ n if n else 0
 
     @staticmethod
     def home(hashes, shards: int):
@@ -405,7 +418,7 @@ def hot_words(docs: DataFrame, shards: int, share: float = HOT) -> dict[int, int
             signed = [h - (1 << 64) if h >> 63 else h for h, _ in found]
             yield pa.RecordBatch.from_arrays([pa.array([0, *signed], pa.int64()), pa.array([total, *[n for _, n in found]], pa.int64()), pa.array([True] + [False] * len(found))], ["h", "n", "total"])
 
-    sums = docs.select("doc_id", "text").mapInArrow(run, "h long, n long, total boolean").groupBy("h", "total").agg(F.sum("n").alias("n"))
+    sums = docs.select("doc_id", "text").mapInArrow(trimmed(run), "h long, n long, total boolean").groupBy("h", "total").agg(F.sum("n").alias("n"))
     sums = cut_lineage(sums)
     total = sums.where("total").agg(F.sum("n")).first()[0] or 0
     found = sums.where(~F.col("total") & (F.col("n") >= total * share)).orderBy("h").collect()
@@ -449,15 +462,20 @@ def requests(docs: DataFrame, shards: int, hot: dict[int, int], folds: int, orde
 ANSWER = "chunk long, shard int, chk long, totals binary, tally binary, codes binary, small3 binary, large3 binary, codes3 binary, kinds long, words long, cc array<long>, cc3 array<long>"
 
 
-def merged(keys, counts):
-    """Distinct keys that have training counts, sorted, and the sums of these."""
+def gathered(keys, counts):
+    """Distinct keys, sorted, the sums of their counts, and each key's place
+    among them."""
     import numpy as np
 
-    trained = np.flatnonzero(counts)
-    order = trained[np.argsort(keys[trained], kind="stable")]
+    order = np.argsort(keys, kind="stable")
     same = keys[order]
-    heads = np.flatnonzero(np.r_[True, same[1:] != same[:-1]]) if len(same) else np.zeros(0, np.int64)
-    return same[heads], np.add.reduceat(counts[order], heads) if len(heads) else counts[:0]
+    new = np.r_[True, same[1:] != same[:-1]] if len(same) else np.zeros(0, bool)
+    heads = np.flatnonzero(new)
+    same = same[heads]
+    sums = np.add.reduceat(counts[order], heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return same, sums, place
 
 
 def packed(totals, tally) -> tuple[bytes, bytes]:
@@ -478,6 +496,68 @@ def unpacked(small: bytes, large: bytes):
     return numbers[:, 0], numbers[:, 1:]
 
 
+def shard_answers(table, shards: int):
+    """Builds a shard's trie from the rows of all chunks (``REQUEST``) and
+    answers them, a record batch (``ANSWER``) each."""
+    import numpy as np
+    import pyarrow as pa
+
+    col = lambda n, t: [np.frombuffer(b.as_buffer(), t) for b in table.column(n)]
+
+    def listed(third=""):
+        counts = []
+        for n, many in zip(col("counts" + third, np.uint8), col("many" + third, np.uint32), strict=True):
+            n = n.astype(np.uint32)
+            n[n == 255] = many
+            counts.append(n)
+        words = np.concatenate(col("low" + third, np.uint32)).astype(np.uint64)
+        words |= np.concatenate(col("high" + third, np.uint8)).astype(np.uint64) << np.uint64(32)
+        return words, np.concatenate(counts)
+
+    def trained(keys, sums):
+        """Those with training counts, and every key's number among them (of
+        the others: how many they are)."""
+        seen = sums > 0
+        number = np.cumsum(seen, dtype=np.int32) - 1
+        number[~seen] = np.count_nonzero(seen)
+        return keys[seen], sums[seen], number
+
+    asked, sizes, below = col("contexts", np.uint64), col("sizes", np.uint32), col("below", np.uint32)
+    contexts, number = np.unique(np.concatenate(asked), return_inverse=True)
+    totals = np.bincount(number, np.concatenate(col("totals", np.uint32)), len(contexts)).astype(np.int64)
+    successor, counts = listed()
+    successor |= np.repeat(number.astype(np.uint64) << np.uint64(SUCCESSOR_BITS), np.concatenate(sizes))
+    keys, sums, place = gathered(successor, counts)
+    del successor, counts
+    pairs, pair_counts, of = trained(keys, sums)
+    trie = Trie(contexts, totals, pairs, pair_counts, count_codes)
+    pair, codes = of[place], trie.code_of(keys)[place]
+    del keys, sums, place, of
+    third, counts = listed("3")
+    third |= np.repeat(pair.astype(np.uint64) << np.uint64(SUCCESSOR_BITS), np.concatenate(below))
+    keys, sums, place = gathered(third, counts)
+    del third, counts
+    triples, triple_counts, _ = trained(keys, sums)
+    lower = Trie(np.r_[pairs, np.uint64(0)], np.r_[pair_counts, 0].astype(np.int64), triples, triple_counts, count_codes)
+    codes3 = lower.code_of(keys)[place]
+    del keys, sums, place
+    cc, cc3 = ([int((n == k).sum()) for k in range(1, 5)] for n in (pair_counts, triple_counts))
+    at_home = (Pairs.home(contexts, shards) == table.column("shard")[0].as_py()) & (totals > 0) & (contexts != np.uint64(START))
+    out, a, c, e = [], 0, 0, 0
+    for i, (own, size, under) in enumerate(zip(asked, sizes, below, strict=True)):
+        mine = number[c:c + len(own)]
+        n, m = int(size.sum()), int(under.sum())
+        at = pair[a:a + n] if len(under) and m else pair[:0]
+        out.append((trie.totals[mine].tobytes(), trie.tally[mine].tobytes(), codes[a:a + n].tobytes(), *packed(lower.totals[at], lower.tally[at]), codes3[e:e + m].tobytes(),
+                    int(at_home.sum()) if i == 0 else 0, int(totals[at_home].sum()) if i == 0 else 0, cc if i == 0 else [0] * 4, cc3 if i == 0 else [0] * 4))
+        a, c, e = a + n, c + len(own), e + m
+    types = [pa.binary()] * 6 + [pa.int64()] * 2 + [pa.list_(pa.int64())] * 2
+    names = [x.split()[0] for x in ANSWER.split(", ")]
+    keys = [table.column(c).combine_chunks() for c in names[:3]]
+    for i, o in enumerate(out):
+        yield pa.RecordBatch.from_arrays([*(k[i:i + 1] for k in keys), *[pa.array([v], t) for v, t in zip(o, types, strict=True)]], names)
+
+
 def answers(sent: DataFrame, shards: int) -> DataFrame:
     """Builds each shard's trie and answers its chunks: totals and tallies of
     their contexts, count codes of their pairs, and the same of their pairs as
@@ -485,55 +565,6 @@ def answers(sent: DataFrame, shards: int) -> DataFrame:
     shard, the number of distinct training words at home there and of their
     occurrences; ``cc`` and ``cc3`` its counts of counts one to four."""
 
-    def built(table):
-        import numpy as np
-        import pyarrow as pa
-
-        col = lambda n, t: [np.frombuffer(b.as_buffer(), t) for b in table.column(n)]
-
-        def listed(third=""):
-            counts = []
-            for n, many in zip(col("counts" + third, np.uint8), col("many" + third, np.uint32), strict=True):
-                n = n.astype(np.int64)
-                n[n == 255] = many
-                counts.append(n)
-            words = np.concatenate(col("low" + third, np.uint32)).astype(np.uint64)
-            words |= np.concatenate(col("high" + third, np.uint8)).astype(np.uint64) << np.uint64(32)
-            return words, np.concatenate(counts)
-
-        asked, sizes, below = col("contexts", np.uint64), col("sizes", np.uint32), col("below", np.uint32)
-        contexts, number = np.unique(np.concatenate(asked), return_inverse=True)
-        totals = np.bincount(number, np.concatenate(col("totals", np.uint32)), len(contexts)).astype(np.int64)
-        successor, counts = listed()
-        of = np.repeat(number, np.concatenate(sizes))
-        keys = of.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor
-        pairs, pair_counts = merged(keys, counts)
-        trie = Trie(contexts, totals, pairs, pair_counts, count_codes)
-        pair = np.searchsorted(pairs, keys)  # number of each pair; that of no pair where it has no training counts
-        pair[pair < len(pairs)] = np.where(pairs[pair[pair < len(pairs)]] == keys[pair < len(pairs)], pair[pair < len(pairs)], len(pairs))
-        del keys, counts
-        third, counts = listed("3")
-        parent = np.repeat(pair, np.concatenate(below))
-        triples, triple_counts = merged(parent.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | third, counts)
-        del counts
-        lower = Trie(np.r_[pairs, np.uint64(0)], np.r_[pair_counts, 0].astype(np.int64), triples, triple_counts, count_codes)
-        cc, cc3 = ([int((n == k).sum()) for k in range(1, 5)] for n in (pair_counts, triple_counts))
-        at_home = (Pairs.home(contexts, shards) == table.column("shard")[0].as_py()) & (totals > 0) & (contexts != np.uint64(START))
-        out, a, c, e = [], 0, 0, 0
-        for i, (own, size, under) in enumerate(zip(asked, sizes, below, strict=True)):
-            mine = number[c:c + len(own)]
-            n, m = int(size.sum()), int(under.sum())
-            codes, codes3 = trie.code(of[a:a + n], successor[a:a + n]), ordered_codes(lower, parent[e:e + m], third[e:e + m])
-            at = pair[a:a + n] if len(under) and m else pair[:0]
-            out.append((trie.totals[mine].tobytes(), trie.tally[mine].tobytes(), codes.tobytes(), *packed(lower.totals[at], lower.tally[at]), codes3.tobytes(),
-                        int(at_home.sum()) if i == 0 else 0, int(totals[at_home].sum()) if i == 0 else 0, cc if i == 0 else [0] * 4, cc3 if i == 0 else [0] * 4))
-            a, c, e = a + n, c + len(own), e + m
-        types = [pa.binary()] * 6 + [pa.int64()] * 2 + [pa.list_(pa.int64())] * 2
-        names = [x.split()[0] for x in ANSWER.split(", ")]
-        keys = [table.column(c).combine_chunks() for c in names[:3]]
-        for i, o in enumerate(out):
-            yield pa.RecordBatch.from_arrays([*(k[i:i + 1] for k in keys), *[pa.array([v], t) for v, t in zip(o, types, strict=True)]], names)
-
     def run(batches):
         """A shard's rows follow each other, in batches of any size."""
         import pyarrow as pa
@@ -545,28 +576,17 @@ def answers(sent: DataFrame, shards: int) -> DataFrame:
                 if i < len(shard) and shard[i] == shard[at]:
                     continue
                 if own is not None and shard[at] != own:
-                    yield from built(pa.Table.from_batches(held))
+                    yield from shard_answers(pa.Table.from_batches(held), shards)
                     held = []
                 own = shard[at]
                 held.append(batch.slice(at, i - at))
                 at = i
         if held:
-            yield from built(pa.Table.from_batches(held))
+            yield from shard_answers(pa.Table.from_batches(held), shards)
 
     return sent.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(trimmed(run), ANSWER)
 
 
-def ordered_codes(trie: Trie, context, successor):
-    """``trie.code`` of queries in any order."""
-    import numpy as np
-
-    key = context.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor
-    order = np.argsort(key, kind="stable")
-    codes = np.zeros(len(key), np.uint8)
-    codes[order] = trie.code(context[order], successor[order])
-    return codes
-
-
 def scores(docs: DataFrame, answered: DataFrame, shards: int, hot: dict[int, int], folds: int, train_docs: int, train_tokens: int, distinct: int, cut2: list[float], cut3: list[float], order: int = 2) -> DataFrame:
     """``cut2`` and ``cut3`` are the discounts of pairs and of triples."""
 
@@ -601,7 +621,7 @@ def scores(docs: DataFrame, answered: DataFrame, shards: int, hot: dict[int, int
         add = lambda x: np.add.reduceat(x, starts)
         return pa.table([pa.array([d for d, _ in rows], pa.int64()), pa.array(p.held), pa.array(p.lengths), pa.array(add(known.astype(np.int64))), pa.array(np.full(len(rows), train_tokens, np.int64)), pa.array(add(log_one)), pa.array(add(log_pair))], [x.split()[0] for x in RESULT.split(", ")])
 
-    return with_chunks(docs, CHUNK_BYTES).groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, RESULT)
+    return with_chunks(docs, CHUNK_BYTES).groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(trimmed_groups(run), RESULT)
 
 
 def train_and_score(docs: DataFrame, folds: int = FOLDS, shard_bytes: int = SHARD_BYTES, order: int = 2) -> DataFrame:
