@@ -1,9 +1,10 @@
 import hashlib
 import random
+import time
 
 import pytest
 
-from tidings.llm.substr import remove_repeats
+from tidings.llm.substr import Chunk, remove_repeats
 
 
 def brute(docs, k=13):
@@ -52,3 +53,38 @@ def test_empty(make_docs, spark, tmp_path):
     path = str(tmp_path / "d.parquet")
     make_docs([]).write.parquet(path)
     assert remove_repeats(spark.read.parquet(path)).count() == 0
+
+
+def test_short_texts_cost_no_calls_of_their_own(words):
+    """As many words in 2,000 texts take about the time of one text."""
+    text = words(80_000, 3).split()
+    one, many = [(1, " ".join(text))], [(i, " ".join(text[40 * i:40 * i + 40])) for i in range(2000)]
+
+    def seconds(rows):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            Chunk(rows, 13, 5)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(many) < 4 * seconds(one)
+
+
+def test_anchors_of_texts_side_by_side(words):
+    """A text has the same anchors alone and among others, across blocks."""
+    import numpy as np
+
+    texts = ["", words(12, 1), words(13, 2), words(40_000, 3), " \n", words(14, 4), "x " * 50, words(300, 5), words(3, 6)] * 2
+    c = Chunk(list(enumerate(texts)), 13, 5).anchors
+    begin = 0
+    for n, text in enumerate(texts):
+        alone = Chunk([(n, text)], 13, 5).anchors
+        mine = slice(c.starts[n], c.starts[n + 1])
+        for x, y in ((c.at, alone.at), (c.first, alone.first), (c.last, alone.last)):
+            assert np.array_equal(x[mine] - begin, y)
+        assert np.array_equal(c.keys[mine], alone.keys)
+        looked = c.text[c.owner] == n
+        assert sorted(zip((c.owner[looked] - c.starts[n]).tolist(), c.looked[looked].tolist())) == sorted(zip(alone.owner.tolist(), alone.looked.tolist()))
+        begin += len(text.split())
+    assert begin == 2 * len(" ".join(texts[:9]).split())

@@ -50,31 +50,17 @@ def with_chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "chunk long, place int, doc_id long, text string")
 
 
-def word_hashes(split):
-    """64-bit hashes of the words of each text (an iterable of lists of words),
-    as one array per text."""
-    from collections import defaultdict
-    from itertools import count
-
-    import numpy as np
-    import xxhash
-
-    ids: dict[bytes, int] = defaultdict(count().__next__)
-    at = [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) for words in split]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), np.uint64, len(ids))
-    return [hashes[i] for i in at]
-
-
-def word_numbers(texts):
-    """Lower-cased (A-Z) words of all texts, numbered by Arrow: the number of
-    each word one text after the other, how many each text has, and the 64-bit
-    hash of every number's word."""
+def word_numbers(texts, lower: bool = True):
+    """Words (lower-cased A-Z, or unchanged) of all texts, numbered by Arrow:
+    the number of each word one text after the other, how many each text has,
+    and the 64-bit hash of every number's word."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
     import xxhash
 
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    texts = pa.array(texts, pa.large_string())
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = parts.flatten().dictionary_encode()
     number, ends = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()
     words = coded.dictionary.to_pylist()

@@ -38,62 +38,94 @@ ignored.
 
 from __future__ import annotations
 
+from itertools import compress
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import chunks, cuts, mixed, with_chunks, word_hashes
+from .chunks import chunks, cuts, mixed, with_chunks, word_numbers
 from .common import cut_lineage, doc_text, read_table, text_bytes
 
 WINDOW, ANCHOR = 13, 5
 SHARD_BYTES = 32 << 20
+BLOCK_WORDS = 1 << 15
 NO_ID = -1 << 63
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def hashed_words(texts: list[str]):
+    """The words' hashes, one text after the other, and each text's number of words."""
+    number, sizes, hashes = word_numbers(texts, lower=False)
+    return hashes[number], sizes
+
+
+def block_anchors(hashes, sizes, window: int, anchor: int):
+    """The arrays of ``Anchors`` for a block of texts."""
+    import numpy as np
+
+    factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
+    n = max(len(hashes) - window + 1, 0)
+    windows = np.flatnonzero(np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n) >= window)  # those that end in their text
+    if not len(windows):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
+    grams = np.zeros(len(hashes) - anchor + 1, np.uint64)
+    for k in range(anchor):
+        grams += hashes[k:k + len(grams)] * factors[k % 5] * np.uint64(2 * (k // 5) + 1)
+    grams = mixed(grams)
+    reach = window - anchor
+    places = np.uint64((1 << reach.bit_length()) - 1)
+    least, cover = grams & ~places, 1  # a hash's low bits make room for its place in the window
+    while cover <= reach:  # the least of so many prefixes from here on
+        step = min(cover, reach + 1 - cover)
+        least = np.minimum(least[:-step], least[step:] + np.uint64(step))
+        cover += step
+    at = (least[windows] & places).astype(np.int64) + windows
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    first, last, at = windows[new], windows[np.r_[new[1:], len(windows)] - 1], at[new]
+    more = reach // 2
+    left, right = np.flatnonzero(at - first >= more), np.flatnonzero(at - last < more)
+    sides = []
+    for which, shift, tag in ((left, -more, 1), (right, 0, 2)):
+        total, begin = np.full(len(which), tag, np.uint64), at[which] + shift
+        for k in range(anchor + more):
+            total = (total ^ hashes[begin + k]) * np.uint64(0x9E3779B97F4A7C15)
+            total ^= total >> np.uint64(32)
+        sides.append(mixed(total))
+    return at, first, last, grams[at], np.concatenate(sides), np.concatenate([left, right])
+
+
 class Anchors:
-    """The anchors of one text: positions, hashes, and the first and last
-    window (by its start) that each one stands for.  ``looked`` are the hashes
+    """The anchors of texts whose words stand one text after the other:
+    positions, hashes, and the first and last window (by its start) that each
+    one stands for; ``text`` is the number of its text, and text n has the
+    anchors from ``starts[n]`` to ``starts[n + 1]``.  ``looked`` are the hashes
     of the anchors with their neighbours on a side, ``owner`` the anchors they
-    belong to."""
+    belong to.
+
+    Arrays hold many texts, so that a short one costs no calls of its own, in
+    blocks that fit in a processor's cache."""
 
-    def __init__(self, hashes, window: int, anchor: int):
+    def __init__(self, hashes, sizes, window: int, anchor: int):
         import numpy as np
 
-        factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
-        n = len(hashes) - window + 1
-        if n <= 0:
-            self.at = self.first = self.last = self.owner = np.zeros(0, np.int64)
-            self.keys = self.looked = np.zeros(0, np.uint64)
-            return
-        grams = np.zeros(len(hashes) - anchor + 1, np.uint64)
-        for k in range(anchor):
-            grams += hashes[k:k + len(grams)] * factors[k % 5] * np.uint64(2 * (k // 5) + 1)
-        grams = mixed(grams)
-        places = np.uint64((1 << (window - anchor).bit_length()) - 1)
-        ranked = grams & ~places  # a hash's low bits make room for its place in the window
-        least = ranked[:n].copy()
-        for k in range(1, window - anchor + 1):
-            np.minimum(least, ranked[k:k + n] | np.uint64(k), out=least)
-        at = (least & places).astype(np.int64) + np.arange(n)
-        self.first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        self.last = np.r_[self.first[1:], n] - 1
-        self.at = at[self.first]
-        self.keys = grams[self.at]
-        more = (window - anchor) // 2
-        left, right = np.flatnonzero(self.at - self.first >= more), np.flatnonzero(self.at - self.last < more)
-        sides = []
-        for which, shift, tag in ((left, -more, 1), (right, 0, 2)):
-            total = np.full(len(which), tag, np.uint64)
-            for k in range(anchor + more):
-                total = (total ^ hashes[self.at[which] + shift + k]) * np.uint64(0x9E3779B97F4A7C15)
-                total ^= total >> np.uint64(32)
-            sides.append(mixed(total))
-        self.looked, self.owner = np.concatenate(sides), np.concatenate([left, right])
-
-
-def split_words(rows) -> list[list[bytes]]:
-    return [text.encode("utf-8", "surrogatepass").split() for _, text in rows]
+        ends = np.cumsum(sizes)
+        total = np.r_[0, ends]
+        found, base, begin = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64)], 0, 0
+        while begin < len(sizes):
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] + BLOCK_WORDS, "right")) - 1)
+            at, first, last, keys, looked, owner = block_anchors(hashes[total[begin]:total[end]], sizes[begin:end], window, anchor)
+            for all_, x in zip(found, (at + total[begin], first + total[begin], last + total[begin], keys, looked, owner + base), strict=True):
+                all_.append(x)
+            base, begin = base + len(at), end
+        self.at, self.first, self.last, self.keys, self.looked, self.owner = map(np.concatenate, found)
+        self.text = np.searchsorted(ends, self.at, "right")
+        self.starts = np.searchsorted(self.text, np.arange(len(sizes) + 1))
+
+
+def split_words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split()
 
 
 def key_of(doc) -> int:
@@ -102,19 +134,21 @@ def key_of(doc) -> int:
 
 class Chunk:
     """Anchors of a chunk's texts, and its distinct ``looked`` hashes with
-    whether more than one document of the chunk has them."""
+    whether more than one document of the chunk has them; ``entry`` says which
+    of them each looked hash is."""
 
     def __init__(self, rows, window: int, anchor: int):
         import numpy as np
 
-        self.rows, self.words = rows, split_words(rows)
-        self.hashes = word_hashes(self.words)
-        self.anchors = [Anchors(h, window, anchor) for h in self.hashes]
-        keys = np.concatenate([a.looked for a in self.anchors] or [np.zeros(0, np.uint64)])
-        docs = np.repeat(np.array([key_of(d) for d, _ in rows], np.int64), [len(a.looked) for a in self.anchors])
-        order = np.argsort(keys)
-        keys, docs = keys[order], docs[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        hashes, self.sizes = hashed_words([t for _, t in rows])
+        self.anchors = a = Anchors(hashes, self.sizes, window, anchor)
+        docs = np.array([key_of(d) for d, _ in rows], np.int64)[a.text[a.owner]]
+        order = np.argsort(a.looked)
+        keys, docs = a.looked[order], docs[order]
+        new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        self.entry = np.empty(len(keys), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
         self.keys = keys[starts]
         self.several = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts) if len(starts) else np.zeros(0, bool)
         self.check = int(self.keys.sum(dtype=np.uint64) >> np.uint64(1)) if len(keys) else 0
@@ -204,10 +238,16 @@ def suspects(docs: DataFrame, answers: DataFrame, shards: int, window: int, anch
         c = Chunk(rows, window, anchor)
         bounds = cuts(c.keys, shards)
         repeated = answered(right, [(s, int(bounds[s + 1] - bounds[s])) for s in range(shards)], c.check)
+        a = c.anchors
+        hit = np.zeros(len(a.at), bool)
+        hit[a.owner[repeated[c.entry]]] = True
+        hit = np.flatnonzero(hit)
+        edges = np.searchsorted(a.text[hit], np.arange(len(rows) + 1)).tolist()
+        numbers = (hit - a.starts[a.text[hit]]).astype(np.int32)
         out = []
-        for (doc, text), words, a in zip(rows, c.words, c.anchors, strict=True):
-            found = np.unique(a.owner[repeated[np.searchsorted(c.keys, a.looked)]]) if len(a.looked) else a.owner
-            out.append((doc, len(words), None, None, text, found.astype(np.int32).tobytes(), len(found)) if len(found) else (doc, len(words), 0, sha(words), None, None, 0))
+        for n, ((doc, text), size) in enumerate(zip(rows, c.sizes.tolist(), strict=True)):
+            found = numbers[edges[n]:edges[n + 1]]
+            out.append((doc, size, None, None, text, found.tobytes(), len(found)) if len(found) else (doc, size, 0, sha(split_words(text)), None, None, 0))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32())
         names = ("doc_id", "n_words", "n_removed", "kept_sha256", "text", "found", "n_found")
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names)
@@ -218,43 +258,37 @@ def suspects(docs: DataFrame, answers: DataFrame, shards: int, window: int, anch
 class Contexts:
     """The distinct suffix contexts of a chunk of suspects: for each anchor that
     repeats, the words from ``window - anchor`` before it to ``window - 1``
-    after, the windows it stands for, and the least document."""
+    after, the windows it stands for, and the least document.  ``owner`` and
+    ``text`` are the numbers of each one's anchor and text, ``entry`` which of
+    the distinct contexts it has."""
 
     def __init__(self, rows, window: int, anchor: int):
         """rows: (doc_id, text, found)"""
         import numpy as np
 
-        self.window, self.reach = window, window - anchor
-        self.words = split_words([(d, t) for d, t, _ in rows])
-        hashes = word_hashes(self.words)
-        self.anchors, keys, around, spans, docs, self.owner = [], [], [], [], [], []
-        width = self.reach + window
-        for n, ((doc, _, found), h) in enumerate(zip(rows, hashes, strict=True)):
-            a = Anchors(h, window, anchor)
-            at = np.frombuffer(found, np.int32)
-            self.anchors.append(a)
-            short = np.r_[np.zeros(self.reach, np.uint32), (h >> np.uint64(20)).astype(np.uint32), np.zeros(window, np.uint32)]
-            index = a.at[at][:, None] + np.arange(width)
-            ctx = short[index]
-            low, high = a.at[at] - a.last[at], a.at[at] - a.first[at]  # places of the anchor in its last and first window
-            place = np.arange(width)
-            ctx[(place < (self.reach - high)[:, None]) | (place >= (self.reach - low + window)[:, None])] = 0  # words of no window
-            keys.append(a.keys[at])
-            around.append(ctx)
-            spans.append(np.stack([low, high], 1).astype(np.uint8))
-            docs.append(np.full(len(at), key_of(doc), np.int64))
-            self.owner.append(np.stack([np.full(len(at), n), at], 1))
-        join = lambda xs, empty: np.concatenate(xs) if xs else empty
-        keys, around, spans, docs, owner = join(keys, np.zeros(0, np.uint64)), join(around, np.zeros((0, width), np.uint32)), join(spans, np.zeros((0, 2), np.uint8)), join(docs, np.zeros(0, np.int64)), join(self.owner, np.zeros((0, 2), np.int64))
-        whole = np.ascontiguousarray(np.concatenate([around.astype(np.uint64), spans.astype(np.uint64)], 1))
-        digest = np.zeros(len(keys), np.uint64)
-        for j in range(whole.shape[1]):
-            digest = mixed(digest ^ whole[:, j])
+        reach = window - anchor
+        hashes, self.sizes = hashed_words([t for _, t, _ in rows])
+        self.anchors = a = Anchors(hashes, self.sizes, window, anchor)
+        found = [np.frombuffer(f, np.int32) for _, _, f in rows]
+        self.text = np.repeat(np.arange(len(rows)), [len(f) for f in found])
+        self.owner = np.concatenate([np.zeros(0, np.int64), *found]) + a.starts[self.text]
+        at, keys = a.at[self.owner], a.keys[self.owner]
+        docs = np.array([key_of(d) for d, _, _ in rows], np.int64)[self.text]
+        low, high = at - a.last[self.owner], at - a.first[self.owner]  # places of the anchor in its last and first window
+        spans = np.stack([low, high], 1).astype(np.uint8)
+        short = (hashes >> np.uint64(20)).astype(np.uint32)
+        around, digest = np.zeros((len(at), reach + window), np.uint32), np.zeros(len(at), np.uint64)
+        for j in range(reach + window):
+            inside = (j >= reach - high) & (j < reach - low + window)  # else a word of no window
+            around[inside, j] = short[at[inside] + (j - reach)]
+            digest = mixed(digest ^ around[:, j])
+        for j in range(2):
+            digest = mixed(digest ^ spans[:, j])
         order = np.lexsort((docs, digest, keys))
-        keys, digest, around, spans, docs, owner = keys[order], digest[order], around[order], spans[order], docs[order], owner[order]
+        keys, digest, around, spans, docs = keys[order], digest[order], around[order], spans[order], docs[order]
         new = np.r_[True, (keys[1:] != keys[:-1]) | (digest[1:] != digest[:-1])] if len(keys) else np.zeros(0, bool)
         heads = np.flatnonzero(new)
-        self.entry, self.owner, self.docs = np.cumsum(new) - 1, owner, docs
+        self.entry, self.docs, self.owner, self.text = np.cumsum(new) - 1, docs, self.owner[order], self.text[order]
         self.keys, self.around, self.spans, self.least = keys[heads], around[heads], spans[heads], docs[heads]
         self.check = int(mixed(self.keys ^ digest[heads]).sum(dtype=np.uint64) >> np.uint64(1)) if len(heads) else 0
 
@@ -362,22 +396,22 @@ def removed(first: DataFrame, answers: DataFrame, shards: int, window: int, anch
         c = Contexts(rows, window, anchor)
         bounds = cuts(c.keys, shards)
         bits = answered(right, [(s, int(bounds[s + 1] - bounds[s])) for s in range(shards)], c.check, reach + 1).reshape(-1, reach + 1)
-        out, covered = [], [np.zeros(len(w) + 1, np.int64) for w in c.words]
-        order = np.argsort(c.owner[:, 0], kind="stable")
-        earlier = (c.least[c.entry] < c.docs)  # an equal context of this chunk is in an earlier document
-        edges = np.searchsorted(c.owner[order, 0], np.arange(len(rows) + 1))
-        for n, (doc, text, _) in enumerate(rows):
-            mine = order[edges[n]:edges[n + 1]]
-            a = c.anchors[n]
-            at = c.owner[mine, 1]
-            for place in range(reach + 1):
-                start = a.at[at] - place
-                hit = (a.first[at] <= start) & (start <= a.last[at]) & (bits[c.entry[mine], place] | earlier[mine])
-                np.add.at(covered[n], start[hit], 1)
-                np.add.at(covered[n], start[hit] + window, -1)
-            gone = np.cumsum(covered[n])[:-1] > 0
-            kept = [w for w, x in zip(c.words[n], gone.tolist(), strict=True) if not x]
-            out.append((doc, len(gone), int(gone.sum()), sha(kept)) + ((b" ".join(kept).decode("utf-8", "surrogatepass"),) if keep_text else ()))
+        a = c.anchors
+        earlier = c.least[c.entry] < c.docs  # an equal context of this chunk is in an earlier document
+        at, first, last = a.at[c.owner], a.first[c.owner], a.last[c.owner]
+        starts = [np.zeros(0, np.int64)]
+        for place in range(reach + 1):
+            start = at - place
+            starts.append(start[(first <= start) & (start <= last) & (bits[c.entry, place] | earlier)])
+        starts, n_words = np.concatenate(starts), int(c.sizes.sum())
+        covered = np.bincount(starts, minlength=n_words + 1) - np.bincount(starts + window, minlength=n_words + 1)
+        gone = np.cumsum(covered)[:-1] > 0
+        out, begin = [], 0
+        for (doc, text, _), size in zip(rows, c.sizes.tolist(), strict=True):
+            mine = gone[begin:begin + size]
+            begin += size
+            kept = list(compress(split_words(text), (~mine).tolist()))
+            out.append((doc, size, size - len(kept), sha(kept)) + ((b" ".join(kept).decode("utf-8", "surrogatepass"),) if keep_text else ()))
         kinds = [pa.int64()] * 3 + [pa.string()] * (1 + keep_text)
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names)
