@@ -24,6 +24,11 @@ from pyspark.sql import functions as F
 from tidings.llm import decontam, neardup, packing, pii, toxicity
 from tidings.llm.common import cut_lineage, prepare, read_table
 
+#: Stages share their Python workers with each other, and the executors' memory
+#: with what the JVM has gathered over all of them, so a worker holds less here
+#: than in an operator's own query: texts of a batch, and words in packing's cache.
+BATCH_ROWS, CACHE_WORDS = 250, 100_000
+
 ORACLE_SQL = None  # no stage's model can be written in SQL; tests hold each against its operator
 
 
@@ -49,14 +54,15 @@ def _own(docs: DataFrame) -> list[Column]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    scorer = toxicity.fit(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    labels = read_table(spark, sf_dir, "labels")
+    prepare(spark, BATCH_ROWS)
+    scorer = toxicity.fit(docs.select("doc_id", "text"), labels)
     name, = _spare(docs, "toxicity")
     return toxicity.score(docs, scorer, name).where(F.col(name) < 0.5).select(*_own(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    prepare(spark, BATCH_ROWS)
     found = neardup.near_duplicates(docs)
     key = _spare(docs, "id", "node")
     of = lambda rows: rows.select(F.coalesce("doc_id", F.lit(neardup.NO_ID)).alias(key[0]), F.col("node").alias(key[1]))
@@ -71,8 +77,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    found = decontam.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    prepare(spark, BATCH_ROWS)
+    found = decontam.contamination(docs, benchmark)
     key = _spare(docs, "doc", "version")
     gone = cut_lineage(found.where("n_hit > 0").select(F.col("doc").alias(key[0]), F.col("version").alias(key[1])).distinct())
     doc, version = decontam.document_key()
@@ -81,13 +88,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    prepare(spark, BATCH_ROWS)
     return pii.redact(docs, pii.fit(docs.select(F.col("doc_id"), _text().alias("text"))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    return packing.pack(docs)
+    prepare(spark, BATCH_ROWS)
+    return packing.pack(docs, cache_words=CACHE_WORDS)
 
 
 STAGES = [

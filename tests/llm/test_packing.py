@@ -43,3 +43,15 @@ def test_least_cost_sequence_with_room():
 
 def test_empty(make_docs):
     assert pack(make_docs([])).count() == 0
+
+
+def test_a_small_cache_gives_the_same_rows(odd_rows):
+    """With room for few words the encoder forgets, and encodes them again."""
+    from tidings.llm.packing import WordEncoder
+
+    small, large = WordEncoder("word_bpe_49k.json", cache_words=50), WordEncoder("word_bpe_49k.json")
+    for _, text in odd_rows * 2:
+        texts = [text or ""]
+        assert small.encode(texts) == large.encode(texts)
+        assert len(small.cores) + len(small.others) <= 50 + len(set((text or "").split())) * 2 + 1
+    assert len(large.cores) > 200

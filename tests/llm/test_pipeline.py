@@ -111,3 +111,28 @@ def test_empty(spark, tables, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{tables}/{t}.parquet").write.parquet(f"{d}/{t}.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_workers_of_one_kind_and_small_batches(spark, tables, tmp_path, monkeypatch):
+    """No stage makes rows in Python, whose workers are of another kind than
+    those of batches and wait beside them, and batches are small."""
+    def refuse(*a, **k):
+        raise AssertionError("rows made in Python")
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        with monkeypatch.context() as m:
+            m.setattr(type(spark), "createDataFrame", refuse)
+            stage(spark, docs, tables).write.parquet(str(tmp_path / name))
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 250, name
+
+
+def test_pii_gives_memory_back(spark, tables, monkeypatch):
+    """The PII functions are wrapped so that a worker's free memory goes back."""
+    wrapped = []
+    monkeypatch.setattr(pii, "trimmed", lambda run: wrapped.append(run.__name__) or run, raising=False)
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    field = pii.fit(docs.selectExpr("doc_id", "coalesce(text, '') AS text"))
+    pii.redact(docs, field)
+    pii.scan(docs, field)
+    assert sorted(wrapped) == ["cut", "run", "run"]

@@ -12,10 +12,10 @@ __all__ = ["cut_lineage", "crc_mod", "doc_text", "prepare", "read_table", "text_
 ship_package()
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch holds, so that long texts don't pile up in a
     Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

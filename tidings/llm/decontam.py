@@ -67,7 +67,7 @@ def build_index(docs: DataFrame, words: DataFrame) -> DataFrame:
     """Postings ``(doc, version, position, term)`` of the documents' tokens
     among ``words`` and of the closing marks, written as a table.  A term is
     its word's hash."""
-    closing = docs.sparkSession.createDataFrame([(CLOSING,)], "word string")
+    closing = docs.sparkSession.range(1).select(F.lit(CLOSING).alias("word"))  # rows of Python would start workers of another kind, which wait on
     terms = words.select("word").unionByName(closing).withColumn("term", F.xxhash64("word"))
     each = docs.select(*document_key(), F.posexplode(F.array_append(tokens(F.col("text")), F.lit(CLOSING))).alias("position", "word"))
     return cut_lineage(each.join(small(terms), "word").select("doc", "version", "position", "term"))

@@ -53,7 +53,7 @@ class WordEncoder:
     PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
     PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, cache_words: int = CACHE_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,6 +61,7 @@ class WordEncoder:
         import public_tokenizers
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.cache_words = cache_words
         path = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = Tokenizer(self.tokenizer.model)
@@ -133,7 +134,7 @@ class WordEncoder:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not len(texts):
             return []
-        if len(self.cores) + len(self.others) > CACHE_WORDS:
+        if len(self.cores) + len(self.others) > self.cache_words:
             self.clear()
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
@@ -189,15 +190,16 @@ def assign(lengths: list[int], sequence: int = SEQUENCE, linear: float = LINEAR,
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = END_ID, sequence: int = SEQUENCE,
          group_tokens: int = GROUP_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC,
-         keep_ids: bool = False) -> DataFrame:
+         keep_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece of a document in a sequence (see ``SCHEMA``).  With
-    ``keep_ids`` the piece's ids follow as little-endian 32-bit words."""
+    ``keep_ids`` the piece's ids follow as little-endian 32-bit words.  A task
+    remembers the ids of about ``cache_words`` words at a time."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end = WordEncoder(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = WordEncoder(tokenizer, cache_words), end_id.to_bytes(4, "little")
         group, tokens, next_id = [], 0, TaskContext.get().partitionId() << 40
 
         def rows(found):

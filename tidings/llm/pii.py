@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_text, read_table
+from .common import doc_text, read_table, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, SURE, PIECE = 6, 0.9, 12
@@ -309,7 +309,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_islands: int = S
                         out.append((text[a:b], [x - a for u in part for x in u], [x for s in path for x in s]))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["text", "units", "path"])
 
-    rows = docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(cut, "text string, units array<int>, path array<int>")
+    rows = docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(trimmed(cut), "text string, units array<int>, path array<int>")
     rows = rows.orderBy(F.xxhash64("text"), "text").limit(sample_islands).collect()
     import numpy as np
 
@@ -338,7 +338,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return doc_text(docs).mapInArrow(trimmed(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
@@ -366,7 +366,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
